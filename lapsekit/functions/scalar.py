@@ -95,8 +95,15 @@ def one_hot(df: DataFrame, col: str, prefix: str | None = None, values: Sequence
         if len(found) > max_values:
             raise ValueError(f"{col} has more than {max_values} distinct values; pass values=")
         values = found
-    name = (lambda v: f"{prefix}{sep}{v}") if prefix else (lambda v: str(v))
-    return df.withColumns({name(v): F.when(F.col(col) == F.lit(v), 1).otherwise(0) for v in values})
+    return df.withColumns({one_hot_name(v, prefix, sep): F.when(F.col(col) == F.lit(v), 1).otherwise(0)
+                           for v in values})
+
+
+def one_hot_name(value, prefix: str | None = None, sep: str = "_") -> str:
+    """Column name for a one-hot value: non-word characters become '_' (e.g. 'Promo_4_NOT_SPECIFIED')."""
+    import re
+    v = re.sub(r"\W+", "_", str(value)).strip("_")
+    return f"{prefix}{sep}{v}" if prefix else v
 
 
 # --- B11: list-of-dict text -> rows ---------------------------------------------------------------

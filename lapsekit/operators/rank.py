@@ -26,16 +26,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_BUCKETS = 1024
-N_SUB = 64
-ACCURACY = 20000
+N_BUCKETS = 256
+N_SUB = 32
+ACCURACY = 10000
 
 
-def _splits(df: DataFrame, col: str, n: int) -> list[float]:
-    probs = [i / n for i in range(1, n)]
-    row = df.select(F.percentile_approx(F.col(col).cast("double"), probs, ACCURACY).alias("q")).first()
-    qs = sorted({float(v) for v in (row["q"] or []) if v is not None and not math.isnan(v)})
-    return qs
+def _splits(df: DataFrame, cols: Sequence[str], ns: Sequence[int]) -> list[list[float]]:
+    """Approximate quantile values of several columns in one pass (a bounded list per column)."""
+    aggs = [F.percentile_approx(F.col(c).cast("double"), [i / n for i in range(1, n)], ACCURACY).alias(f"q{k}")
+            for k, (c, n) in enumerate(zip(cols, ns))]
+    row = df.agg(*aggs).first()
+    return [sorted({float(v) for v in (row[f"q{k}"] or []) if v is not None and not math.isnan(v)})
+            for k in range(len(cols))]
 
 
 def _bucketize(df: DataFrame, col: str, out: str, values: list[float]) -> tuple[DataFrame, set[int]]:
@@ -66,12 +68,12 @@ def running_total(df: DataFrame, order: Sequence[str], weight: str | None = None
     order = list(order)
     key = order[0]
     w = F.col(weight) if weight else F.lit(1)
-    b_values = _splits(df, key, n_buckets)
-    ranked, singles = _bucketize(df, key, "_rb", b_values)
+    split_cols = order[:2]
+    values = _splits(df, split_cols, [n_buckets, n_sub][:len(split_cols)])
+    ranked, singles = _bucketize(df, key, "_rb", values[0])
     if len(order) > 1 and singles:
         tie = order[1]
-        t_values = _splits(df, tie, n_sub)
-        ranked, _ = _bucketize(ranked, tie, "_rt", t_values)
+        ranked, _ = _bucketize(ranked, tie, "_rt", values[1])
         ranked = ranked.withColumn("_rs", F.when(F.col("_rb").isin(sorted(singles)), F.col("_rt")).otherwise(0)).drop("_rt")
     else:
         ranked = ranked.withColumn("_rs", F.lit(0))

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsekit.functions.scalar import money_sum
+from lapsekit.operators import activity as act
 from lapsekit.operators import lifecycle as lc
 from lapsekit.operators.rfm import rfm_table
 from lapsekit.plans import sqlparts as S
 from lapsekit.sources import testdata as td
+from lapsekit.streaming import sessions as ss
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,8 +42,8 @@ FROM rfm_seg LEFT JOIN lab USING (customer_id)
 GROUP BY segment""")
 def segment_summary(spark, sf_dir):
     tx = td.fact(spark, sf_dir)
-    seg = rfm_table(tx)
-    lab = lc.lapsed_label(tx).select("customer_id", "is_churned")
+    seg = rfm_table(tx, td.as_of(spark, sf_dir))
+    lab = lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)).select("customer_id", "is_churned")
     return (seg.join(lab, on="customer_id", how="left").groupBy("segment")
             .agg(F.count(F.lit(1)).alias("n_customers"), money_sum("monetary").alias("revenue"),
                  F.count_if(F.col("is_churned")).alias("n_lapsed"))
@@ -52,7 +54,7 @@ def segment_summary(spark, sf_dir):
 SELECT customer_id, recency, frequency, monetary, join_period, recency_score, frequency_score,
        monetary_score, period_score, rf_score, rfm_score, segment FROM rfm_seg""")
 def rfm_segments(spark, sf_dir):
-    return rfm_table(td.fact(spark, sf_dir))
+    return rfm_table(td.fact(spark, sf_dir), td.as_of(spark, sf_dir))
 
 
 # --- lifecycle ----------------------------------------------------------------------------------
@@ -75,13 +77,13 @@ def lapse_fence(spark, sf_dir):
     return (lc.lapse_fence(tx)
             .withColumn("mean_cycle", mean.select("mean_cycle").scalar())
             .withColumn("n_cycles", mean.select("n_customers").scalar())
-            .withColumn("as_of", lc.present_day(tx)))
+            .withColumn("as_of", td.as_of(spark, sf_dir)))
 
 
 @register("lapsed_customers", S.with_(S.FACT, S.FENCE) + """
 SELECT customer_id, last_purchase, days_since, is_churned FROM lab""")
 def lapsed_customers(spark, sf_dir):
-    return lc.lapsed_label(td.fact(spark, sf_dir))
+    return lc.lapsed_label(td.fact(spark, sf_dir), as_of=td.as_of(spark, sf_dir))
 
 
 @register("cohort_retention", S.with_(S.FACT) + """,
@@ -127,3 +129,199 @@ def fact_items(spark, sf_dir):
     return td.fact(spark, sf_dir).select(
         "booking_id", "session_id", "customer_id", "transaction_date", "product_id", "line_number", "quantity",
         "item_price", "amount", "item", "category", "device_type", "first_join_date", "payment_status", "promo_code")
+
+
+# --- click stream: sessions, conversion, activity ------------------------------------------------
+
+SESSION_GAP = "8 hours"
+
+
+def _sessions(spark, sf_dir):
+    return ss.sessionize(td.events(spark, sf_dir), SESSION_GAP)
+
+
+def _customer_counts(spark, sf_dir):
+    return act.event_counts(td.events(spark, sf_dir), ["customer_id"], td.EVENT_KINDS)
+
+
+def _activity(spark, sf_dir, tx):
+    # Orders and click log share no session key in the test tables: link on the customer,
+    # each customer counted once (weight "session").
+    items = act.session_items(tx, session="customer_id")
+    return act.weighted_activity(_customer_counts(spark, sf_dir), items, td.EVENT_KINDS, weight="session",
+                                 on="customer_id")
+
+
+@register("sessions", S.with_(S.SESSIONS) + """
+SELECT session_id, customer_id, session_start, session_end, n_events, click, view, signup, error, purchase, converted
+FROM sess""")
+def sessions(spark, sf_dir):
+    return ss.session_summary(_sessions(spark, sf_dir), td.EVENT_KINDS, td.BOOKING_KIND)
+
+
+@register("session_conversion", S.with_(S.SESSIONS) + """
+SELECT customer_id, count(*) AS n_sessions, count(*) FILTER (WHERE converted) AS n_converted,
+       round(count(*) FILTER (WHERE converted) / count(*), 4) AS session_conversion
+FROM sess GROUP BY customer_id""")
+def session_conversion(spark, sf_dir):
+    s = ss.session_summary(_sessions(spark, sf_dir), td.EVENT_KINDS, td.BOOKING_KIND)
+    return (s.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_sessions"),
+                                         F.count_if("converted").alias("n_converted"))
+            .withColumn("session_conversion", F.round(F.col("n_converted") / F.col("n_sessions"), 4)))
+
+
+@register("customer_conversion", S.with_(S.FACT, S.EVENTS, S.CUST_COUNTS) + """
+SELECT customer_id, n_bookings, n_events, conversion_rate FROM conv""")
+def customer_conversion(spark, sf_dir):
+    return act.conversion_rate(_customer_counts(spark, sf_dir), td.BOOKING_KIND)
+
+
+@register("customer_activity", S.with_(S.FACT, S.EVENTS, S.CUST_COUNTS) + """
+SELECT * FROM activity""")
+def customer_activity(spark, sf_dir):
+    return _activity(spark, sf_dir, td.fact(spark, sf_dir))
+
+
+@register("customer_aov", S.with_(S.FACT) + """,
+aov AS (SELECT customer_id, """ + S.money_avg("amount") + """ AS aov FROM tx GROUP BY customer_id)
+SELECT * FROM aov""")
+def customer_aov(spark, sf_dir):
+    return act.aov(td.fact(spark, sf_dir))
+
+
+# --- customer feature tables ---------------------------------------------------------------------
+
+def _customer_info(spark, sf_dir, tx=None):
+    tx = tx if tx is not None else td.fact(spark, sf_dir)
+    from lapsekit.operators.rfm import rfm
+    seg = rfm_table(tx, td.as_of(spark, sf_dir))
+    return act.customer_info(lc.purchase_cycle(tx), act.aov(tx), rfm(tx, td.as_of(spark, sf_dir)), _activity(spark, sf_dir, tx),
+                             seg, lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)),
+                             act.conversion_rate(_customer_counts(spark, sf_dir), td.BOOKING_KIND))
+
+
+@register("customer_info", S.with_(S.FACT, S.FENCE, S.RFM, S.EVENTS, S.CUST_COUNTS, S.INFO) + """
+SELECT * FROM info""")
+def customer_info(spark, sf_dir):
+    return _customer_info(spark, sf_dir)
+
+
+def _behavior(spark, sf_dir):
+    tx = td.fact(spark, sf_dir)
+    fence = lc.lapse_fence(tx).select("upper_bound").scalar()
+    past = lc.window_between(tx, "transaction_date", fence, fence * 2, td.as_of(spark, sf_dir))
+    # The click log (one month, years after the orders) has no rows in the orders' past window:
+    # its whole trailing window is used for the click side.
+    activity = _activity(spark, sf_dir, past)
+    feats = act.behavior_features(activity, act.aov(past), td.ACTIVITY_KINDS, td.BOOKING_KIND,
+                                  _customer_info(spark, sf_dir, tx), lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)))
+    return feats
+
+
+BEHAVIOR_SQL = S.with_(S.FACT, S.FENCE, S.RFM, S.EVENTS, S.CUST_COUNTS, S.INFO) + """,
+past AS (
+  SELECT * FROM tx
+  WHERE CAST(transaction_date AS TIMESTAMP) >= CAST((SELECT as_of FROM asof_t) AS TIMESTAMP)
+            - to_microseconds(CAST(CAST((SELECT upper_bound FROM fence) * 2 * 86400.0 AS DECIMAL(38,6)) * 1000000 AS BIGINT))
+    AND CAST(transaction_date AS TIMESTAMP) < CAST((SELECT as_of FROM asof_t) AS TIMESTAMP)
+            - to_microseconds(CAST(CAST((SELECT upper_bound FROM fence) * 86400.0 AS DECIMAL(38,6)) * 1000000 AS BIGINT))),
+past_items AS (SELECT customer_id, count(*) AS n_items, """ + S.money_sum("amount") + """ AS amount FROM past GROUP BY customer_id),
+past_act AS (
+  SELECT customer_id, CAST(sum(click) AS BIGINT) AS click, CAST(sum(view) AS BIGINT) AS view,
+         CAST(sum(signup) AS BIGINT) AS signup, CAST(sum(error) AS BIGINT) AS error,
+         CAST(sum(purchase) AS BIGINT) AS purchase, CAST(sum(n_events) AS BIGINT) AS n_events,
+         """ + S.money_sum("amount") + """ AS amount
+  FROM cust_counts JOIN past_items USING (customer_id) GROUP BY customer_id),
+past_aov AS (SELECT customer_id, """ + S.money_avg("amount") + """ AS aov FROM past GROUP BY customer_id),
+beh AS (
+  SELECT a.customer_id, a.click, a.view, a.signup, a.error, a.purchase, a.n_events, a.amount, p.aov,
+         a.click + a.view + a.signup + a.error AS total_activity,
+         CASE WHEN a.click + a.view + a.signup + a.error = 0 AND a.purchase > 0 THEN CAST(a.purchase AS DOUBLE)
+              WHEN a.click + a.view + a.signup + a.error > 0 THEN a.purchase / (a.click + a.view + a.signup + a.error)
+              ELSE 0.0 END AS activity_ratio,
+         coalesce(a.amount / nullif(p.aov, 0), 0.0) AS amount_to_aov,
+         i.avg_pur_cycle, i.recency, i.join_period, i.segment,
+         CASE WHEN i.avg_pur_cycle = 0 AND i.recency > 0 THEN CAST(i.recency AS DOUBLE)
+              WHEN i.avg_pur_cycle > 0 THEN i.recency / i.avg_pur_cycle ELSE 0.0 END AS recency_ratio,
+         l.is_churned
+  FROM past_act a JOIN past_aov p USING (customer_id) JOIN info i USING (customer_id) JOIN lab l USING (customer_id))"""
+
+
+@register("behavior_features", BEHAVIOR_SQL + """
+SELECT customer_id, click, view, signup, error, purchase, n_events, amount, aov, total_activity,
+       round(activity_ratio, 6) AS activity_ratio, round(amount_to_aov, 6) AS amount_to_aov, avg_pur_cycle,
+       recency, join_period, segment, round(recency_ratio, 6) AS recency_ratio, is_churned FROM beh""")
+def behavior_features(spark, sf_dir):
+    b = _behavior(spark, sf_dir)
+    return b.withColumns({c: F.round(c, 6) for c in ["activity_ratio", "amount_to_aov", "recency_ratio"]})
+
+
+BEHAVIOR_COLS = ["click", "view", "signup", "error", "purchase", "n_events", "total_activity", "activity_ratio",
+                 "amount_to_aov", "avg_pur_cycle", "recency", "join_period", "recency_ratio"]
+
+
+@register("behavior_gap", BEHAVIOR_SQL + """,
+g AS (SELECT """ + ", ".join(
+    f"avg(CASE WHEN NOT is_churned THEN {c} END) AS {c}__f, avg(CASE WHEN is_churned THEN {c} END) AS {c}__t"
+    for c in BEHAVIOR_COLS) + """ FROM beh)
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round({c}__f, 2) AS mean_active, round({c}__t, 2) AS mean_lapsed, "
+    f"round(round({c}__f, 2) - round({c}__t, 2), 2) AS diff FROM g" for c in BEHAVIOR_COLS))
+def behavior_gap(spark, sf_dir):
+    return act.group_mean_diff(_behavior(spark, sf_dir), "is_churned", BEHAVIOR_COLS)
+
+
+# --- recent purchases -> customer model table ----------------------------------------------------
+
+def _recent_rows(spark, sf_dir):
+    from lapsekit.functions.scalar import age_years, full_months, one_hot, ship_days
+    tx = td.fact(spark, sf_dir)
+    as_of = td.as_of(spark, sf_dir)
+    rows = lc.last_n_dates(tx, 3).select(
+        "customer_id", "quantity", "amount", "item_price", "promo_code", "payment_status", "category",
+        ship_days("shipment_date", "transaction_date").alias("ship_days"),
+        full_months("first_join_date", as_of).alias("join_months"),
+        age_years("first_join_date", as_of).alias("tenure_years"))
+    rows = one_hot(rows, "promo_code", "Promo", td.PROMO_CODES)
+    rows = one_hot(rows, "payment_status", "status", td.PAYMENT_STATUSES)
+    rows = one_hot(rows, "category", "Category", td.CATEGORIES)
+    return tx, rows.drop("promo_code", "payment_status", "category")
+
+
+def _one_hot_names():
+    from lapsekit.functions.scalar import one_hot_name
+    return ([one_hot_name(v, "Promo") for v in td.PROMO_CODES] + [one_hot_name(v, "status") for v in td.PAYMENT_STATUSES]
+            + [one_hot_name(v, "Category") for v in td.CATEGORIES])
+
+
+MODEL_MEAN_COLS = ["item_price", "ship_days", "join_months", "tenure_years"] + _one_hot_names()
+
+
+@register("customer_model_table", S.with_(S.FACT, S.FENCE, S.EVENTS, S.CUST_COUNTS) + """,
+d3 AS (SELECT customer_id, transaction_date FROM (
+         SELECT customer_id, transaction_date,
+                row_number() OVER (PARTITION BY customer_id ORDER BY transaction_date DESC) AS rk
+         FROM (SELECT DISTINCT customer_id, transaction_date FROM tx)) WHERE rk <= 3),
+rows AS (
+  SELECT customer_id, quantity, amount, item_price,
+         CAST(date_diff('day', transaction_date, shipment_date) AS INTEGER) AS ship_days,
+         """ + S.full_months("first_join_date", "(SELECT as_of FROM asof_t)") + """ AS join_months,
+         """ + S.age_years("first_join_date", "(SELECT as_of FROM asof_t)") + """ AS tenure_years,
+         """ + S.one_hot("promo_code", td.PROMO_CODES, "Promo") + """,
+         """ + S.one_hot("payment_status", td.PAYMENT_STATUSES, "status") + """,
+         """ + S.one_hot("category", td.CATEGORIES, "Category") + """
+  FROM tx JOIN d3 USING (customer_id, transaction_date))
+SELECT customer_id, round(sum(quantity), 6) AS quantity, round(sum(amount), 6) AS amount, """ + ", ".join(
+    f'round(avg("{c}"), 6) AS "{c}"' for c in MODEL_MEAN_COLS) + """,
+       aov.aov, CAST(lab.is_churned AS INTEGER) AS is_churned, conv.conversion_rate
+FROM rows JOIN aov USING (customer_id) JOIN lab USING (customer_id) JOIN conv USING (customer_id)
+GROUP BY customer_id, aov.aov, lab.is_churned, conv.conversion_rate""")
+def customer_model_table(spark, sf_dir):
+    tx, rows = _recent_rows(spark, sf_dir)
+    m = act.customer_model_table(rows, ["amount", "quantity"])
+    m = m.select("customer_id", *[F.round(c, 6).alias(c) for c in m.columns if c != "customer_id"])
+    conv = act.conversion_rate(_customer_counts(spark, sf_dir), td.BOOKING_KIND)
+    return (m.join(act.aov(tx), "customer_id")
+            .join(lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)).select("customer_id", F.col("is_churned").cast("int").alias("is_churned")),
+                  "customer_id")
+            .join(conv.select("customer_id", "conversion_rate"), "customer_id"))

@@ -146,3 +146,74 @@ rfm_seg AS (
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts if p.strip())
+
+KINDS = ["click", "view", "signup", "error", "purchase"]
+ACTIVITY_KINDS = ["click", "view", "signup", "error"]
+BOOKING = "purchase"
+GAP_US = 8 * 3600 * 1_000_000
+
+
+def kind_counts(kinds=KINDS) -> str:
+    return ", ".join(f"count(*) FILTER (WHERE event_name = '{k}') AS {k}" for k in kinds)
+
+
+SESSIONS = EVENTS + f""",
+ev_s AS (
+  SELECT *, epoch_us(event_ts) AS us,
+         lag(epoch_us(event_ts)) OVER (PARTITION BY customer_id ORDER BY epoch_us(event_ts), event_id) AS prev_us
+  FROM ev),
+ev_o AS (SELECT *, prev_us IS NULL OR us - prev_us >= {GAP_US} AS opens FROM ev_s),
+ev_st AS (
+  SELECT *, max(CASE WHEN opens THEN event_ts END)
+              OVER (PARTITION BY customer_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+              AS session_start
+  FROM ev_o),
+ev_sid AS (SELECT *, CAST(customer_id AS VARCHAR) || '-' || CAST(epoch_us(session_start) AS VARCHAR) AS session_id
+           FROM ev_st),
+sess AS (
+  SELECT session_id, customer_id, min(event_ts) AS session_start, max(event_ts) AS session_end,
+         count(*) AS n_events, {kind_counts()}, count(*) FILTER (WHERE event_name = '{BOOKING}') > 0 AS converted
+  FROM ev_sid GROUP BY session_id, customer_id)"""
+
+CUST_COUNTS = f"""
+cust_counts AS (SELECT customer_id, {kind_counts()}, count(*) AS n_events FROM ev GROUP BY customer_id),
+conv AS (
+  SELECT customer_id, CAST(sum({BOOKING}) AS BIGINT) AS n_bookings, CAST(sum(n_events) AS BIGINT) AS n_events,
+         round(coalesce(sum({BOOKING}) * 100.0 / nullif(sum(n_events), 0), 0.0), 2) AS conversion_rate
+  FROM cust_counts GROUP BY customer_id),
+cust_items AS (SELECT customer_id, count(*) AS n_items, {money_sum('amount')} AS amount FROM tx GROUP BY customer_id),
+activity AS (
+  SELECT customer_id, {", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}" for k in KINDS)},
+         CAST(sum(n_events) AS BIGINT) AS n_events, {money_sum('amount')} AS amount
+  FROM cust_counts JOIN cust_items USING (customer_id) GROUP BY customer_id),
+aov AS (SELECT customer_id, {money_avg('amount')} AS aov FROM tx GROUP BY customer_id)"""
+
+
+def full_months(s: str, e: str) -> str:
+    m = f"((year({e}) - year({s})) * 12 + month({e}) - month({s}))"
+    return (f"CAST(CASE WHEN {m} > 0 AND {s} + to_months(CAST({m} AS INTEGER)) > {e} THEN {m} - 1 "
+            f"WHEN {m} < 0 AND {s} + to_months(CAST({m} AS INTEGER)) < {e} THEN {m} + 1 ELSE {m} END AS INTEGER)")
+
+
+def age_years(b: str, a: str) -> str:
+    return (f"CAST(year({a}) - year({b}) - CASE WHEN month({a}) < month({b}) OR "
+            f"(month({a}) = month({b}) AND day({a}) < day({b})) THEN 1 ELSE 0 END AS INTEGER)")
+
+
+def one_hot(col: str, values, prefix: str) -> str:
+    import re
+    return ", ".join(f"CASE WHEN {col} = '{v}' THEN 1 ELSE 0 END AS \"{prefix}_{re.sub(r'\W+', '_', v).strip('_')}\""
+                     for v in values)
+
+
+INFO = """
+info AS (
+  SELECT cyc.customer_id, cyc.avg_pur_cycle, aov.aov, rfm.recency, rfm.frequency, rfm.join_period,
+         activity.click, activity.view, activity.signup, activity.error, activity.purchase, activity.n_events,
+         activity.amount, rfm_seg.segment, lab.is_churned, conv.conversion_rate
+  FROM cyc JOIN aov ON aov.customer_id = cyc.customer_id
+       JOIN rfm ON rfm.customer_id = cyc.customer_id
+       JOIN activity ON activity.customer_id = cyc.customer_id
+       JOIN rfm_seg ON rfm_seg.customer_id = cyc.customer_id
+       JOIN lab ON lab.customer_id = cyc.customer_id
+       JOIN conv ON conv.customer_id = cyc.customer_id)"""

@@ -22,13 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsekit.operators.fact import merge_fact
-from lapsekit.operators.lifecycle import trailing_window
+from lapsekit.operators.lifecycle import present_day, trailing_window
 from lapsekit.session import table_path
 
 # Item order inside a booking: (l_linenumber, l_partkey, l_suppkey, l_extendedprice) identifies a line.
 ITEM_ORDER = ["line_number", "product_id", "supplier_id", "list_price"]
 YEARS = 3
 EVENT_KINDS = ["click", "view", "signup", "error", "purchase"]
+ACTIVITY_KINDS = ["click", "view", "signup", "error"]
+# Category domains of the test tables (used as explicit one-hot values; no discovery pass).
+PROMO_CODES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+PAYMENT_STATUSES = ["F", "O", "P"]
+CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 BOOKING_KIND = "purchase"
 
 
@@ -91,9 +96,19 @@ def fact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
                       products(spark, sf_dir), item_order=ITEM_ORDER, once_cols=())
 
 
+def as_of(spark: SparkSession, sf_dir: str):
+    """As-of date of the fact table (B13): latest booking date that has items, + 2 days.
+
+    Equal to max(date) + 2 over the fact table (customers and products join left, so they never
+    drop rows), but reads only the booking and item keys.
+    """
+    b = bookings(spark, sf_dir).join(items(spark, sf_dir).select("booking_id"), on="booking_id", how="left_semi")
+    return present_day(b, "transaction_date")
+
+
 def fact(spark: SparkSession, sf_dir: str, years: int = YEARS) -> DataFrame:
     """Item-grain fact table ``tx`` cut to the trailing ``years`` before its own as-of date."""
-    return trailing_window(fact_all(spark, sf_dir), "transaction_date", years)
+    return trailing_window(fact_all(spark, sf_dir), "transaction_date", years, as_of=as_of(spark, sf_dir))
 
 
 def events(spark: SparkSession, sf_dir: str, years: int = YEARS) -> DataFrame:
