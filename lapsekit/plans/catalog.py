@@ -325,3 +325,168 @@ def customer_model_table(spark, sf_dir):
             .join(lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)).select("customer_id", F.col("is_churned").cast("int").alias("is_churned")),
                   "customer_id")
             .join(conv.select("customer_id", "conversion_rate"), "customer_id"))
+
+
+# --- timing counts and top items -----------------------------------------------------------------
+
+from lapsekit.functions.calendar import period_day  # noqa: E402
+from lapsekit.operators import basket as bk  # noqa: E402
+
+BUSY_MIN_ROWS = 45  # the reference's 200 fits its own data volume; 45 is the test tables' busy tail
+
+
+@register("orders_by_month", S.with_(S.FACT) + """
+SELECT strftime(transaction_ts, '%B') AS month, CAST(month(transaction_ts) AS INTEGER) AS month_num,
+       count(*) AS item_rows, count(DISTINCT booking_id) AS orders
+FROM tx GROUP BY 1, 2""")
+def orders_by_month(spark, sf_dir):
+    return bk.orders_by(td.fact(spark, sf_dir), "month", "transaction_ts", "booking_id")
+
+
+@register("orders_by_weekday", S.with_(S.FACT) + """
+SELECT strftime(transaction_ts, '%A') AS weekday, CAST(isodow(transaction_ts) - 1 AS INTEGER) AS weekday_num,
+       count(*) AS item_rows, count(DISTINCT booking_id) AS orders
+FROM tx GROUP BY 1, 2""")
+def orders_by_weekday(spark, sf_dir):
+    return bk.orders_by(td.fact(spark, sf_dir), "weekday", "transaction_ts", "booking_id")
+
+
+@register("events_by_hour", S.with_(S.EVENTS) + """
+SELECT lpad(CAST(hour(event_ts) AS VARCHAR), 2, '0') || '-' || lpad(CAST(hour(event_ts) + 1 AS VARCHAR), 2, '0') AS hour,
+       CAST(hour(event_ts) AS INTEGER) AS hour_num, count(*) AS item_rows, count(DISTINCT event_id) AS orders
+FROM ev WHERE event_name = 'purchase' GROUP BY 1, 2""")
+def events_by_hour(spark, sf_dir):
+    ev = td.events(spark, sf_dir).where(F.col("event_name") == td.BOOKING_KIND)
+    return bk.orders_by(ev, "hour", "event_ts", "event_id")
+
+
+@register("events_by_period_day", S.with_(S.EVENTS) + """
+SELECT CASE WHEN hour(event_ts) < 6 THEN 'Night' WHEN hour(event_ts) < 12 THEN 'Morning'
+            WHEN hour(event_ts) < 18 THEN 'Afternoon' ELSE 'Evening' END AS period_day,
+       count(*) AS item_rows, count(DISTINCT event_id) AS orders
+FROM ev WHERE event_name = 'purchase' GROUP BY 1""")
+def events_by_period_day(spark, sf_dir):
+    ev = td.events(spark, sf_dir).where(F.col("event_name") == td.BOOKING_KIND)
+    return bk.orders_by(ev, "period_day", "event_ts", "event_id")
+
+
+@register("busy_dates", S.with_(S.FACT) + f"""
+SELECT transaction_date, count(*) AS item_rows, strftime(transaction_date, '%A') AS weekday
+FROM tx GROUP BY transaction_date HAVING count(*) >= {BUSY_MIN_ROWS}""")
+def busy_dates(spark, sf_dir):
+    return bk.busy_dates(td.fact(spark, sf_dir), "transaction_date", BUSY_MIN_ROWS)
+
+
+def _items(spark, sf_dir):
+    from lapsekit.functions.scalar import clean_item
+    return td.fact(spark, sf_dir).withColumn("item", clean_item("item")).na.drop(subset=["item"])
+
+
+@register("top_items", S.with_(S.FACT) + """
+SELECT lower(trim(item)) AS item, count(*) AS n_rows FROM tx WHERE item IS NOT NULL
+GROUP BY 1 ORDER BY n_rows DESC, item LIMIT 20""")
+def top_items(spark, sf_dir):
+    return bk.top_items(_items(spark, sf_dir), "item", 20)
+
+
+@register("top_items_by_period", S.with_(S.FACT) + """
+SELECT * FROM (
+  SELECT period_day, item, n_rows, row_number() OVER (PARTITION BY period_day ORDER BY n_rows DESC, item) AS item_rank
+  FROM (SELECT CASE WHEN hour(transaction_ts) < 6 THEN 'Night' WHEN hour(transaction_ts) < 12 THEN 'Morning'
+                    WHEN hour(transaction_ts) < 18 THEN 'Afternoon' ELSE 'Evening' END AS period_day,
+               lower(trim(item)) AS item, count(*) AS n_rows
+        FROM tx WHERE item IS NOT NULL GROUP BY 1, 2)) WHERE item_rank <= 10""")
+def top_items_by_period(spark, sf_dir):
+    t = _items(spark, sf_dir).withColumn("period_day", period_day("transaction_ts"))
+    return bk.top_items_by(t, "period_day", "item", 10).withColumn("item_rank", F.col("item_rank").cast("bigint"))
+
+
+@register("item_popularity", S.with_(S.FACT) + """,
+c AS (SELECT lower(trim(item)) AS item, count(*) AS n_rows FROM tx WHERE item IS NOT NULL GROUP BY 1),
+""" + S.percentile("pq", "c", "n_rows", [0.25, 0.75]) + """
+SELECT item, n_rows, pq.p1 + 1.5 * (pq.p1 - pq.p0) AS fence, n_rows >= pq.p1 + 1.5 * (pq.p1 - pq.p0) AS is_popular
+FROM c, pq""")
+def item_popularity(spark, sf_dir):
+    flagged, _ = bk.keep_popular(_items(spark, sf_dir), "item")
+    return flagged
+
+
+# --- basket analysis -----------------------------------------------------------------------------
+
+BASKET_MONTH = 8
+
+
+def _baskets(spark, sf_dir):
+    t = td.fact(spark, sf_dir).where(F.month("transaction_date") == BASKET_MONTH)
+    return bk.baskets(t, "customer_id", "item")
+
+
+@register("basket_counts", S.with_(S.FACT) + """
+SELECT customer_id, lower(trim(item)) AS item, count(*) AS n_rows FROM tx
+WHERE month(transaction_date) = 8 AND item IS NOT NULL GROUP BY 1, 2""")
+def basket_counts(spark, sf_dir):
+    t = _items(spark, sf_dir).where(F.month("transaction_date") == BASKET_MONTH)
+    return bk.basket_counts(t, "customer_id", "item")
+
+
+@register("baskets", S.with_(S.FACT, S.ITEMSETS) + """
+SELECT customer_id, array_to_string(list(item ORDER BY item), ', ') AS items, count(*) AS n_items
+FROM bk GROUP BY customer_id""")
+def baskets(spark, sf_dir):
+    from lapsekit.functions.scalar import itemset_str
+    return _baskets(spark, sf_dir).select("customer_id", itemset_str("items").alias("items"),
+                                          F.size("items").cast("bigint").alias("n_items"))
+
+
+@register("frequent_itemsets", S.with_(S.FACT, S.ITEMSETS) + """
+SELECT s AS itemset, freq, round(support, 9) AS support, length FROM fi""")
+def frequent_itemsets(spark, sf_dir):
+    from lapsekit.functions.scalar import itemset_str
+    f = bk.frequent_itemsets(_baskets(spark, sf_dir), S.MIN_SUPPORT)
+    return f.select(itemset_str("itemset").alias("itemset"), "freq", F.round("support", 9).alias("support"), "length")
+
+
+RULE_METRICS = ["antecedent_support", "consequent_support", "support", "confidence", "lift", "leverage",
+                "conviction", "zhangs_metric", "jaccard", "certainty", "kulczynski"]
+
+
+def _rules(spark, sf_dir):
+    return bk.association_rules(bk.frequent_itemsets(_baskets(spark, sf_dir), S.MIN_SUPPORT), "lift", 1.0)
+
+
+@register("association_rules", S.with_(S.FACT, S.RULES) + """
+SELECT antecedents, consequents, CAST(len(ant) AS INTEGER) AS antecedent_len, CAST(len(con) AS INTEGER) AS consequent_len,
+       round(sa, 9) AS antecedent_support, round(sc, 9) AS consequent_support, round(s, 9) AS support,
+       round(conf, 9) AS confidence, round(lift, 9) AS lift, round(leverage, 9) AS leverage,
+       round(conviction, 9) AS conviction, round(zhangs_metric, 9) AS zhangs_metric, round(jaccard, 9) AS jaccard,
+       round(certainty, 9) AS certainty, round(kulczynski, 9) AS kulczynski
+FROM rules""")
+def association_rules(spark, sf_dir):
+    r = bk.rules_as_text(_rules(spark, sf_dir))
+    return r.select("antecedents", "consequents", "antecedent_len", "consequent_len",
+                    *[F.round(c, 9).alias(c) for c in RULE_METRICS])
+
+
+@register("rules_fit", S.with_(S.FACT, S.RULES) + """
+SELECT round(regr_slope(conf, lift), 9) AS slope, round(regr_intercept(conf, lift), 9) AS intercept,
+       round(regr_r2(conf, lift), 9) AS r2, count(*) AS n FROM rules""")
+def rules_fit(spark, sf_dir):
+    f = bk.linear_fit(_rules(spark, sf_dir), "lift", "confidence")
+    return f.select(*[F.round(c, 9).alias(c) for c in ["slope", "intercept", "r2"]], "n")
+
+
+@register("recommendations", S.with_(S.FACT, S.RULES) + """,
+bl AS (SELECT customer_id, list(item ORDER BY item) AS items FROM bk GROUP BY customer_id),
+cand AS (
+  SELECT bl.customer_id, r.antecedents, r.consequents, r.conf, r.lift,
+         array_to_string(list_filter(r.con, lambda x: NOT list_contains(bl.items, x)), ', ') AS suggest,
+         row_number() OVER (PARTITION BY bl.customer_id ORDER BY r.conf DESC, r.lift DESC, r.consequents, r.antecedents)
+           AS suggestion_rank
+  FROM bl JOIN rules r ON list_contains(bl.items, r.ant[1])
+  WHERE list_has_all(bl.items, r.ant) AND NOT list_has_all(bl.items, r.con))
+SELECT customer_id, CAST(suggestion_rank AS INTEGER) AS suggestion_rank, antecedents AS because, suggest,
+       round(conf, 9) AS confidence, round(lift, 9) AS lift
+FROM cand WHERE suggestion_rank <= 3""")
+def recommendations(spark, sf_dir):
+    r = bk.recommend(_baskets(spark, sf_dir), _rules(spark, sf_dir), "customer_id", 3)
+    return r.withColumns({"confidence": F.round("confidence", 9), "lift": F.round("lift", 9)})

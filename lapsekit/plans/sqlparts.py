@@ -217,3 +217,58 @@ info AS (
        JOIN rfm_seg ON rfm_seg.customer_id = cyc.customer_id
        JOIN lab ON lab.customer_id = cyc.customer_id
        JOIN conv ON conv.customer_id = cyc.customer_id)"""
+
+
+# --- basket -------------------------------------------------------------------------------------
+
+MAX_SET = 5
+MIN_SUPPORT = 0.01
+
+
+def _itemset_ctes(k_max: int = MAX_SET) -> str:
+    parts = ["""
+bk AS (SELECT DISTINCT customer_id, lower(trim(item)) AS item FROM tx
+       WHERE month(transaction_date) = 8 AND item IS NOT NULL),
+nb AS (SELECT count(DISTINCT customer_id) AS n FROM bk),
+mc AS (SELECT ceil(CAST(""" + repr(MIN_SUPPORT) + """ AS DOUBLE) * n) AS m FROM nb),
+f1 AS (SELECT item AS i1, count(*) AS freq FROM bk GROUP BY item HAVING count(*) >= (SELECT m FROM mc)),
+b1 AS (SELECT bk.customer_id, bk.item FROM bk JOIN f1 ON bk.item = f1.i1)"""]
+    for k in range(2, k_max + 1):
+        cols = ", ".join(f"x{j}.item AS i{j}" for j in range(1, k + 1))
+        joins = " ".join(f"JOIN b1 x{j} ON x{j}.customer_id = x1.customer_id AND x{j - 1}.item < x{j}.item"
+                         for j in range(2, k + 1))
+        prev = " AND ".join(f"p.i{j} = x{j}.item" for j in range(1, k))
+        grp = ", ".join(f"x{j}.item" for j in range(1, k + 1))
+        parts.append(f"f{k} AS (SELECT {cols}, count(*) AS freq FROM b1 x1 {joins} "
+                     f"JOIN f{k - 1} p ON {prev} GROUP BY {grp} HAVING count(*) >= (SELECT m FROM mc))")
+    union = " UNION ALL ".join(
+        f"SELECT [{', '.join(f'i{j}' for j in range(1, k + 1))}] AS itemset, freq, {k} AS length FROM f{k}"
+        for k in range(1, k_max + 1))
+    parts.append(f"fi AS (SELECT itemset, array_to_string(itemset, ', ') AS s, freq, "
+                 f"freq / (SELECT n FROM nb) AS support, length FROM ({union}))")
+    return ",\n".join(parts)
+
+
+def _rules_cte(k_max: int = MAX_SET) -> str:
+    branches = []
+    for k in range(2, k_max + 1):
+        for mask in range(1, 2 ** k - 1):
+            ant = [f"itemset[{j + 1}]" for j in range(k) if mask >> j & 1]
+            con = [f"itemset[{j + 1}]" for j in range(k) if not mask >> j & 1]
+            branches.append(f"SELECT [{', '.join(ant)}] AS ant, [{', '.join(con)}] AS con, support FROM fi "
+                            f"WHERE length = {k}")
+    return ("rr AS (" + " UNION ALL ".join(branches) + """),
+rules AS (
+  SELECT ant, con, array_to_string(ant, ', ') AS antecedents, array_to_string(con, ', ') AS consequents,
+         sa, sc, s, s / sa AS conf, s / sa / sc AS lift, s - sa * sc AS leverage,
+         CASE WHEN s / sa < 1 THEN (1 - sc) / (1 - s / sa) END AS conviction,
+         (s - sa * sc) / nullif(greatest(s * (1 - sa), sa * (sc - s)), 0) AS zhangs_metric,
+         s / (sa + sc - s) AS jaccard, (s / sa - sc) / nullif(1 - sc, 0) AS certainty,
+         (s / sa + s / sc) / 2 AS kulczynski
+  FROM (SELECT rr.ant, rr.con, rr.support AS s, a.support AS sa, c.support AS sc
+        FROM rr JOIN fi a ON a.itemset = rr.ant JOIN fi c ON c.itemset = rr.con)
+  WHERE s / sa / sc >= 1.0)""")
+
+
+ITEMSETS = _itemset_ctes()
+RULES = ITEMSETS + ",\n" + _rules_cte()
