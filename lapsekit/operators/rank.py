@@ -65,9 +65,14 @@ def running_total(df: DataFrame, order: Sequence[str], weight: str | None = None
     ``order[0]`` and, if given, ``order[1]`` must be numeric. Rows with a null in ``order[0]`` are
     not allowed (filter them first).
     """
+    return running_totals(df, order, {out: (weight, inclusive)}, n_buckets, n_sub)
+
+
+def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, tuple[str | None, bool]],
+                   n_buckets: int = N_BUCKETS, n_sub: int = N_SUB) -> DataFrame:
+    """Several running sums in one bucketed pass: ``sums = {out: (weight column or None, inclusive)}``."""
     order = list(order)
     key = order[0]
-    w = F.col(weight) if weight else F.lit(1)
     split_cols = order[:2]
     values = _splits(df, split_cols, [n_buckets, n_sub][:len(split_cols)])
     ranked, singles = _bucketize(df, key, "_rb", values[0])
@@ -78,17 +83,19 @@ def running_total(df: DataFrame, order: Sequence[str], weight: str | None = None
     else:
         ranked = ranked.withColumn("_rs", F.lit(0))
 
-    totals = ranked.groupBy("_rb", "_rs").agg(F.sum(w).alias("_tot"))
+    ws = {o: (F.col(w) if w else F.lit(1)) for o, (w, _) in sums.items()}
+    totals = ranked.groupBy("_rb", "_rs").agg(*[F.sum(w).alias(f"_tot_{i}") for i, w in enumerate(ws.values())])
     # Bounded table (<= 2 * n_buckets * n_sub rows): one small ordered window, then broadcast.
-    offsets = totals.select(
-        "_rb", "_rs",
-        F.coalesce(F.sum("_tot").over(Window.orderBy("_rb", "_rs").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    frame = Window.partitionBy("_rb", "_rs").orderBy(*order)
-    frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    within = F.coalesce(F.sum(w).over(frame), F.lit(0))
+    before = Window.orderBy("_rb", "_rs").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_rb", "_rs", *[F.coalesce(F.sum(f"_tot_{i}").over(before), F.lit(0)).alias(f"_off_{i}")
+                                            for i in range(len(ws))])
+    frame = Window.partitionBy("_rb", "_rs").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     res = ranked.join(F.broadcast(offsets), on=["_rb", "_rs"], how="inner")
-    return res.withColumn(out, F.col("_off") + within).drop("_rb", "_rs", "_off")
+    for i, (o, (_, inclusive)) in enumerate(sums.items()):
+        w = ws[o]
+        within = F.sum(w).over(frame) if inclusive else F.sum(w).over(frame) - w
+        res = res.withColumn(o, F.col(f"_off_{i}") + within)
+    return res.drop("_rb", "_rs", *[f"_off_{i}" for i in range(len(ws))])
 
 
 def rank_first(df: DataFrame, key: str, tie: str, out: str = "rank") -> DataFrame:

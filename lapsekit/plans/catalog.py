@@ -490,3 +490,210 @@ FROM cand WHERE suggestion_rank <= 3""")
 def recommendations(spark, sf_dir):
     r = bk.recommend(_baskets(spark, sf_dir), _rules(spark, sf_dir), "customer_id", 3)
     return r.withColumns({"confidence": F.round("confidence", 9), "lift": F.round("lift", 9)})
+
+
+# --- statistics -------------------------------------------------------------------------------
+
+from lapsekit.operators import stats as st  # noqa: E402
+
+
+def _cycles(spark, sf_dir):
+    return lc.purchase_cycle(td.fact(spark, sf_dir)).where(F.col("avg_pur_cycle") != 0)
+
+
+@register("cycle_histogram", S.with_(S.FACT, S.CYCLE) + """,
+r AS (SELECT count(*) AS n, CAST(min(avg_pur_cycle) AS DOUBLE) AS lo0, CAST(max(avg_pur_cycle) AS DOUBLE) AS hi0 FROM cyc_nz),
+rr AS (SELECT n, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM r),
+c AS (SELECT CAST(least(floor((CAST(avg_pur_cycle AS DOUBLE) - lo) * 30 / (hi - lo)), 29) AS INTEGER) AS bin, count(*) AS count
+      FROM cyc_nz, rr GROUP BY 1)
+SELECT g.bin, round(lo + g.bin * ((hi - lo) / 30), 9) AS bin_start, round(lo + (g.bin + 1) * ((hi - lo) / 30), 9) AS bin_end,
+       coalesce(c.count, 0) AS count, round(coalesce(c.count, 0) / (n * ((hi - lo) / 30)), 9) AS density
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) g CROSS JOIN rr LEFT JOIN c ON c.bin = g.bin""")
+def cycle_histogram(spark, sf_dir):
+    h = st.histogram(_cycles(spark, sf_dir), "avg_pur_cycle", 30)
+    return h.withColumns({c: F.round(c, 9) for c in ["bin_start", "bin_end", "density"]})
+
+
+@register("cycle_kde", S.with_(S.FACT, S.CYCLE) + """,
+s AS (SELECT count(*) AS n, stddev_samp(CAST(avg_pur_cycle AS DOUBLE)) AS sd, CAST(min(avg_pur_cycle) AS DOUBLE) AS lo0,
+             CAST(max(avg_pur_cycle) AS DOUBLE) AS hi0 FROM cyc_nz),
+h AS (SELECT n, pow(CAST(n AS DOUBLE), -0.2) * sd * 1.0 AS h, lo0, hi0 FROM s),
+g AS (SELECT n, h, lo0 - 3.0 * h AS lo, ((hi0 + 3.0 * h) - (lo0 - 3.0 * h)) / 199 AS step FROM h),
+vc AS (SELECT CAST(avg_pur_cycle AS DOUBLE) AS v, count(*) AS c FROM cyc_nz GROUP BY 1)
+SELECT CAST(k.range AS INTEGER) AS grid_index, round(lo + k.range * step, 9) AS x,
+       round(sum(c * exp(-0.5 * pow(((lo + k.range * step) - v) / h, 2))) * (1.0 / sqrt(2 * pi())) / (n * h), 12) AS density
+FROM range(200) k CROSS JOIN g CROSS JOIN vc GROUP BY k.range, lo, step, n, h""")
+def cycle_kde(spark, sf_dir):
+    k = st.kde(_cycles(spark, sf_dir), "avg_pur_cycle", 200)
+    return k.withColumns({"x": F.round("x", 9), "density": F.round("density", 12)})
+
+
+def _label_amounts(spark, sf_dir):
+    info = _customer_info(spark, sf_dir)
+    return info.select("customer_id", "amount", F.log1p("amount").alias("log_amount"), "is_churned")
+
+
+LABEL_AMOUNTS = S.with_(S.FACT, S.FENCE, S.RFM, S.EVENTS, S.CUST_COUNTS, S.INFO) + """,
+la AS (SELECT customer_id, amount, ln(1 + amount) AS log_amount, is_churned FROM info)"""
+
+
+@register("amount_histogram_by_label", LABEL_AMOUNTS + """,
+r AS (SELECT is_churned, count(*) AS n, min(log_amount) AS lo0, max(log_amount) AS hi0 FROM la GROUP BY 1),
+rr AS (SELECT is_churned, n, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+              CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM r),
+c AS (SELECT la.is_churned, CAST(least(floor((log_amount - lo) * 30 / (hi - lo)), 29) AS INTEGER) AS bin, count(*) AS count
+      FROM la JOIN rr USING (is_churned) GROUP BY 1, 2)
+SELECT rr.is_churned, g.bin, round(lo + g.bin * ((hi - lo) / 30), 9) AS bin_start,
+       round(lo + (g.bin + 1) * ((hi - lo) / 30), 9) AS bin_end, coalesce(c.count, 0) AS count,
+       round(coalesce(c.count, 0) / (n * ((hi - lo) / 30)), 9) AS density
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) g CROSS JOIN rr
+LEFT JOIN c ON c.bin = g.bin AND c.is_churned = rr.is_churned""")
+def amount_histogram_by_label(spark, sf_dir):
+    h = st.histogram(_label_amounts(spark, sf_dir), "log_amount", 30, group="is_churned")
+    return h.withColumns({c: F.round(c, 9) for c in ["bin_start", "bin_end", "density"]})
+
+
+@register("amount_normality", LABEL_AMOUNTS + """,
+m AS (SELECT is_churned, avg(log_amount) AS mu, count(*) AS n FROM la GROUP BY 1),
+d AS (SELECT la.is_churned, log_amount - mu AS d, n FROM la JOIN m USING (is_churned)),
+mo AS (SELECT is_churned, any_value(n) AS n, sum(d * d) AS m2, sum(d * d * d) AS m3, sum(d * d * d * d) AS m4 FROM d GROUP BY 1),
+sk AS (SELECT is_churned, n, sqrt(CAST(n AS DOUBLE)) * m3 / sqrt(m2 * m2 * m2) AS skewness, n * m4 / (m2 * m2) - 3.0 AS kurtosis FROM mo)
+SELECT is_churned, n, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis,
+       round(n / 6.0 * (pow(skewness, 2) + pow(kurtosis, 2) / 4.0), 6) AS jb,
+       round(exp(-(n / 6.0 * (pow(skewness, 2) + pow(kurtosis, 2) / 4.0)) / 2.0), 6) AS p_value FROM sk""")
+def amount_normality(spark, sf_dir):
+    r = st.normality(_label_amounts(spark, sf_dir), "log_amount", "is_churned")
+    return r.select("is_churned", "n", *[F.round(c, 6).alias(c) for c in ["skewness", "kurtosis", "jb", "p_value"]])
+
+
+@register("amount_mann_whitney", LABEL_AMOUNTS + """,
+vc AS (SELECT log_amount AS v, count(*) AS c, count(*) FILTER (WHERE is_churned) AS c1 FROM la GROUP BY 1),
+rk AS (SELECT *, sum(c) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (c - 1) / 2.0 AS ar FROM vc),
+s AS (SELECT sum(ar * c1) AS r1, sum(c1) AS n1, sum(c) AS n, sum(pow(CAST(c AS DOUBLE), 3) - c) AS tie_term FROM rk),
+u AS (SELECT *, n - n1 AS n2, r1 - n1 * (n1 + 1) / 2 AS u1 FROM s)
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u1, 6) AS u1, round(n1 * n2 - u1, 6) AS u2,
+       round(tie_term, 6) AS tie_term,
+       round(((n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - tie_term / (n * (n - 1)))), 6) AS z
+FROM u""")
+def amount_mann_whitney(spark, sf_dir):
+    r = st.mann_whitney(_label_amounts(spark, sf_dir), "log_amount", "is_churned", True)
+    return r.select("n1", "n2", *[F.round(c, 6).alias(c) for c in ["u1", "u2", "tie_term", "z"]])
+
+
+@register("amount_welch", LABEL_AMOUNTS + """,
+g AS (SELECT count(*) FILTER (WHERE is_churned) AS n1, avg(log_amount) FILTER (WHERE is_churned) AS mean1,
+             var_samp(log_amount) FILTER (WHERE is_churned) AS var1,
+             count(*) FILTER (WHERE NOT is_churned) AS n2, avg(log_amount) FILTER (WHERE NOT is_churned) AS mean2,
+             var_samp(log_amount) FILTER (WHERE NOT is_churned) AS var2 FROM la)
+SELECT n1, round(mean1, 6) AS mean1, round(var1, 6) AS var1, n2, round(mean2, 6) AS mean2, round(var2, 6) AS var2,
+       round((mean1 - mean2) / sqrt(var1 / n1 + var2 / n2), 6) AS t,
+       round(pow(var1 / n1 + var2 / n2, 2) / (pow(var1 / n1, 2) / (n1 - 1) + pow(var2 / n2, 2) / (n2 - 1)), 6) AS df
+FROM g""")
+def amount_welch(spark, sf_dir):
+    r = st.welch_t(_label_amounts(spark, sf_dir), "log_amount", "is_churned", True)
+    return r.select("n1", *[F.round(c, 6).alias(c) for c in ["mean1", "var1"]], "n2",
+                    *[F.round(c, 6).alias(c) for c in ["mean2", "var2", "t", "df"]])
+
+
+@register("lapse_tests")
+def lapse_tests(spark, sf_dir):
+    """Statistics with their p-values: Jarque-Bera per group, Mann-Whitney U and Welch t ('less')."""
+    la = _label_amounts(spark, sf_dir)
+    jb = st.normality(la, "log_amount", "is_churned").select(
+        F.concat(F.lit("jarque_bera_lapsed_"), F.col("is_churned").cast("string")).alias("test"),
+        F.col("jb").alias("statistic"), "p_value")
+    mw = st.mann_whitney(la, "log_amount", "is_churned").select(F.lit("mann_whitney_u").alias("test"),
+                                                                 F.col("u1").alias("statistic"), "p_value")
+    wt = st.welch_t(la, "log_amount", "is_churned").select(F.lit("welch_t").alias("test"),
+                                                            F.col("t").alias("statistic"), "p_value")
+    return jb.unionByName(mw).unionByName(wt)
+
+
+@register("amount_probplot")
+def amount_probplot(spark, sf_dir):
+    """Normal probability-plot fit per lapse group (slope, intercept, r)."""
+    pts = st.probplot(_label_amounts(spark, sf_dir), "log_amount", "customer_id", group="is_churned")
+    return st.probplot_fit(pts, "is_churned")
+
+
+@register("amount_inliers", LABEL_AMOUNTS + """,
+s AS (SELECT avg(amount) AS m, stddev_samp(amount) AS sd FROM la)
+SELECT customer_id, amount, is_churned FROM la, s WHERE abs((amount - m) / sd) <= 3.0""")
+def amount_inliers(spark, sf_dir):
+    kept, _ = st.zscore_filter(_label_amounts(spark, sf_dir), ["amount"], 3.0)
+    return kept.select("customer_id", "amount", "is_churned")
+
+
+MODEL_FEATURES = ["quantity", "amount", "item_price", "ship_days", "join_months", "tenure_years"] + _one_hot_names() + \
+    ["aov", "conversion_rate"]
+
+
+@register("lapse_classification", S.with_(S.FACT, S.FENCE, S.RFM) + """
+SELECT count(*) FILTER (WHERE is_churned AND recency_score <= 2) AS tp,
+       count(*) FILTER (WHERE NOT is_churned AND recency_score <= 2) AS fp,
+       count(*) FILTER (WHERE NOT is_churned AND recency_score > 2) AS tn,
+       count(*) FILTER (WHERE is_churned AND recency_score > 2) AS fn
+FROM rfm_seg JOIN lab USING (customer_id)""")
+def lapse_classification_counts(spark, sf_dir):
+    r = _scored(spark, sf_dir)
+    return st.classification_report(r, "is_churned", "predicted").select("tp", "fp", "tn", "fn")
+
+
+def _scored(spark, sf_dir):
+    tx = td.fact(spark, sf_dir)
+    seg = rfm_table(tx, td.as_of(spark, sf_dir))
+    lab = lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir))
+    return (seg.join(lab.select("customer_id", "is_churned", "days_since"), "customer_id")
+            .withColumn("predicted", F.col("recency_score") <= 2))
+
+
+@register("lapse_report", S.with_(S.FACT, S.FENCE, S.RFM) + """,
+c AS (SELECT count(*) FILTER (WHERE is_churned AND recency_score <= 2) AS tp,
+             count(*) FILTER (WHERE NOT is_churned AND recency_score <= 2) AS fp,
+             count(*) FILTER (WHERE NOT is_churned AND recency_score > 2) AS tn,
+             count(*) FILTER (WHERE is_churned AND recency_score > 2) AS fn
+      FROM rfm_seg JOIN lab USING (customer_id))
+SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 9) AS accuracy,
+       round(coalesce(tp / nullif(tp + fp, 0), 0.0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 9) AS recall,
+       round(coalesce(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0))
+                      / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 0.0), 9) AS f1 FROM c""")
+def lapse_report(spark, sf_dir):
+    r = st.classification_report(_scored(spark, sf_dir), "is_churned", "predicted")
+    return r.select("tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ["accuracy", "precision", "recall", "f1"]])
+
+
+ROC_SQL = S.with_(S.FACT, S.FENCE) + """,
+vc AS (SELECT CAST(days_since AS DOUBLE) AS thr, count(*) FILTER (WHERE is_churned) AS pos,
+              count(*) FILTER (WHERE NOT is_churned) AS neg FROM lab GROUP BY 1),
+tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM vc),
+cum AS (SELECT thr, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+               coalesce(sum(pos) OVER w0, 0) AS tp0, coalesce(sum(neg) OVER w0, 0) AS fp0
+        FROM vc WINDOW w AS (ORDER BY thr DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                       w0 AS (ORDER BY thr DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+roc AS (SELECT thr AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, tp / P AS tpr, fp / N AS fpr,
+               (fp - fp0) / N * (tp + tp0) / P / 2.0 AS area FROM cum, tot)"""
+
+
+@register("lapse_roc", ROC_SQL + """
+SELECT threshold, tp, fp, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr FROM roc""")
+def lapse_roc(spark, sf_dir):
+    r = st.roc_curve(_scored(spark, sf_dir), "is_churned", "days_since")
+    return r.select("threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
+                    F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
+
+
+@register("lapse_auc", ROC_SQL + """
+SELECT round(sum(area), 9) AS auc FROM roc""")
+def lapse_auc(spark, sf_dir):
+    return st.auc(st.roc_curve(_scored(spark, sf_dir), "is_churned", "days_since")).select(F.round("auc", 9).alias("auc"))
+
+
+@register("activity_amount_fit", S.with_(S.FACT, S.FENCE, S.RFM, S.EVENTS, S.CUST_COUNTS, S.INFO) + """
+SELECT round(regr_slope(amount, (click + view + signup + error) / 4.0), 6) AS slope,
+       round(regr_intercept(amount, (click + view + signup + error) / 4.0), 6) AS intercept,
+       round(regr_r2(amount, (click + view + signup + error) / 4.0), 6) AS r2, count(*) AS n FROM info""")
+def activity_amount_fit(spark, sf_dir):
+    from lapsekit.functions.scalar import row_mean
+    info = _customer_info(spark, sf_dir).withColumn("activity_mean", row_mean(td.ACTIVITY_KINDS))
+    f = bk.linear_fit(info, "activity_mean", "amount")
+    return f.select(*[F.round(c, 6).alias(c) for c in ["slope", "intercept", "r2"]], "n")
