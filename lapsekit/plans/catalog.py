@@ -697,3 +697,174 @@ def activity_amount_fit(spark, sf_dir):
     info = _customer_info(spark, sf_dir).withColumn("activity_mean", row_mean(td.ACTIVITY_KINDS))
     f = bk.linear_fit(info, "activity_mean", "amount")
     return f.select(*[F.round(c, 6).alias(c) for c in ["slope", "intercept", "r2"]], "n")
+
+
+# --- feature screening, lapse model, scores, clusters (rows-only checks) -----------------------
+
+from lapsekit.operators import ml  # noqa: E402
+from lapsekit.session import cut_lineage  # noqa: E402
+
+CORR_THRESHOLD = 0.86
+
+
+@register("feature_correlations", S.with_(S.FACT, S.FENCE, S.EVENTS, S.CUST_COUNTS) + """,
+d3 AS (SELECT customer_id, transaction_date FROM (
+         SELECT customer_id, transaction_date,
+                row_number() OVER (PARTITION BY customer_id ORDER BY transaction_date DESC) AS rk
+         FROM (SELECT DISTINCT customer_id, transaction_date FROM tx)) WHERE rk <= 3),
+rows AS (
+  SELECT customer_id, quantity, amount, item_price,
+         CAST(date_diff('day', transaction_date, shipment_date) AS INTEGER) AS ship_days,
+         """ + S.full_months("first_join_date", "(SELECT as_of FROM asof_t)") + """ AS join_months,
+         """ + S.age_years("first_join_date", "(SELECT as_of FROM asof_t)") + """ AS tenure_years,
+         """ + S.one_hot("promo_code", td.PROMO_CODES, "Promo") + """,
+         """ + S.one_hot("payment_status", td.PAYMENT_STATUSES, "status") + """,
+         """ + S.one_hot("category", td.CATEGORIES, "Category") + """
+  FROM tx JOIN d3 USING (customer_id, transaction_date)),
+m AS (
+  SELECT customer_id, round(sum(quantity), 6) AS quantity, round(sum(amount), 6) AS amount, """ + ", ".join(
+    f'round(avg("{c}"), 6) AS "{c}"' for c in MODEL_MEAN_COLS) + """, aov.aov, conv.conversion_rate
+  FROM rows JOIN aov USING (customer_id) JOIN lab USING (customer_id) JOIN conv USING (customer_id)
+  GROUP BY customer_id, aov.aov, lab.is_churned, conv.conversion_rate),
+pairs AS (""" + " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr(\"{a}\", \"{b}\") AS r FROM m"
+    for i, a in enumerate(MODEL_FEATURES) for b in MODEL_FEATURES[i + 1:]) + """)
+SELECT col_a, col_b, round(r, 6) AS r FROM pairs WHERE abs(r) > """ + str(CORR_THRESHOLD) + " AND NOT isnan(r)")
+def feature_correlations(spark, sf_dir):
+    m = customer_model_table(spark, sf_dir)
+    return st.high_corr_pairs(m, MODEL_FEATURES, CORR_THRESHOLD).withColumn("r", F.round("r", 6))
+
+
+def _model_data(spark, sf_dir):
+    """Customer model table (checkpointed: the fits below read it many times), with the
+    correlated columns dropped and correlated groups folded into one component each."""
+    m = cut_lineage(customer_model_table(spark, sf_dir))
+    feats = [c for c in MODEL_FEATURES if c != "amount"]
+    reduced, _ = st.drop_correlated(m, feats, CORR_THRESHOLD)
+    kept = [c for c in feats if c in reduced.columns]
+    kept = st.varying_columns(reduced, kept)
+    x, mapping = ml.pca_by_group(reduced, kept, 1.0, keep=["is_churned", "amount"])
+    x = cut_lineage(x)
+    cols = [c for c in x.columns if c not in ("customer_id", "is_churned", "amount")]
+    return x, cols, mapping
+
+
+@register("model_features")
+def model_features(spark, sf_dir):
+    """Per-customer model inputs after correlation screening and grouped PCA."""
+    x, _, _ = _model_data(spark, sf_dir)
+    return x
+
+
+def _fitted(spark, sf_dir):
+    x, cols, _ = _model_data(spark, sf_dir)
+    stats = ml.fit_scaler(x, cols)
+    z = cut_lineage(ml.standardize(x, stats))
+    train, test = ml.stratified_split(z, "is_churned")
+    balanced = cut_lineage(ml.smote(train, cols, "is_churned", k=5))
+    model, cv_scores, name = ml.train_classifier(balanced, cols, "is_churned")
+    return z, cols, stats, train, test, balanced, model, cv_scores, name
+
+
+@register("lapse_model")
+def lapse_model(spark, sf_dir):
+    """Chosen classifier's test-set report: confusion counts, accuracy, precision, recall, F1, AUC
+    (J2 split, J3 SMOTE, J7 model choice by CV precision, J8, J9)."""
+    z, cols, stats, train, test, balanced, model, cv, name = _fitted(spark, sf_dir)
+    scored = ml.score(model, test, cols, "is_churned")
+    rep = st.classification_report(scored, "is_churned", "prediction")
+    a = st.auc(st.roc_curve(scored, "is_churned", "lapse_probability"))
+    return (rep.withColumn("auc", a.select("auc").scalar()).withColumn("model", F.lit(name))
+            .withColumn("cv_precision", F.lit(cv[name])))
+
+
+@register("smote_balance")
+def smote_balance(spark, sf_dir):
+    """Class counts of the training split before and after SMOTE."""
+    x, cols, _ = _model_data(spark, sf_dir)
+    z = ml.standardize(x, ml.fit_scaler(x, cols))
+    train, _ = ml.stratified_split(z, "is_churned")
+    bal = ml.smote(train, cols, "is_churned", k=5)
+    return bal.groupBy("is_churned", "synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("customer_scores")
+def customer_scores(spark, sf_dir):
+    """Every customer: lapse probability and class, k-means cluster, label."""
+    z, cols, stats, train, test, balanced, model, cv, name = _fitted(spark, sf_dir)
+    scored = ml.score(model, z, cols, "is_churned")
+    _, clustered, _ = ml.kmeans(z, cols, 6)
+    return (scored.select("customer_id", "is_churned", "lapse_probability", F.col("prediction").alias("predicted"))
+            .join(clustered.select("customer_id", "cluster"), "customer_id"))
+
+
+@register("cluster_profile")
+def cluster_profile(spark, sf_dir):
+    """K-means (k = 6) clusters in original units, with silhouette; bisecting k-means alongside
+    (J12-J15)."""
+    x, cols, _ = _model_data(spark, sf_dir)
+    stats = ml.fit_scaler(x, cols)
+    z = ml.standardize(x, stats)
+    _, clustered, sil = ml.kmeans(z, cols, 6)
+    _, bis, sil_b = ml.kmeans(z, cols, 6, method="bisecting")
+    prof = ml.cluster_profile(clustered, cols, stats).withColumn("method", F.lit("kmeans")) \
+        .withColumn("silhouette", F.lit(sil))
+    prof_b = ml.cluster_profile(bis, cols, stats).withColumn("method", F.lit("bisecting")) \
+        .withColumn("silhouette", F.lit(sil_b))
+    return prof.unionByName(prof_b)
+
+
+@register("behavior_regression")
+def behavior_regression(spark, sf_dir):
+    """Amount on the first principal component of the activity counts, after the z-score filter
+    (J4); one row per split with MSE, MAE, R^2."""
+    info = _customer_info(spark, sf_dir)
+    kept, _ = st.zscore_filter(info, ["amount"], 3.0)
+    kept = cut_lineage(kept.select("customer_id", "amount", *[F.col(k).cast("double").alias(k) for k in td.ACTIVITY_KINDS]))
+    tr, te, _ = ml.behavior_regression(kept, td.ACTIVITY_KINDS, "amount")
+    return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
+
+
+@register("residual_histogram")
+def residual_histogram(spark, sf_dir):
+    """Residuals of the behaviour regression on the test split, 30 bins."""
+    info = _customer_info(spark, sf_dir)
+    kept, _ = st.zscore_filter(info, ["amount"], 3.0)
+    kept = cut_lineage(kept.select("customer_id", "amount", *[F.col(k).cast("double").alias(k) for k in td.ACTIVITY_KINDS]))
+    _, _, pred = ml.behavior_regression(kept, td.ACTIVITY_KINDS, "amount")
+    return st.histogram(pred, "residual", 30)
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    """Accuracy drop per permuted feature for the chosen lapse model."""
+    z, cols, stats, train, test, balanced, model, cv, name = _fitted(spark, sf_dir)
+    return ml.permutation_importance(model, z, cols, "is_churned")
+
+
+@register("feature_elimination")
+def feature_elimination(spark, sf_dir):
+    """Recursive feature elimination: random forest (100 trees, depth 5), 5-fold F1, step 5."""
+    x, cols, _ = _model_data(spark, sf_dir)
+    return ml.recursive_elimination(x, cols, "is_churned", step=5, min_features=5)
+
+
+@register("mutual_information")
+def mutual_information(spark, sf_dir):
+    """Binned mutual information of each model input with the lapse label, top 10."""
+    x, cols, _ = _model_data(spark, sf_dir)
+    return st.mutual_info(x, cols, "is_churned", bins=10, top=10)
+
+
+@register("customer_value", S.with_(S.FACT, S.FENCE) + """,
+aov AS (SELECT customer_id, """ + S.money_avg("amount") + """ AS aov, """ + S.money_sum("amount") + """ AS historical_value,
+               count(DISTINCT booking_id) AS orders FROM tx GROUP BY customer_id)
+SELECT customer_id, aov, historical_value, orders, last_purchase, is_churned FROM aov JOIN lab USING (customer_id)""")
+def customer_value(spark, sf_dir):
+    """Dashboard metrics per customer: AOV, historical value, orders, last purchase, lapse label."""
+    from lapsekit.functions.scalar import money_avg, money_sum
+    tx = td.fact(spark, sf_dir)
+    v = tx.groupBy("customer_id").agg(money_avg("amount").alias("aov"), money_sum("amount").alias("historical_value"),
+                                      F.count_distinct("booking_id").alias("orders"))
+    lab = lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)).select("customer_id", "last_purchase", "is_churned")
+    return v.join(lab, "customer_id")
