@@ -25,16 +25,16 @@ def once_per_group(df: DataFrame, group: Sequence[str] | str, col: str, order: S
     out = out or col
     key = F.struct(*[F.col(c) for c in order])
     firsts = (df.groupBy(*group, col).agg(F.min(key).alias("_first"))
-              .select(*group, col, *[F.col(f"_first.{c}").alias(f"_k_{c}") for c in order],
-                      F.lit(True).alias("_is_first")))
-    cond = [df[g].eqNullSafe(firsts[g]) for g in group] + [df[col].eqNullSafe(firsts[col])]
-    cond += [df[c] == firsts[f"_k_{c}"] for c in order]
+              .select(*[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group)], F.col(col).alias("_v"),
+                      *[F.col(f"_first.{c}").alias(f"_k_{c}") for c in order], F.lit(True).alias("_is_first")))
+    cond = [F.col(g).eqNullSafe(F.col(f"_g_{i}")) for i, g in enumerate(group)] + [F.col(col).eqNullSafe(F.col("_v"))]
+    cond += [F.col(c) == F.col(f"_k_{c}") for c in order]
     joined = df.join(firsts, on=cond, how="left")
-    keep = F.when(firsts["_is_first"], df[col]).otherwise(F.lit(0).cast(df.schema[col].dataType))
+    keep = F.when(F.col("_is_first"), F.col(col)).otherwise(F.lit(0).cast(df.schema[col].dataType))
     if out == col:
-        cols = [keep.alias(col) if c == col else df[c] for c in df.columns]
+        cols = [keep.alias(col) if c == col else F.col(c) for c in df.columns]
     else:
-        cols = [df[c] for c in df.columns] + [keep.alias(out)]
+        cols = [F.col(c) for c in df.columns] + [keep.alias(out)]
     return joined.select(*cols)
 
 

@@ -868,3 +868,132 @@ def customer_value(spark, sf_dir):
                                       F.count_distinct("booking_id").alias("orders"))
     lab = lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)).select("customer_id", "last_purchase", "is_churned")
     return v.join(lab, "customer_id")
+
+
+# --- streaming forms, run as batch ------------------------------------------------------------
+
+from lapsekit.streaming import events as sev  # noqa: E402
+
+
+@register("event_counts_daily", S.with_(S.EVENTS) + """
+SELECT date_trunc('day', event_ts) AS window_start, date_trunc('day', event_ts) + INTERVAL 1 DAY AS window_end,
+       event_name, count(*) AS n_events FROM ev GROUP BY 1, 2, 3""")
+def event_counts_daily(spark, sf_dir):
+    """S1 on the whole click log: events per day and kind (the batch run of the streaming job)."""
+    return sev.event_window_counts(td.events(spark, sf_dir), "1 day")
+
+
+@register("event_counts_sliding", S.with_(S.EVENTS) + """,
+w AS (SELECT event_name, date_trunc('hour', event_ts) - INTERVAL (6 * k.range) HOUR AS ws
+      FROM ev, range(4) k)
+SELECT ws - INTERVAL (CAST(hour(ws) AS INTEGER) % 6) HOUR AS window_start,
+       ws - INTERVAL (CAST(hour(ws) AS INTEGER) % 6) HOUR + INTERVAL 1 DAY AS window_end, event_name, count(*) AS n_events
+FROM w GROUP BY 1, 2, 3""")
+def event_counts_sliding(spark, sf_dir):
+    """S1 with a sliding window: 1 day long, every 6 hours."""
+    return sev.event_window_counts(td.events(spark, sf_dir), "1 day", "6 hours")
+
+
+# --- scalar steps on the test tables -------------------------------------------------------------
+
+@register("order_total_once", S.with_(S.FACT) + """
+SELECT booking_id, line_number, product_id, supplier_id, list_price,
+       CASE WHEN row_number() OVER (PARTITION BY session_id, total_amount
+                                    ORDER BY line_number, product_id, supplier_id, list_price) = 1
+            THEN total_amount ELSE 0.0 END AS total_amount
+FROM tx""")
+def order_total_once(spark, sf_dir):
+    """A booking-level amount repeated on each item row kept on the first row only."""
+    from lapsekit.operators.fact import once_per_group
+    tx = td.fact(spark, sf_dir)
+    once = once_per_group(tx, "session_id", "total_amount", td.ITEM_ORDER)
+    return once.select("booking_id", "line_number", "product_id", "supplier_id", "list_price", "total_amount")
+
+
+@register("category_codes", """
+SELECT p_type AS category, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS category_code
+FROM (SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL)""")
+def category_codes(spark, sf_dir):
+    """Code by position among the sorted distinct values."""
+    from lapsekit.functions.scalar import encode_sorted
+    p = td.products(spark, sf_dir)
+    return encode_sorted(p, "category", "category_code").select("category", "category_code").distinct()
+
+
+STATUS_CODES = {"F": 0, "O": 1}  # test-table stand-in for the reference's Failed -> 0, Success -> 1
+
+
+@register("status_codes", S.with_(S.FACT) + """
+SELECT payment_status, CASE payment_status WHEN 'F' THEN 0 WHEN 'O' THEN 1 END AS status_code, count(*) AS n_rows
+FROM tx GROUP BY 1, 2""")
+def status_codes(spark, sf_dir):
+    """Fixed value map; values outside the map give null."""
+    from lapsekit.functions.scalar import encode_map
+    tx = td.fact(spark, sf_dir).withColumn("status_code", encode_map("payment_status", STATUS_CODES))
+    return tx.groupBy("payment_status", "status_code").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("event_props", S.with_(S.EVENTS) + """
+SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM ev""")
+def event_props(spark, sf_dir):
+    """Metadata text parsed into rows and fields (B11); bad text gives null, not an error."""
+    from pyspark.sql import types as T
+
+    from lapsekit.functions.scalar import explode_items
+    ev = td.events(spark, sf_dir).withColumn("_list", F.concat(F.lit("["), F.col("props"), F.lit("]")))
+    return explode_items(ev, "_list", T.StructType([T.StructField("k", T.LongType())]), ["event_id"])
+
+
+@register("customer_tenure", S.with_(S.FACT) + """
+SELECT customer_id, first_join_date, (SELECT as_of FROM asof_t) AS as_of,
+       """ + S.age_years("first_join_date", "(SELECT as_of FROM asof_t)") + """ AS tenure_years,
+       """ + S.full_months("first_join_date", "(SELECT as_of FROM asof_t)") + """ AS tenure_months
+FROM (SELECT DISTINCT customer_id, first_join_date FROM tx)""")
+def customer_tenure(spark, sf_dir):
+    """Whole years (birthday rule) and whole calendar months to the as-of date."""
+    from lapsekit.functions.scalar import age_years, full_months
+    a = td.as_of(spark, sf_dir)
+    c = td.fact(spark, sf_dir).select("customer_id", "first_join_date").distinct()
+    return c.select("customer_id", "first_join_date", a.alias("as_of"),
+                    age_years("first_join_date", a).alias("tenure_years"),
+                    full_months("first_join_date", a).alias("tenure_months"))
+
+
+@register("shipping_days", S.with_(S.FACT) + """
+SELECT customer_id, count(*) AS n_rows,
+       CAST(min(date_diff('day', transaction_date, shipment_date)) AS INTEGER) AS min_days,
+       CAST(max(date_diff('day', transaction_date, shipment_date)) AS INTEGER) AS max_days,
+       round(avg(date_diff('day', transaction_date, shipment_date)), 6) AS avg_days
+FROM tx GROUP BY customer_id""")
+def shipping_days(spark, sf_dir):
+    """Days from booking to shipment per customer; negatives are kept."""
+    from lapsekit.functions.scalar import ship_days
+    t = td.fact(spark, sf_dir).withColumn("d", ship_days("shipment_date", "transaction_date"))
+    return t.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("d").alias("min_days"),
+                                        F.max("d").alias("max_days"), F.round(F.avg("d"), 6).alias("avg_days"))
+
+
+@register("iso_text_split", S.with_(S.EVENTS) + """
+SELECT event_id, CAST(event_ts AS DATE) AS event_date, strftime(event_ts, '%H:%M:%S') AS event_time,
+       date_trunc('second', event_ts) AS event_datetime
+FROM ev""")
+def iso_text_split(spark, sf_dir):
+    """ISO text 'YYYY-MM-DDTHH:MM:SS.ffffffZ' split into date, time text and timestamp."""
+    from lapsekit.functions.scalar import split_iso_ts
+    ev = td.events(spark, sf_dir).withColumn("iso", F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return split_iso_ts(ev, "iso", "event").select("event_id", "event_date", "event_time", "event_datetime")
+
+
+COLOUR_PATTERN = "(blue|black|white|red|green)"  # the reference's colour list, matched on lower-case names
+
+
+@register("colour_fill", """
+SELECT coalesce(nullif(regexp_extract(p_name, '(blue|black|white|red|green)', 1), ''), 'Not Applicable') AS colour,
+       count(*) AS n_products
+FROM part GROUP BY 1""")
+def colour_fill(spark, sf_dir):
+    """A missing colour filled from the product name by regex, else a constant."""
+    from lapsekit.functions.scalar import fill_by_regex
+    p = td.products(spark, sf_dir).withColumn("colour", fill_by_regex(F.lit(None).cast("string"), "product_name",
+                                                                      COLOUR_PATTERN, "Not Applicable"))
+    return p.groupBy("colour").agg(F.count(F.lit(1)).alias("n_products"))
