@@ -38,7 +38,11 @@ def days_before(as_of: Column, days) -> Column:
 def window_between(df: DataFrame, col: str, lo_days, hi_days, as_of: Column) -> DataFrame:
     """Rows in ``[as_of - hi_days, as_of - lo_days)``."""
     c = F.col(col).cast("timestamp_ntz")
-    return df.where((c >= days_before(as_of, hi_days)) & (c < days_before(as_of, lo_days)))
+    d = df.withColumns({"_lo_d": lo_days if isinstance(lo_days, Column) else F.lit(float(lo_days)),
+                        "_hi_d": hi_days if isinstance(hi_days, Column) else F.lit(float(hi_days)),
+                        "_as_of": as_of})
+    d = d.where((c >= days_before(F.col("_as_of"), F.col("_hi_d"))) & (c < days_before(F.col("_as_of"), F.col("_lo_d"))))
+    return d.drop("_lo_d", "_hi_d", "_as_of")
 
 
 # --- D1-D4: purchase cycle, fence, lapse label --------------------------------------------------
@@ -93,8 +97,11 @@ def lapsed_label(tx: DataFrame, fence: Column | None = None, as_of: Column | Non
     fence = fence if fence is not None else lapse_fence(tx).select("upper_bound").scalar()
     as_of = as_of if as_of is not None else present_day(tx, date)
     last = tx.groupBy(customer).agg(F.max(date).cast("date").alias("last_purchase"))
-    since = F.datediff(as_of, F.col("last_purchase"))
-    return last.withColumns({"days_since": since, "is_churned": since.cast("double") > fence})
+    last = last.withColumns({"_as_of": as_of, "_fence": fence})
+    since = F.datediff(F.col("_as_of"), F.col("last_purchase"))
+    return (last.withColumn("days_since", since)
+            .withColumn("is_churned", F.col("days_since").cast("double") > F.col("_fence"))
+            .drop("_as_of", "_fence"))
 
 
 # --- D5, D6, E2: cohorts ----------------------------------------------------------------------

@@ -331,7 +331,10 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 6, seed: int = 42, metho
     d = assemble(df, cols)
     model = est.fit(d)
     out = model.transform(d)
-    sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out)
+    n_clusters = len(model.clusterCenters())
+    # silhouette is undefined for a single cluster (bisecting can stop early on small data)
+    sil = (ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out)
+           if n_clusters > 1 and out.select("cluster").distinct().limit(2).count() > 1 else None)
     return model, out.drop("features"), sil
 
 

@@ -38,10 +38,11 @@ def rfm(tx: DataFrame, as_of: Column | None = None, customer: str = CUSTOMER, da
         F.count_distinct(session).alias("frequency"),
         money_sum(amount).alias("monetary"),
         F.max(joined).cast("date").alias("_joined"))
+    g = g.withColumn("_as_of", as_of)
     return g.select(customer,
-                    F.datediff(as_of, F.col("_last")).alias("recency"),
+                    F.datediff(F.col("_as_of"), F.col("_last")).alias("recency"),
                     "frequency", "monetary",
-                    F.datediff(as_of, F.col("_joined")).alias("join_period"))
+                    F.datediff(F.col("_as_of"), F.col("_joined")).alias("join_period"))
 
 
 def _ladder(value: Column, edges: Column, scores: list[int]) -> Column:
@@ -84,12 +85,14 @@ def rfm_scores(r: DataFrame, customer: str = CUSTOMER) -> DataFrame:
     mon_edges = quantile_edges(r, "monetary", MONETARY_QUANTILES[1:-1])
     n = r.select(F.count(F.lit(1))).scalar()
     ranked = rank_first(r, "frequency", customer, out="_frank")
+    # each scalar subquery enters the plan once, as a column
+    ranked = ranked.withColumns({"_re": rec_edges, "_me": mon_edges, "_n": n})
     out = ranked.withColumns({
-        "recency_score": _ladder(F.col("recency"), rec_edges, [5, 4, 3, 2, 1]),
-        "frequency_score": qcut_rank_score(F.col("_frank"), n),
-        "monetary_score": _ladder(F.col("monetary"), mon_edges, [1, 2, 3, 4, 5]),
+        "recency_score": _ladder(F.col("recency"), F.col("_re"), [5, 4, 3, 2, 1]),
+        "frequency_score": qcut_rank_score(F.col("_frank"), F.col("_n")),
+        "monetary_score": _ladder(F.col("monetary"), F.col("_me"), [1, 2, 3, 4, 5]),
         "period_score": tenure_score(F.col("join_period")),
-    }).drop("_frank")
+    }).drop("_frank", "_re", "_me", "_n")
     return out.withColumns({
         "rf_score": F.concat(F.col("recency_score").cast("string"), F.col("frequency_score").cast("string")),
         "rfm_score": F.concat(F.col("recency_score").cast("string"), F.col("frequency_score").cast("string"),

@@ -808,9 +808,9 @@ def cluster_profile(spark, sf_dir):
     _, clustered, sil = ml.kmeans(z, cols, 6)
     _, bis, sil_b = ml.kmeans(z, cols, 6, method="bisecting")
     prof = ml.cluster_profile(clustered, cols, stats).withColumn("method", F.lit("kmeans")) \
-        .withColumn("silhouette", F.lit(sil))
+        .withColumn("silhouette", F.lit(sil).cast("double"))
     prof_b = ml.cluster_profile(bis, cols, stats).withColumn("method", F.lit("bisecting")) \
-        .withColumn("silhouette", F.lit(sil_b))
+        .withColumn("silhouette", F.lit(sil_b).cast("double"))
     return prof.unionByName(prof_b)
 
 

@@ -64,3 +64,46 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Does ``path`` exist, on whatever file system it names."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(conf).exists(p))
+    except Exception:  # noqa: BLE001 - no JVM access (e.g. Spark Connect): fall back to a read
+        try:
+            spark.read.text(path).limit(0).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
+
+
+def materialized(spark: SparkSession, name: str, key_parts: list[str], build, rebuild: bool = False) -> DataFrame:
+    """A prepared table written once as Parquet under the shared checkpoint folder and read back.
+
+    ``key_parts`` (input paths, their sizes and times, a version) name the copy, so changed inputs
+    give a new table. The write commits atomically (``_SUCCESS``); later readers get a plain
+    Parquet scan with column pruning and filter pushdown instead of the whole preparation plan.
+    """
+    import hashlib
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    digest = hashlib.sha1("|".join(key_parts).encode()).hexdigest()[:16]
+    path = f"{root}/lapsekit-tables/{name}-{digest}"
+    if rebuild or not _exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def input_fingerprint(paths: list[str]) -> list[str]:
+    """Path, size and modification time of local inputs (just the path for remote ones)."""
+    out = []
+    for p in paths:
+        try:
+            st = os.stat(p)
+            out.append(f"{p}:{st.st_size}:{int(st.st_mtime)}")
+        except OSError:
+            out.append(p)
+    return out
