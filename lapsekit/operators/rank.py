@@ -59,18 +59,26 @@ def _bucketize(df: DataFrame, col: str, out: str, values: list[float]) -> tuple[
 
 
 def running_total(df: DataFrame, order: Sequence[str], weight: str | None = None, out: str = "running",
-                  inclusive: bool = True, n_buckets: int = N_BUCKETS, n_sub: int = N_SUB) -> DataFrame:
+                  inclusive: bool = True, n_buckets: int = N_BUCKETS, n_sub: int = N_SUB,
+                  cut: bool = True) -> DataFrame:
     """Running sum of ``weight`` (row count when ``None``) in ascending ``order``, over the whole table.
 
     ``order[0]`` and, if given, ``order[1]`` must be numeric. Rows with a null in ``order[0]`` are
     not allowed (filter them first).
     """
-    return running_totals(df, order, {out: (weight, inclusive)}, n_buckets, n_sub)
+    return running_totals(df, order, {out: (weight, inclusive)}, n_buckets, n_sub, cut)
 
 
 def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, tuple[str | None, bool]],
-                   n_buckets: int = N_BUCKETS, n_sub: int = N_SUB) -> DataFrame:
-    """Several running sums in one bucketed pass: ``sums = {out: (weight column or None, inclusive)}``."""
+                   n_buckets: int = N_BUCKETS, n_sub: int = N_SUB, cut: bool = True) -> DataFrame:
+    """Several running sums in one bucketed pass: ``sums = {out: (weight column or None, inclusive)}``.
+
+    The input is read twice (split values, then the ranking), so by default it is checkpointed
+    first: its upstream plan runs once, and a lost executor does not recompute it.
+    """
+    if cut:
+        from lapsekit.session import cut_lineage
+        df = cut_lineage(df)
     order = list(order)
     key = order[0]
     split_cols = order[:2]
@@ -98,10 +106,10 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, tuple[st
     return res.drop("_rb", "_rs", *[f"_off_{i}" for i in range(len(ws))])
 
 
-def rank_first(df: DataFrame, key: str, tie: str, out: str = "rank") -> DataFrame:
+def rank_first(df: DataFrame, key: str, tie: str, out: str = "rank", cut: bool = True) -> DataFrame:
     """1-based rank by ``key``, ties broken by ``tie`` (pandas ``rank(method='first')`` with a
     deterministic tie order, Q4)."""
-    return running_total(df, [key, tie], None, out=out).withColumn(out, F.col(out).cast("long"))
+    return running_total(df, [key, tie], None, out=out, cut=cut).withColumn(out, F.col(out).cast("long"))
 
 
 def average_ranks(values: DataFrame, value: str, count: str = "count", out: str = "avg_rank") -> DataFrame:

@@ -80,11 +80,16 @@ def tenure_score(join_period: Column) -> Column:
 
 
 def rfm_scores(r: DataFrame, customer: str = CUSTOMER) -> DataFrame:
-    """Add recency/frequency/monetary/period scores and the RF / RFM score strings."""
+    """Add recency/frequency/monetary/period scores and the RF / RFM score strings.
+
+    The per-customer table is checkpointed once: quantile edges, the count and the rank all read it.
+    """
+    from lapsekit.session import cut_lineage
+    r = cut_lineage(r)
     rec_edges = quantile_edges(r, "recency", RECENCY_QUANTILES[1:-1])
     mon_edges = quantile_edges(r, "monetary", MONETARY_QUANTILES[1:-1])
     n = r.select(F.count(F.lit(1))).scalar()
-    ranked = rank_first(r, "frequency", customer, out="_frank")
+    ranked = rank_first(r, "frequency", customer, out="_frank", cut=False)
     # each scalar subquery enters the plan once, as a column
     ranked = ranked.withColumns({"_re": rec_edges, "_me": mon_edges, "_n": n})
     out = ranked.withColumns({

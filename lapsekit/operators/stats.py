@@ -309,12 +309,13 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     trapezoid area (J9). Built from per-score counts and bucketed running totals."""
     s = F.col(score).cast("double")
     y = F.col(label).cast("int")
-    vc = df.where(s.isNotNull()).groupBy((-s).alias("_neg")).agg(F.count_if(y == 1).alias("_pos"),
-                                                                 F.count_if(y == 0).alias("_negc"))
-    tot = df.where(s.isNotNull()).agg(F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"))
+    from lapsekit.session import cut_lineage
+    vc = cut_lineage(df.where(s.isNotNull()).groupBy((-s).alias("_neg")).agg(F.count_if(y == 1).alias("_pos"),
+                                                                             F.count_if(y == 0).alias("_negc")))
+    tot = vc.agg(F.sum("_pos").alias("P"), F.sum("_negc").alias("N"))
     P, N = tot.select("P").scalar(), tot.select("N").scalar()
     c = running_totals(vc, ["_neg"], {"_tp": ("_pos", True), "_fp": ("_negc", True),
-                                      "_tp0": ("_pos", False), "_fp0": ("_negc", False)})
+                                      "_tp0": ("_pos", False), "_fp0": ("_negc", False)}, cut=False)
     tpr, fpr = F.col("_tp") / P, F.col("_fp") / N
     area = (F.col("_fp") - F.col("_fp0")) / N * (F.col("_tp") + F.col("_tp0")) / P / 2.0
     return c.select((-F.col("_neg")).alias("threshold"), F.col("_tp").alias("tp"), F.col("_fp").alias("fp"),

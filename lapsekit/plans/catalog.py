@@ -16,6 +16,7 @@ from lapsekit.operators import activity as act
 from lapsekit.operators import lifecycle as lc
 from lapsekit.operators.rfm import rfm_table
 from lapsekit.plans import sqlparts as S
+from lapsekit.session import cut_lineage
 from lapsekit.sources import testdata as td
 from lapsekit.streaming import sessions as ss
 
@@ -193,9 +194,8 @@ def customer_aov(spark, sf_dir):
 
 def _customer_info(spark, sf_dir, tx=None):
     tx = tx if tx is not None else td.fact(spark, sf_dir)
-    from lapsekit.operators.rfm import rfm
-    seg = rfm_table(tx, td.as_of(spark, sf_dir))
-    return act.customer_info(lc.purchase_cycle(tx), act.aov(tx), rfm(tx, td.as_of(spark, sf_dir)), _activity(spark, sf_dir, tx),
+    seg = rfm_table(tx, td.as_of(spark, sf_dir))  # carries recency, frequency, join_period too
+    return act.customer_info(lc.purchase_cycle(tx), act.aov(tx), seg, _activity(spark, sf_dir, tx),
                              seg, lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)),
                              act.conversion_rate(_customer_counts(spark, sf_dir), td.BOOKING_KIND))
 
@@ -530,7 +530,8 @@ def cycle_kde(spark, sf_dir):
 
 def _label_amounts(spark, sf_dir):
     info = _customer_info(spark, sf_dir)
-    return info.select("customer_id", "amount", F.log1p("amount").alias("log_amount"), "is_churned")
+    # small per-customer table read by several passes: checkpointed once
+    return cut_lineage(info.select("customer_id", "amount", F.log1p("amount").alias("log_amount"), "is_churned"))
 
 
 LABEL_AMOUNTS = S.with_(S.FACT, S.FENCE, S.RFM, S.EVENTS, S.CUST_COUNTS, S.INFO) + """,
@@ -643,8 +644,8 @@ def _scored(spark, sf_dir):
     tx = td.fact(spark, sf_dir)
     seg = rfm_table(tx, td.as_of(spark, sf_dir))
     lab = lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir))
-    return (seg.join(lab.select("customer_id", "is_churned", "days_since"), "customer_id")
-            .withColumn("predicted", F.col("recency_score") <= 2))
+    return cut_lineage(seg.join(lab.select("customer_id", "is_churned", "days_since"), "customer_id")
+                       .withColumn("predicted", F.col("recency_score") <= 2))
 
 
 @register("lapse_report", S.with_(S.FACT, S.FENCE, S.RFM) + """,
@@ -702,7 +703,6 @@ def activity_amount_fit(spark, sf_dir):
 # --- feature screening, lapse model, scores, clusters (rows-only checks) -----------------------
 
 from lapsekit.operators import ml  # noqa: E402
-from lapsekit.session import cut_lineage  # noqa: E402
 
 CORR_THRESHOLD = 0.86
 
