@@ -64,6 +64,19 @@ def fill_when(col, cond: Column, value) -> Column:
     return F.when(_c(col).isNull() & cond, F.lit(value)).otherwise(_c(col))
 
 
+def since(df: DataFrame, col: str, date: str = "2020-01-01") -> DataFrame:
+    """Rows on or after a date floor (B5); a plain filter, pushed down to the Parquet scan."""
+    return df.where(F.col(col) >= F.lit(date).cast("date"))
+
+
+def fill_nulls(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
+    """Constant fill per column (B8). Columns are cast to text first when the fill is text and the
+    column is not (the reference fills a numeric ``year`` with 'unknown')."""
+    casts = {c: F.col(c).cast("string") for c, v in values.items()
+             if isinstance(v, str) and not isinstance(df.schema[c].dataType, T.StringType)}
+    return df.withColumns(casts).na.fill(dict(values)) if casts else df.na.fill(dict(values))
+
+
 # --- B3, B4, B10: encodings ----------------------------------------------------------------------
 
 def encode_map(col, mapping: Mapping) -> Column:

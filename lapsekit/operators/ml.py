@@ -248,7 +248,7 @@ def train_classifier(train: DataFrame, cols: Sequence[str], label: str, folds: i
     scores, best = {}, None
     for name, est in cands.items():
         cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            numFolds=folds, seed=seed)
+                            numFolds=folds, seed=seed, parallelism=folds)
         m = cv.fit(data)
         scores[name] = float(m.avgMetrics[0])
         if best is None or scores[name] > scores[best[0]]:
@@ -308,7 +308,7 @@ def recursive_elimination(df: DataFrame, cols: Sequence[str], label: str, step:
     while True:
         rf = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed)
         cv = CrossValidator(estimator=rf, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            numFolds=folds, seed=seed).fit(assemble(data, feats))
+                            numFolds=folds, seed=seed, parallelism=folds).fit(assemble(data, feats))
         imp = cv.bestModel.featureImportances.toArray()
         rounds.append((len(feats), float(cv.avgMetrics[0]), ", ".join(feats)))
         if len(feats) <= min_features:

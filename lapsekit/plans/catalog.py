@@ -429,6 +429,16 @@ def basket_counts(spark, sf_dir):
     return bk.basket_counts(t, "customer_id", "item")
 
 
+@register("item_totals", S.with_(S.FACT) + """
+SELECT lower(trim(item)) AS item, count(*) AS n_rows, count(DISTINCT customer_id) AS n_customers FROM tx
+WHERE month(transaction_date) = 8 AND item IS NOT NULL GROUP BY 1""")
+def item_totals(spark, sf_dir):
+    """Item totals over the August (customer, item) counts: the treemap table."""
+    t = _items(spark, sf_dir).where(F.month("transaction_date") == BASKET_MONTH)
+    c = bk.basket_counts(t, "customer_id", "item")
+    return c.groupBy("item").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_customers"))
+
+
 @register("baskets", S.with_(S.FACT, S.ITEMSETS) + """
 SELECT customer_id, array_to_string(list(item ORDER BY item), ', ') AS items, count(*) AS n_items
 FROM bk GROUP BY customer_id""")
@@ -554,6 +564,24 @@ def amount_histogram_by_label(spark, sf_dir):
     return h.withColumns({c: F.round(c, 9) for c in ["bin_start", "bin_end", "density"]})
 
 
+@register("amount_kde_by_label", LABEL_AMOUNTS + """,
+s AS (SELECT is_churned, count(*) AS n, stddev_samp(log_amount) AS sd, min(log_amount) AS lo0, max(log_amount) AS hi0
+      FROM la GROUP BY 1),
+g AS (SELECT is_churned, n, pow(CAST(n AS DOUBLE), -0.2) * sd * 1.0 AS h,
+             lo0 - 3.0 * (pow(CAST(n AS DOUBLE), -0.2) * sd * 1.0) AS lo,
+             ((hi0 + 3.0 * (pow(CAST(n AS DOUBLE), -0.2) * sd * 1.0)) - (lo0 - 3.0 * (pow(CAST(n AS DOUBLE), -0.2) * sd * 1.0))) / 199 AS step
+      FROM s),
+vc AS (SELECT is_churned, log_amount AS v, count(*) AS c FROM la GROUP BY 1, 2)
+SELECT g.is_churned, CAST(k.range AS INTEGER) AS grid_index, round(lo + k.range * step, 9) AS x,
+       round(sum(c * exp(-0.5 * pow(((lo + k.range * step) - v) / h, 2))) * (1.0 / sqrt(2 * pi())) / (n * h), 12) AS density
+FROM range(200) k CROSS JOIN g JOIN vc ON vc.is_churned = g.is_churned
+GROUP BY g.is_churned, k.range, lo, step, n, h""")
+def amount_kde_by_label(spark, sf_dir):
+    """Density of log amount per lapse group."""
+    k = st.kde(_label_amounts(spark, sf_dir), "log_amount", 200, group="is_churned")
+    return k.withColumns({"x": F.round("x", 9), "density": F.round("density", 12)})
+
+
 @register("amount_normality", LABEL_AMOUNTS + """,
 m AS (SELECT is_churned, avg(log_amount) AS mu, count(*) AS n FROM la GROUP BY 1),
 d AS (SELECT la.is_churned, log_amount - mu AS d, n FROM la JOIN m USING (is_churned)),
