@@ -242,7 +242,7 @@ def train_classifier(train: DataFrame, cols: Sequence[str], label: str, folds: i
         "logistic_regression": LogisticRegression(featuresCol="features", labelCol="_label", maxIter=100),
         "random_forest": RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=100,
                                                 maxDepth=5, seed=seed),
-        "gradient_boosted_trees": GBTClassifier(featuresCol="features", labelCol="_label", maxIter=20,
+        "gradient_boosted_trees": GBTClassifier(featuresCol="features", labelCol="_label", maxIter=10,
                                                 maxDepth=5, seed=seed),
     }
     scores, best = {}, None

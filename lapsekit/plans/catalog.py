@@ -763,7 +763,24 @@ def feature_correlations(spark, sf_dir):
     return st.high_corr_pairs(m, MODEL_FEATURES, CORR_THRESHOLD).withColumn("r", F.round("r", 6))
 
 
+_FITTED: dict = {}
+
+
+def _memo(kind: str, spark, sf_dir, build):
+    """Fitted artefacts (checkpointed tables, models) are reused by the queries of one application,
+    like a model registry: scoring and importance queries do not refit the model."""
+    key = (kind, spark.sparkContext.applicationId, sf_dir, tuple(td.input_fingerprint(
+        [td.table_path(sf_dir, t) for t in ("orders", "lineitem", "customer", "part", "events")])))
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
 def _model_data(spark, sf_dir):
+    return _memo("model_data", spark, sf_dir, lambda: _build_model_data(spark, sf_dir))
+
+
+def _build_model_data(spark, sf_dir):
     """Customer model table (checkpointed: the fits below read it many times), with the
     correlated columns dropped and correlated groups folded into one component each."""
     m = cut_lineage(customer_model_table(spark, sf_dir))
@@ -785,6 +802,10 @@ def model_features(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
+    return _memo("fitted", spark, sf_dir, lambda: _build_fitted(spark, sf_dir))
+
+
+def _build_fitted(spark, sf_dir):
     x, cols, _ = _model_data(spark, sf_dir)
     stats = ml.fit_scaler(x, cols)
     z = cut_lineage(ml.standardize(x, stats))

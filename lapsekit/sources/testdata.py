@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lapsekit.operators.fact import merge_fact
 from lapsekit.operators.lifecycle import present_day, trailing_window
-from lapsekit.session import input_fingerprint, materialized, table_path
+from lapsekit.session import input_fingerprint, materialized, table_path  # noqa: F401 (re-exported)
 
 TABLE_VERSION = "fact-v1"
 
