@@ -82,6 +82,26 @@ def baskets(df: DataFrame, key: str, item: str) -> DataFrame:
             .agg(F.array_sort(F.collect_set(clean_item(item))).alias("items")))
 
 
+def basket_matrix(df: DataFrame, key: str, item: str, items: list[str] | None = None,
+                  max_items: int = 1000) -> DataFrame:
+    """Dense basket x item 0/1 matrix, only on request (D22): ``pivot`` with an explicit, capped
+    item list; the long form (``baskets``) is what the rule mining uses."""
+    if items is None:
+        found = [r[0] for r in df.select(clean_item(item).alias("_i")).where("_i IS NOT NULL").distinct()
+                 .orderBy("_i").limit(max_items + 1).collect()]
+        if len(found) > max_items:
+            raise ValueError(f"more than {max_items} items: keep baskets long")
+        items = found
+    g = df.select(key, clean_item(item).alias("_i")).groupBy(key).pivot("_i", items).agg(F.count(F.lit(1)))
+    return g.select(key, *[(F.coalesce(F.col(f"`{i}`"), F.lit(0)) >= 1).cast("int").alias(i) for i in items])
+
+
+def export_rules(rules: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Write the rules with item sets as 'a, b' text (K6, A4)."""
+    from lapsekit.sources.io import write_table
+    write_table(rules_as_text(rules), path, fmt)
+
+
 def frequent_itemsets(b: DataFrame, min_support: float = 0.01, items: str = "items") -> DataFrame:
     """Frequent item sets with support = baskets containing the set / baskets (K3).
 
