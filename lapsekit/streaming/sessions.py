@@ -3,11 +3,11 @@
 Batch form (``sessionize``): Spark's ``session_window`` sorts all events of a user in one task,
 so a user holding a third of the events would be one straggler. Instead:
 
-* time is cut into buckets one gap wide, and windows run per (user, bucket); a
-  heavy user is spread over as many tasks as it has buckets;
+* time is cut into buckets (one gap wide by default, narrower on request), and windows run per
+  (user, bucket); a heavy user is spread over as many tasks as it has buckets;
 * an event opens a session when the previous event of the user is at least one gap earlier.
-  Only the previous bucket can hold an event closer than one gap, so the previous event is
-  found inside the bucket, or as the latest event of bucket - 1 (a small per-bucket table);
+  The previous event is found inside the bucket, or as the latest event of all earlier buckets
+  (a running max over a small per-bucket table);
 * an event's session start is the latest opening event at or before it: inside the bucket
   by a running max, else carried from earlier buckets by a running max over the per-bucket
   table (one row per user and bucket).
@@ -40,30 +40,36 @@ def gap_micros(gap: str) -> int:
 
 
 def sessionize(ev: DataFrame, gap: str = "8 hours", user: str = "customer_id", ts: str = "event_ts",
-               tie: str = "event_id") -> DataFrame:
-    """Add ``session_start`` (timestamp of the opening event) and ``session_id`` to every event."""
+               tie: str = "event_id", bucket: str | None = None) -> DataFrame:
+    """Add ``session_start`` (timestamp of the opening event) and ``session_id`` to every event.
+
+    ``bucket`` (default: the gap) is the unit of work per user; a smaller bucket splits a user
+    whose events crowd into one gap-long stretch. The previous event of a bucket's first row is
+    the latest event of all earlier buckets, read from the per-(user, bucket) table.
+    """
     g = gap_micros(gap)
-    e = ev.withColumn("_us", epoch_micros(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(g)).cast("long"))
+    bw = gap_micros(bucket) if bucket else g
+    e = ev.withColumn("_us", epoch_micros(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(bw)).cast("long"))
     w = Window.partitionBy(user, "_b").orderBy("_us", tie)
+    earlier = Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
 
-    # latest event time per (user, bucket), looked up from the next bucket
-    last_in_bucket = e.groupBy(user, "_b").agg(F.max("_us").alias("_prev_bucket_max"))
-    prev_bucket = last_in_bucket.withColumn("_b", F.col("_b") + 1)
-    e = e.join(prev_bucket, on=[user, "_b"], how="left")
-    prev = F.coalesce(F.lag("_us").over(w), F.col("_prev_bucket_max"))
+    # latest event time of all earlier buckets (per-bucket table: one row per user and bucket)
+    per_bucket = e.groupBy(user, "_b").agg(F.max("_us").alias("_bmax"))
+    prev_max = per_bucket.select(user, "_b", F.max("_bmax").over(earlier).alias("_prev_max"))
+    e = e.join(prev_max, on=[user, "_b"], how="left")
+    prev = F.coalesce(F.lag("_us").over(w), F.col("_prev_max"))
     e = e.withColumn("_opens", prev.isNull() | ((F.col("_us") - prev) >= F.lit(g)))
     e = e.withColumn("_start_in", F.max(F.when(F.col("_opens"), F.col(ts))).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
 
     # session start carried into a bucket from earlier buckets
     starts = e.groupBy(user, "_b").agg(F.max(F.when(F.col("_opens"), F.col(ts))).alias("_last_start"))
-    carried = starts.withColumn("_carried", F.max("_last_start").over(
-        Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select(user, "_b", "_carried")
+    carried = starts.select(user, "_b", F.max("_last_start").over(earlier).alias("_carried"))
     e = e.join(carried, on=[user, "_b"], how="left")
     e = e.withColumn("session_start", F.coalesce(F.col("_start_in"), F.col("_carried")))
     return (e.withColumn("session_id", F.concat_ws("-", F.col(user).cast("string"),
                                                    epoch_micros("session_start").cast("string")))
-            .drop("_us", "_b", "_prev_bucket_max", "_opens", "_start_in", "_carried"))
+            .drop("_us", "_b", "_prev_max", "_opens", "_start_in", "_carried"))
 
 
 def session_summary(sessions: DataFrame, kinds: Sequence[str], booking_kind: str, user: str = "customer_id",

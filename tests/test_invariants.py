@@ -107,6 +107,8 @@ def test_sessionize_matches_session_window(spark):
            .agg(F.count(F.lit(1)).alias("n")))
     assert ours.count() == ref.count() == 4766
     assert sorted(r.n_events for r in ours.collect()) == sorted(r.n for r in ref.collect())
+    fine = ss.session_summary(ss.sessionize(ev, "8 hours", bucket="45 minutes"), td.EVENT_KINDS, td.BOOKING_KIND)
+    assert sorted(fine.select("session_id", "n_events").collect()) == sorted(ours.select("session_id", "n_events").collect())
 
 
 def test_stream_equals_batch(spark):
