@@ -115,9 +115,11 @@ def frequent_itemsets(b: DataFrame, min_support: float = 0.01, items: str = "ite
     model = FPGrowth(itemsCol=items, minSupport=min_support, minConfidence=1.0).fit(b)
     # freqItemsets is backed by the mining RDD and would be mined again on every use:
     # checkpoint it once (reliable checkpoint in spark.checkpoint.dir).
-    f = cut_lineage(model.freqItemsets)
-    return f.select(F.array_sort("items").alias("itemset"), F.col("freq").cast("long").alias("freq"),
-                    (F.col("freq") / n).alias("support"), F.size("items").alias("length"))
+    # The basket count enters once, before the checkpoint, so later uses of the support do not
+    # carry its subquery.
+    return cut_lineage(model.freqItemsets.select(
+        F.array_sort("items").alias("itemset"), F.col("freq").cast("long").alias("freq"),
+        (F.col("freq") / n).alias("support"), F.size("items").alias("length")))
 
 
 def _subsets(itemset: Column) -> Column:
