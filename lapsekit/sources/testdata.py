@@ -124,9 +124,22 @@ def fact(spark: SparkSession, sf_dir: str, years: int = YEARS) -> DataFrame:
     return trailing_window(fact_all(spark, sf_dir), "transaction_date", years, as_of=as_of(spark, sf_dir))
 
 
+def events_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Click stream in the data model's names, written once to the shared folder and read back."""
+    def build():
+        return read(spark, sf_dir, "events").select(
+            "event_id", F.col("user_id").alias("customer_id"), F.col("event_type").alias("event_name"),
+            F.col("ts").alias("event_ts"), F.col("ts").cast("date").alias("event_date"), "value", "props")
+    return materialized(spark, "events_all", [TABLE_VERSION, *input_fingerprint([table_path(sf_dir, "events")])], build)
+
+
+def events_as_of(spark: SparkSession, sf_dir: str):
+    """The click log's own as-of date (latest event date + 2 days), a one-row prepared table."""
+    meta = materialized(spark, "events_as_of", [TABLE_VERSION, *input_fingerprint([table_path(sf_dir, "events")])],
+                        lambda: events_all(spark, sf_dir).select(F.date_add(F.max("event_date"), 2).alias("as_of")))
+    return meta.select(F.max("as_of")).scalar()
+
+
 def events(spark: SparkSession, sf_dir: str, years: int = YEARS) -> DataFrame:
     """Click stream with its own as-of date and the same trailing window."""
-    e = read(spark, sf_dir, "events").select(
-        "event_id", F.col("user_id").alias("customer_id"), F.col("event_type").alias("event_name"),
-        F.col("ts").alias("event_ts"), F.col("ts").cast("date").alias("event_date"), "value", "props")
-    return trailing_window(e, "event_date", years)
+    return trailing_window(events_all(spark, sf_dir), "event_date", years, as_of=events_as_of(spark, sf_dir))
