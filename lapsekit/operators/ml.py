@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsekit.operators.rank import running_totals
-from lapsekit.operators.stats import corr_pairs, varying_columns
+from lapsekit.operators.stats import corr_pairs
 
 KEY = "customer_id"
 

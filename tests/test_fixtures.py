@@ -2,9 +2,7 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lapsekit.functions import scalar as sc
 from lapsekit.operators import activity as act
