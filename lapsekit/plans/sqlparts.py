@@ -162,7 +162,7 @@ ev_s AS (
   SELECT *, epoch_us(event_ts) AS us,
          lag(epoch_us(event_ts)) OVER (PARTITION BY customer_id ORDER BY epoch_us(event_ts), event_id) AS prev_us
   FROM ev),
-ev_o AS (SELECT *, prev_us IS NULL OR us - prev_us >= {GAP_US} AS opens FROM ev_s),
+ev_o AS (SELECT *, prev_us IS NULL OR us - prev_us > {GAP_US} AS opens FROM ev_s),
 ev_st AS (
   SELECT *, max(CASE WHEN opens THEN event_ts END)
               OVER (PARTITION BY customer_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)

@@ -82,6 +82,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
+_LOCKS: dict[str, object] = {}
+
+
 def materialized(spark: SparkSession, name: str, key_parts: list[str], build, rebuild: bool = False) -> DataFrame:
     """A prepared table written once as Parquet under the shared checkpoint folder and read back.
 
@@ -93,8 +96,11 @@ def materialized(spark: SparkSession, name: str, key_parts: list[str], build, re
     root = ensure_checkpoint_dir(spark).rstrip("/")
     digest = hashlib.sha1("|".join(key_parts).encode()).hexdigest()[:16]
     path = f"{root}/lapsekit-tables/{name}-{digest}"
-    if rebuild or not _exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+    import threading
+    lock = _LOCKS.setdefault(path, threading.Lock())
+    with lock:  # queries run from several threads build a table once
+        if rebuild or not _exists(spark, f"{path}/_SUCCESS"):
+            build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

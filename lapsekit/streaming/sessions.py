@@ -5,15 +5,16 @@ so a user holding a third of the events would be one straggler. Instead:
 
 * time is cut into buckets (one gap wide by default, narrower on request), and windows run per
   (user, bucket); a heavy user is spread over as many tasks as it has buckets;
-* an event opens a session when the previous event of the user is at least one gap earlier.
+* an event opens a session when the previous event of the user is more than one gap earlier.
   The previous event is found inside the bucket, or as the latest event of all earlier buckets
   (a running max over a small per-bucket table);
 * an event's session start is the latest opening event at or before it: inside the bucket
   by a running max, else carried from earlier buckets by a running max over the per-bucket
   table (one row per user and bucket).
 
-Two events belong to one session iff they are less than ``gap`` apart, the same rule as
-``session_window`` (its windows ``[t, t + gap)`` merge when they overlap).
+Consecutive events belong to one session iff they are at most ``gap`` apart, the same rule as
+``session_window`` (its windows ``[t, t + gap)`` merge when the next one starts at or before the
+previous end).
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def sessionize(ev: DataFrame, gap: str = "8 hours", user: str = "customer_id", t
     prev_max = per_bucket.select(user, "_b", F.max("_bmax").over(earlier).alias("_prev_max"))
     e = e.join(prev_max, on=[user, "_b"], how="left")
     prev = F.coalesce(F.lag("_us").over(w), F.col("_prev_max"))
-    e = e.withColumn("_opens", prev.isNull() | ((F.col("_us") - prev) >= F.lit(g)))
+    e = e.withColumn("_opens", prev.isNull() | ((F.col("_us") - prev) > F.lit(g)))
     e = e.withColumn("_start_in", F.max(F.when(F.col("_opens"), F.col(ts))).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
 
