@@ -131,3 +131,22 @@ def test_stream_equals_batch(spark):
              for r in sev.event_window_counts(td.events(spark, SF_SMALL), "1 day").collect()}
     assert got and all(batch[k] == v for k, v in got.items())
     assert all(k[0].year == 2024 for k in got)  # the late 2023 row never shows up
+
+
+def test_stream_sessions_equal_batch(spark):
+    """Sessions closed by the watermark in the stream equal the batch sessions."""
+    src = tempfile.mkdtemp(prefix="lapsekit-s2-")
+    raw = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    days = sorted(r.d for r in raw.select(F.to_date("ts").alias("d")).distinct().collect())
+    for i, chunk in enumerate([days[:15], days[15:]]):
+        raw.where(F.to_date("ts").isin(chunk)).write.parquet(os.path.join(src, f"part{i}"))
+    st_ev = sev.read_event_stream(spark, os.path.join(src, "*"), max_files=1)
+    q = (ss.stream_sessions(st_ev, "8 hours", "1 hour", td.EVENT_KINDS, td.BOOKING_KIND)
+         .writeStream.outputMode("append").format("memory").queryName("s2_sessions").start())
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.customer_id, r.session_start): r.n_events for r in spark.sql("SELECT * FROM s2_sessions").collect()}
+    batch = {(r.customer_id, r.session_start): r.n_events
+             for r in ss.session_summary(ss.sessionize(td.events(spark, SF_SMALL), "8 hours"), td.EVENT_KINDS,
+                                         td.BOOKING_KIND).collect()}
+    assert got and all(batch.get(k) == v for k, v in got.items())
