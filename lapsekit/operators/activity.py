@@ -81,6 +81,18 @@ def traffic_pivot(ev: DataFrame, session: str = "session_id", source: str = "tra
                                    (F.count_if(F.col(source) == mobile) > 0).cast("int").alias("has_mobile"))
 
 
+def recent_features(recent_rows: DataFrame, session_counts: DataFrame, traffic: DataFrame | None = None,
+                    session: str = "session_id") -> DataFrame:
+    """Recent item rows joined with their session's event counts and traffic counts.
+
+    Both right-hand tables are one row per session, so the inner joins keep the item grain
+    (items of sessions without click data drop out, as in the reference)."""
+    out = recent_rows.join(session_counts, on=session, how="inner")
+    if traffic is not None:
+        out = out.join(traffic, on=session, how="inner")
+    return out.dropDuplicates()
+
+
 def customer_info(cycle: DataFrame, aov_df: DataFrame, rfm_df: DataFrame, activity: DataFrame,
                   segments: DataFrame, lapsed: DataFrame, conversion: DataFrame,
                   profile: DataFrame | None = None, customer: str = CUSTOMER) -> DataFrame:
