@@ -191,3 +191,24 @@ def test_one_hot_and_codes(spark):
     assert coded == {"F": 0, "M": 1, "X": 2}
     oh = sc.one_hot(df, "g", "G").orderBy("g").collect()
     assert [(r.G_F, r.G_M, r.G_X) for r in oh] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+
+
+def test_small_steps(spark):
+    """B2, B5, B7, B8, B25, B30, B31, C9."""
+    from lapsekit.functions import calendar as cal
+    df = spark.createDataFrame([(1, None, "Footwear", D(2019, 12, 31), "10:20:30", 3),
+                                (2, "x", "Apparel", D(2020, 1, 4), "23:00:00", 0)],
+                               "k int, a string, cat string, d date, t string, n int")
+    r = df.select(sc.fill_from("a", "cat").alias("f"),
+                  sc.fill_when("a", F.col("cat") == "Footwear", "All Seasons").alias("w"),
+                  cal.weekday_weekend("d").alias("ww"), sc.combine_ts("d", "t").alias("ts"),
+                  sc.presence("n").alias("p")).collect()
+    assert [x.f for x in r] == ["Footwear", "x"] and [x.w for x in r] == ["All Seasons", "x"]
+    assert [x.ww for x in r] == ["Weekday", "Weekend"] and r[0].ts.hour == 10 and [x.p for x in r] == [1, 0]
+    assert [x.k for x in sc.since(df, "d", "2020-01-01").collect()] == [2]
+    filled = sc.fill_nulls(df.withColumn("year", F.lit(None).cast("int")), {"year": "unknown", "a": "None"})
+    assert {x.year for x in filled.collect()} == {"unknown"} and filled.first().a == "None"
+    rows = spark.createDataFrame([("s1", 1), ("s1", 2), ("s2", 3)], "session_id string, item int")
+    counts = spark.createDataFrame([("s1", 4)], "session_id string, CLICK long")
+    traffic = spark.createDataFrame([("s1", 0, 4, 0)], "session_id string, mobile_events long, web_events long, has_mobile int")
+    assert sorted(x.item for x in act.recent_features(rows, counts, traffic).collect()) == [1, 2]
