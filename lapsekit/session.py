@@ -85,7 +85,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 _LOCKS: dict[str, object] = {}
 
 
-def materialized(spark: SparkSession, name: str, key_parts: list[str], build, rebuild: bool = False) -> DataFrame:
+def materialized(spark: SparkSession, name: str, key_parts: list[str], build, rebuild: bool = False,
+                 partition_by: list[str] | None = None) -> DataFrame:
     """A prepared table written once as Parquet under the shared checkpoint folder and read back.
 
     ``key_parts`` (input paths, their sizes and times, a version) name the copy, so changed inputs
@@ -100,7 +101,8 @@ def materialized(spark: SparkSession, name: str, key_parts: list[str], build, re
     lock = _LOCKS.setdefault(path, threading.Lock())
     with lock:  # queries run from several threads build a table once
         if rebuild or not _exists(spark, f"{path}/_SUCCESS"):
-            build().write.mode("overwrite").parquet(path)
+            w = build().write.mode("overwrite")
+            (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.parquet(path)
 
 
