@@ -101,8 +101,14 @@ def materialized(spark: SparkSession, name: str, key_parts: list[str], build, re
     lock = _LOCKS.setdefault(path, threading.Lock())
     with lock:  # queries run from several threads build a table once
         if rebuild or not _exists(spark, f"{path}/_SUCCESS"):
-            w = build().write.mode("overwrite")
-            (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+            df = build()
+            if partition_by:
+                # range-clustered on the partition columns: each year is written by a few tasks
+                # (AQE sizes them), not by every task, so files stay large at any scale
+                df = df.repartitionByRange(*partition_by)
+                df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            else:
+                df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
