@@ -35,6 +35,30 @@ def op3_substring_dedup(spark, sf_dir):
             .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+@register("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    from lapsekit.llm.op4_packing import pack_documents
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
+def _quality_sql() -> str:
+    from lapsekit.llm.op7_quality import judge_sql
+    return judge_sql()
+
+
+@register("op7_quality_rules", _quality_sql())
+def op7_quality_rules(spark, sf_dir):
+    from lapsekit.llm.op7_quality import judge
+    return judge(read(spark, sf_dir, "documents"))
+
+
+@register("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf_dir):
+    from lapsekit.llm.op8_suffix import drop_repeats
+    return (drop_repeats(read(spark, sf_dir, "documents"))
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+
+
 @register("op10_lm_scoring")
 def op10_lm_scoring(spark, sf_dir):
     from lapsekit.llm.op10_lm import score_texts
