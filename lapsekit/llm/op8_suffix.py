@@ -90,7 +90,7 @@ class _Suffixes:
                 self.digest.append((p, x))
             else:
                 self.digest.append(None)
-        return by
+        return {p: dict(sorted(own.items())) for p, own in by.items()}   # rows may come in another order next time
 
     def settle(self, notes: dict[int, tuple[bytes, bytes]]):
         """Read the answers of the first exchange: whole copies, and the anchors left."""

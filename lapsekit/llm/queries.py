@@ -28,6 +28,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@register("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    from lapsekit.llm.op2_decontaminate import find_leaks
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @register("op3_substring_dedup")
 def op3_substring_dedup(spark, sf_dir):
     from lapsekit.llm.op3_substring import mark_repeats

@@ -15,10 +15,10 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE_W = np.where(SPACE, np.uint64(0), _BYTE)
+#: white space and ASCII punctuation
+SPACE_OR_MARK = SPACE | np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_W_LOWER = _BYTE_W[_LOWER]
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _C = np.uint64(0xD6E8FEB86659FD93)
 _SLICE = 1 << 17
@@ -65,10 +65,10 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 class Words:
     """Words of a column: ``start``/``end`` byte positions, ``first[d]:first[d+1]`` = words of text d."""
 
-    def __init__(self, col: pa.Array | pa.ChunkedArray, lower: bool = False):
+    def __init__(self, col: pa.Array | pa.ChunkedArray, lower: bool = False, breaks: np.ndarray = SPACE):
         self.data, self.offsets = text_bytes(col)
         n = len(self.data)
-        is_word = ~SPACE[self.data]
+        is_word = ~breaks[self.data]
         begins, ends = is_word.copy(), is_word.copy()
         if n:
             begins[1:] &= ~is_word[:-1]
@@ -81,7 +81,7 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.offsets)
-        self.lower = lower
+        self.table = np.where(breaks, np.uint64(0), _BYTE[_LOWER] if lower else _BYTE)
 
     @property
     def counts(self) -> np.ndarray:
@@ -90,7 +90,6 @@ class Words:
     def keys(self) -> np.ndarray:
         """A 64-bit key for each word."""
         out = np.empty(len(self.start), np.uint64)
-        table = _BYTE_W_LOWER if self.lower else _BYTE_W
         i, n = 0, len(out)
         while i < n:
             j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + _SLICE)))
@@ -100,7 +99,7 @@ class Words:
             pos = np.arange(b - a, dtype=np.int64) - np.repeat(s, span)
             length = self.end[i:j] - self.start[i:j]
             pw = _powers(int(span.max()) + 1)
-            v = table[self.data[a:b]] * pw[pos]
+            v = self.table[self.data[a:b]] * pw[pos]
             out[i:j] = np.add.reduceat(v, s) + length.astype(np.uint64) * _C
             i = j
         return mix(out)
