@@ -28,6 +28,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@register("op1_minhash_dedup")
+def op1_minhash_dedup(spark, sf_dir):
+    from lapsekit.llm.op1_minhash import near_duplicates
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @register("op2_decontamination")
 def op2_decontamination(spark, sf_dir):
     from lapsekit.llm.op2_decontaminate import find_leaks
