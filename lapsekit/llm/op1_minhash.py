@@ -240,3 +240,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .join(linked.select(F.col("node").alias("class"), "component"), "class", "left"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "class")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose document stays (the smallest id of its group), repeated rows once."""
+    gone = near_duplicates(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    name = "_text_key"
+    while name in docs.columns:
+        name = "_" + name
+    left = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    return left.withColumn(name, F.md5(F.col(f"`{text}`"))).dropDuplicates([doc_id, name]).drop(name)

@@ -100,8 +100,11 @@ def find_secrets(docs: DataFrame, vocabulary_path: str | None = None, ratio: flo
 
 
 def redact(docs: DataFrame, vocabulary_path: str | None = None, ratio: float = RATIO, text: str = "text",
-           mask: str = MASK) -> DataFrame:
-    """``docs`` with each secret (joined where spans overlap) replaced by ``mask``; other columns as they were."""
+           mask: str = MASK, chars: str | None = None) -> DataFrame:
+    """``docs`` with each secret (joined where spans overlap) replaced by ``mask``; other columns as they were.
+
+    ``chars`` names a column with the text's length, brought up to date where the text has changed.
+    """
     path = vocabulary_path or default_vocabulary()
 
     @F.pandas_udf("string")
@@ -109,7 +112,14 @@ def redact(docs: DataFrame, vocabulary_path: str | None = None, ratio: float = R
         encoding = vocabulary(path)
         return texts.map(lambda t: t if t is None else hide(t, spans_of(t, encoding, ratio), mask))
 
-    return docs.withColumn(text, clean(F.col(f"`{text}`")))
+    name = "_clean"
+    while name in docs.columns:
+        name = "_" + name
+    old, new = F.col(f"`{text}`"), F.col(name)
+    out = docs.withColumn(name, clean(old))
+    if chars:
+        out = out.withColumn(chars, F.when(old != new, F.length(new)).otherwise(F.col(f"`{chars}`")).cast(docs.schema[chars].dataType))
+    return out.withColumn(text, new).drop(name)
 
 
 def hide(text: str, spans: list[tuple[str, int, int]], mask: str = MASK) -> str:
