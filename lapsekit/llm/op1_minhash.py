@@ -244,9 +244,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document stays (the smallest id of its group), repeated rows once."""
-    gone = near_duplicates(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    name = "_text_key"
-    while name in docs.columns:
+    name = "_key"
+    while any(c.startswith(name) for c in docs.columns):
         name = "_" + name
-    left = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias(f"{name}_gone")).distinct()
+    left = docs.join(gone, F.col(doc_id).cast("long") == F.col(f"{name}_gone"), "left_anti")
     return left.withColumn(name, F.md5(F.col(f"`{text}`"))).dropDuplicates([doc_id, name]).drop(name)

@@ -51,7 +51,11 @@ def _covered(at: Column) -> Column:
 
 
 def text_counts(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (names get ``prefix``)."""
+    """``docs`` plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and row (names get ``prefix``).
+
+    ``row`` is there for filters on the counts to name (``counted``): the optimiser then keeps such a filter above the
+    counts, instead of writing their whole expressions into it, once for each mention.
+    """
     c = lambda n: F.col(f"`{prefix}{n}`")
     name = lambda n: f"{prefix}{n}"
     body = F.coalesce(F.col(text), F.lit(""))
@@ -75,7 +79,8 @@ def text_counts(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
     df = df.withColumns({
         name("n_words"): n.cast("long"), name("n_lines"): F.size(c("full_lines")).cast("long"),
         name("n_dup_lines"): (F.size(c("full_lines")) - F.size(F.array_distinct(c("full_lines")))).cast("long"),
-        name("n_repeat_words"): F.when(s.isNotNull(), repeated).otherwise(F.lit(0)).cast("long")})
+        name("n_repeat_words"): F.when(s.isNotNull(), repeated).otherwise(F.lit(0)).cast("long"),
+        name("row"): F.monotonically_increasing_id()})
     return df.drop(*(name(x) for x in ("words", "full_lines", "windows", "sorted")))
 
 
@@ -83,6 +88,10 @@ def base_failed(c) -> Column:
     return (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
 
 
+def counted(c) -> Column:
+    return c("row") >= 0
+
+
 def _steps(c) -> dict[str, Column]:
     """The ratios in whole steps; integer division, so every engine gets the same bucket."""
     def ratio(a: str, b: str, step: int) -> Column:
@@ -95,7 +104,7 @@ def bounds(features: DataFrame, lang: str = "lang", source: str = "source", pref
     """One row per (lang, source): (g_lang, g_source, <feature>_low, <feature>_high)."""
     c = lambda n: F.col(f"`{prefix}{n}`")
     kinds = F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("bucket")) for k, v in _steps(c).items()])
-    sketch = (features.filter(~base_failed(c))
+    sketch = (features.filter(counted(c) & ~base_failed(c))
               .select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.inline(kinds))
               .groupBy("g_lang", "g_source", "feature", "bucket").agg(F.count(F.lit(1)).alias("n")))
     sketch = cut_lineage(sketch)  # a few thousand counts per group; every level below merges these
@@ -170,9 +179,9 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     p = "_q_"
     while any(x.startswith(p) for x in docs.columns):
         p = "_" + p
-    counted = text_counts(docs, text, p)
-    joined, good = _verdict(counted, bounds(counted, lang, source, p), lang, source, p)
-    return joined.filter(good).select(*(F.col(f"`{x}`") for x in docs.columns))
+    counts = text_counts(docs, text, p)
+    joined, good = _verdict(counts, bounds(counts, lang, source, p), lang, source, p)
+    return joined.filter(counted(lambda n: F.col(f"`{p}{n}`")) & good).select(*(F.col(f"`{x}`") for x in docs.columns))
 
 
 #: DuckDB twin of ``judge`` over the table ``documents``.
