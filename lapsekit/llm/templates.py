@@ -244,16 +244,21 @@ def fold_body(body: list) -> list:
                     otherwise = fold_body(inner)
                     break
             if not cases:
-                out += otherwise
+                for x in otherwise:
+                    _append(out, x)
                 continue
             node = ("if", cases, otherwise)
-        if node[0] == "text" and out and out[-1][0] == "text":
-            node = ("text", out.pop()[1] + node[1])
-        if node != ("text", ""):
-            out.append(node)
+        _append(out, node)
     return out
 
 
+def _append(out: list, node: tuple):
+    if node[0] == "text" and out and out[-1][0] == "text":
+        node = ("text", out.pop()[1] + node[1])
+    if node != ("text", ""):
+        out.append(node)
+
+
 def _value(e) -> Callable[[dict], Any]:
     kind = e[0]
     if kind == "const":
