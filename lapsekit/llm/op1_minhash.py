@@ -3,8 +3,11 @@
 1. *Signature* (one pass, no shuffle of texts): each 5-word shingle goes by its hash into one of ``BUCKETS`` buckets; a
    bucket keeps the smallest hash seen, as a register of 6 bits of leading zeros and 10 bits of mantissa.
 2. *Exact copies*: documents with the same shingle set (128-bit digest) are one class; only its smallest id goes on.
-3. *Banding*: ``BANDS`` bands of ``ROWS`` registers. A class is tied to the smallest class of each of its band buckets (a
-   star, never all pairs); the stars' connected parts are *families*: classes that share a band are in one family.
+3. *Banding*: ``BANDS`` bands of ``ROWS`` registers; classes with an equal band meet in a bucket. A bucket is read as a
+   stream against its *leaders*: by estimates from 8-bit registers, corrected for chance agreement, a class is tied to
+   leaders that may be as near as ``TIE`` and becomes a leader itself unless one is nearer than ``ABSORB``. By the
+   triangle inequality of 1 - Jaccard, two classes over the threshold are tied to a common leader (or to each other).
+   Only ties that join something are put out, so a bucket of n classes gives fewer than n rows. Tied classes are *families*.
 4. *Estimate and verify*: families are cut into blocks of at most ``BLOCK`` classes, and each pair of blocks is a task.
    It estimates Jaccard for its pairs from the registers, corrected for registers that agree by chance, and
    drops pairs more than ``SIGMAS`` deviations under the threshold. The others are compared on full
@@ -36,10 +39,11 @@ ROWS, BANDS = 8, 40
 BUCKETS = ROWS * BANDS
 MANTISSA = 10
 SIGMAS = 6.0
+ABSORB, TIE, TIE_SIGMAS = 0.8, 0.65, 4.0     # TIE = threshold - (1 - ABSORB)
 BLOCK = 1024
 EMPTY = 0xFFFF
 _SLICE_BYTES = 1 << 20
-SIGNATURES = "doc_id long, n_shingles long, digest binary, bands array<long>"
+SIGNATURES = "doc_id long, n_shingles long, digest binary, small binary, bands array<long>"
 
 
 def shingle_sets(col: pa.Array) -> list[np.ndarray]:
@@ -90,19 +94,77 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key
 
 
+def compressed(registers: np.ndarray) -> np.ndarray:
+    """Registers in 8 bits: 0 if unused, else a hash of leading zeros and mantissa."""
+    out = (mix(registers.astype(np.uint64) + np.uint64(1)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    out[registers == EMPTY] = 0
+    return out
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(Jaccard, its deviation at the threshold) for all rows of ``a`` against all of ``b``.
+    """(Jaccard, buckets it rests on) for all rows of ``a`` against all of ``b``.
 
     The agreeing share of the used buckets, less what agrees by chance: two different minima share a register if
-    they have the same leading zeros (a third of the time, summed over 4^-z) and the same mantissa.
+    they have the same leading zeros (a third of the time, summed over 4^-z) and the same mantissa; in 8 bits, 1 in 255.
     """
-    none_a, none_b = (a == EMPTY), (b == EMPTY)
+    empty, chance = (0, 1 / 255) if a.dtype == np.uint8 else (EMPTY, 2.0 ** -MANTISSA / 3)
+    none_a, none_b = (a == empty), (b == empty)
     unused = none_a.astype(np.float32) @ none_b.T.astype(np.float32)
-    agree = np.stack([(row == b).sum(1) for row in a]) - unused
+    agree = (np.stack([(row == b).sum(1) for row in a]) if len(a) <= len(b) else np.stack([(a == row).sum(1) for row in b], 1)) - unused
     n = np.maximum(a.shape[1] - unused, 1)
-    chance = 2.0 ** -MANTISSA / 3
-    t = NUMERATOR / DENOMINATOR
-    return np.clip((agree / n - chance) / (1 - chance), 0, 1), np.sqrt(t * (1 - t) / n)
+    return np.clip((agree / n - chance) / (1 - chance), 0, 1), n
+
+
+class _Bucket:
+    """Leaders of one band bucket."""
+
+    def __init__(self):
+        self.leaders, self.regs, self.up = [], np.zeros((0, BUCKETS), np.uint8), {}
+
+    def find(self, i: int) -> int:
+        while self.up.setdefault(i, i) != i:
+            i = self.up[i]
+        return i
+
+    def add(self, ids: list[int], regs: np.ndarray):
+        """Take in classes in order; yields the ties that join something."""
+        new = 0                                   # leaders from here on are still to be met
+        while ids:
+            if new < len(self.leaders):
+                j, n = estimate(regs, self.regs[new:])
+                tied = j >= TIE - TIE_SIGMAS * np.sqrt(TIE * (1 - TIE) / n)
+                for row, leader in zip(*(x.tolist() for x in np.nonzero(tied))):
+                    a, b = self.find(ids[row]), self.find(self.leaders[new + leader])
+                    if a != b:
+                        self.up[max(a, b)] = min(a, b)
+                        yield a, b
+                left = np.flatnonzero(~(j >= ABSORB).any(1))
+                ids, regs, new = [ids[i] for i in left.tolist()], regs[left], len(self.leaders)
+            if ids:                               # the first one left leads the others
+                self.leaders.append(ids[0])
+                self.regs = np.concatenate([self.regs, regs[:1]])
+                ids, regs = ids[1:], regs[1:]
+
+
+def ties(members: DataFrame) -> DataFrame:
+    """(band, class, small) rows -> (a, b) ties; each partition is a stream sorted by band."""
+    def run(batches):
+        band, bucket, out = None, None, []
+        for batch in batches:
+            bands = batch.column(0).to_numpy()
+            if not len(bands):
+                continue
+            ids = batch.column(1).to_pylist()
+            regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), BUCKETS)
+            cuts = [0, *(np.flatnonzero(np.diff(bands)) + 1).tolist(), len(bands)]
+            for a, b in zip(cuts, cuts[1:]):
+                if band != bands[a]:
+                    band, bucket = bands[a], _Bucket()
+                out += bucket.add(ids[a:b], regs[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            out = []
+
+    return members.select("band", "class", "small").repartition("band").sortWithinPartitions("band", "class").mapInArrow(run, "a long, b long")
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -120,7 +182,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 keys = [np.unique(k[k != 0]).view(np.int64) for k in bands]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
-                     pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+                     pa.array([r.tobytes() for r in compressed(regs)], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "digest", "small", "bands"])
                 i = j
 
     return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -153,8 +216,8 @@ def verified_links(ids: np.ndarray, registers: np.ndarray, sets: list[np.ndarray
     found = []
     step = max(1, (1 << 16) // max(len(ids), 1))
     for x in range(0, len(ids), step):
-        j, sd = estimate(registers[x:x + step], registers)
-        ok = (j >= t - SIGMAS * sd) & (np.minimum(size[x:x + step, None], size) >= t * np.maximum(size[x:x + step, None], size) - 1e-9)
+        j, n = estimate(registers[x:x + step], registers)
+        ok = (j >= t - SIGMAS * np.sqrt(t * (1 - t) / n)) & (np.minimum(size[x:x + step, None], size) >= t * np.maximum(size[x:x + step, None], size) - 1e-9)
         ok &= np.arange(x, min(x + step, len(ids)))[:, None] < np.arange(len(ids))
         if side is not None:
             ok &= side[x:x + step, None] != side
@@ -206,12 +269,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # exact copies: the class is named by its smallest id
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("class"))
     reps = cut_lineage(linkable.join(classes, "digest").filter(F.col("doc_id") == F.col("class")).dropDuplicates(["digest"])
-                       .select("digest", "class", "bands"))
+                       .select("digest", "class", "small", "bands"))
     named = reps.select("class", "digest")
     banded = reps.select("class", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = banded.join(least, "band").select(F.col("least").alias("a"), F.col("class").alias("b"))
-    family = components(stars)
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    met = banded.join(shared, "band").join(reps.select("class", "small"), "class")
+    family = components(ties(met))
     # blocks of families: (family, place) -> class; a family of up to ``block`` classes is one task
     sized = family.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     member = (family.join(sized, "component")
