@@ -35,6 +35,7 @@ from lapsekit.llm.textwords import _BYTE, covered, ngram_keys, text_bytes
 LENGTH, K = 50, 24
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 _LAST = np.iinfo(np.int64).max
+_RUN = 1 << 18
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -47,8 +48,23 @@ class _Suffixes:
         self.length, self.k, self.parts = length, k, parts
         ids = table.column("doc_id").combine_chunks()
         self.doc = np.asarray(ids.fill_null(_LAST) if ids.null_count else ids).astype(np.int64)
-        n = len(self.data)
-        keys = ngram_keys(_BYTE[self.data], k)
+        found = [self._anchors_in(a, b) for a, b in self._runs()]
+        self.at, self.lo, self.hi, self.key = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        self.of = np.searchsorted(self.offsets, self.at, "right") - 1
+
+    def _runs(self):
+        """(first, last + 1) of neighbouring texts of together about ``_RUN`` bytes: bounds the work arrays."""
+        i, n = 0, len(self.offsets) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + _RUN, "right")) - 1)
+            yield i, j
+            i = j
+
+    def _anchors_in(self, i: int, j: int):
+        length, k, base = self.length, self.k, self.offsets[i]
+        offsets = self.offsets[i:j + 1] - base
+        n = int(offsets[-1])
+        keys = ngram_keys(_BYTE[self.data[base:base + n]], k)
         span = length - k + 1
         packed = (keys & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(keys), dtype=np.uint64)
         size = 1
@@ -57,18 +73,16 @@ class _Suffixes:
             size *= 2
         if size < span and len(packed) > span - size:
             packed = np.minimum(packed[:-(span - size)], packed[span - size:])
-        sizes = np.diff(self.offsets)
         ok = np.zeros(n + 1, np.int32)
-        long = sizes >= length
-        np.add.at(ok, self.offsets[:-1][long], 1)
-        np.add.at(ok, self.offsets[1:][long] - length + 1, -1)
+        long = np.diff(offsets) >= length
+        np.add.at(ok, offsets[:-1][long], 1)
+        np.add.at(ok, offsets[1:][long] - length + 1, -1)
         starts = np.flatnonzero(np.cumsum(ok[:n]) > 0)
         anchor = (packed[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64) if len(starts) else starts
         new = np.flatnonzero(np.diff(anchor, prepend=-1))
-        self.at, self.lo = anchor[new], starts[new]
-        self.hi = starts[np.append(new[1:], len(starts)) - 1] if len(new) else self.at
-        self.key = keys[self.at] if len(new) else np.zeros(0, np.uint64)
-        self.of = np.searchsorted(self.offsets, self.at, "right") - 1
+        at, lo = anchor[new], starts[new]
+        hi = starts[np.append(new[1:], len(starts)) - 1] if len(new) else at
+        return at + base, lo + base, hi + base, keys[at] if len(new) else np.zeros(0, np.uint64)
 
     def anchors(self):
         """(part, prints seen once in the batch, prints seen more often) of the distinct anchor keys."""
