@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lapsekit.llm import batched as B
-from lapsekit.llm.textwords import _BYTE, covered, ngram_keys, text_bytes
+from lapsekit.llm.textwords import _BYTE, covered, mix, ngram_keys, text_bytes
 
 LENGTH, K = 50, 24
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -82,7 +82,8 @@ class _Suffixes:
         new = np.flatnonzero(np.diff(anchor, prepend=-1))
         at, lo = anchor[new], starts[new]
         hi = starts[np.append(new[1:], len(starts)) - 1] if len(new) else at
-        return at + base, lo + base, hi + base, keys[at] if len(new) else np.zeros(0, np.uint64)
+        # anchors have the smallest hashes: mixed anew, their keys fill the partitions evenly
+        return at + base, lo + base, hi + base, mix(keys[at] ^ _STEP) if len(new) else np.zeros(0, np.uint64)
 
     def anchors(self):
         """(part, prints seen once in the batch, prints seen more often) of the distinct anchor keys."""
