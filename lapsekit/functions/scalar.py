@@ -93,21 +93,14 @@ def encode_sorted(df: DataFrame, col: str, out: str) -> DataFrame:
     Meant for categorical columns: the distinct set is small, so its ordering costs nothing,
     and the code table joins back without a size hint (AQE broadcasts it when it is small).
     """
-    from pyspark.sql import Window
-    codes = (df.select(col).where(F.col(col).isNotNull()).distinct()
-             .withColumn(out, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int")))
+    from lapsekit.operators.rank import running_total
+    codes = running_total(df.select(col).where(F.col(col).isNotNull()).distinct(), [col], None, out=out)
+    codes = codes.withColumn(out, (F.col(out) - 1).cast("int"))
     return df.join(codes, on=col, how="left")
 
 
-def one_hot(df: DataFrame, col: str, prefix: str | None = None, values: Sequence | None = None,
-            max_values: int = 256, sep: str = "_") -> DataFrame:
-    """One 0/1 column per value (B10). Without ``values`` the distinct set is read once, capped."""
-    if values is None:
-        found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-                 .orderBy(col).limit(max_values + 1).collect()]
-        if len(found) > max_values:
-            raise ValueError(f"{col} has more than {max_values} distinct values; pass values=")
-        values = found
+def one_hot(df: DataFrame, col: str, prefix: str | None, values: Sequence, sep: str = "_") -> DataFrame:
+    """One 0/1 column per listed value (B10): the columns are the caller's choice, not the data's."""
     return df.withColumns({one_hot_name(v, prefix, sep): F.when(F.col(col) == F.lit(v), 1).otherwise(0)
                            for v in values})
 

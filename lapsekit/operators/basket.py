@@ -30,11 +30,18 @@ def orders_by(df: DataFrame, unit: str, ts: str, order_key: str) -> DataFrame:
                                   F.count_distinct(order_key).alias("orders"))
 
 
-def busy_dates(df: DataFrame, date: str, min_rows: int) -> DataFrame:
+def busy_dates(df: DataFrame, date: str, min_rows: int | None = None, k: float = 1.5) -> DataFrame:
     """Dates with at least ``min_rows`` item rows, with the weekday name.
-    The label is computed after the aggregation, so no join back is needed."""
+
+    Without ``min_rows``, a date is busy from the upper IQR fence of daily rows, so the rule follows the data's
+    size. The label is computed after the aggregation, so no join back is needed."""
     g = df.groupBy(F.col(date).cast("date").alias(date)).agg(F.count(F.lit(1)).alias("item_rows"))
-    return g.where(F.col("item_rows") >= min_rows).withColumn("weekday", weekday_name(date))
+    if min_rows is None:
+        q = g.select(F.percentile("item_rows", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))    # one row per day
+        least = q.select((F.get("q", 1) + F.lit(k) * (F.get("q", 1) - F.get("q", 0))).alias("fence")).scalar()
+    else:
+        least = F.lit(min_rows)
+    return g.where(F.col("item_rows") >= least).withColumn("weekday", weekday_name(date))
 
 
 def value_counts(df: DataFrame, col: str, out: str = "n_rows") -> DataFrame:
@@ -82,16 +89,9 @@ def baskets(df: DataFrame, key: str, item: str) -> DataFrame:
             .agg(F.array_sort(F.collect_set(clean_item(item))).alias("items")))
 
 
-def basket_matrix(df: DataFrame, key: str, item: str, items: list[str] | None = None,
-                  max_items: int = 1000) -> DataFrame:
+def basket_matrix(df: DataFrame, key: str, item: str, items: list[str]) -> DataFrame:
     """Dense basket x item 0/1 matrix, only on request (D22): ``pivot`` with an explicit, capped
     item list; the long form (``baskets``) is what the rule mining uses."""
-    if items is None:
-        found = [r[0] for r in df.select(clean_item(item).alias("_i")).where("_i IS NOT NULL").distinct()
-                 .orderBy("_i").limit(max_items + 1).collect()]
-        if len(found) > max_items:
-            raise ValueError(f"more than {max_items} items: keep baskets long")
-        items = found
     g = df.select(key, clean_item(item).alias("_i")).groupBy(key).pivot("_i", items).agg(F.count(F.lit(1)))
     return g.select(key, *[(F.coalesce(F.col(f"`{i}`"), F.lit(0)) >= 1).cast("int").alias(i) for i in items])
 

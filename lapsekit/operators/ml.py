@@ -59,44 +59,44 @@ def stratified_split(df: DataFrame, label: str, key: str = KEY, test_frac: float
 # --- J3: SMOTE --------------------------------------------------------------------------------
 
 def smote(df: DataFrame, cols: Sequence[str], label: str, k: int = 5, seed: int = 42, key: str = KEY,
-          bucket_length: float | None = None, hash_tables: int = 4) -> DataFrame:
+          projections: int = 8, reach: int = 8) -> DataFrame:
     """Oversample the minority class to the majority count.
 
-    Neighbours: k nearest minority rows by Euclidean distance among the candidates an LSH
-    similarity join returns (pairs only inside hash buckets, never all pairs). Rows with fewer
-    than k candidates are retried with doubled buckets. Each synthetic row lies on the segment
-    between a minority row and one of its neighbours, with a seeded fraction.
+    Neighbour candidates: for each of a few seeded random projections the minority is ranked (E5), and a row meets the
+    ``reach`` rows before and behind it. So every row has candidates, whatever the distances, and their number is
+    linear in the rows. The k nearest candidates by Euclidean distance are its neighbours. Each synthetic row lies on
+    the segment between a minority row and one of its neighbours, with a seeded fraction. A minority of one row is
+    its own neighbour: its synthetic rows are copies.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
+    from lapsekit.session import cut_lineage
 
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
     if len(counts) < 2:
-        return df
+        return df.select(key, *cols, label, F.lit(False).alias("synthetic"))
     minority = min(counts, key=counts.get)
     need = max(counts.values()) - counts[minority]
-    mino = df.where(F.col(label) == F.lit(minority))
-    from lapsekit.session import cut_lineage
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_vec").transform(mino).select(key, "_vec")
+    mino = cut_lineage(df.where(F.col(label) == F.lit(minority)))
     n_min = counts[minority]
-    need_k = min(k, n_min - 1)
-    # standardised inputs: typical distances grow like sqrt(p), so start the buckets there
-    pending, found, bl = vec, None, bucket_length or float(np.sqrt(len(cols)))
-    for it in range(8):
-        lsh = BucketedRandomProjectionLSH(inputCol="_vec", outputCol="_hashes", bucketLength=bl,
-                                          numHashTables=hash_tables, seed=seed).fit(vec)
-        pairs = (lsh.approxSimilarityJoin(lsh.transform(pending), lsh.transform(vec), 2 * bl, distCol="_d")
-                 .select(F.col(f"datasetA.{key}").alias("_a"), F.col(f"datasetB.{key}").alias("_b"), "_d")
-                 .where(F.col("_a") != F.col("_b")))
-        top = pairs.withColumn("_j", F.row_number().over(Window.partitionBy("_a").orderBy("_d", "_b"))).where(F.col("_j") <= k)
-        found = top if found is None else found.unionByName(top)
-        enough = found.groupBy("_a").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= need_k)
-        pending = vec.join(enough, vec[key] == enough["_a"], "left_anti")
-        if pending.limit(1).count() == 0 or it == 7:
-            break
-        # rows still short of neighbours retry with wider buckets; keep only the finished rows
-        found = cut_lineage(found.join(enough.select("_a"), "_a", "left_semi"))
-        bl *= 2
-    nbrs = found.join(found.groupBy("_a").agg(F.count(F.lit(1)).alias("_kn")), "_a")
+    if n_min == 1:
+        nbrs = mino.select(F.col(key).alias("_a"), F.col(key).alias("_b"), F.lit(0.0).alias("_d"))
+    else:
+        directions = np.random.default_rng(seed).standard_normal((projections, len(cols)))
+        near = None
+        for d in directions:
+            at = sum((F.col(c).cast("double") * float(w) for c, w in zip(cols, d)), F.lit(0.0))
+            ranked = running_totals(mino.select(key, at.alias("_at")), ["_at", key], {"_r": (None, True)}).select(key, "_r")
+            ahead = ranked.select(F.col(key).alias("_a"), F.explode(F.sequence(F.col("_r") + 1, F.col("_r") + reach)).alias("_r"))
+            met = ahead.join(ranked.withColumnRenamed(key, "_b"), "_r").select("_a", "_b")
+            met = met.unionByName(met.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+            near = met if near is None else near.unionByName(met)
+        side = lambda n: mino.select(F.col(key).alias(n), *[F.col(c).cast("double").alias(f"{n}_{i}") for i, c in enumerate(cols)])
+        pairs = near.distinct().join(side("_a"), "_a").join(side("_b"), "_b")
+        dist = F.sqrt(sum((F.pow(F.col(f"_a_{i}") - F.col(f"_b_{i}"), 2) for i in range(len(cols))), F.lit(0.0)))
+        pairs = pairs.select("_a", "_b", dist.alias("_d"))
+        # at most 2 * reach * projections candidates per row
+        nbrs = pairs.withColumn("_j", F.row_number().over(Window.partitionBy("_a").orderBy("_d", "_b"))).where(F.col("_j") <= k).drop("_j")
+    nbrs = cut_lineage(nbrs)
+    nbrs = nbrs.join(nbrs.groupBy("_a").agg(F.count(F.lit(1)).alias("_kn")), "_a")
     nbrs = nbrs.withColumn("_j", F.row_number().over(Window.partitionBy("_a").orderBy("_d", "_b")))
 
     # how many synthetic rows each minority row makes: need // n_min, +1 for the first need % n_min

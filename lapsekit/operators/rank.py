@@ -1,115 +1,53 @@
-"""Global running totals and ranks without one giant partition (E5).
-
-``Window.orderBy(...)`` without ``partitionBy`` sorts the whole table in one task. Here rows
-are cut into ordered buckets instead:
-
-1. approximate quantiles of the first order column give at most ``n_buckets`` split values
-   (a bounded list of numbers, read once);
-2. every split value ``s`` gets a bucket of its own, ``[s, nextafter(s))``. A value
-   that holds a third of all rows is a quantile, so it lands in such a singleton bucket, and that
-   bucket is cut again by quantiles of the second order column (the tie-break);
-3. per-bucket totals form a small table (at most ``2 * n_buckets * n_sub`` rows, a bound
-   fixed by the parameters, not by the data). Its exclusive prefix sums are broadcast;
-4. a running window *within* each bucket plus the bucket offset gives the global value.
-
-Bucket order is lexicographically monotone in the order columns, so the result equals
-a single global window. Ties must be broken by the caller (the order columns must
-identify a row) for ``row_number``-style ranks.
+"""Global running totals, ranks and quantiles without one giant partition (E5).
+
+``Window.orderBy(...)`` without ``partitionBy`` sorts the whole table in one task. Here rows are first
+range-partitioned by all order columns, in their own types. Spark samples the split points, so there are as many
+ranges as shuffle partitions, and a value that a third of all rows share is split by the columns behind it. The
+ranges are written to the checkpoint folder with their numbers, so every later step sees the same ones. A small table
+of totals per range (one row per partition) gives each range its offset; a window inside each range does the rest.
+
+The result equals a single global window. Ties must be broken by the caller (the order columns must identify a
+row) for ``row_number``-style ranks. Nulls come first.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N_BUCKETS = 256
-N_SUB = 32
-ACCURACY = 10000
-
-
-def _splits(df: DataFrame, cols: Sequence[str], ns: Sequence[int]) -> list[list[float]]:
-    """Approximate quantile values of several columns in one pass (a bounded list per column)."""
-    aggs = [F.percentile_approx(F.col(c).cast("double"), [i / n for i in range(1, n)], ACCURACY).alias(f"q{k}")
-            for k, (c, n) in enumerate(zip(cols, ns))]
-    row = df.agg(*aggs).first()
-    return [sorted({float(v) for v in (row[f"q{k}"] or []) if v is not None and not math.isnan(v)})
-            for k in range(len(cols))]
-
-
-def _bucketize(df: DataFrame, col: str, out: str, values: list[float]) -> tuple[DataFrame, set[int]]:
-    """Bucket id per row; each value in ``values`` gets a singleton bucket. Returns the ids of those."""
-    # bucket i is [splits[i], splits[i+1]); the singleton bucket of v is [v, nextafter(v))
-    splits = [-math.inf]
-    singles = set()
-    for v in sorted(set(values)):
-        if v > splits[-1]:
-            splits.append(v)
-        singles.add(len(splits) - 1)
-        splits.append(math.nextafter(v, math.inf))
-    if splits[-1] < math.inf:
-        splits.append(math.inf)
-    tmp = f"{out}__in"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    res = b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
-    return res.withColumn(out, F.col(out).cast("int")), singles
+from lapsekit.session import cut_lineage
 
 
 def running_total(df: DataFrame, order: Sequence[str], weight: str | None = None, out: str = "running",
-                  inclusive: bool = True, n_buckets: int = N_BUCKETS, n_sub: int = N_SUB,
-                  cut: bool = True) -> DataFrame:
-    """Running sum of ``weight`` (row count when ``None``) in ascending ``order``, over the whole table.
-
-    ``order[0]`` and, if given, ``order[1]`` must be numeric. Rows with a null in ``order[0]`` are
-    not allowed (filter them first).
-    """
-    return running_totals(df, order, {out: (weight, inclusive)}, n_buckets, n_sub, cut)
-
+                  inclusive: bool = True) -> DataFrame:
+    """Running sum of ``weight`` (row count when ``None``) in ascending ``order``, over the whole table."""
+    return running_totals(df, order, {out: (weight, inclusive)})
 
-def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, tuple[str | None, bool]],
-                   n_buckets: int = N_BUCKETS, n_sub: int = N_SUB, cut: bool = True) -> DataFrame:
-    """Several running sums in one bucketed pass: ``sums = {out: (weight column or None, inclusive)}``.
 
-    The input is read twice (split values, then the ranking), so by default it is checkpointed
-    first: its upstream plan runs once, and a lost executor does not recompute it.
-    """
-    if cut:
-        from lapsekit.session import cut_lineage
-        df = cut_lineage(df)
+def running_totals(df: DataFrame, order: Sequence[str], sums: dict[str, tuple[str | None, bool]]) -> DataFrame:
+    """Several running sums in one pass: ``sums = {out: (weight column or None, inclusive)}``."""
     order = list(order)
-    key = order[0]
-    split_cols = order[:2]
-    values = _splits(df, split_cols, [n_buckets, n_sub][:len(split_cols)])
-    ranked, singles = _bucketize(df, key, "_rb", values[0])
-    if len(order) > 1 and singles:
-        tie = order[1]
-        ranked, _ = _bucketize(ranked, tie, "_rt", values[1])
-        ranked = ranked.withColumn("_rs", F.when(F.col("_rb").isin(sorted(singles)), F.col("_rt")).otherwise(0)).drop("_rt")
-    else:
-        ranked = ranked.withColumn("_rs", F.lit(0))
-
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_rb", F.spark_partition_id()))
     ws = {o: (F.col(w) if w else F.lit(1)) for o, (w, _) in sums.items()}
-    totals = ranked.groupBy("_rb", "_rs").agg(*[F.sum(w).alias(f"_tot_{i}") for i, w in enumerate(ws.values())])
-    # Bounded table (<= 2 * n_buckets * n_sub rows): one small ordered window, then broadcast.
-    before = Window.orderBy("_rb", "_rs").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_rb", "_rs", *[F.coalesce(F.sum(f"_tot_{i}").over(before), F.lit(0)).alias(f"_off_{i}")
-                                            for i in range(len(ws))])
-    frame = Window.partitionBy("_rb", "_rs").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    res = ranked.join(F.broadcast(offsets), on=["_rb", "_rs"], how="inner")
+    totals = ranged.groupBy("_rb").agg(*[F.sum(w).alias(f"_tot_{i}") for i, w in enumerate(ws.values())])
+    before = Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)      # one row per partition
+    offsets = totals.select("_rb", *[F.coalesce(F.sum(f"_tot_{i}").over(before), F.lit(0)).alias(f"_off_{i}")
+                                     for i in range(len(ws))])
+    frame = Window.partitionBy("_rb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    res = ranged.join(F.broadcast(offsets), on="_rb", how="inner")
     for i, (o, (_, inclusive)) in enumerate(sums.items()):
         w = ws[o]
         within = F.sum(w).over(frame) if inclusive else F.sum(w).over(frame) - w
         res = res.withColumn(o, F.col(f"_off_{i}") + within)
-    return res.drop("_rb", "_rs", *[f"_off_{i}" for i in range(len(ws))])
+    return res.drop("_rb", *[f"_off_{i}" for i in range(len(ws))])
 
 
-def rank_first(df: DataFrame, key: str, tie: str, out: str = "rank", cut: bool = True) -> DataFrame:
+def rank_first(df: DataFrame, key: str, tie: str, out: str = "rank") -> DataFrame:
     """1-based rank by ``key``, ties broken by ``tie`` (pandas ``rank(method='first')`` with a
     deterministic tie order, Q4)."""
-    return running_total(df, [key, tie], None, out=out, cut=cut).withColumn(out, F.col(out).cast("long"))
+    return running_total(df, [key, tie], None, out=out).withColumn(out, F.col(out).cast("long"))
 
 
 def average_ranks(values: DataFrame, value: str, count: str = "count", out: str = "avg_rank") -> DataFrame:
@@ -117,3 +55,26 @@ def average_ranks(values: DataFrame, value: str, count: str = "count", out: str
     of their positions, as in rank tests and ROC curves."""
     cum = running_total(values, [value], count, out="_cum")
     return cum.withColumn(out, F.col("_cum") - (F.col(count) - 1) / 2.0).drop("_cum")
+
+
+def group_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float], out: str = "q") -> DataFrame:
+    """(group, q): exact linear quantiles of ``value`` in each group, as one array per group.
+
+    The two rows around each position are looked up by global rank, so no task holds a column. ``group`` must have a
+    bounded number of values; nulls in ``value`` are left out. Equal rows need no tie-break: they carry equal values.
+    """
+    src = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    ranked = running_total(src, ["_g", "_v"], None, out="_r")
+    sizes = src.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))     # one row per group
+    at = ranked.join(F.broadcast(sizes), "_g").withColumn("_i", F.col("_r") - F.col("_before") - 1)
+
+    def edge(p: float) -> Column:
+        pos = F.lit(p) * (F.col("_n") - 1)
+        low, high = F.floor(pos), F.ceil(pos)
+        a = F.max(F.when(F.col("_i") == low, F.col("_v")))
+        b = F.max(F.when(F.col("_i") == high, F.col("_v")))
+        return F.when(F.max(low) == F.max(high), a).otherwise(F.max(high - pos) * a + F.max(pos - low) * b)
+
+    return at.groupBy(F.col("_g").alias(group)).agg(F.array(*[edge(p) for p in probs]).alias(out))

@@ -7,25 +7,11 @@ from pyspark.sql import functions as F
 
 from lapsekit.functions.scalar import money_sum
 from lapsekit.operators.lifecycle import CUSTOMER, DATE, present_day
-from lapsekit.operators.rank import rank_first
+from lapsekit.operators.rank import group_quantiles, rank_first
 
-# Fixed values that must equal the reference's: quantile cut points for recency (scores 5..1),
-# tenure bins in days (scores 5..1), and the segment names per (recency, frequency) score pattern.
+# Fixed values that must equal the reference's: quantile cut points for recency (scores 5..1) and amount.
 RECENCY_QUANTILES = [0.0, 0.25, 0.45, 0.60, 0.75, 1.0]
 MONETARY_QUANTILES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
-TENURE_BINS = [0, 90, 180, 270, 360]
-SEGMENTS = {
-    "hibernating": "R 1-2, F 1-2",
-    "at_Risk": "R 1-2, F 3-4",
-    "cant_loose": "R 1-2, F 5",
-    "about_to_sleep": "R 3, F 1-2",
-    "need_attention": "R 3, F 3",
-    "loyal_customers": "R 3-4, F 4-5",
-    "promising": "R 4-5, F 1",
-    "potential_loyalists": "R 4-5, F 2-3",
-    "champions": "R 5, F 4-5",
-    "new_customers": "tenure score 5 (overrides the above)",
-}
 
 
 def rfm(tx: DataFrame, as_of: Column | None = None, customer: str = CUSTOMER, date: str = DATE,
@@ -59,7 +45,8 @@ def _ladder(value: Column, edges: Column, scores: list[int]) -> Column:
 
 
 def quantile_edges(df: DataFrame, col: str, probs: list[float]) -> Column:
-    """Exact (linear) quantiles of ``col`` as one array-valued scalar subquery."""
+    """Exact (linear) quantiles of a column with a bounded number of values (days), as one array-valued
+    scalar subquery. Continuous columns go through ``group_quantiles``."""
     return df.select(F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs])).alias("q")).scalar()
 
 
@@ -87,9 +74,10 @@ def rfm_scores(r: DataFrame, customer: str = CUSTOMER) -> DataFrame:
     from lapsekit.session import cut_lineage
     r = cut_lineage(r)
     rec_edges = quantile_edges(r, "recency", RECENCY_QUANTILES[1:-1])
-    mon_edges = quantile_edges(r, "monetary", MONETARY_QUANTILES[1:-1])
+    mon_edges = group_quantiles(r.select(F.lit(0).alias("all"), "monetary"), "all", "monetary", MONETARY_QUANTILES[1:-1])
+    mon_edges = mon_edges.select("q").scalar()
     n = r.select(F.count(F.lit(1))).scalar()
-    ranked = rank_first(r, "frequency", customer, out="_frank", cut=False)
+    ranked = rank_first(r, "frequency", customer, out="_frank")
     # each scalar subquery enters the plan once, as a column
     ranked = ranked.withColumns({"_re": rec_edges, "_me": mon_edges, "_n": n})
     out = ranked.withColumns({

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapsekit.operators.rank import average_ranks, running_total, running_totals
+from lapsekit.operators.rank import average_ranks, group_quantiles, running_total, running_totals
 
 # --- tail probabilities (per-row helpers on a handful of rows) ----------------------------------
 
@@ -139,7 +139,8 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, bw_adjust: f
     hi = F.col("_hi0") + F.lit(cut) * h
     vc = vc.withColumns({"_glo": lo, "_step": (hi - lo) / F.lit(grid - 1)})
     norm = F.lit(1.0 / math.sqrt(2 * math.pi))
-    aggs = [F.sum(F.col("_c") * F.exp(F.lit(-0.5) * F.pow((F.col("_glo") + F.lit(k) * F.col("_step") - F.col("_v")) / h, 2)))
+    # a constant column (or a single row) has no bandwidth: its density is null
+    aggs = [F.sum(F.col("_c") * F.exp(F.lit(-0.5) * F.pow(F.try_divide(F.col("_glo") + F.lit(k) * F.col("_step") - F.col("_v"), h), 2)))
             .alias(f"g{k}") for k in range(grid)]
     wide = vc.groupBy(*keys).agg(*aggs, F.first("_n").alias("_n"), F.first("_h").alias("_h"),
                                  F.first("_glo").alias("_glo"), F.first("_step").alias("_step"))
@@ -147,7 +148,7 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, bw_adjust: f
     long = wide.selectExpr(*keys, f"stack({grid}, {stack}) as (grid_index, s)", "_n", "_h", "_glo", "_step")
     return long.select(*keys, F.col("grid_index").cast("int").alias("grid_index"),
                        (F.col("_glo") + F.col("grid_index") * F.col("_step")).alias("x"),
-                       (F.col("s") * norm / (F.col("_n") * F.col("_h"))).alias("density"))
+                       F.try_divide(F.col("s") * norm, F.col("_n") * F.col("_h")).alias("density"))
 
 
 # --- I1: normality --------------------------------------------------------------------------------
@@ -222,9 +223,10 @@ def mann_whitney(df: DataFrame, col: str, label: str, first=True) -> DataFrame:
     s = s.withColumn("n2", F.col("n") - F.col("n1"))
     n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("n").cast("double")
     s = s.withColumn("u1", F.col("r1") - n1 * (n1 + 1) / 2).withColumn("u2", n1 * n2 - F.col("u1"))
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
+    # all values tied, or one side empty: z and p are null
+    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
     # 'less': scipy evaluates the upper tail of U2 with the continuity correction
-    s = s.withColumn("z", (F.col("u2") - n1 * n2 / 2.0 - 0.5) / sigma)
+    s = s.withColumn("z", F.try_divide(F.col("u2") - n1 * n2 / 2.0 - 0.5, sigma))
     return s.select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
                     "u1", "u2", "tie_term", "z", norm_sf(F.col("z")).alias("p_value"))
 
@@ -236,9 +238,10 @@ def welch_t(df: DataFrame, col: str, label: str, first=True) -> DataFrame:
     g = df.where(x.isNotNull()).agg(
         F.count(F.when(is1, x)).alias("n1"), F.avg(F.when(is1, x)).alias("mean1"), F.var_samp(F.when(is1, x)).alias("var1"),
         F.count(F.when(~is1, x)).alias("n2"), F.avg(F.when(~is1, x)).alias("mean2"), F.var_samp(F.when(~is1, x)).alias("var2"))
-    a, b = F.col("var1") / F.col("n1"), F.col("var2") / F.col("n2")
-    g = g.withColumn("t", (F.col("mean1") - F.col("mean2")) / F.sqrt(a + b))
-    g = g.withColumn("df", F.pow(a + b, 2) / (F.pow(a, 2) / (F.col("n1") - 1) + F.pow(b, 2) / (F.col("n2") - 1)))
+    a, b = F.try_divide(F.col("var1"), F.col("n1")), F.try_divide(F.col("var2"), F.col("n2"))
+    # no variance, or under two rows on a side: t, df and p are null
+    g = g.withColumn("t", F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(a + b)))
+    g = g.withColumn("df", F.try_divide(F.pow(a + b, 2), F.try_divide(F.pow(a, 2), F.col("n1") - 1) + F.try_divide(F.pow(b, 2), F.col("n2") - 1)))
     return g.withColumn("p_value", t_cdf(F.col("t"), F.col("df")))
 
 
@@ -251,7 +254,9 @@ def zscore_filter(df: DataFrame, cols: Sequence[str], threshold: float = 3.0) ->
     out, counts = df, {}
     for c in cols:
         st = out.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"))
-        z = F.abs((F.col(c) - st.select("m").scalar()) / st.select("s").scalar())
+        # a constant column has no outliers: its z is null, which counts as 0
+        z = F.abs(F.coalesce(F.try_divide(F.col(c) - st.select("m").scalar(), st.select("s").scalar()),
+                             F.when(F.col(c).isNotNull(), F.lit(0.0))))
         counts[c] = out.where(z > threshold).agg(F.count(F.lit(1)).alias(f"{c}_outliers"))
         out = out.where(z <= threshold)
     return out, counts
@@ -320,9 +325,10 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     tot = vc.agg(F.sum("_pos").alias("P"), F.sum("_negc").alias("N"))
     P, N = tot.select("P").scalar(), tot.select("N").scalar()
     c = running_totals(vc, ["_neg"], {"_tp": ("_pos", True), "_fp": ("_negc", True),
-                                      "_tp0": ("_pos", False), "_fp0": ("_negc", False)}, cut=False)
-    tpr, fpr = F.col("_tp") / P, F.col("_fp") / N
-    area = (F.col("_fp") - F.col("_fp0")) / N * (F.col("_tp") + F.col("_tp0")) / P / 2.0
+                                      "_tp0": ("_pos", False), "_fp0": ("_negc", False)})
+    # with one class only, the rate of the other and the area are null
+    tpr, fpr = F.try_divide(F.col("_tp"), P), F.try_divide(F.col("_fp"), N)
+    area = F.try_divide(F.col("_fp") - F.col("_fp0"), N) * F.try_divide(F.col("_tp") + F.col("_tp0"), P) / 2.0
     return c.select((-F.col("_neg")).alias("threshold"), F.col("_tp").alias("tp"), F.col("_fp").alias("fp"),
                     tpr.alias("tpr"), fpr.alias("fpr"), area.alias("area"))
 
@@ -340,12 +346,9 @@ def mutual_info(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10,
     this is the plug-in binned estimate.
     """
     probs = [i / bins for i in range(1, bins)]
-    edges = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(c)
-                     for c in cols])
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {stack}) as (feature, value)", f"`{label}` as _y")
-    e_long = edges.selectExpr(f"stack({len(cols)}, {', '.join(f'{chr(39)}{c}{chr(39)}, `{c}`' for c in cols)}) "
-                              f"as (feature, edges)")
+    e_long = group_quantiles(long, "feature", "value", probs, out="edges")
     j = long.where(F.col("value").isNotNull()).join(F.broadcast(e_long), on="feature")  # one row per feature
     j = j.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value"))))
     joint = j.groupBy("feature", "bin", "_y").agg(F.count(F.lit(1)).alias("c"))

@@ -57,6 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Folder of the prepared tables: ``spark.lapsekit.tables.dir``, else one beside the applications' own checkpoint
+    folders under ``spark.checkpoint.dir``, so that a later application finds them again."""
+    named = spark.conf.get("spark.lapsekit.tables.dir", None)
+    if named:
+        return named.rstrip("/")
+    own = ensure_checkpoint_dir(spark).rstrip("/")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(shared or own).rstrip('/')}/lapsekit-tables"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -86,7 +97,7 @@ _LOCKS: dict[str, object] = {}
 
 
 def materialized(spark: SparkSession, name: str, key_parts: list[str], build, rebuild: bool = False,
-                 partition_by: list[str] | None = None) -> DataFrame:
+                 partition_by: list[str] | None = None, cluster_by: list[str] | None = None) -> DataFrame:
     """A prepared table written once as Parquet under the shared checkpoint folder and read back.
 
     ``key_parts`` (input paths, their sizes and times, a version) name the copy, so changed inputs
@@ -94,31 +105,39 @@ def materialized(spark: SparkSession, name: str, key_parts: list[str], build, re
     Parquet scan with column pruning and filter pushdown instead of the whole preparation plan.
     """
     import hashlib
-    root = ensure_checkpoint_dir(spark).rstrip("/")
+    root = tables_dir(spark)
     digest = hashlib.sha1("|".join(key_parts).encode()).hexdigest()[:16]
-    path = f"{root}/lapsekit-tables/{name}-{digest}"
+    path = f"{root}/{name}-{digest}"
     import threading
     lock = _LOCKS.setdefault(path, threading.Lock())
     with lock:  # queries run from several threads build a table once
         if rebuild or not _exists(spark, f"{path}/_SUCCESS"):
             df = build()
             if partition_by:
-                # range-clustered on the partition columns: each year is written by a few tasks
-                # (AQE sizes them), not by every task, so files stay large at any scale
-                df = df.repartitionByRange(*partition_by)
+                # range-clustered on the partition columns and then on ``cluster_by``: the columns behind split a
+                # large partition over many tasks, and a task writes few partitions, so files stay large
+                df = df.repartitionByRange(*partition_by, *(cluster_by or []))
                 df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
             else:
                 df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def input_fingerprint(paths: list[str]) -> list[str]:
-    """Path, size and modification time of local inputs (just the path for remote ones)."""
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Length and time of all files under each path, on whatever file system it names."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        size = latest = n = 0
         try:
-            st = os.stat(p)
-            out.append(f"{p}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            out.append(p)
+            files = path.getFileSystem(conf).listFiles(path, True)
+            while files.hasNext():
+                f = files.next()
+                size, latest, n = size + f.getLen(), max(latest, f.getModificationTime()), n + 1
+        except Exception as e:  # noqa: BLE001 - a missing input: its reader says so
+            if "FileNotFound" not in str(e):
+                raise
+        out.append(f"{p}:{n}:{size}:{latest}")
     return out

@@ -107,9 +107,10 @@ def fact_all(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFra
     """Item-grain fact table over all dates, written once to the shared folder and read back
     (A2/A3: the prepared table every analysis step starts from)."""
     inputs = [table_path(sf_dir, t) for t in ("orders", "lineitem", "customer", "part")]
-    return materialized(spark, "fact_all", [TABLE_VERSION, str(FACT_YEAR_PARTITIONS), *input_fingerprint(inputs)],
+    return materialized(spark, "fact_all", [TABLE_VERSION, str(FACT_YEAR_PARTITIONS), *input_fingerprint(spark, inputs)],
                         lambda: build_fact_all(spark, sf_dir), rebuild=rebuild,
-                        partition_by=["transaction_year"] if FACT_YEAR_PARTITIONS else None)
+                        partition_by=["transaction_year"] if FACT_YEAR_PARTITIONS else None,
+                        cluster_by=["transaction_date", "booking_id"])
 
 
 def as_of(spark: SparkSession, sf_dir: str):
@@ -119,7 +120,7 @@ def as_of(spark: SparkSession, sf_dir: str):
     a trivial scan instead of re-scanning the fact table's dates.
     """
     inputs = [table_path(sf_dir, t) for t in ("orders", "lineitem", "customer", "part")]
-    meta = materialized(spark, "fact_as_of", [TABLE_VERSION, *input_fingerprint(inputs)],
+    meta = materialized(spark, "fact_as_of", [TABLE_VERSION, *input_fingerprint(spark, inputs)],
                         lambda: fact_all(spark, sf_dir).select(
                             F.date_add(F.max("transaction_date"), 2).alias("as_of")))
     return meta.select(F.max("as_of")).scalar()
@@ -137,12 +138,12 @@ def events_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         return read(spark, sf_dir, "events").select(
             "event_id", F.col("user_id").alias("customer_id"), F.col("event_type").alias("event_name"),
             F.col("ts").alias("event_ts"), F.col("ts").cast("date").alias("event_date"), "value", "props")
-    return materialized(spark, "events_all", [TABLE_VERSION, *input_fingerprint([table_path(sf_dir, "events")])], build)
+    return materialized(spark, "events_all", [TABLE_VERSION, *input_fingerprint(spark, [table_path(sf_dir, "events")])], build)
 
 
 def events_as_of(spark: SparkSession, sf_dir: str):
     """The click log's own as-of date (latest event date + 2 days), a one-row prepared table."""
-    meta = materialized(spark, "events_as_of", [TABLE_VERSION, *input_fingerprint([table_path(sf_dir, "events")])],
+    meta = materialized(spark, "events_as_of", [TABLE_VERSION, *input_fingerprint(spark, [table_path(sf_dir, "events")])],
                         lambda: events_all(spark, sf_dir).select(F.date_add(F.max("event_date"), 2).alias("as_of")))
     return meta.select(F.max("as_of")).scalar()
 

@@ -189,7 +189,7 @@ def test_one_hot_and_codes(spark):
     assert [r.c for r in df.select(sc.encode_map("g", {"F": 0, "M": 1}).alias("c")).collect()] == [1, 0, None]
     coded = {r.g: r.code for r in sc.encode_sorted(df, "g", "code").collect()}
     assert coded == {"F": 0, "M": 1, "X": 2}
-    oh = sc.one_hot(df, "g", "G").orderBy("g").collect()
+    oh = sc.one_hot(df, "g", "G", ["F", "M", "X"]).orderBy("g").collect()
     assert [(r.G_F, r.G_M, r.G_X) for r in oh] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 
 

@@ -35,5 +35,5 @@ def test_fixed_schema_csv(spark):
 
 def test_basket_matrix(spark):
     df = spark.createDataFrame([(1, " A"), (1, "b"), (2, "b")], "k long, item string")
-    m = {r.k: (r.a, r.b) for r in bk.basket_matrix(df, "k", "item").collect()}
+    m = {r.k: (r.a, r.b) for r in bk.basket_matrix(df, "k", "item", ["a", "b"]).collect()}
     assert m == {1: (1, 1), 2: (0, 1)}
