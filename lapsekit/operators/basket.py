@@ -122,12 +122,20 @@ def frequent_itemsets(b: DataFrame, min_support: float = 0.01, items: str = "ite
         (F.col("freq") / n).alias("support"), F.size("items").alias("length")))
 
 
-def _subsets(itemset: Column) -> Column:
-    """All non-empty proper subsets of a (sorted) array, each as a sorted array."""
+def _splits(sets: DataFrame, itemset: str, out: str) -> DataFrame:
+    """A row for each non-empty proper subset of a (sorted) array, as a sorted array.
+
+    The 64-bit mask comes in two halves, exploded one after the other, so no row ever holds an array of 2^k masks.
+    """
     k = F.size(itemset)
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), k).cast("int") - 2)
-    return F.transform(masks, lambda m: F.filter(
-        itemset, lambda x, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1))
+    low = F.floor(k / 2).cast("int")
+    top = lambda n: F.expr("1L") * F.pow(F.lit(2.0), n).cast("long") - 1
+    rows = (sets.withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), top(k - low))))
+            .withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), top(low))))
+            .withColumn("_mask", F.col("_hi") * (top(low) + 1) + F.col("_lo"))
+            .where((F.col("_mask") > 0) & (F.col("_mask") < top(k))))
+    bit = lambda i: F.expr("_mask").bitwiseAND((F.pow(F.lit(2.0), i)).cast("long")) != 0
+    return rows.withColumn(out, F.filter(itemset, lambda x, i: bit(i))).drop("_hi", "_lo", "_mask")
 
 
 def association_rules(freq: DataFrame, metric: str = "lift", min_threshold: float = 1.0) -> DataFrame:
@@ -138,8 +146,7 @@ def association_rules(freq: DataFrame, metric: str = "lift", min_threshold: floa
     """
     sup = freq.select("itemset", "support")
     multi = freq.where(F.col("length") >= 2)
-    r = multi.select(F.col("itemset").alias("_s"), F.col("support"),
-                     F.explode(_subsets(F.col("itemset"))).alias("antecedent"))
+    r = _splits(multi.select(F.col("itemset").alias("_s"), F.col("support")), "_s", "antecedent")
     r = r.withColumn("consequent", F.array_sort(F.array_except("_s", "antecedent")))
     r = (r.join(sup.select(F.col("itemset").alias("antecedent"), F.col("support").alias("antecedent_support")),
                 on="antecedent", how="inner")
@@ -174,11 +181,14 @@ def recommend(b: DataFrame, rules: DataFrame, key: str, top: int = 3, items: str
     """Suggestions from rules whose antecedent is inside the basket and whose consequent is not
     fully in it, best ``top`` per basket by confidence, then lift (K8).
 
-    Candidate pairs come from an equi-join on the antecedent's first item (no cross join);
+    Candidate pairs come from an equi-join on the antecedent's rarest item (no cross join);
     the subset test then runs on those pairs only.
     """
     flat = b.select(key, items, F.explode(items).alias("_item"))
-    rr = rules.withColumn("_item", F.get(F.col("antecedent"), 0))
+    often = flat.groupBy("_item").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = (rules.select("antecedent").distinct().withColumn("_item", F.explode("antecedent")).join(often, "_item")
+              .groupBy("antecedent").agg(F.min_by("_item", F.struct("_often", "_item")).alias("_item")))
+    rr = rules.join(rarest, "antecedent")
     cand = flat.join(rr, on="_item", how="inner")
     cand = cand.where((F.size(F.array_except("antecedent", items)) == 0) &
                       (F.size(F.array_except("consequent", items)) > 0))

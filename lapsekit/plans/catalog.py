@@ -183,6 +183,30 @@ def customer_activity(spark, sf_dir):
     return _activity(spark, sf_dir, td.fact(spark, sf_dir))
 
 
+BY_ITEM = """
+by_item AS (SELECT customer_id, n_items, """ + ", ".join(S.KINDS) + """, n_events, amount FROM cust_counts JOIN cust_items USING (customer_id))"""
+
+
+@register("customer_activity_by_item", S.with_(S.FACT, S.EVENTS, S.CUST_COUNTS, BY_ITEM) + """
+SELECT customer_id, """ + ", ".join(f"CAST({k} * n_items AS BIGINT) AS {k}" for k in S.KINDS) + """,
+       CAST(n_events * n_items AS BIGINT) AS n_events, amount
+FROM by_item""")
+def customer_activity_by_item(spark, sf_dir):
+    """Activity sums with each session counted once per item row, the reference's own weight."""
+    items = act.session_items(td.fact(spark, sf_dir), session="customer_id")
+    return act.weighted_activity(_customer_counts(spark, sf_dir), items, td.EVENT_KINDS, weight="item", on="customer_id")
+
+
+@register("customer_conversion_by_item", S.with_(S.FACT, S.EVENTS, S.CUST_COUNTS, BY_ITEM) + """
+SELECT customer_id, CAST(""" + S.BOOKING + """ * n_items AS BIGINT) AS n_bookings, CAST(n_events * n_items AS BIGINT) AS n_events,
+       round(coalesce(""" + S.BOOKING + """ * n_items * 100.0 / nullif(n_events * n_items, 0), 0.0), 2) AS conversion_rate
+FROM by_item""")
+def customer_conversion_by_item(spark, sf_dir):
+    """Conversion with item weights."""
+    items = act.session_items(td.fact(spark, sf_dir), session="customer_id").select("customer_id", "n_items")
+    return act.conversion_rate(_customer_counts(spark, sf_dir).join(items, "customer_id"), td.BOOKING_KIND, weight_col="n_items")
+
+
 @register("customer_aov", S.with_(S.FACT) + """,
 aov AS (SELECT customer_id, """ + S.money_avg("amount") + """ AS aov FROM tx GROUP BY customer_id)
 SELECT * FROM aov""")
