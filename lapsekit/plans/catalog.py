@@ -753,6 +753,56 @@ def lapse_auc(spark, sf_dir):
     return st.auc(st.roc_curve(_scored(spark, sf_dir), "is_churned", "days_since")).select(F.round("auc", 9).alias("auc"))
 
 
+ROC_BY_FREQUENCY = ROC_SQL.replace(S.with_(S.FACT, S.FENCE), S.with_(S.FACT, S.FENCE, S.RFM)).replace(
+    "SELECT CAST(days_since AS DOUBLE) AS thr", "SELECT CAST(-frequency AS DOUBLE) AS thr").replace(
+    "FROM lab GROUP BY 1", "FROM rfm_seg JOIN lab USING (customer_id) GROUP BY 1")
+
+
+@register("lapse_roc_by_frequency", ROC_BY_FREQUENCY + """
+SELECT threshold, tp, fp, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr FROM roc""")
+def lapse_roc_by_frequency(spark, sf_dir):
+    """ROC of a score that the label does not depend on: the fewer sessions, the likelier lapsed."""
+    r = st.roc_curve(_scored(spark, sf_dir).withColumn("score", -F.col("frequency")), "is_churned", "score")
+    return r.select("threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
+                    F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
+
+
+@register("lapse_auc_by_frequency", ROC_BY_FREQUENCY + """
+SELECT round(sum(area), 9) AS auc FROM roc""")
+def lapse_auc_by_frequency(spark, sf_dir):
+    scored = _scored(spark, sf_dir).withColumn("score", -F.col("frequency"))
+    return st.auc(st.roc_curve(scored, "is_churned", "score")).select(F.round("auc", 9).alias("auc"))
+
+
+@register("frequency_mann_whitney", S.with_(S.FACT, S.FENCE, S.RFM) + """,
+la AS (SELECT CAST(frequency AS DOUBLE) AS x, is_churned FROM rfm_seg JOIN lab USING (customer_id)),
+vc AS (SELECT x, count(*) AS c, count(*) FILTER (WHERE is_churned) AS c1 FROM la GROUP BY 1),
+cu AS (SELECT *, sum(c) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM vc),
+g AS (SELECT sum(c1 * (cum - (c - 1) / 2.0)) AS r1, sum(c1) AS n1, sum(c) - sum(c1) AS n2, sum(c) AS n,
+             sum(pow(c::DOUBLE, 3) - c) AS tie_term FROM cu)
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(r1 - n1 * (n1 + 1) / 2.0, 6) AS u1, round(tie_term, 6) AS tie_term,
+       round(((n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) - n1 * n2 / 2.0 - 0.5)
+             / sqrt(n1 * n2 / 12.0 * ((n + 1) - tie_term / (n * (n - 1)))), 6) AS z
+FROM g""")
+def frequency_mann_whitney(spark, sf_dir):
+    """The rank test on a column full of ties, so the tie correction counts."""
+    r = st.mann_whitney(_scored(spark, sf_dir), "frequency", "is_churned", True)
+    return r.select("n1", "n2", *[F.round(c, 6).alias(c) for c in ["u1", "tie_term", "z"]])
+
+
+@register("event_kinds_by_period", """
+SELECT * FROM (
+  SELECT period_day, event_type AS item, n_rows,
+         row_number() OVER (PARTITION BY period_day ORDER BY n_rows DESC, event_type) AS item_rank
+  FROM (SELECT CASE WHEN hour(ts) < 6 THEN 'Night' WHEN hour(ts) < 12 THEN 'Morning' WHEN hour(ts) < 18 THEN 'Afternoon'
+                    ELSE 'Evening' END AS period_day, event_type, count(*) AS n_rows
+        FROM events GROUP BY 1, 2)) WHERE item_rank <= 3""")
+def event_kinds_by_period(spark, sf_dir):
+    """Top kinds per part of day on a source that has hours."""
+    ev = td.read(spark, sf_dir, "events").select(F.col("event_type").alias("item"), period_day("ts").alias("period_day"))
+    return bk.top_items_by(ev, "period_day", "item", 3).withColumn("item_rank", F.col("item_rank").cast("bigint"))
+
+
 @register("activity_amount_fit", S.with_(S.FACT, S.FENCE, S.RFM, S.EVENTS, S.CUST_COUNTS, S.INFO) + """
 SELECT round(regr_slope(amount, (click + view + signup + error) / 4.0), 6) AS slope,
        round(regr_intercept(amount, (click + view + signup + error) / 4.0), 6) AS intercept,
@@ -863,7 +913,10 @@ def lapse_model(spark, sf_dir):
             .withColumn("cv_precision", F.lit(cv[name])))
 
 
-@register("smote_balance")
+@register("smote_balance", "WITH mm AS (" + ORACLE["customer_model_table"] + """),
+t AS (SELECT is_churned, count(*) - CAST(round(count(*) * 0.2) AS BIGINT) AS n FROM mm GROUP BY 1)
+SELECT is_churned, FALSE AS synthetic, n AS n_rows FROM t
+UNION ALL SELECT is_churned, TRUE, (SELECT max(n) FROM t) - n FROM t WHERE n < (SELECT max(n) FROM t)""")
 def smote_balance(spark, sf_dir):
     """Class counts of the training split before and after SMOTE."""
     x, cols, _ = _model_data(spark, sf_dir)
