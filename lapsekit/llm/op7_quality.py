@@ -1,12 +1,12 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
-Every text gets counts (``text_counts``) and from them four ratios in whole steps: symbols, repeated
-lines and repeated word windows in thousandths, mean word length in hundredths. Per language and source a
+Every text gets counts (``text_counts``) and from them five ratios in whole steps: symbols, repeated
+lines, repeated word windows and words equal to the one before in thousandths, mean word length in hundredths. Per language and source a
 mergeable quantile sketch of each ratio - a histogram on that grid, so merging is adding and a quantile is
 off by less than one step - gives the bounds; fixed cutoffs are left only in the base rule:
 
     low, mid = 0.1 and 0.5 quantile;  spread = mid - low
-    a text fails if ratio > mid + 4 * spread + slack        (all four)
+    a text fails if ratio > mid + 4 * spread + slack        (all five)
                  or ratio < mid - 4 * spread - slack        (mean word length)
 
 The lower half of a distribution sets its upper bound, so up to half of a group may be junk. A group of
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lapsekit.session import cut_lineage
 
 #: feature: slack in steps (how far past a spread of zero a ratio may lie)
-SLACK = {"symbols": 20, "lines": 400, "repeats": 150, "length": 250}
+SLACK = {"symbols": 20, "lines": 400, "repeats": 250, "twins": 250, "length": 500}
 SPREADS = 4
 MIN_DOCS = 50
 BROADCAST_GROUPS = 20_000   # rows of four small numbers: under 2 MB
@@ -51,7 +51,7 @@ def _covered(at: Column) -> Column:
 
 
 def text_counts(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and row (names get ``prefix``).
+    """``docs`` plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_twin_words and row (names get ``prefix``).
 
     ``row`` is there for filters on the counts to name (``counted``): the optimiser then keeps such a filter above the
     counts, instead of writing their whole expressions into it, once for each mention.
@@ -77,6 +77,7 @@ def text_counts(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
     twice = F.filter(s, lambda x, j: F.coalesce(same(j, j - 1), F.lit(False)) | F.coalesce(same(j, j + 1), F.lit(False)))
     repeated = _covered(F.sort_array(F.transform(twice, lambda x: x["i"])))
     df = df.withColumns({
+        name("n_twin_words"): F.size(F.filter(c("words"), lambda w, i: (i > 0) & (w == F.get(c("words"), i - 1)))).cast("long"),
         name("n_words"): n.cast("long"), name("n_lines"): F.size(c("full_lines")).cast("long"),
         name("n_dup_lines"): (F.size(c("full_lines")) - F.size(F.array_distinct(c("full_lines")))).cast("long"),
         name("n_repeat_words"): F.when(s.isNotNull(), repeated).otherwise(F.lit(0)).cast("long"),
@@ -97,7 +98,7 @@ def _steps(c) -> dict[str, Column]:
     def ratio(a: str, b: str, step: int) -> Column:
         return F.floor(c(a) * step / F.greatest(c(b), F.lit(1).cast("long"))).cast("long")
     return {"symbols": ratio("n_symbols", "word_chars", 1000), "lines": ratio("n_dup_lines", "n_lines", 1000),
-            "repeats": ratio("n_repeat_words", "n_words", 1000), "length": ratio("word_chars", "n_words", 100)}
+            "repeats": ratio("n_repeat_words", "n_words", 1000), "twins": ratio("n_twin_words", "n_words", 1000), "length": ratio("word_chars", "n_words", 100)}
 
 
 def bounds(features: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
@@ -141,7 +142,7 @@ chosen AS (
   FROM {{groups}} g
   LEFT JOIN limits a ON a.level = 0 AND a.g_lang IS NOT DISTINCT FROM g.g_lang AND a.g_source IS NOT DISTINCT FROM g.g_source
   LEFT JOIN limits b ON b.level = 1 AND b.g_lang IS NOT DISTINCT FROM g.g_lang)
-SELECT c.g_lang, c.g_source, symbols_high, lines_high, repeats_high, length_high, length_low
+SELECT c.g_lang, c.g_source, symbols_high, lines_high, repeats_high, twins_high, length_high, length_low
 FROM chosen c LEFT JOIN limits l ON l.level = c.level
  AND (c.level = 2 OR l.g_lang IS NOT DISTINCT FROM c.g_lang) AND (c.level > 0 OR l.g_source IS NOT DISTINCT FROM c.g_source)
 """
@@ -171,7 +172,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     counts = cut_lineage(text_counts(rows, "_text").drop("_text"))  # read twice below: sketches and verdicts
     joined, good = _verdict(counts, bounds(counts), "lang", "source", "")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         base_failed(F.col).alias("base_failed"), good.alias("kept"))
+                         base_failed(F.col).alias("base_failed"), good.alias("kept"), "n_twin_words")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -202,23 +203,24 @@ counts AS (
          CAST(length(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(full_lines) AS BIGINT) AS n_lines, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(list_filter(words, lambda x, i: i > 1 AND x = words[i - 1])) AS BIGINT) AS n_twin_words
   FROM w LEFT JOIN rep ON rep.rid = w.rid),
 f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
          1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS lines,
-         1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 100 * word_chars // greatest(n_words, 1) AS length
+         1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_twin_words // greatest(n_words, 1) AS twins, 100 * word_chars // greatest(n_words, 1) AS length
   FROM counts),
 sketch AS (
   SELECT lang AS g_lang, source AS g_source, feature, bucket, count(*) AS n
-  FROM (SELECT lang, source, unnest(['symbols', 'lines', 'repeats', 'length']) AS feature,
-               unnest([symbols, lines, repeats, length]) AS bucket FROM f WHERE NOT base_failed)
+  FROM (SELECT lang, source, unnest(['symbols', 'lines', 'repeats', 'twins', 'length']) AS feature,
+               unnest([symbols, lines, repeats, twins, length]) AS bucket FROM f WHERE NOT base_failed)
   GROUP BY ALL),
 groups AS (SELECT DISTINCT lang AS g_lang, source AS g_source FROM f),
 b AS (__BOUNDS__)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(symbols <= symbols_high AND lines <= lines_high AND repeats <= repeats_high
-                                    AND length <= length_high AND length >= length_low, TRUE) AS kept
+                                    AND twins <= twins_high AND length <= length_high AND length >= length_low, TRUE) AS kept, n_twin_words
 FROM f LEFT JOIN b ON f.lang IS NOT DISTINCT FROM b.g_lang AND f.source IS NOT DISTINCT FROM b.g_source
 """
 
