@@ -114,14 +114,17 @@ def by_partition(sorted_keys: np.ndarray, parts: int) -> Iterator[tuple[int, int
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """Non-negative integers in the narrowest width that holds them; the first byte is the width."""
-    top = int(x.max()) if len(x) else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Non-negative integers, one byte each; those from 255 on follow in eight. Most counts are small."""
+    large = x >= 255
+    return len(x).to_bytes(4, "little") + np.where(large, 255, x).astype(np.uint8).tobytes() + x[large].astype("<i8").tobytes()
 
 
 def unpack_counts(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(b[:4], "little")
+    small = np.frombuffer(b, np.uint8, n, 4)
+    out = small.astype(np.int64)
+    out[small == 255] = np.frombuffer(b, "<i8", offset=4 + n)
+    return out
 
 
 def pack_bits(x: np.ndarray) -> bytes:

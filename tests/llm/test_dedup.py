@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lapsekit.llm import op1_minhash as M
-from lapsekit.llm.batched import pack_sorted, unpack_sorted
+from lapsekit.llm.batched import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from lapsekit.llm.op3_substring import mark_repeats
 from lapsekit.llm.op8_suffix import common, drop_repeats, merge_runs
 from lapsekit.llm.textwords import Words, inside, ngram_keys
@@ -102,6 +102,11 @@ def test_packed_keys_round_trip(top):
         assert (unpack_sorted(pack_sorted(k)) == k).all()
 
 
+def test_packed_counts_round_trip():
+    for x in ([], [0], [254, 255, 256, 1 << 40, 3], [255] * 5):
+        assert unpack_counts(pack_counts(np.array(x, np.int64))).tolist() == x
+
+
 def test_substring_dedup(documents, odd, nothing, corpus):
     for df in (documents, odd):
         want = removed_words([tuple(r) for r in df.select("doc_id", "text").collect()])
