@@ -29,8 +29,11 @@ def main():
     print("|---|---|---|---|---|---|---|---|---|---|---|")
     for n in a.names or HEADLINE:
         df = QUERIES[n](spark, a.sf)
-        df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        execution = df._jdf.queryExecution()
+        execution.toRdd().count()     # runs this very plan, so that it is final
+        plan = execution.executedPlan().toString()
+        assert "isFinalPlan=true" in plan or "AdaptiveSparkPlan" not in plan, n
+        plan = plan.split("== Initial Plan ==")[0]
         schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
         widest = max((s.count(":") for s in schemas), default=0)
         pushed = sorted({p for p in re.findall(r"PushedFilters: \[([^\]]*)\]", plan) if p})
