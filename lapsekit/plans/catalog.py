@@ -1242,3 +1242,28 @@ SELECT booking_id, line_number, min(transaction_date) OVER (PARTITION BY custome
 def first_purchase_rows(spark, sf_dir):
     """The customer's first purchase date on every row."""
     return lc.first_purchase(td.fact(spark, sf_dir)).select("booking_id", "line_number", "first_purchase")
+
+
+def _mutual_info_sql(table: str, columns: dict[str, str], label: str) -> str:
+    probs = [i / 10 for i in range(1, 10)]
+    parts, rows = [], []
+    for k, (name, column) in enumerate(columns.items()):
+        bins = " + ".join(f"CAST(v > p{i} AS INTEGER)" for i in range(len(probs)))
+        parts += [f"s{k} AS (SELECT CAST({column} AS DOUBLE) AS v, CAST({label} AS INTEGER) AS y FROM {table})",
+                  S.percentile(f"q{k}", f"s{k}", "v", probs),
+                  f"j{k} AS (SELECT {bins} AS bin, y, count(*) AS c FROM s{k}, q{k} GROUP BY 1, 2)",
+                  f"m{k} AS (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY bin) AS cb, sum(c) OVER (PARTITION BY y) AS cy FROM j{k})"]
+        rows.append(f"SELECT '{name}' AS feature, round(sum(c / n * ln(c * n / (cb * cy))), 9) AS mutual_info FROM m{k}")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(rows)
+
+
+@register("line_mutual_information", _mutual_info_sql(
+    "lineitem", {"l_extendedprice": "l_extendedprice", "l_quantity": "l_quantity", "l_shipday": "date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE))"},
+    "l_returnflag = 'R'"))
+def line_mutual_information(spark, sf_dir):
+    """Binned mutual information of raw columns with a label."""
+    rows = td.read(spark, sf_dir, "lineitem").select(
+        "l_extendedprice", "l_quantity", F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")).alias("l_shipday"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    mi = st.mutual_info(rows, ["l_extendedprice", "l_quantity", "l_shipday"], "y")
+    return mi.select("feature", F.round("mutual_info", 9).alias("mutual_info"))
