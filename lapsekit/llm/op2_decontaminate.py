@@ -12,17 +12,22 @@ an item that has leaked everywhere are all frequent).
 3. *Search and check*: one pass projects every passage and takes the items with a cosine of ``COSINE`` or more.
    Around each such passage the longest common subsequence with the item's words is found. A leak covers
    ``OVERLAP`` of the item; a paraphrase covers ``PARAPHRASE`` of it and ``ANSWER`` of its answer (the last sentence).
+4. *Probe*: the cosine misses some leaks, so the same pass also takes every passage that can hold one by count. A leak
+   covers m = ``PARAPHRASE`` of an item's n words, so at least k of its n - m + k rarest words are around the passage
+   (k = n / ``PROBE``), and of all its words, those around it and those that the item repeats make m. Passages with
+   fewer hold no leak: nothing that step 3 would accept is lost.
 
 Documents are never shuffled: each pass reads them once. Benchmarks of any size are taken in blocks of ``ITEMS``
 items, one set of passes for each.
 
-Defined cases: null or empty texts and items match nothing; items under ``MIN_WORDS`` words are not searched for (their
-words alone prove nothing); equal rows are judged one by one; items with equal ids are separate items; an empty
+Defined cases: null or empty texts and items match nothing; items under ``MIN_WORDS`` words match only where a text has
+them whole, word for word, and items under ``LEAST_WORDS`` match nothing (one or two words prove nothing); equal rows are judged one by one; items with equal ids are separate items; an empty
 corpus or benchmark gives no hits; extra columns are kept by ``add_hits``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -30,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsekit.llm.textwords import SPACE_OR_MARK, Words
+from lapsekit.llm.textwords import SPACE_OR_MARK, Words, ngram_keys
 
 BLOCK, MAX_DF, LEAST_DF, OWN, RANK, EXTRA = 16, 0.002, 50, 6, 96, 16
-COSINE, OVERLAP, PARAPHRASE, ANSWER, MIN_WORDS = 0.5, 0.7, 0.5, 0.6, 8
+COSINE, OVERLAP, PARAPHRASE, ANSWER, MIN_WORDS, LEAST_WORDS = 0.5, 0.7, 0.5, 0.6, 8, 3
+PROBE, GROUP = 5, 64      # a group of items is probed at a time: its hits in a slice bound the memory
 ITEMS = 4096
 _SLICE_BYTES = 1 << 20
 _SLICE_TERMS = 512
@@ -145,9 +151,103 @@ class Model:
 
     def __init__(self, items: list[Item]):
         self.items = [x for x in items if len(x.words) >= MIN_WORDS]
+        self.short = [x for x in items if LEAST_WORDS <= len(x.words) < MIN_WORDS]
         self.keys = np.unique(np.concatenate([x.words for x in self.items])) if self.items else np.zeros(0, np.uint64)
 
+    def index(self, df: np.ndarray):
+        """The probe's words: per group of items (first item, starts, items of each word, hits needed, words
+        around a passage, distinct words needed, words of each item)."""
+        self.words, self.probes = self.keys, []
+        for g in range(0, len(self.items), GROUP):
+            pairs, need, room, least = [], [], [], []
+            member = np.zeros((min(GROUP, len(self.items) - g), len(self.keys) + 1), bool)     # the last column: other words
+            for i, x in enumerate(self.items[g:g + GROUP]):
+                n = len(x.words)
+                most = math.ceil(PARAPHRASE * n)
+                need.append(min(most, -(-n // PROBE)))
+                room.append(_room(n))
+                own = np.searchsorted(self.keys, x.words)
+                member[i, own] = True
+                least.append(most - (n - int(member[i].sum())))
+                own = own[np.argsort(df[own], kind="stable")][:n - most + need[-1]]
+                pairs.append(np.unique(own) * GROUP + i)
+            pairs = np.sort(np.concatenate(pairs))
+            starts = np.searchsorted(pairs, np.arange(len(self.keys) + 1) * GROUP)
+            self.probes.append((g, starts, (pairs % GROUP).astype(np.uint8), np.array(need), np.array(room), np.array(least), member))
+
+    def probe(self, b: _Blocks, at: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """passage * items + item of all passages with enough of an item's rare words around them."""
+        text_of = np.repeat(np.arange(len(b.first) - 1), np.diff(b.first))
+        word = np.full(len(b.keys), len(self.keys), np.int32)
+        word[at] = term
+        before = np.full(len(b.keys), -1, np.int32)       # where the word stands the time before
+        order = np.argsort(word, kind="stable")
+        again = np.flatnonzero(word[order[1:]] == word[order[:-1]])
+        before[order[again + 1]] = order[again]
+        found = [np.zeros(0, np.int64)]
+        for g, starts, lists, need, room, least, member in self.probes:
+            count = starts[term + 1] - starts[term]
+            hit = np.repeat(np.arange(len(term)), count)
+            item = lists[np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + starts[term[hit]]]
+            order = np.argsort(item, kind="stable")
+            item, pos = item[order].astype(np.int64), at[hit[order]]
+            text = text_of[pos]
+            # hits that have enough others of their text within a passage's width
+            last = np.arange(len(item)) + need[item] - 1
+            ok = last < len(item)
+            last = np.where(ok, last, 0)
+            ok &= (item[last] == item) & (text[last] == text) & (pos[last] - pos < 2 * BLOCK + 2 * room[item])
+            cover = np.zeros(len(item) + 1, np.int64)
+            np.add.at(cover, np.flatnonzero(ok), 1)
+            np.add.at(cover, last[ok] + 1, -1)
+            live = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            item, pos, text = item[live], pos[live], text[live]
+            # the passages around each of them
+            x = pos - b.first[text]
+            low = np.maximum((x - 2 * BLOCK - room[item]) // BLOCK + 1, 0)
+            high = np.minimum((x + room[item]) // BLOCK, b.base[text + 1] - b.base[text] - 1)
+            n = high - low + 1
+            near = np.repeat(b.base[text] + low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            key, n = np.unique(near * len(self.items) + np.repeat(item + g, n), return_counts=True)
+            key = key[n >= need[key % len(self.items) - g]]
+            # distinct words of the item around the passage
+            p, i = key // len(self.items), key % len(self.items) - g
+            text = b.text[p]
+            begin = b.first[text] + (p - b.base[text]) * BLOCK
+            end = np.minimum(begin + 2 * BLOCK + room[i], b.first[text + 1])
+            begin = np.maximum(begin - room[i], b.first[text])
+            width = 2 * BLOCK + 2 * int(room.max())
+            for a in range(0, len(key), step := max(1, (1 << 20) // width)):
+                c = slice(a, a + step)
+                first = begin[c].astype(np.int32)[:, None]
+                near = first + np.arange(width, dtype=np.int32)
+                inside = near < end[c].astype(np.int32)[:, None]
+                near = np.minimum(near, np.int32(len(word) - 1))
+                seen = member.ravel().take(word.take(near) + i[c].astype(np.int32)[:, None] * np.int32(member.shape[1]))
+                seen &= inside & (before.take(near) < first)
+                found.append(key[c][np.count_nonzero(seen, axis=1) >= least[i[c]]])
+        return np.concatenate(found)
+
+    def whole(self, b: _Blocks, found: list[dict]):
+        """Short items that a text has word for word."""
+        ends = np.repeat(b.first[1:], np.diff(b.first))
+        for n in {len(x.words) for x in self.short}:
+            own = [(i, x) for i, x in enumerate(self.short, len(self.items)) if len(x.words) == n]
+            if len(b.keys) < n:
+                continue
+            grams = ngram_keys(b.keys, n)
+            names = np.array([ngram_keys(x.words, n)[0] for _, x in own])
+            order = np.argsort(names, kind="stable")
+            names = names[order]
+            left, right = np.searchsorted(names, grams, "left"), np.searchsorted(names, grams, "right")
+            for p in np.flatnonzero(right > left).tolist():
+                for k in order[left[p]:right[p]].tolist():
+                    i, x = own[k]
+                    if p + n <= ends[p] and (b.keys[p:p + n] == x.words).all():
+                        found[int(np.searchsorted(b.first, p, "right")) - 1][i] = (1.0, 1.0)
+
     def weigh(self, df: np.ndarray, blocks: int):
+        self.index(df)
         live = df <= max(MAX_DF * blocks, LEAST_DF)
         for x in self.items:
             own = np.searchsorted(self.keys, np.unique(x.words))
@@ -179,19 +279,22 @@ class Model:
 
     def hits(self, col: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = []
-        terms = _Terms(self.keys)
+        terms, words = _Terms(self.keys), _Terms(self.words)
+        items = self.items + self.short
         for _, part in _slices(col):
             found: list[dict[int, tuple[float, float]]] = [{} for _ in range(len(part))]
             b = _Blocks(part)
-            at, term = terms.find(b.keys)
-            y = _unit(b.passages(b.project(at, term, self.vectors)))
-            some = np.flatnonzero(y.any(1))
-            near = y[some] @ self.item_vectors.T >= COSINE
-            words = b.keys.tolist()
-            for p, i in zip(*(x.tolist() for x in np.nonzero(near))):
-                p = int(some[p])
-                self._check(b, words, p, i, found[b.text[p]])
-            out += [[{"item_id": self.items[i].id, "overlap": o, "answer": a} for i, (o, a) in sorted(f.items())] for f in found]
+            if self.items:
+                y = _unit(b.passages(b.project(*terms.find(b.keys), self.vectors)))
+                some = np.flatnonzero(y.any(1))
+                p, i = np.nonzero(y[some] @ self.item_vectors.T >= COSINE)
+                near = np.union1d(some[p] * len(self.items) + i, self.probe(b, *words.find(b.keys)))
+                keys = b.keys.tolist()
+                for p, i in zip((near // len(self.items)).tolist(), (near % len(self.items)).tolist()):
+                    self._check(b, keys, p, i, found[b.text[p]])
+            if self.short:
+                self.whole(b, found)
+            out += [[{"item_id": items[i].id, "overlap": o, "answer": a} for i, (o, a) in sorted(f.items())] for f in found]
         return out
 
     def _check(self, b: _Blocks, words: list[int], p: int, i: int, found: dict):
@@ -200,7 +303,7 @@ class Model:
             return
         n = len(item.words)
         begin = b.first[text] + (p - b.base[text]) * BLOCK
-        room = max(BLOCK, n)
+        room = _room(n)
         words = words[max(b.first[text], begin - room): min(b.first[text + 1], begin + 2 * BLOCK + room)]
         overlap = common_words(item.masks, n, words, PARAPHRASE * n) / n
         if overlap < PARAPHRASE:
@@ -210,6 +313,11 @@ class Model:
             found[i] = (overlap, answer)
 
 
+def _room(n: int) -> int:
+    """Words on each side of a passage that an item of ``n`` words is compared with."""
+    return max(BLOCK, n)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12).astype(np.float32)
 
@@ -287,10 +395,11 @@ def models(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     for i in range(blocks):
         own = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i)
         model = Model([Item(r["id"], r["text"]) for r in own.toLocalIterator()])
-        df, n = _count_terms(texts, model)
+        df, n = _count_terms(texts, model) if model.items else (np.zeros(0, np.int64), 0)
         model.weigh(df, n)
-        if model.items and len(model.keys):
+        if model.items:
             model.learn(_sketch(texts, model))
+        if model.items or model.short:
             out.append(model)
     return out
 

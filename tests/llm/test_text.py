@@ -207,3 +207,32 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert D.common_words(D._masks(np.array(a, np.uint64)), len(a), b) == table[-1][-1]
+
+
+def test_leaks_are_those_of_all_passages(spark):
+    """Paraphrases and short items against the rule on every passage, without retrieval."""
+    rng = np.random.default_rng(11)
+    chance = 1 / np.arange(1, 1201)
+    word = lambda n: [f"w{x}" for x in rng.choice(1200, n, p=chance / chance.sum())]
+    items = [(i, " ".join(word(int(rng.integers(12, 60)))) + ". " + " ".join(word(6))) for i in range(40)]
+    docs = []
+    for i, text in items:
+        for j, share in enumerate((0.0, 0.12, 0.25, 0.35, 0.45)):
+            told = [w if rng.random() >= share else word(1)[0] for w in text.split()]
+            docs.append((10 * i + j, " ".join(word(int(rng.integers(0, 90))) + told + word(int(rng.integers(0, 90))))))
+    docs += [(1000, "so we said Blue, whale! again"), (1001, "so we said blue whale and again"), (1002, "blue"), (1003, "whale again said")]
+    short = [(90, "said blue whale again"), (91, "blue whale"), (92, "We said blue")]
+    want = {(1000, 90), (1000, 92), (1001, 92)}
+    for i, text in items:
+        item = D.Item(i, text)
+        n, m = len(item.words), len(item.answer)
+        for d, t in docs:
+            w = D._words([t])[0].tolist()
+            for a in range(0, len(w), D.BLOCK):
+                part = w[max(0, a - n): a + 2 * D.BLOCK + n]
+                x, y = D.common_words(item.masks, n, part) / n, D.common_words(item.answer_masks, m, part) / m
+                if x >= D.OVERLAP or (x >= D.PARAPHRASE and y >= D.ANSWER):
+                    want.add((d, i))
+    got = [(r.doc_id, r.item_id) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                       spark.createDataFrame(items + short, "item_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
