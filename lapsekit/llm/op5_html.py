@@ -8,9 +8,9 @@
    Presentation: entropy (base m) of the child sequences of the element above. Importance is ``CONTENT`` of
    the first and the rest of the second. A node below ``LOW`` on at least ``MIN_PAGES`` pages goes.
 3. *Extract.* A page keeps its blocks outside low nodes. What elements mean is known beforehand: navigation,
-   headers, footers, asides, forms, adverts, notices, comments and the like go, also on hosts with one page;
-   inside an article or main element entropy alone removes nothing (a site may repeat an article). If a page
-   has such an element, only its text is kept.
+   headers, footers, asides, forms, adverts, notices, comments and the like go, also on hosts with one page.
+   If a page has an article or main element, only its text is kept, less its low nodes. A site may repeat an
+   article: if the low nodes hold over half of the text there, they stay.
 
 Pages are parsed twice and not shuffled: the low nodes of all hosts are joined by host, as a broadcast if they are
 few, else salted so that a host with a third of all pages is spread over many tasks.
@@ -184,14 +184,14 @@ def style_counts(page: str) -> list[tuple[int, int, int]]:
     """What a page adds to its site's tree, each once: (node, kind, feature); kind 0 text, 1 child sequence, 2 the node."""
     blocks, elements = blocks_of(page)
     out = set()
-    for path, text, noise, main in blocks:
-        if not noise and not main:
+    for path, text, noise, _ in blocks:
+        if not noise:
             node = _key(path)
             out.add((node, 0, _key(text)))
             out.add((node, 2, 0))
             out.add((node, 1, _key(path.rpartition(">")[0])))
     for e in elements:
-        if not e.noise and not e.main:
+        if not e.noise:
             out.add((_key(e.path), 3, _key("|".join(e.children))))
     return list(out)
 
@@ -199,10 +199,12 @@ def style_counts(page: str) -> list[tuple[int, int, int]]:
 def main_text(page: str, low: set[int] = frozenset()) -> str:
     blocks, _ = blocks_of(page)
     kept = [b for b in blocks if not b[2]]
-    if any(b[3] for b in kept):
-        kept = [b for b in kept if b[3]]
+    main = [b for b in kept if b[3]]
+    own = [b for b in main or kept if _key(b[0]) not in low]
+    if main:
+        kept = own if 2 * sum(len(b[1]) for b in own) >= sum(len(b[1]) for b in main) else main
     else:
-        kept = [b for b in kept if _key(b[0]) not in low] or kept
+        kept = own or kept
     return " ".join(b[1] for b in kept)
 
 

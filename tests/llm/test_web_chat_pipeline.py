@@ -125,3 +125,15 @@ def test_queries_are_registered():
     import __spark_entry__
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_style_tree_inside_main(spark, site):
+    """The tree also judges what is inside main; an article that a site repeats stays."""
+    inside = [(i, u, h and h.replace("<body>", "<body><main>").replace("</body>", "</main></body>")) for i, u, h in site[:30]]
+    story = "<html><body><article><h1>Part {}</h1><p>One story that is on all pages of this site, word for word.</p></article></body></html>"
+    same = [(200 + i, f"https://again.example/{i}", story.format(chr(65 + i))) for i in range(12)]
+    by = {r.page_id: r.text for r in H.extract(spark.createDataFrame(inside + same, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert "Welcome" not in by[i] and "Call us" not in by[i] and by[i].count(" ") >= 50
+    for i in range(12):
+        assert by[200 + i] == f"Part {chr(65 + i)} One story that is on all pages of this site, word for word."
