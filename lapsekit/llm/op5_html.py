@@ -10,7 +10,9 @@
 3. *Extract.* A page keeps its blocks outside low nodes. What elements mean is known beforehand: navigation,
    headers, footers, asides, forms, adverts, notices, comments and the like go, also on hosts with one page.
    If a page has an article or main element, only its text is kept, less its low nodes. A site may repeat an
-   article: if the low nodes hold over half of the text there, they stay.
+   article: if the low nodes hold over half of the text there, they stay. Class names, ids and forms are only
+   guesses: one around a main element does not count, nor does one around an article or most of the text of a page
+   that has no article or main outside its guesses (a layout 'has-sidebar', a form around the whole page).
 
 Pages are parsed twice and not shuffled: the low nodes of all hosts are joined by host, as a broadcast if they are
 few, else salted so that a host with a third of all pages is spread over many tasks.
@@ -60,43 +62,85 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
                    r"|<(/?)([A-Za-z][^\s/>]*)([^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*)>"
                    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+FORMS = {"form", "fieldset"}     # known noise, but a guess where they hold the main content
 SPACE = re.compile(r"[ \t\n\r\f\v  -     　 \u0085\x1c-\x1f]+")
 NUMBER = re.compile(r"\d+")
 NAME = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+class _Guess:
+    """An element that its name calls noise, and what it holds."""
+    __slots__ = ("outer", "inside", "has_main", "has_article", "shows_article", "size", "void")
+
+    def __init__(self, outer: _Guess | None, inside: bool):
+        self.outer, self.inside, self.size = outer, inside, 0     # the guess around it; whether it is inside main content
+        self.has_main = self.has_article = self.shows_article = self.void = False
+
+
 class _Element:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    __slots__ = ("tag", "path", "noise", "main", "children", "guess")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+    def __init__(self, tag: str, path: str, noise: bool, main: bool, guess: _Guess | None = None):
+        self.tag, self.path, self.noise, self.main, self.children, self.guess = tag, path, noise, main, [], guess
 
 
-def _open(parent: _Element, tag: str, attributes: str) -> _Element:
-    label, noise, role_main = tag, tag in NOISE_TAGS, False
+def _open(parent: _Element, tag: str, attributes: str, guesses: list[_Guess]) -> _Element:
+    label, noise, role_main, guess, full_main = tag, tag in NOISE_TAGS and tag not in FORMS, False, tag in FORMS, tag == "main"
     if attributes and not attributes.isspace():
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = next((v for v in values if v), ""), name.lower()
             if name in ("class", "id"):
                 label += ("." if name == "class" else "#") + NUMBER.sub("0", value.strip())
                 names = set(NAME.findall(CAMEL.sub("-", value).lower()))
-                noise |= bool(names & NOISE_WORDS) and tag not in ("html", "body", "article", "main")
+                guess |= bool(names & NOISE_WORDS) and tag not in ("html", "body", "article", "main")
             elif name == "role":
-                noise |= value.lower() in NOISE_ROLES
+                guess |= value.lower() in FORMS
+                noise |= value.lower() in NOISE_ROLES - FORMS
                 role_main = value.lower() in ("main", "article")
+                full_main |= value.lower() == "main"
             elif name == "hidden" or value.lower() == "true":
                 noise = True
     if tag == "header" and parent.main:
-        noise = parent.noise   # an article's own header holds its headline
+        noise, guess = parent.noise, False   # an article's own header holds its headline
     parent.children.append(label)
-    return _Element(tag, f"{parent.path}>{label}", parent.noise or noise, parent.main or tag in MAIN_TAGS or role_main)
+    noise |= parent.noise
+    own = parent.guess
+    if guess and not noise:
+        own = _Guess(own, parent.main)
+        guesses.append(own)
+    if full_main and own and not noise:
+        own.has_main |= not own.inside
+    return _Element(tag, f"{parent.path}>{label}", noise, parent.main or tag in MAIN_TAGS or role_main, own)
+
+
+def _settle(found: list[tuple], guesses: list[_Guess]):
+    """Decide from the outside in which guesses do not count."""
+    total, shown = 0, False
+    for _, text, noise, main, guess in found:
+        if not noise:
+            total += len(text)
+            if guess:
+                guess.size += len(text)
+                guess.shows_article |= main
+                guess.has_article |= main and not guess.inside
+            else:
+                shown |= main
+    for g in reversed(guesses):
+        if g.outer:
+            g.outer.size += g.size
+            g.outer.has_main |= g.has_main and not g.outer.inside
+            g.outer.has_article |= (g.has_article or g.inside and g.shows_article) and not g.outer.inside
+    for g in guesses:
+        if not g.outer or g.outer.void:
+            g.void = g.has_main or not shown and (g.has_article or 2 * g.size > total)
+            shown |= g.void and g.shows_article
 
 
 def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[_Element]]:
     """Text blocks (path, text, known noise, inside main content) in page order, and all block elements."""
     root = _Element("", "", False, False)
-    stack, blocks, elements, run = [root], [], [root], []
+    stack, found, elements, run, guesses = [root], [], [root], [], []
     at, end = 0, len(page)
 
     def block_at(depth: int = -1) -> _Element:
@@ -111,7 +155,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[_Eleme
             run.clear()
             if text:
                 e = block_at()
-                blocks.append((e.path, text, stack[-1].noise or e.noise, e.main))
+                found.append((e.path, text, stack[-1].noise or e.noise, e.main, stack[-1].guess))
 
     def pop(n: int):
         while len(stack) > n:
@@ -168,12 +212,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[_Eleme
                         break
         if tag not in INLINE:
             close_run()
-        e = _open(stack[-1], tag, attributes)
+        e = _open(stack[-1], tag, attributes, guesses)
         stack.append(e)
         if tag not in INLINE:
             elements.append(e)
     close_run()
-    return blocks, elements
+    _settle(found, guesses)
+    for e in elements:
+        e.noise |= e.guess is not None and not e.guess.void
+    return [(path, text, noise or g is not None and not g.void, main) for path, text, noise, main, g in found], elements
 
 
 def _key(s: str) -> int:

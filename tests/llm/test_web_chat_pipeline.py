@@ -137,3 +137,16 @@ def test_style_tree_inside_main(spark, site):
         assert "Welcome" not in by[i] and "Call us" not in by[i] and by[i].count(" ") >= 50
     for i in range(12):
         assert by[200 + i] == f"Part {chr(65 + i)} One story that is on all pages of this site, word for word."
+
+
+def test_noise_names_do_not_cover_the_article():
+    body = "<article><h1>T</h1><p>in</p><div class='share'>s</div></article>"
+    for around in ("<div class='layout has-sidebar'>{}</div>", "<div id='no-sidebar'><div class='with-header menu-open'>{}</div></div>",
+                   "<form action='/'>{}</form>", "<div class='menu-open'><main>{}</main></div>", "<fieldset><div role='form'>{}</div></fieldset>"):
+        assert H.main_text("<nav>n</nav>" + around.format("<div class='sidebar'>side</div>" + body)) == "T in"
+    # what names tell still counts beside the article, also where it holds articles or is long
+    late = "<div class='comments'><article>" + "c " * 50 + "</article></div><form>search</form>"
+    assert H.main_text(body + late) == "T in" and H.main_text(f"<main>{body}{late}</main>") == "T in"
+    assert H.main_text(f"<div class='has-sidebar'>{body}{late}</div>") == "T in"
+    assert H.main_text("<div class='has-sidebar'><p>most of the text</p><div class='sidebar'>less</div></div><div>x</div>") == "most of the text x"
+    assert H.main_text("<div>the text of the page</div><div class='promo'>buy</div>") == "the text of the page"
