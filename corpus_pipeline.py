@@ -4,7 +4,7 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir), with the
 and returns the next table. All but the last keep the columns of ``documents``:
 
 * quality_rules: rows that fail the rules go (operator 7).
-* near_dedup: one document of each near-duplicate group stays (operator 1).
+* near_dedup: one document of each near-duplicate group stays (operator 1, at a similarity of 0.8).
 * decontamination: documents that hold a benchmark passage go (operator 2).
 * secret_scan: secrets are masked in the text; no document goes (operator 9).
 * packing: the remaining documents as packed pieces (operator 4).
@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs, threshold=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 1. *Signature* (one pass, no shuffle of texts): each 5-word shingle goes by its hash into one of ``BUCKETS`` buckets; a
    bucket keeps the smallest hash seen, as a register of 6 bits of leading zeros and 10 bits of mantissa.
 2. *Exact copies*: documents with the same shingle set (128-bit digest) are one class; only its smallest id goes on.
-3. *Banding*: ``BANDS`` bands of ``ROWS`` registers; classes with an equal band meet in a bucket. A bucket is read as a
+3. *Banding*: bands of as many registers as the threshold allows (``band_rows``); classes with an equal band meet in a bucket. A bucket is read as a
    stream against its *leaders*: by estimates from 8-bit registers, corrected for chance agreement, a class is tied to
-   leaders that may be as near as ``TIE`` and becomes a leader itself unless one is nearer than ``ABSORB``. By the
+   leaders that may be as near as the threshold less (1 - ``ABSORB``) and becomes a leader itself unless one is nearer than ``ABSORB``. By the
    triangle inequality of 1 - Jaccard, two classes over the threshold are tied to a common leader (or to each other).
    Only ties that join something are put out, so a bucket of n classes gives fewer than n rows. Tied classes are *families*.
 4. *Estimate and verify*: families are cut into blocks of at most ``BLOCK`` classes, and each pair of blocks is a task.
@@ -15,7 +15,7 @@
    that join something: at most one per class.
 5. *Components* of the links, by label contraction.
 
-A pair at the threshold shares no band with a chance of about 1e-6 and fails the estimate with about 1e-9. An empty band
+The threshold is in hundredths, ``THRESHOLD`` by default. A pair at the threshold shares no band with a chance under ``MISS`` and fails the estimate with about 1e-9. An empty band
 (no register set in either) says nothing and is left out. Blocks bound a task's memory in a hot group of near copies; the
 block pairs of one family still grow with the square of its *different* texts (copies are one).
 
@@ -34,12 +34,11 @@ from pyspark.sql import functions as F
 from lapsekit.llm.textwords import Words, mix, ngram_keys
 from lapsekit.session import cut_lineage
 
-SHINGLE, NUMERATOR, DENOMINATOR = 5, 85, 100
-ROWS, BANDS = 8, 40
-BUCKETS = ROWS * BANDS
+SHINGLE, THRESHOLD = 5, 85
+BUCKETS, MISS = 320, 5e-6
 MANTISSA = 10
 SIGMAS = 6.0
-ABSORB, TIE, TIE_SIGMAS = 0.8, 0.65, 4.0     # TIE = threshold - (1 - ABSORB)
+ABSORB, TIE_SIGMAS = 0.8, 4.0
 BLOCK = 1024
 EMPTY = 0xFFFF
 _SLICE_BYTES = 1 << 20
@@ -83,13 +82,19 @@ def registers_of(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_rows(threshold: int) -> int:
+    """Most registers in a band with which a pair at the threshold shares none of the bands with a chance under ``MISS``."""
+    return max((r for r in range(1, 17) if (1 - (threshold / 100) ** r) ** (BUCKETS // r) <= MISS), default=1)
+
+
+def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
     """A key for each band (rows of ``registers`` are documents); 0 for a band without any register."""
-    r = registers.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    bands = BUCKETS // rows
+    r = registers[:, :bands * rows].reshape(-1, bands, rows).astype(np.uint64)
     key = np.zeros(r.shape[:2], np.uint64)
-    for j in range(ROWS):
+    for j in range(rows):
         key = key * np.uint64(0x9E3779B97F4A7C15) + r[:, :, j] + np.uint64(1)
-    key = mix(key + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    key = mix(key + np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
     key[(r == EMPTY).all(2)] = 0
     return key
 
@@ -118,7 +123,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Bucket:
     """Leaders of one band bucket."""
 
-    def __init__(self):
+    def __init__(self, threshold: int):
+        self.tie = threshold / 100 - (1 - ABSORB)
         self.leaders, self.regs, self.up = [], np.zeros((0, BUCKETS), np.uint8), {}
 
     def find(self, i: int) -> int:
@@ -132,7 +138,7 @@ class _Bucket:
         while ids:
             if new < len(self.leaders):
                 j, n = estimate(regs, self.regs[new:])
-                tied = j >= TIE - TIE_SIGMAS * np.sqrt(TIE * (1 - TIE) / n)
+                tied = j >= self.tie - TIE_SIGMAS * np.sqrt(self.tie * (1 - self.tie) / n)
                 for row, leader in zip(*(x.tolist() for x in np.nonzero(tied))):
                     a, b = self.find(ids[row]), self.find(self.leaders[new + leader])
                     if a != b:
@@ -146,7 +152,7 @@ class _Bucket:
                 ids, regs = ids[1:], regs[1:]
 
 
-def ties(members: DataFrame) -> DataFrame:
+def ties(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(band, class, small) rows -> (a, b) ties; each partition is a stream sorted by band."""
     def run(batches):
         band, bucket, out = None, None, []
@@ -159,7 +165,7 @@ def ties(members: DataFrame) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(bands)) + 1).tolist(), len(bands)]
             for a, b in zip(cuts, cuts[1:]):
                 if band != bands[a]:
-                    band, bucket = bands[a], _Bucket()
+                    band, bucket = bands[a], _Bucket(threshold)
                 out += bucket.add(ids[a:b], regs[a:b])
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
             out = []
@@ -167,7 +173,9 @@ def ties(members: DataFrame) -> DataFrame:
     return members.select("band", "class", "small").repartition("band").sortWithinPartitions("band", "class").mapInArrow(run, "a long, b long")
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, threshold: int = THRESHOLD) -> DataFrame:
+    rows = band_rows(threshold)
+
     def run(batches):
         for batch in batches:
             size = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1).cast(pa.large_binary()))])
@@ -177,7 +185,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 part = batch.slice(i, j - i)
                 sets = shingle_sets(part.column(1))
                 regs = np.stack([registers_of(s) for s in sets])
-                bands = band_keys(regs)
+                bands = band_keys(regs, rows)
                 digest = [digest_of(s) for s in sets]
                 keys = [np.unique(k[k != 0]).view(np.int64) for k in bands]
                 yield pa.RecordBatch.from_arrays(
@@ -209,9 +217,10 @@ class _Union:
         return True
 
 
-def verified_links(ids: np.ndarray, registers: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
+def verified_links(ids: np.ndarray, registers: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None,
+                   threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """Links of full-set similarity >= the threshold that connect the rows of a task (a spanning forest)."""
-    t = NUMERATOR / DENOMINATOR
+    t = threshold / 100
     size = np.array([len(s) for s in sets])
     found = []
     step = max(1, (1 << 16) // max(len(ids), 1))
@@ -232,7 +241,7 @@ def verified_links(ids: np.ndarray, registers: np.ndarray, sets: list[np.ndarray
     for x, y in zip(a[order].tolist(), b[order].tolist()):
         if union.find(x) != union.find(y):
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if DENOMINATOR * both >= NUMERATOR * (len(sets[x]) + len(sets[y]) - both):
+            if 100 * both >= threshold * (len(sets[x]) + len(sets[y]) - both):
                 union.join(x, y)
                 links.append((int(ids[x]), int(ids[y])))
     return links
@@ -262,9 +271,9 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    signed = cut_lineage(signatures(docs, doc_id, text))
+    signed = cut_lineage(signatures(docs, doc_id, text, threshold))
     linkable = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # exact copies: the class is named by its smallest id
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("class"))
@@ -274,7 +283,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     banded = reps.select("class", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = banded.join(shared, "band").join(reps.select("class", "small"), "class")
-    family = components(ties(met))
+    family = components(ties(met, threshold))
     # blocks of families: (family, place) -> class; a family of up to ``block`` classes is one task
     sized = family.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     member = (family.join(sized, "component")
@@ -294,7 +303,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sets = [sets[i] for i in at]
         regs = np.stack([registers_of(s) for s in sets])
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        links = verified_links(ids, regs, sets, None if low == high else own)
+        links = verified_links(ids, regs, sets, None if low == high else own, threshold)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     links = wanted.groupBy("family", "low", "high").applyInArrow(verify, "a long, b long")
@@ -305,11 +314,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose document stays (the smallest id of its group), repeated rows once."""
     name = "_key"
     while any(c.startswith(name) for c in docs.columns):
         name = "_" + name
-    gone = near_duplicates(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias(f"{name}_gone")).distinct()
+    gone = near_duplicates(docs, doc_id, text, threshold=threshold).filter(~F.col("kept")).select(F.col("doc_id").alias(f"{name}_gone")).distinct()
     left = docs.join(gone, F.col(doc_id).cast("long") == F.col(f"{name}_gone"), "left_anti")
     return left.withColumn(name, F.md5(F.col(f"`{text}`"))).dropDuplicates([doc_id, name]).drop(name)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lapsekit.llm import op1_minhash as M
 from lapsekit.llm.batched import pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from lapsekit.llm.op3_substring import mark_repeats
@@ -184,3 +185,21 @@ def test_keep_one_keeps_one_of_each_group(odd):
     assert len(rows) == len(set(rows))
     want = {i for i, (_, c) in groups([(r.doc_id, r.text) for r in odd.collect()]).items() if i == c}
     assert {i for i, _ in rows if i is not None} == want
+
+
+def test_threshold_of_the_pipeline_stage(spark):
+    """Pairs between 0.80 and 0.85 are linked by the stage and not by the operator's default."""
+    assert (M.band_rows(85), M.band_rows(80)) == (8, 6)
+    rows = []
+    for i in range(60):
+        words = [f"d{i}x{j}" for j in range(200 + i)]
+        rows.append((2 * i, " ".join(words)))
+        for j in range(10, 10 + 6 * (3 + i % 3), 6):      # each change takes five shingles
+            words[j] = "new"
+        rows.append((2 * i + 1, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    near = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= j < 0.85 for j in near) >= 15 and min(near) < 0.8 and max(near) >= 0.85
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for kept, least in ((M.keep_one(df), 0.85), (corpus_pipeline.near_dedup(spark, df, ""), 0.8)):
+        assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if i % 2 == 0 or near[i // 2] < least}
