@@ -3,8 +3,10 @@
 Base patterns (assignments, access keys, long hex) stay as they are. The method adds strings that a public
 vocabulary spends many tokens on: a run of 20 or more key characters with letters and digits (or lively
 case changes) and fewer than ``RATIO`` characters per token. Words, even invented or long ones, compress
-better than random strings do. Left out: hex of a digest's length (MD5, SHA-1, SHA-2), UUIDs, plain numbers,
-and anything that touches a base match.
+better than random strings do. Words in a run would hide a key beside them, so a run that does not look random
+is judged in its pieces (between / - _ +) too: each stretch of neighbouring pieces that just reaches 20 characters,
+and each piece by windows of 20; flagged ones are joined. Left out: hex of a digest's length (MD5, SHA-1, SHA-2),
+UUIDs, plain numbers, and base matches; what a base match leaves of a run is judged as a run.
 
 Spans are code points, end exclusive, ordered by start and then kind. Defined cases: null text = empty;
 equal rows are scanned one by one; an empty table gives no rows; extra columns are ignored by ``find_secrets``
@@ -29,10 +31,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+LEAST = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}")
+PIECE = re.compile(r"[A-Za-z0-9]+")
 DIGESTS = {32, 40, 56, 64, 96, 128}
 ANY_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+INNER_UUID = re.compile(r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])")
+WINDOW_STEP = 4
 LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 TURN = re.compile(r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
 
@@ -64,6 +70,41 @@ def looks_random(s: str, encoding, ratio: float = RATIO) -> bool:
     return len(s) < ratio * len(encoding.encode_ordinary(s))
 
 
+def dense(s: str, encoding, ratio: float = RATIO) -> bool:
+    """Whether the pieces alone take that many tokens: separators would make any path of short names look random."""
+    pieces = PIECE.findall(s)
+    return sum(map(len, pieces)) < ratio * sum(len(encoding.encode_ordinary(p)) for p in pieces)
+
+
+def random_parts(s: str, encoding, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """The spans of a run that look random: all of it, or what its pieces tell."""
+    if looks_random(s, encoding, ratio):
+        return [(0, len(s))]
+    known = [m.span() for m in INNER_UUID.finditer(s)]
+    flagged, group = [], []
+    for a, b in [*(m.span() for m in PIECE.finditer(s)), (len(s), len(s))]:
+        digest = b - a in DIGESTS and ANY_HEX.match(s[a:b])
+        if a < b and not digest and not any(x <= a and b <= y for x, y in known):
+            group.append((a, b))
+            continue
+        tests = set()
+        for i, (x, y) in enumerate(group):
+            tests.update((x, y, k) for k in {*range(x, y - LEAST, WINDOW_STEP), y - LEAST} if k >= x)
+            end = next((v for _, v in group[i:] if v - x >= LEAST), None)
+            begin = next((u for u, _ in group[i::-1] if y - u >= LEAST), None)
+            tests.update((u, v, -1) for u, v in ((x, end), (begin, y)) if u is not None and v is not None)
+        flagged += [(x, y) for x, y, k in tests if looks_random(s[x:y] if k < 0 else s[k:k + LEAST], encoding, ratio)
+                    and (k >= 0 or dense(s[x:y], encoding, ratio))]
+        group = []
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(flagged):
+        if out and x <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
 def spans_of(text: str, encoding, ratio: float = RATIO) -> list[tuple[str, int, int]]:
     out = []
     low = text.lower()
@@ -76,9 +117,11 @@ def spans_of(text: str, encoding, ratio: float = RATIO) -> list[tuple[str, int,
         out += [("hex", *m.span()) for m in HEX.finditer(text, *r.span())]
     base = out[:]
     for r in runs:
-        a, b = r.span()
-        if not any(s < b and a < e for _, s, e in base) and looks_random(r[0], encoding, ratio):
-            out.append(("random", a, b))
+        a, end = r.span()
+        for s, e in [*sorted((s, e) for _, s, e in base if s < end and a < e), (end, end)]:
+            if s - a >= LEAST:   # what lies before the next base match
+                out += [("random", a + x, a + y) for x, y in random_parts(text[a:s], encoding, ratio)]
+            a = max(a, e)
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
