@@ -2,7 +2,7 @@
 
 1. *Signature* (one pass, no shuffle of texts): each 5-word shingle goes by its hash into one of ``BUCKETS`` buckets; a
    bucket keeps the smallest hash seen, as a register of 6 bits of leading zeros and 10 bits of mantissa.
-2. *Exact copies*: documents with the same shingle set (128-bit digest) are one class; only its smallest id goes on.
+2. *Exact copies*: documents with the same shingle set (128-bit digest) are one class, named by a hash of the digest; only its smallest id goes on.
 3. *Banding*: bands of as many registers as the threshold allows (``band_rows``); classes with an equal band meet in a bucket. A bucket is read as a
    stream against its *leaders*: by estimates from 8-bit registers, corrected for chance agreement, a class is tied to
    leaders that may be as near as the threshold less (1 - ``ABSORB``) and becomes a leader itself unless one is nearer than ``ABSORB``. By the
@@ -42,7 +42,7 @@ ABSORB, TIE_SIGMAS = 0.8, 4.0
 BLOCK = 1024
 EMPTY = 0xFFFF
 _SLICE_BYTES = 1 << 20
-SIGNATURES = "doc_id long, n_shingles long, digest binary, small binary, bands array<long>"
+SIGNATURES = "doc_id long, mark string, n_shingles long, digest binary, small binary, bands array<long>"
 
 
 def shingle_sets(col: pa.Array) -> list[np.ndarray]:
@@ -189,13 +189,13 @@ def signatures(docs: DataFrame, doc_id: str, text: str, threshold: int = THRESHO
                 digest = [digest_of(s) for s in sets]
                 keys = [np.unique(k[k != 0]).view(np.int64) for k in bands]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
                      pa.array([r.tobytes() for r in compressed(regs)], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "small", "bands"])
+                    names=["doc_id", "mark", "n_shingles", "digest", "small", "bands"])
                 i = j
 
-    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(run, SIGNATURES))
+    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                        F.md5(F.col(text).cast("string")).alias("mark")).mapInArrow(run, SIGNATURES))
 
 
 class _Union:
@@ -273,13 +273,18 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
+    return _judged(docs, doc_id, text, block, threshold).drop("mark")
+
+
+def _judged(docs: DataFrame, doc_id: str, text: str, block: int, threshold: int) -> DataFrame:
+    """``near_duplicates`` with each row's ``mark``, the MD5 of its text."""
     signed = cut_lineage(signatures(docs, doc_id, text, threshold))
     linkable = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # exact copies: the class is named by its smallest id
-    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("class"))
-    reps = cut_lineage(linkable.join(classes, "digest").filter(F.col("doc_id") == F.col("class")).dropDuplicates(["digest"])
-                       .select("digest", "class", "small", "bands"))
-    named = reps.select("class", "digest")
+    # exact copies: the class is read from its smallest id, which other texts may share
+    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("class", F.xxhash64("digest"))
+    reps = cut_lineage(linkable.join(classes, "digest").filter(F.col("doc_id") == F.col("least")).dropDuplicates(["digest"])
+                       .select("digest", "class", "least", "small", "bands"))
+    named = reps.select("class", "least", "digest")
     banded = reps.select("class", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = banded.join(shared, "band").join(reps.select("class", "small"), "class")
@@ -292,8 +297,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
               .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
     tasks = member.select("class", "family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("class", "family", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("class"), F.col(text).cast("string").alias("text"))
-    wanted = tasks.join(named, "class").join(texts, "class")
+    texts = docs.select(F.col(doc_id).cast("long").alias("least"), F.col(text).cast("string").alias("text"))
+    wanted = tasks.join(named, "class").join(texts, "least")
 
     def verify(table: pa.Table) -> pa.Table:
         sets = shingle_sets(table.column("text").combine_chunks())
@@ -307,18 +312,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     links = wanted.groupBy("family", "low", "high").applyInArrow(verify, "a long, b long")
-    linked = components(links)
+    linked = cut_lineage(components(links).select(F.col("node").alias("class"), "component").join(reps.select("class", "least"), "class"))
+    first = linked.groupBy("component").agg(F.min("least").alias("first"))
     rows = (signed.join(classes, "digest", "left")
-            .join(linked.select(F.col("node").alias("class"), "component"), "class", "left"))
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "class")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+            .join(linked.join(first, "component").select("class", "first"), "class", "left"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "least")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "mark", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose document stays (the smallest id of its group), repeated rows once."""
+    """The rows of ``docs`` whose text stays (at the smallest id of its group), repeated rows once."""
     name = "_key"
     while any(c.startswith(name) for c in docs.columns):
         name = "_" + name
-    gone = near_duplicates(docs, doc_id, text, threshold=threshold).filter(~F.col("kept")).select(F.col("doc_id").alias(f"{name}_gone")).distinct()
-    left = docs.join(gone, F.col(doc_id).cast("long") == F.col(f"{name}_gone"), "left_anti")
+    gone = (_judged(docs, doc_id, text, BLOCK, threshold).filter(~F.col("kept"))
+            .select(F.col("doc_id").alias(f"{name}_gone"), F.col("mark").alias(f"{name}_mark")).distinct())
+    left = docs.join(gone, (F.col(doc_id).cast("long") == F.col(f"{name}_gone"))
+                     & (F.md5(F.col(f"`{text}`").cast("string")) == F.col(f"{name}_mark")), "left_anti")
     return left.withColumn(name, F.md5(F.col(f"`{text}`"))).dropDuplicates([doc_id, name]).drop(name)

@@ -203,3 +203,14 @@ def test_threshold_of_the_pipeline_stage(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for kept, least in ((M.keep_one(df), 0.85), (corpus_pipeline.near_dedup(spark, df, ""), 0.8)):
         assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if i % 2 == 0 or near[i // 2] < least}
+
+
+def test_keep_one_judges_texts_that_share_an_id(spark):
+    """Only the copied text of an id goes; another text of the same id stays, also if a near copy ties the first one."""
+    text = lambda x: " ".join(f"{x}{j}" for j in range(120))
+    a, b, c, d = map(text, "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, c), (8, c + " end"), (8, d), (9, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in M.keep_one(df).collect()) == sorted([(3, a), (5, b), (7, c), (8, d)])
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in M.near_duplicates(df).collect())
+    assert got == Counter([(3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True), (8, 7, False), (8, 8, True), (9, 8, False)])
