@@ -132,3 +132,47 @@ def op13_hard_negatives(spark, sf_dir):
     label = F.col("label").cast("long")
     label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+# crc32 byte by byte over a table made from its polynomial; near words are equal without letter i of both, or of one
+VARIANTS_SQL = """
+WITH RECURSIVE crc_table AS (
+    SELECT list(c ORDER BY b) AS t FROM (
+        SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) r(b))),
+runs AS (
+    SELECT CAST(doc_id AS VARCHAR) AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents WHERE text IS NOT NULL),
+coded AS (
+    SELECT run, hex(encode(coalesce(id, '') || ':' || run)) AS code FROM runs),
+hashed AS (
+    SELECT run, xor(4294967295, list_reduce(list_transform(range(CAST(length(code) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT)),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+    FROM coded, crc_table),
+words AS (
+    SELECT word, count(*) AS n FROM (
+        SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+    GROUP BY word HAVING count(*) >= 3 AND length(word) >= 5),
+cuts AS (
+    SELECT word, n, i, CASE WHEN i = 0 THEN word ELSE left(word, i - 1) || substr(word, i + 1) END AS part
+    FROM (SELECT word, n, CAST(unnest(range(0, length(word) + 1)) AS BIGINT) AS i FROM words)),
+near AS (
+    SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.part = b.part AND a.word <> b.word
+    WHERE a.i = b.i OR a.i = 0 OR b.i = 0),
+best AS (
+    SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+    QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) = 1),
+formed AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+    SELECT word, word AS at, form AS next FROM formed
+    UNION ALL
+    SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.next)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.at AS root FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+
+
+@register("op12_spelling_variants", VARIANTS_SQL)
+def op12_spelling_variants(spark, sf_dir):
+    from lapsekit.llm.op12_spelling import spelling_variants
+    return spelling_variants(read(spark, sf_dir, "documents"))
