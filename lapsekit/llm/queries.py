@@ -176,3 +176,21 @@ SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.at AS root FROM formed f JOIN
 def op12_spelling_variants(spark, sf_dir):
     from lapsekit.llm.op12_spelling import spelling_variants
     return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+NEIGHBOURS_SQL = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+      AND len(list_filter(embedding, lambda v: v <> 0)) > 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id, list_dot_product(q.x, c.x) AS score
+FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.x, c.x) DESC, c.vec_id)
+QUALIFY row_number() OVER w <= 20
+"""
+
+
+@register("op11_nearest_neighbours", NEIGHBOURS_SQL)
+def op11_nearest_neighbours(spark, sf_dir):
+    from lapsekit.llm.op11_neighbours import nearest
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
