@@ -76,6 +76,16 @@ def code_points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, np.cumsum([0, *map(len, texts)])
 
 
+def _slices(batch: pa.RecordBatch, words: int):
+    """The batch in slices with a bounded number of letters in column ``words``, or one word."""
+    size = np.cumsum([0, *(len(w) for w in batch.column(words).to_pylist())])
+    i = 0
+    while i < len(batch):
+        j = max(i + 1, int(np.searchsorted(size, size[i] + _BATCH, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def signatures(points: np.ndarray, first: np.ndarray, part_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, role, signature): role 0 has the word's length, role 1 one less (the longer word of a pair)."""
     n, length = len(first) - 1, np.diff(first)
@@ -120,34 +130,36 @@ def signed(words: DataFrame, part: dict[str, int]) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            size = np.cumsum([0, *(len(w) for w in whole.column(0).to_pylist())])
-            i = 0
-            while i < len(whole):                       # a slice holds a bounded number of letters, or one word
-                j = max(i + 1, int(np.searchsorted(size, size[i] + _BATCH, "right")) - 1)
-                batch = whole.slice(i, j - i)
+            for batch in _slices(whole, 0):
                 name, role, key = signatures(*code_points(batch.column(0)), part_of)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role), batch.column(0).take(pa.array(name)), batch.column(1).take(pa.array(name))],
                                                  names=["sig", "role", "word", "n"])
-                i = j
 
     return words.select("word", "n").mapInArrow(run, "sig long, role byte, word string, n long")
 
 
-def deletion_keys(word: str) -> np.ndarray:
-    """Hashes of the word and of all its variants with one letter less; linear in its length."""
-    points = mix(np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + _SEED[6])
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(points), _BASE, np.uint64)]), dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(points * power[:-1], dtype=np.uint64)])
-    return np.unique(np.append(total[:-1] + (total[-1] - total[1:]) * _BACK, total[-1]))
+def deletion_keys(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, key) of each word and of all its variants with one letter less; linear in the letters."""
+    n, length = len(first) - 1, np.diff(first)
+    word = np.repeat(np.arange(n), length)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(length.max(initial=0)), _BASE, np.uint64)]), dtype=np.uint64)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(points.astype(np.uint64) + _SEED[6]) * power[np.arange(len(points)) - first[word]], dtype=np.uint64)])
+    whole = total[first[1:]] - total[first[:-1]]
+    # what follows the letter moves up by one place
+    cut = total[:-1] - total[first[word]] + (total[first[1:]][word] - total[1:]) * _BACK
+    other = np.ones(len(points), bool)                  # taking either of two equal letters side by side gives one variant
+    other[1:] = (points[1:] != points[:-1]) | (word[1:] != word[:-1])
+    return np.concatenate([np.arange(n), word[other]]), np.concatenate([whole, cut[other]])
 
 
 def refined(crowded: DataFrame) -> DataFrame:
     """The rows of crowded signatures, once for each one-deletion variant, under a key of both."""
     def run(batches):
-        for batch in batches:
-            for i, (sig, word) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                keys = mix(deletion_keys(word) * _BASE + np.uint64(sig % (1 << 64)))
-                at = pa.array(np.full(len(keys), i))
+        for whole in batches:
+            for batch in _slices(whole, 2):
+                at, keys = deletion_keys(*code_points(batch.column(2)))
+                keys = mix(keys * _BASE + batch.column(0).to_numpy().view(np.uint64)[at])
+                at = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(j).take(at) for j in (1, 2, 3))], names=["sig", "role", "word", "n"])
 
     return crowded.select("sig", "role", "word", "n").mapInArrow(run, "sig long, role byte, word string, n long")
@@ -165,7 +177,8 @@ def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words that differ by exactly one letter, once."""
     rows = signed(words, letter_parts(words)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("sig")))
     rows = cut_lineage(rows.filter("size > 1"))
-    pairs = _joined(rows.filter(F.col("size") <= crowd)).unionByName(_joined(refined(rows.filter(F.col("size") > crowd))))
+    more = cut_lineage(refined(rows.filter(F.col("size") > crowd)))
+    pairs = _joined(rows.filter(F.col("size") <= crowd)).unionByName(_joined(more))
     return pairs.distinct()
 
 
