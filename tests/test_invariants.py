@@ -16,7 +16,7 @@ from lapsekit.sources import testdata as td
 from lapsekit.streaming import events as sev
 from lapsekit.streaming import sessions as ss
 
-from conftest import SF_CHECK, SF_SMALL
+from paths import SF_CHECK, SF_SMALL
 
 
 def test_entry_smoke(spark):
