@@ -58,16 +58,34 @@ def stratified_split(df: DataFrame, label: str, key: str = KEY, test_frac: float
 
 # --- J3: SMOTE --------------------------------------------------------------------------------
 
-def smote(df: DataFrame, cols: Sequence[str], label: str, k: int = 5, seed: int = 42, key: str = KEY,
-          projections: int = 8, reach: int = 8) -> DataFrame:
+def projected_neighbours(df: DataFrame, key: str, cols: Sequence[str], k: int, seed: int = 42, projections: int = 8, reach: int = 8) -> DataFrame:
+    """(a, b, d, place): the ``k`` nearest of the rows that stand ``reach`` places before or behind a row in one of a few random
+    projections (E5). Approximate and linear in the rows; ``neighbours.exact_neighbours`` is the exact form."""
+    directions = np.random.default_rng(seed).standard_normal((projections, len(cols)))
+    near = None
+    for d in directions:
+        at = sum((F.col(c).cast("double") * float(w) for c, w in zip(cols, d)), F.lit(0.0))
+        ranked = running_totals(df.select(key, at.alias("_at")), ["_at", key], {"_r": (None, True)}).select(key, "_r")
+        ahead = ranked.select(F.col(key).alias("a"), F.explode(F.sequence(F.col("_r") + 1, F.col("_r") + reach)).alias("_r"))
+        met = ahead.join(ranked.withColumnRenamed(key, "b"), "_r").select("a", "b")
+        met = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = met if near is None else near.unionByName(met)
+    side = lambda n: df.select(F.col(key).alias(n), *[F.col(c).cast("double").alias(f"{n}_{i}") for i, c in enumerate(cols)])
+    pairs = near.distinct().join(side("a"), "a").join(side("b"), "b")
+    dist = F.sqrt(sum((F.pow(F.col(f"a_{i}") - F.col(f"b_{i}"), 2) for i in range(len(cols))), F.lit(0.0)))
+    # at most 2 * reach * projections candidates per row
+    ranked = pairs.select("a", "b", dist.alias("d")).withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b")))
+    return ranked.where(F.col("place") <= k)
+
+
+def smote(df: DataFrame, cols: Sequence[str], label: str, k: int = 5, seed: int = 42, key: str = KEY, exact: bool = True) -> DataFrame:
     """Oversample the minority class to the majority count.
 
-    Neighbour candidates: for each of a few seeded random projections the minority is ranked (E5), and a row meets the
-    ``reach`` rows before and behind it. So every row has candidates, whatever the distances, and their number is
-    linear in the rows. The k nearest candidates by Euclidean distance are its neighbours. Each synthetic row lies on
-    the segment between a minority row and one of its neighbours, with a seeded fraction. A minority of one row is
-    its own neighbour: its synthetic rows are copies.
+    Each synthetic row lies on the segment between a minority row and one of its ``k`` nearest minority rows
+    (``exact_neighbours``; or, if not ``exact``, ``projected_neighbours``), with a seeded fraction. A minority of one
+    row is its own neighbour: its synthetic rows are copies.
     """
+    from lapsekit.operators.neighbours import exact_neighbours
     from lapsekit.session import cut_lineage
 
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
@@ -78,26 +96,12 @@ def smote(df: DataFrame, cols: Sequence[str], label: str, k: int = 5, seed: int
     mino = cut_lineage(df.where(F.col(label) == F.lit(minority)))
     n_min = counts[minority]
     if n_min == 1:
-        nbrs = mino.select(F.col(key).alias("_a"), F.col(key).alias("_b"), F.lit(0.0).alias("_d"))
+        nbrs = mino.select(F.col(key).alias("_a"), F.col(key).alias("_b"), F.lit(1).alias("_j"))
     else:
-        directions = np.random.default_rng(seed).standard_normal((projections, len(cols)))
-        near = None
-        for d in directions:
-            at = sum((F.col(c).cast("double") * float(w) for c, w in zip(cols, d)), F.lit(0.0))
-            ranked = running_totals(mino.select(key, at.alias("_at")), ["_at", key], {"_r": (None, True)}).select(key, "_r")
-            ahead = ranked.select(F.col(key).alias("_a"), F.explode(F.sequence(F.col("_r") + 1, F.col("_r") + reach)).alias("_r"))
-            met = ahead.join(ranked.withColumnRenamed(key, "_b"), "_r").select("_a", "_b")
-            met = met.unionByName(met.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-            near = met if near is None else near.unionByName(met)
-        side = lambda n: mino.select(F.col(key).alias(n), *[F.col(c).cast("double").alias(f"{n}_{i}") for i, c in enumerate(cols)])
-        pairs = near.distinct().join(side("_a"), "_a").join(side("_b"), "_b")
-        dist = F.sqrt(sum((F.pow(F.col(f"_a_{i}") - F.col(f"_b_{i}"), 2) for i in range(len(cols))), F.lit(0.0)))
-        pairs = pairs.select("_a", "_b", dist.alias("_d"))
-        # at most 2 * reach * projections candidates per row
-        nbrs = pairs.withColumn("_j", F.row_number().over(Window.partitionBy("_a").orderBy("_d", "_b"))).where(F.col("_j") <= k).drop("_j")
+        nbrs = (exact_neighbours if exact else projected_neighbours)(mino, key, cols, k, seed=seed)
+        nbrs = nbrs.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("place").alias("_j"))
     nbrs = cut_lineage(nbrs)
     nbrs = nbrs.join(nbrs.groupBy("_a").agg(F.count(F.lit(1)).alias("_kn")), "_a")
-    nbrs = nbrs.withColumn("_j", F.row_number().over(Window.partitionBy("_a").orderBy("_d", "_b")))
 
     # how many synthetic rows each minority row makes: need // n_min, +1 for the first need % n_min
     base, extra = divmod(need, n_min)

@@ -989,9 +989,10 @@ def feature_elimination(spark, sf_dir):
 
 @register("mutual_information")
 def mutual_information(spark, sf_dir):
-    """Binned mutual information of each model input with the lapse label, top 10."""
+    """Nearest-neighbour mutual information of each model input with the lapse label, top 10."""
+    from lapsekit.operators.information import neighbour_information
     x, cols, _ = _model_data(spark, sf_dir)
-    return st.mutual_info(x, cols, "is_churned", bins=10, top=10)
+    return neighbour_information(x, cols, "is_churned", top=10)
 
 
 @register("customer_value", S.with_(S.FACT, S.FENCE) + """,
@@ -1267,3 +1268,68 @@ def line_mutual_information(spark, sf_dir):
         (F.col("l_returnflag") == "R").cast("int").alias("y"))
     mi = st.mutual_info(rows, ["l_extendedprice", "l_quantity", "l_shipday"], "y")
     return mi.select("feature", F.round("mutual_info", 9).alias("mutual_info"))
+
+
+# --- nearest-neighbour mutual information -------------------------------------------------------
+
+def _neighbour_information_sql(source: str, columns: dict[str, str], label: str, k: int = 3) -> str:
+    """Neighbours by lag and lead, rows within by the last running count before each end (ASOF)."""
+    from lapsekit.operators.information import digamma_sql as psi
+    lags = ", ".join(f"{f}({c}, {i}) OVER o AS {f}_{c}{i}" for i in range(1, k + 1) for f in ("lag", "lead") for c in ("v", "n"))
+    near = ["struct_pack(d := CAST(0 AS DOUBLE), n := n - 1)"]
+    near += [f"struct_pack(d := abs({f}_v{i} - v), n := {f}_n{i})" for i in range(1, k + 1) for f in ("lag", "lead")]
+    return "WITH raw AS (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS feature, CAST({label} AS VARCHAR) AS y, CAST({x} AS DOUBLE) AS v FROM {source}" for name, x in columns.items()) + f"""),
+vc AS (SELECT feature, y, v, count(*) AS n FROM raw WHERE y IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) GROUP BY ALL),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY feature, y) AS ny FROM vc QUALIFY ny > 1),
+side AS (SELECT *, {lags} FROM sized WINDOW o AS (PARTITION BY feature, y ORDER BY v)),
+cand AS (SELECT feature, y, v, n, ny, least({k}, ny - 1) AS k, unnest([{", ".join(near)}]) AS c FROM side),
+reach AS (SELECT feature, y, v, n, ny, k, c.d AS d, sum(c.n) OVER (PARTITION BY feature, y, v ORDER BY c.d) AS got FROM cand WHERE c.d IS NOT NULL AND c.n IS NOT NULL),
+radius AS (SELECT feature, y, v, n, ny, k, min(d) AS r FROM reach WHERE got >= k GROUP BY ALL),
+cum AS (SELECT feature, v, sum(sum(n)) OVER (PARTITION BY feature ORDER BY v) AS below, sum(n) AS here FROM sized GROUP BY feature, v),
+upto AS (SELECT q.*, coalesce(h.below, 0) AS under_high FROM radius q ASOF LEFT JOIN cum h ON q.feature = h.feature AND q.v + q.r > h.v),
+both_ends AS (SELECT q.*, coalesce(l.below, 0) AS to_low FROM upto q ASOF LEFT JOIN cum l ON q.feature = l.feature AND q.v - q.r >= l.v),
+within AS (SELECT b.*, CASE WHEN r = 0 THEN c.here ELSE under_high - to_low END AS m FROM both_ends b JOIN cum c ON c.feature = b.feature AND c.v = b.v)
+SELECT feature, round(greatest(0.0, {psi("sum(n)")} + sum(n * ({psi("k")} - {psi("ny")} - {psi("m")})) / sum(n)), 9) AS mutual_info
+FROM within GROUP BY feature"""
+
+
+LINE_FEATURES = {"l_extendedprice": "l_extendedprice", "l_quantity": "l_quantity", "l_discount": "l_discount", "l_tax": "l_tax",
+                 "l_shipday": "date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE))"}
+
+
+@register("line_neighbour_information", _neighbour_information_sql("lineitem", LINE_FEATURES, "l_returnflag"))
+def line_neighbour_information(spark, sf_dir):
+    """Nearest-neighbour mutual information of raw columns, many ties and few, with a label of three values."""
+    from lapsekit.operators.information import neighbour_information
+    rows = td.read(spark, sf_dir, "lineitem").withColumn("l_shipday", F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")))
+    mi = neighbour_information(rows, list(LINE_FEATURES), "l_returnflag")
+    return mi.select("feature", F.round("mutual_info", 9).alias("mutual_info"))
+
+
+@register("customer_neighbour_information", _neighbour_information_sql(
+    "(SELECT * FROM rfm_seg JOIN lab USING (customer_id))", {c: c for c in ("frequency", "monetary", "join_period")}, "is_churned").replace(
+    "WITH raw", S.with_(S.FACT, S.FENCE, S.RFM) + ", raw", 1))
+def customer_neighbour_information(spark, sf_dir):
+    """Nearest-neighbour mutual information of RFM inputs with the lapse label."""
+    from lapsekit.operators.information import neighbour_information
+    mi = neighbour_information(_scored(spark, sf_dir), ["frequency", "monetary", "join_period"], "is_churned")
+    return mi.select("feature", F.round("mutual_info", 9).alias("mutual_info"))
+
+
+NEIGHBOUR_COLS = ["recency", "frequency", "join_period"]
+
+
+@register("customer_neighbours", S.with_(S.FACT, S.RFM) + """,
+pairs AS (SELECT a.customer_id AS customer_id, b.customer_id AS neighbour_id,
+                 sqrt(""" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in NEIGHBOUR_COLS) + """) AS d
+          FROM rfm_seg a JOIN rfm_seg b ON a.customer_id <> b.customer_id)
+SELECT customer_id, neighbour_id, round(d, 6) AS distance,
+       CAST(row_number() OVER (PARTITION BY customer_id ORDER BY d, neighbour_id) AS INTEGER) AS place
+FROM pairs QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d, neighbour_id) <= 5""")
+def customer_neighbours(spark, sf_dir):
+    """The five nearest customers of each on RFM inputs: exact neighbours by pivots."""
+    from lapsekit.operators.neighbours import exact_neighbours
+    seg = rfm_table(td.fact(spark, sf_dir), td.as_of(spark, sf_dir))
+    near = exact_neighbours(seg, "customer_id", NEIGHBOUR_COLS, 5)
+    return near.select(F.col("a").alias("customer_id"), F.col("b").alias("neighbour_id"), F.round("d", 6).alias("distance"), F.col("place").cast("int").alias("place"))
