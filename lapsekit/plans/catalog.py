@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from lapsekit.functions.scalar import money_sum
 from lapsekit.operators import activity as act
+from lapsekit.operators import customer as cu
 from lapsekit.operators import lifecycle as lc
-from lapsekit.operators.rfm import rfm_table
 from lapsekit.plans import sqlparts as S
 from lapsekit.session import cut_lineage
 from lapsekit.sources import testdata as td
@@ -42,10 +42,7 @@ SELECT segment, count(*) AS n_customers, """ + S.money_sum("monetary") + """ AS
 FROM rfm_seg LEFT JOIN lab USING (customer_id)
 GROUP BY segment""")
 def segment_summary(spark, sf_dir):
-    tx = td.fact(spark, sf_dir)
-    seg = rfm_table(tx, td.as_of(spark, sf_dir))
-    lab = lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)).select("customer_id", "is_churned")
-    return (seg.join(lab, on="customer_id", how="left").groupBy("segment")
+    return (td.verdicts(spark, sf_dir).groupBy("segment")
             .agg(F.count(F.lit(1)).alias("n_customers"), money_sum("monetary").alias("revenue"),
                  F.count_if(F.col("is_churned")).alias("n_lapsed"))
             .withColumn("lapsed_share", F.round(F.col("n_lapsed") / F.col("n_customers"), 4)))
@@ -55,7 +52,7 @@ def segment_summary(spark, sf_dir):
 SELECT customer_id, recency, frequency, monetary, join_period, recency_score, frequency_score,
        monetary_score, period_score, rf_score, rfm_score, segment FROM rfm_seg""")
 def rfm_segments(spark, sf_dir):
-    return rfm_table(td.fact(spark, sf_dir), td.as_of(spark, sf_dir))
+    return td.verdicts(spark, sf_dir).drop("last_purchase", "days_since", "is_churned")
 
 
 # --- lifecycle ----------------------------------------------------------------------------------
@@ -63,7 +60,7 @@ def rfm_segments(spark, sf_dir):
 @register("purchase_cycle", S.with_(S.FACT, S.CYCLE) + """
 SELECT customer_id, n_rows, first_purchase, last_purchase, span_days, avg_pur_cycle FROM cyc""")
 def purchase_cycle(spark, sf_dir):
-    return lc.purchase_cycle(td.fact(spark, sf_dir))
+    return cu.with_cycle(td.purchases(spark, sf_dir)).select("customer_id", "n_rows", "first_purchase", "last_purchase", "span_days", "avg_pur_cycle")
 
 
 @register("lapse_fence", S.with_(S.FACT, S.FENCE) + """
@@ -73,9 +70,9 @@ SELECT q1, q3, iqr, upper_bound,
        (SELECT as_of FROM asof_t) AS as_of
 FROM fence""")
 def lapse_fence(spark, sf_dir):
-    tx = td.fact(spark, sf_dir)
-    mean = lc.mean_cycle(lc.purchase_cycle(tx))
-    return (lc.lapse_fence(tx)
+    state = td.purchases(spark, sf_dir)
+    mean = lc.mean_cycle(cu.with_cycle(state))
+    return (cu.fence(state)
             .withColumn("mean_cycle", mean.select("mean_cycle").scalar())
             .withColumn("n_cycles", mean.select("n_customers").scalar())
             .withColumn("as_of", td.as_of(spark, sf_dir)))
@@ -84,7 +81,7 @@ def lapse_fence(spark, sf_dir):
 @register("lapsed_customers", S.with_(S.FACT, S.FENCE) + """
 SELECT customer_id, last_purchase, days_since, is_churned FROM lab""")
 def lapsed_customers(spark, sf_dir):
-    return lc.lapsed_label(td.fact(spark, sf_dir), as_of=td.as_of(spark, sf_dir))
+    return td.verdicts(spark, sf_dir).select("customer_id", "last_purchase", "days_since", "is_churned")
 
 
 @register("cohort_retention", S.with_(S.FACT) + """,
@@ -142,7 +139,12 @@ def _sessions(spark, sf_dir):
 
 
 def _customer_counts(spark, sf_dir):
-    return act.event_counts(td.events(spark, sf_dir), ["customer_id"], td.EVENT_KINDS)
+    return td.clicks(spark, sf_dir)
+
+
+def _customer_items(spark, sf_dir):
+    """Item rows and amount of each customer: what ``session_items`` gives with the customer as the session."""
+    return td.purchases(spark, sf_dir).select("customer_id", F.col("n_rows").alias("n_items"), F.col("amount_sum").cast("double").alias("amount"))
 
 
 def _activity(spark, sf_dir, tx):
@@ -180,7 +182,7 @@ def customer_conversion(spark, sf_dir):
 @register("customer_activity", S.with_(S.FACT, S.EVENTS, S.CUST_COUNTS) + """
 SELECT * FROM activity""")
 def customer_activity(spark, sf_dir):
-    return _activity(spark, sf_dir, td.fact(spark, sf_dir))
+    return act.weighted_activity(_customer_counts(spark, sf_dir), _customer_items(spark, sf_dir), td.EVENT_KINDS, weight="session", on="customer_id")
 
 
 BY_ITEM = """
@@ -193,7 +195,7 @@ SELECT customer_id, """ + ", ".join(f"CAST({k} * n_items AS BIGINT) AS {k}" for
 FROM by_item""")
 def customer_activity_by_item(spark, sf_dir):
     """Activity sums with each session counted once per item row, the reference's own weight."""
-    items = act.session_items(td.fact(spark, sf_dir), session="customer_id")
+    items = _customer_items(spark, sf_dir)
     return act.weighted_activity(_customer_counts(spark, sf_dir), items, td.EVENT_KINDS, weight="item", on="customer_id")
 
 
@@ -203,7 +205,7 @@ SELECT customer_id, CAST(""" + S.BOOKING + """ * n_items AS BIGINT) AS n_booking
 FROM by_item""")
 def customer_conversion_by_item(spark, sf_dir):
     """Conversion with item weights."""
-    items = act.session_items(td.fact(spark, sf_dir), session="customer_id").select("customer_id", "n_items")
+    items = _customer_items(spark, sf_dir).select("customer_id", "n_items")
     return act.conversion_rate(_customer_counts(spark, sf_dir).join(items, "customer_id"), td.BOOKING_KIND, weight_col="n_items")
 
 
@@ -211,17 +213,14 @@ def customer_conversion_by_item(spark, sf_dir):
 aov AS (SELECT customer_id, """ + S.money_avg("amount") + """ AS aov FROM tx GROUP BY customer_id)
 SELECT * FROM aov""")
 def customer_aov(spark, sf_dir):
-    return act.aov(td.fact(spark, sf_dir))
+    state = td.purchases(spark, sf_dir)
+    return state.select("customer_id", cu.average_order(state).alias("aov"))
 
 
 # --- customer feature tables ---------------------------------------------------------------------
 
-def _customer_info(spark, sf_dir, tx=None):
-    tx = tx if tx is not None else td.fact(spark, sf_dir)
-    seg = rfm_table(tx, td.as_of(spark, sf_dir))  # carries recency, frequency, join_period too
-    return act.customer_info(lc.purchase_cycle(tx), act.aov(tx), seg, _activity(spark, sf_dir, tx),
-                             seg, lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)),
-                             act.conversion_rate(_customer_counts(spark, sf_dir), td.BOOKING_KIND))
+def _customer_info(spark, sf_dir):
+    return cu.info(td.purchases(spark, sf_dir), td.clicks(spark, sf_dir), td.verdicts(spark, sf_dir), td.EVENT_KINDS, td.BOOKING_KIND)
 
 
 @register("customer_info", S.with_(S.FACT, S.FENCE, S.RFM, S.EVENTS, S.CUST_COUNTS, S.INFO) + """
@@ -232,13 +231,13 @@ def customer_info(spark, sf_dir):
 
 def _behavior(spark, sf_dir):
     tx = td.fact(spark, sf_dir)
-    fence = lc.lapse_fence(tx).select("upper_bound").scalar()
+    fence = cu.fence(td.purchases(spark, sf_dir)).select("upper_bound").scalar()
     past = lc.window_between(tx, "transaction_date", fence, fence * 2, td.as_of(spark, sf_dir))
     # The click log (one month, years after the orders) has no rows in the orders' past window:
     # its whole trailing window is used for the click side.
     activity = _activity(spark, sf_dir, past)
     feats = act.behavior_features(activity, act.aov(past), td.ACTIVITY_KINDS, td.BOOKING_KIND,
-                                  _customer_info(spark, sf_dir, tx), lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)))
+                                  _customer_info(spark, sf_dir), td.verdicts(spark, sf_dir))
     return feats
 
 
@@ -345,8 +344,9 @@ def customer_model_table(spark, sf_dir):
     m = act.customer_model_table(rows, ["amount", "quantity"])
     m = m.select("customer_id", *[F.round(c, 6).alias(c) for c in m.columns if c != "customer_id"])
     conv = act.conversion_rate(_customer_counts(spark, sf_dir), td.BOOKING_KIND)
-    return (m.join(act.aov(tx), "customer_id")
-            .join(lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)).select("customer_id", F.col("is_churned").cast("int").alias("is_churned")),
+    state = td.purchases(spark, sf_dir)
+    return (m.join(state.select("customer_id", cu.average_order(state).alias("aov")), "customer_id")
+            .join(td.verdicts(spark, sf_dir).select("customer_id", F.col("is_churned").cast("int").alias("is_churned")),
                   "customer_id")
             .join(conv.select("customer_id", "conversion_rate"), "customer_id"))
 
@@ -544,7 +544,7 @@ from lapsekit.operators import stats as st  # noqa: E402
 
 
 def _cycles(spark, sf_dir):
-    return lc.purchase_cycle(td.fact(spark, sf_dir)).where(F.col("avg_pur_cycle") != 0)
+    return cu.with_cycle(td.purchases(spark, sf_dir)).where(F.col("avg_pur_cycle") != 0)
 
 
 @register("cycle_histogram", S.with_(S.FACT, S.CYCLE) + """,
@@ -705,11 +705,7 @@ def lapse_classification_counts(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    tx = td.fact(spark, sf_dir)
-    seg = rfm_table(tx, td.as_of(spark, sf_dir))
-    lab = lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir))
-    return cut_lineage(seg.join(lab.select("customer_id", "is_churned", "days_since"), "customer_id")
-                       .withColumn("predicted", F.col("recency_score") <= 2))
+    return td.verdicts(spark, sf_dir).drop("last_purchase").withColumn("predicted", F.col("recency_score") <= 2)
 
 
 @register("lapse_report", S.with_(S.FACT, S.FENCE, S.RFM) + """,
@@ -1001,12 +997,9 @@ aov AS (SELECT customer_id, """ + S.money_avg("amount") + """ AS aov, """ + S.mo
 SELECT customer_id, aov, historical_value, orders, last_purchase, is_churned FROM aov JOIN lab USING (customer_id)""")
 def customer_value(spark, sf_dir):
     """Dashboard metrics per customer: AOV, historical value, orders, last purchase, lapse label."""
-    from lapsekit.functions.scalar import money_avg, money_sum
-    tx = td.fact(spark, sf_dir)
-    v = tx.groupBy("customer_id").agg(money_avg("amount").alias("aov"), money_sum("amount").alias("historical_value"),
-                                      F.count_distinct("booking_id").alias("orders"))
-    lab = lc.lapsed_label(tx, as_of=td.as_of(spark, sf_dir)).select("customer_id", "last_purchase", "is_churned")
-    return v.join(lab, "customer_id")
+    state = td.purchases(spark, sf_dir)                  # a booking is a session here
+    v = state.select("customer_id", cu.average_order(state).alias("aov"), F.col("amount_sum").cast("double").alias("historical_value"), F.col("n_sessions").alias("orders"))
+    return v.join(td.verdicts(spark, sf_dir).select("customer_id", "last_purchase", "is_churned"), "customer_id")
 
 
 # --- streaming forms, run as batch ------------------------------------------------------------
@@ -1330,6 +1323,5 @@ FROM pairs QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d, neigh
 def customer_neighbours(spark, sf_dir):
     """The five nearest customers of each on RFM inputs: exact neighbours by pivots."""
     from lapsekit.operators.neighbours import exact_neighbours
-    seg = rfm_table(td.fact(spark, sf_dir), td.as_of(spark, sf_dir))
-    near = exact_neighbours(seg, "customer_id", NEIGHBOUR_COLS, 5)
+    near = exact_neighbours(td.verdicts(spark, sf_dir), "customer_id", NEIGHBOUR_COLS, 5)
     return near.select(F.col("a").alias("customer_id"), F.col("b").alias("neighbour_id"), F.round("d", 6).alias("distance"), F.col("place").cast("int").alias("place"))

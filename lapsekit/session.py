@@ -123,6 +123,25 @@ def materialized(spark: SparkSession, name: str, key_parts: list[str], build, re
     return spark.read.parquet(path)
 
 
+def bucketed(spark: SparkSession, name: str, key_parts: list[str], build, key: str, buckets: int | None = None) -> DataFrame:
+    """A prepared table like ``materialized``, stored in buckets by ``key`` (``spark.lapsekit.buckets``, else as many as there are shuffle partitions):
+    tables with as many buckets join on ``key`` and group by it without an exchange. A later application finds the files and names them anew."""
+    import hashlib
+    buckets = buckets or int(spark.conf.get("spark.lapsekit.buckets", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    digest = hashlib.sha1("|".join([*key_parts, key, str(buckets)]).encode()).hexdigest()[:16]
+    path, table = f"{tables_dir(spark)}/{name}-{digest}", f"lapsekit_{name}_{digest}"
+    import threading
+    with _LOCKS.setdefault(path, threading.Lock()):
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            (build().repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
+             .option("path", path).saveAsTable(table))
+        elif not spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+            spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def input_fingerprint(spark: SparkSession, paths: list[str]) -> list[str]:
     """Length and time of all files under each path, on whatever file system it names."""
     jvm = spark.sparkContext._jvm

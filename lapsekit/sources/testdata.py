@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lapsekit.operators.fact import merge_fact
 from lapsekit.operators.lifecycle import trailing_window
-from lapsekit.session import input_fingerprint, materialized, table_path  # noqa: F401 (re-exported)
+from lapsekit.session import bucketed, input_fingerprint, materialized, table_path  # noqa: F401 (re-exported)
 
 TABLE_VERSION = "fact-v3"
 # Year partitions let trailing windows skip whole directories (the layout for years of data on a
@@ -151,3 +151,26 @@ def events_as_of(spark: SparkSession, sf_dir: str):
 def events(spark: SparkSession, sf_dir: str, years: int = YEARS) -> DataFrame:
     """Click stream with its own as-of date and the same trailing window."""
     return trailing_window(events_all(spark, sf_dir), "event_date", years, as_of=events_as_of(spark, sf_dir))
+
+
+def _purchase_key(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [TABLE_VERSION, str(YEARS), *input_fingerprint(spark, [table_path(sf_dir, t) for t in ("orders", "lineitem", "customer", "part")])]
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase state of each customer in the trailing window, in buckets (one scan of the fact table builds it)."""
+    from lapsekit.operators.customer import purchase_state
+    return bucketed(spark, "customer_purchases", _purchase_key(spark, sf_dir), lambda: purchase_state(fact(spark, sf_dir)), "customer_id")
+
+
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Click state of each customer in the click log's trailing window, in buckets."""
+    from lapsekit.operators.customer import click_state
+    key = [TABLE_VERSION, str(YEARS), *input_fingerprint(spark, [table_path(sf_dir, "events")])]
+    return bucketed(spark, "customer_clicks", key, lambda: click_state(events(spark, sf_dir), EVENT_KINDS), "customer_id")
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RFM scores, segment and lapse label of each customer, in buckets (built from the purchase state)."""
+    from lapsekit.operators.customer import judged
+    return bucketed(spark, "customer_verdicts", _purchase_key(spark, sf_dir), lambda: judged(purchases(spark, sf_dir), as_of(spark, sf_dir)), "customer_id")
