@@ -44,8 +44,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE
         tail = int(end).to_bytes(4, "little")
         for batch in batches:
             out = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = pack(t or "") + tail
+            for d, ids in zip(batch.column(0).to_pylist(), pack([t or "" for t in batch.column(1).to_pylist()])):
+                ids += tail
                 for n, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at:at + 4 * size]
                     out.append((d, n, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None))
