@@ -1,16 +1,17 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
-Every text gets counts (``text_counts``) and from them five ratios in whole steps: symbols, repeated
-lines, repeated word windows and words equal to the one before in thousandths, mean word length in hundredths. Per language and source a
+Every text gets counts (``text_counts``) and from them four ratios in whole steps: symbols, repeated
+lines and words equal to the one before in thousandths (the first ``FEW`` of each don't count: in a short text they say nothing),
+mean word length in hundredths. Per language, source and size (texts are alike in spread only at like length) a
 mergeable quantile sketch of each ratio - a histogram on that grid, so merging is adding and a quantile is
 off by less than one step - gives the bounds; fixed cutoffs are left only in the base rule:
 
-    low, mid = 0.1 and 0.5 quantile;  spread = mid - low
-    a text fails if ratio > mid + 4 * spread + slack        (all five)
-                 or ratio < mid - 4 * spread - slack        (mean word length)
+    low, mid, high = 0.1, 0.5 and 0.75 quantile;  spread = the larger of mid - low and high - mid, two steps at least
+    a text fails if ratio > mid + 6 * spread                (all four)
+                 or ratio < mid - 6 * spread                (mean word length)
 
-The lower half of a distribution sets its upper bound, so up to half of a group may be junk. A group of
-fewer than ``MIN_DOCS`` texts takes the merged sketch of its language, then that of all texts. Sketches are
+No quantile over 0.75 enters, so up to a quarter of a group may be junk. A group of
+fewer than ``MIN_DOCS`` texts takes the merged sketch of its language and source, then that of its language, then that of all texts. Sketches are
 summed on the map side; a source with a third of all rows is a few thousand counts per task.
 
 Defined cases: a null text has no words and fails the base rule; null languages and sources are groups of
@@ -26,9 +27,10 @@ from pyspark.sql import types as T
 
 from lapsekit.session import cut_lineage
 
-#: feature: slack in steps (how far past a spread of zero a ratio may lie)
-SLACK = {"symbols": 20, "lines": 400, "repeats": 250, "twins": 250, "length": 500}
-SPREADS = 4
+FEATURES = ("symbols", "lines", "twins", "length")
+FEW = 4                     # events of a kind that don't count yet
+SIZES = (32, 128)           # words from which on a text is of the next size
+SPREADS, LEAST = 6, 2     # a spread is LEAST steps at least
 MIN_DOCS = 50
 BROADCAST_GROUPS = 20_000   # rows of four small numbers: under 2 MB
 SYMBOLS = "#*$%&|<>"
@@ -95,56 +97,66 @@ def counted(c) -> Column:
 
 def _steps(c) -> dict[str, Column]:
     """The ratios in whole steps; integer division, so every engine gets the same bucket."""
-    def ratio(a: str, b: str, step: int) -> Column:
-        return F.floor(c(a) * step / F.greatest(c(b), F.lit(1).cast("long"))).cast("long")
-    return {"symbols": ratio("n_symbols", "word_chars", 1000), "lines": ratio("n_dup_lines", "n_lines", 1000),
-            "repeats": ratio("n_repeat_words", "n_words", 1000), "twins": ratio("n_twin_words", "n_words", 1000), "length": ratio("word_chars", "n_words", 100)}
+    def ratio(n: Column, of: str, step: int) -> Column:
+        return F.floor(n * step / F.greatest(c(of), F.lit(1).cast("long"))).cast("long")
+    def past(n: str) -> Column:
+        return F.greatest(c(n) - FEW, F.lit(0).cast("long"))
+    return {"symbols": ratio(past("n_symbols"), "word_chars", 1000), "lines": ratio(past("n_dup_lines"), "n_lines", 1000),
+            "twins": ratio(past("n_twin_words"), "n_words", 1000), "length": ratio(c("word_chars"), "n_words", 100)}
+
+
+def _size(c) -> Column:
+    return sum(((c("n_words") >= n).cast("int") for n in SIZES), F.lit(0))
 
 
 def bounds(features: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
-    """One row per (lang, source): (g_lang, g_source, <feature>_low, <feature>_high)."""
+    """One row per (lang, source, size): (g_lang, g_source, g_size, <feature>_high, length_low)."""
     c = lambda n: F.col(f"`{prefix}{n}`")
     kinds = F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("bucket")) for k, v in _steps(c).items()])
     sketch = (features.filter(counted(c) & ~base_failed(c))
-              .select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.inline(kinds))
-              .groupBy("g_lang", "g_source", "feature", "bucket").agg(F.count(F.lit(1)).alias("n")))
+              .select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), _size(c).alias("g_size"), F.inline(kinds))
+              .groupBy("g_lang", "g_source", "g_size", "feature", "bucket").agg(F.count(F.lit(1)).alias("n")))
     sketch = cut_lineage(sketch)  # a few thousand counts per group; every level below merges these
-    groups = features.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source")).distinct()
+    groups = features.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), _size(c).alias("g_size")).distinct()
     return _bounds_of(sketch, groups)
 
 
 def _bounds_of(sketch: DataFrame, groups: DataFrame) -> DataFrame:
-    spark = sketch.sparkSession
-    pick = ", ".join(f"max(CASE WHEN feature = '{k}' THEN {e} END) AS {k}_{side}"
-                     for k, slack in SLACK.items()
-                     for side, e in (("high", f"mid + {SPREADS} * (mid - low) + {slack}"),
-                                     ("low", f"mid - {SPREADS} * (mid - low) - {slack}")))
-    return spark.sql(BOUNDS_SQL.format(min_docs=MIN_DOCS, pick=pick), sketch=sketch, groups=groups)
+    return sketch.sparkSession.sql(BOUNDS_SQL.format(min_docs=MIN_DOCS, pick=_picked()), sketch=sketch, groups=groups)
+
+
+def _picked() -> str:
+    spread = f"{SPREADS} * greatest(mid - low, high - mid, {LEAST})"
+    marks = [(k, "high", f"mid + {spread}") for k in FEATURES] + [("length", "low", f"mid - {spread}")]
+    return ", ".join(f"max(CASE WHEN feature = '{k}' THEN {e} END) AS {k}_{side}" for k, side, e in marks)
 
 
 #: {{sketch}} and {{groups}} are tables; also the tail of the DuckDB twin.
 BOUNDS_SQL = """
 WITH levels AS (
-  SELECT 0 AS level, g_lang, g_source, feature, bucket, n FROM {{sketch}}
-  UNION ALL SELECT 1, g_lang, NULL, feature, bucket, sum(n) FROM {{sketch}} GROUP BY g_lang, feature, bucket
-  UNION ALL SELECT 2, NULL, NULL, feature, bucket, sum(n) FROM {{sketch}} GROUP BY feature, bucket),
+  SELECT 0 AS level, g_lang, g_source, g_size, feature, bucket, n FROM {{sketch}}
+  UNION ALL SELECT 1, g_lang, g_source, NULL, feature, bucket, sum(n) FROM {{sketch}} GROUP BY g_lang, g_source, feature, bucket
+  UNION ALL SELECT 2, g_lang, NULL, NULL, feature, bucket, sum(n) FROM {{sketch}} GROUP BY g_lang, feature, bucket
+  UNION ALL SELECT 3, NULL, NULL, NULL, feature, bucket, sum(n) FROM {{sketch}} GROUP BY feature, bucket),
 ranked AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, g_lang, g_source, feature ORDER BY bucket) AS upto,
-         sum(n) OVER (PARTITION BY level, g_lang, g_source, feature) AS total FROM levels),
+  SELECT *, sum(n) OVER (PARTITION BY level, g_lang, g_source, g_size, feature ORDER BY bucket) AS upto,
+         sum(n) OVER (PARTITION BY level, g_lang, g_source, g_size, feature) AS total FROM levels),
 marks AS (
-  SELECT level, g_lang, g_source, feature, max(total) AS total,
-         min(CASE WHEN 10 * upto >= total THEN bucket END) AS low, min(CASE WHEN 2 * upto >= total THEN bucket END) AS mid
-  FROM ranked GROUP BY level, g_lang, g_source, feature),
+  SELECT level, g_lang, g_source, g_size, feature, max(total) AS total, min(CASE WHEN 10 * upto >= total THEN bucket END) AS low,
+         min(CASE WHEN 2 * upto >= total THEN bucket END) AS mid, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS high
+  FROM ranked GROUP BY level, g_lang, g_source, g_size, feature),
 limits AS (
-  SELECT level, g_lang, g_source, max(total) AS total, {pick} FROM marks GROUP BY level, g_lang, g_source),
+  SELECT level, g_lang, g_source, g_size, max(total) AS total, {pick} FROM marks GROUP BY level, g_lang, g_source, g_size),
 chosen AS (
-  SELECT g.g_lang, g.g_source, CASE WHEN a.total >= {min_docs} THEN 0 WHEN b.total >= {min_docs} THEN 1 ELSE 2 END AS level
+  SELECT g.g_lang, g.g_source, g.g_size,
+         CASE WHEN a.total >= {min_docs} THEN 0 WHEN b.total >= {min_docs} THEN 1 WHEN c.total >= {min_docs} THEN 2 ELSE 3 END AS level
   FROM {{groups}} g
-  LEFT JOIN limits a ON a.level = 0 AND a.g_lang IS NOT DISTINCT FROM g.g_lang AND a.g_source IS NOT DISTINCT FROM g.g_source
-  LEFT JOIN limits b ON b.level = 1 AND b.g_lang IS NOT DISTINCT FROM g.g_lang)
-SELECT c.g_lang, c.g_source, symbols_high, lines_high, repeats_high, twins_high, length_high, length_low
-FROM chosen c LEFT JOIN limits l ON l.level = c.level
- AND (c.level = 2 OR l.g_lang IS NOT DISTINCT FROM c.g_lang) AND (c.level > 0 OR l.g_source IS NOT DISTINCT FROM c.g_source)
+  LEFT JOIN limits a ON a.level = 0 AND a.g_size = g.g_size AND a.g_lang IS NOT DISTINCT FROM g.g_lang AND a.g_source IS NOT DISTINCT FROM g.g_source
+  LEFT JOIN limits b ON b.level = 1 AND b.g_lang IS NOT DISTINCT FROM g.g_lang AND b.g_source IS NOT DISTINCT FROM g.g_source
+  LEFT JOIN limits c ON c.level = 2 AND c.g_lang IS NOT DISTINCT FROM g.g_lang)
+SELECT c.g_lang, c.g_source, c.g_size, symbols_high, lines_high, twins_high, length_high, length_low
+FROM chosen c LEFT JOIN limits l ON l.level = c.level AND (c.level = 3 OR l.g_lang IS NOT DISTINCT FROM c.g_lang)
+ AND (c.level > 1 OR l.g_source IS NOT DISTINCT FROM c.g_source) AND (c.level > 0 OR l.g_size = c.g_size)
 """
 
 
@@ -154,9 +166,9 @@ def _verdict(df: DataFrame, limits: DataFrame, lang: str, source: str, prefix: s
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     limits = limits.toDF(*(f"{prefix}_{x}" for x in limits.columns))
-    joined = df.join(limits, F.col(lang).eqNullSafe(F.col(f"{prefix}_g_lang"))
-                     & F.col(source).eqNullSafe(F.col(f"{prefix}_g_source")), "left")
     c = lambda n: F.col(f"`{prefix}{n}`")
+    joined = df.join(limits, F.col(lang).eqNullSafe(F.col(f"{prefix}_g_lang"))
+                     & F.col(source).eqNullSafe(F.col(f"{prefix}_g_source")) & (_size(c) == F.col(f"{prefix}_g_size")), "left")
     lim = lambda n: F.col(f"{prefix}_{n}")
     steps = _steps(c)
     ok = F.lit(True)
@@ -180,7 +192,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     p = "_q_"
     while any(x.startswith(p) for x in docs.columns):
         p = "_" + p
-    counts = text_counts(docs, text, p)
+    counts = cut_lineage(text_counts(docs, text, p))   # the counts cost more than writing the rows once
     joined, good = _verdict(counts, bounds(counts, lang, source, p), lang, source, p)
     return joined.filter(counted(lambda n: F.col(f"`{p}{n}`")) & good).select(*(F.col(f"`{x}`") for x in docs.columns))
 
@@ -208,27 +220,24 @@ counts AS (
   FROM w LEFT JOIN rep ON rep.rid = w.rid),
 f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS lines,
-         1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_twin_words // greatest(n_words, 1) AS twins, 100 * word_chars // greatest(n_words, 1) AS length
+         1000 * greatest(n_symbols - __FEW__, 0) // greatest(word_chars, 1) AS symbols, 1000 * greatest(n_dup_lines - __FEW__, 0) // greatest(n_lines, 1) AS lines,
+         1000 * greatest(n_twin_words - __FEW__, 0) // greatest(n_words, 1) AS twins, 100 * word_chars // greatest(n_words, 1) AS length, __SIZE__ AS size
   FROM counts),
 sketch AS (
-  SELECT lang AS g_lang, source AS g_source, feature, bucket, count(*) AS n
-  FROM (SELECT lang, source, unnest(['symbols', 'lines', 'repeats', 'twins', 'length']) AS feature,
-               unnest([symbols, lines, repeats, twins, length]) AS bucket FROM f WHERE NOT base_failed)
+  SELECT lang AS g_lang, source AS g_source, size AS g_size, feature, bucket, count(*) AS n
+  FROM (SELECT lang, source, size, unnest(['symbols', 'lines', 'twins', 'length']) AS feature,
+               unnest([symbols, lines, twins, length]) AS bucket FROM f WHERE NOT base_failed)
   GROUP BY ALL),
-groups AS (SELECT DISTINCT lang AS g_lang, source AS g_source FROM f),
+groups AS (SELECT DISTINCT lang AS g_lang, source AS g_source, size AS g_size FROM f),
 b AS (__BOUNDS__)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(symbols <= symbols_high AND lines <= lines_high AND repeats <= repeats_high
+       NOT base_failed AND coalesce(symbols <= symbols_high AND lines <= lines_high
                                     AND twins <= twins_high AND length <= length_high AND length >= length_low, TRUE) AS kept, n_twin_words
-FROM f LEFT JOIN b ON f.lang IS NOT DISTINCT FROM b.g_lang AND f.source IS NOT DISTINCT FROM b.g_source
+FROM f LEFT JOIN b ON f.lang IS NOT DISTINCT FROM b.g_lang AND f.source IS NOT DISTINCT FROM b.g_source AND f.size = b.g_size
 """
 
 
 def judge_sql() -> str:
-    pick = ", ".join(f"max(CASE WHEN feature = '{k}' THEN {e} END) AS {k}_{side}"
-                     for k, slack in SLACK.items()
-                     for side, e in (("high", f"mid + {SPREADS} * (mid - low) + {slack}"),
-                                     ("low", f"mid - {SPREADS} * (mid - low) - {slack}")))
-    tail = BOUNDS_SQL.format(min_docs=MIN_DOCS, pick=pick).replace("{sketch}", "sketch").replace("{groups}", "groups")
-    return JUDGE_SQL.replace("__BOUNDS__", tail)
+    tail = BOUNDS_SQL.format(min_docs=MIN_DOCS, pick=_picked()).replace("{sketch}", "sketch").replace("{groups}", "groups")
+    size = " + ".join(f"CAST(n_words >= {n} AS INTEGER)" for n in SIZES)
+    return JUDGE_SQL.replace("__BOUNDS__", tail).replace("__FEW__", str(FEW)).replace("__SIZE__", size)

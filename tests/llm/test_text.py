@@ -59,6 +59,26 @@ def test_quality_adapts_to_its_source(spark, prose):
     assert {r.doc_id for r in Q.keep_good(df).collect()} == {i for i, k in kept.items() if k}
 
 
+@pytest.mark.parametrize("feature", ["symbols_high", "lines_high", "twins_high", "length_high", "length_low"])
+def test_each_quality_bound_rejects_by_itself(spark, prose, feature):
+    """Two sources with bounds of their own; one text that only the named bound rejects."""
+    words = prose(80, 77).split()
+    odd = {"symbols_high": " ".join(words) + " ## $$ %% && ## $$ %% **",
+           "lines_high": "\n".join(" ".join(words[i:i + 4]) + "\nhaly" for i in range(0, 80, 4)),
+           "twins_high": " ".join(w if i % 6 else f"{w} {w}" for i, w in enumerate(words)),
+           "length_high": " ".join(w * 3 for w in words), "length_low": " ".join(f"{a}{b}" for a in "abcdefghijk" for b in "lmnopqr")}[feature]
+    rows = [(i, prose(80, 3000 + i), "en", "a", 0) for i in range(80)] + [(100 + i, " ".join(w * 2 for w in prose(80, 4000 + i).split()), "en", "b", 0) for i in range(80)]
+    df = spark.createDataFrame([*rows, (500, odd, "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    counts = Q.text_counts(df, "text")
+    limits = {r.g_source: r.asDict() for r in Q.bounds(counts).filter("g_size = 1").collect()}
+    steps = counts.filter("doc_id = 500").select(*(v.alias(k) for k, v in Q._steps(F.col).items())).first().asDict()
+    broken = [f"{k}_high" for k in Q.FEATURES if steps[k] > limits["a"][f"{k}_high"]] + ["length_low"] * (steps["length"] < limits["a"]["length_low"])
+    assert broken == [feature], (steps, limits["a"])
+    assert limits["a"]["length_high"] < limits["b"]["length_high"] and limits["a"]["length_low"] > 100
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in Q.judge(df).collect()}
+    assert kept.pop(500) == (False, False) and all(k for k, _ in kept.values())
+
+
 def test_keep_good_keeps_columns(documents, nothing):
     kept = Q.keep_good(documents)
     assert kept.columns == documents.columns
