@@ -61,7 +61,9 @@ MAIN_TAGS = {"article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
                    r"|<(/?)([A-Za-z][^\s/>]*)([^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*)>"
                    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: one attribute after another, so a quoted value is never read as a name
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+READ = {"class", "id", "role", "hidden", "aria-hidden"}
 FORMS = {"form", "fieldset"}     # known noise, but a guess where they hold the main content
 SPACE = re.compile(r"[ \t\n\r\f\v  -     　 \u0085\x1c-\x1f]+")
 NUMBER = re.compile(r"\d+")
@@ -90,6 +92,8 @@ def _open(parent: _Element, tag: str, attributes: str, guesses: list[_Guess]) ->
     if attributes and not attributes.isspace():
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = next((v for v in values if v), ""), name.lower()
+            if name not in READ:
+                continue
             if name in ("class", "id"):
                 label += ("." if name == "class" else "#") + NUMBER.sub("0", value.strip())
                 names = set(NAME.findall(CAMEL.sub("-", value).lower()))

@@ -152,18 +152,19 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
 
 def front_code(entries: list[tuple[bytes, bytes, int]]) -> bytes:
     """A sorted run: per entry common prefix with the one before, rest and left context; then the ids."""
-    heads, tails, before = bytearray(), [], b""
+    heads, tails, before = [], [], b""
     for s, left, _ in entries:
         n = common(before, s)
-        heads += bytes((n, len(s) - n, len(left)))
+        heads += (n, len(s) - n, len(left))
         tails += (s[n:], left)
         before = s
     ids = np.array([e[2] for e in entries], "<i8").tobytes()
-    return B.pack_blobs(bytes(heads), b"".join(tails), ids)
+    return B.pack_blobs(np.array(heads, "<u2").tobytes(), b"".join(tails), ids)
 
 
 def read_run(b: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray]:
     heads, tails, ids = B.unpack_blobs(b)
+    heads = np.frombuffer(heads, "<u2").tolist()
     strings, lcps, lefts, s, i = [], [], [], b"", 0
     for j in range(0, len(heads), 3):
         n, rest, left = heads[j], heads[j + 1], heads[j + 2]
@@ -273,8 +274,8 @@ def earlier_masks(lcp: np.ndarray, size: np.ndarray, lefts: list[bytes], ids: np
 def drop_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, doc_id: str = "doc_id", text: str = "text",
                  **sizes) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` = the remaining UTF-8 bytes in order."""
-    if not 0 <= length - k < 32:
-        raise ValueError("length - k must be under 32")
+    if not 0 <= length - k < 32 or length >= 1 << 15:
+        raise ValueError("length - k must be under 32, length under 32768")
     batches = B.Batches(docs, doc_id, text, **sizes)
     parts = batches.parts
 

@@ -214,3 +214,12 @@ def test_keep_one_judges_texts_that_share_an_id(spark):
     assert sorted((r.doc_id, r.text) for r in M.keep_one(df).collect()) == sorted([(3, a), (5, b), (7, c), (8, d)])
     got = Counter((r.doc_id, r.component_id, r.kept) for r in M.near_duplicates(df).collect())
     assert got == Counter([(3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True), (8, 7, False), (8, 8, True), (9, 8, False)])
+
+
+def test_suffix_dedup_of_long_windows(spark, prose):
+    from lapsekit.llm.op8_suffix import drop_repeats
+    shared = prose(120, 61)[:400]
+    texts = ["start " + shared + " end", "other " + shared + " tail", shared[:250] + " short", "alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in drop_repeats(df, length=300, k=280).collect()}
+    assert got == {0: 0, 1: len(f" {shared} ".encode()), 2: 0, 3: 0}

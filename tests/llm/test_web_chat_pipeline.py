@@ -150,3 +150,12 @@ def test_noise_names_do_not_cover_the_article():
     assert H.main_text(f"<div class='has-sidebar'>{body}{late}</div>") == "T in"
     assert H.main_text("<div class='has-sidebar'><p>most of the text</p><div class='sidebar'>less</div></div><div>x</div>") == "most of the text x"
     assert H.main_text("<div>the text of the page</div><div class='promo'>buy</div>") == "the text of the page"
+
+
+def test_words_in_quoted_attributes_are_not_attributes(spark):
+    from lapsekit.llm.op5_html import extract
+    html = ("<html><body><article><div title=\"a hidden gem\">First.</div><p data-x='my hidden'>Second.</p>"
+            "<div title=\"see class=sidebar here\">Third.</div><p data-role=navigation>Fourth.</p><div hidden>Gone.</div>"
+            "<div class = \"sidebar\">Gone too.</div></article></body></html>")
+    rows = spark.createDataFrame([(1, "https://a.example/x", html)], "page_id long, url string, html string")
+    assert extract(rows).first()["text"] == "First. Second. Third. Fourth."
