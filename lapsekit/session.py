@@ -123,7 +123,7 @@ def materialized(spark: SparkSession, name: str, key_parts: list[str], build, re
     return spark.read.parquet(path)
 
 
-def bucketed(spark: SparkSession, name: str, key_parts: list[str], build, key: str, buckets: int | None = None) -> DataFrame:
+def bucketed(spark: SparkSession, name: str, key_parts: list[str], build, key: str, buckets: int | None = None, rebuild: bool = False) -> DataFrame:
     """A prepared table like ``materialized``, stored in buckets by ``key`` (``spark.lapsekit.buckets``, else as many as there are shuffle partitions):
     tables with as many buckets join on ``key`` and group by it without an exchange. A later application finds the files and names them anew."""
     import hashlib
@@ -132,7 +132,7 @@ def bucketed(spark: SparkSession, name: str, key_parts: list[str], build, key: s
     path, table = f"{tables_dir(spark)}/{name}-{digest}", f"lapsekit_{name}_{digest}"
     import threading
     with _LOCKS.setdefault(path, threading.Lock()):
-        if not _exists(spark, f"{path}/_SUCCESS"):
+        if rebuild or not _exists(spark, f"{path}/_SUCCESS"):
             spark.sql(f"DROP TABLE IF EXISTS {table}")
             (build().repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
              .option("path", path).saveAsTable(table))

@@ -157,20 +157,20 @@ def _purchase_key(spark: SparkSession, sf_dir: str) -> list[str]:
     return [TABLE_VERSION, str(YEARS), *input_fingerprint(spark, [table_path(sf_dir, t) for t in ("orders", "lineitem", "customer", "part")])]
 
 
-def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def purchases(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """Purchase state of each customer in the trailing window, in buckets (one scan of the fact table builds it)."""
     from lapsekit.operators.customer import purchase_state
-    return bucketed(spark, "customer_purchases", _purchase_key(spark, sf_dir), lambda: purchase_state(fact(spark, sf_dir)), "customer_id")
+    return bucketed(spark, "customer_purchases", _purchase_key(spark, sf_dir), lambda: purchase_state(fact(spark, sf_dir)), "customer_id", rebuild=rebuild)
 
 
-def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clicks(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """Click state of each customer in the click log's trailing window, in buckets."""
     from lapsekit.operators.customer import click_state
     key = [TABLE_VERSION, str(YEARS), *input_fingerprint(spark, [table_path(sf_dir, "events")])]
-    return bucketed(spark, "customer_clicks", key, lambda: click_state(events(spark, sf_dir), EVENT_KINDS), "customer_id")
+    return bucketed(spark, "customer_clicks", key, lambda: click_state(events(spark, sf_dir), EVENT_KINDS), "customer_id", rebuild=rebuild)
 
 
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def verdicts(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """RFM scores, segment and lapse label of each customer, in buckets (built from the purchase state)."""
     from lapsekit.operators.customer import judged
-    return bucketed(spark, "customer_verdicts", _purchase_key(spark, sf_dir), lambda: judged(purchases(spark, sf_dir), as_of(spark, sf_dir)), "customer_id")
+    return bucketed(spark, "customer_verdicts", _purchase_key(spark, sf_dir), lambda: judged(purchases(spark, sf_dir), as_of(spark, sf_dir)), "customer_id", rebuild=rebuild)
