@@ -22,16 +22,19 @@ def present_day(df: DataFrame, col: str = DATE, days: int = 2) -> Column:
 
 
 def trailing_window(df: DataFrame, col: str = DATE, years: int = 1, as_of: Column | None = None,
-                    days: int = 2, year_partition: str | None = None) -> DataFrame:
+                    days: int = 2, year_partition: str | None = None, month_partition: str | None = None) -> DataFrame:
     """Rows with ``col >= as_of - years`` (B14). Each table may use its own as-of date.
 
     With ``year_partition`` (a partition column holding ``year(col)``) the same bound is also
-    stated on the partition column, so whole year directories are skipped at scan time.
+    stated on the partition column, so whole year directories are skipped at scan time; the same for
+    ``month_partition`` (a partition column holding the first day of the month).
     """
     as_of = as_of if as_of is not None else present_day(df, col, days)
     start = F.add_months(as_of, -12 * years)
     if year_partition:
         df = df.where(F.col(year_partition) >= F.year(start))
+    if month_partition:
+        df = df.where(F.col(month_partition) >= F.trunc(start, "MM"))
     return df.where(F.col(col) >= start)
 
 

@@ -93,6 +93,54 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _exists(spark, path)
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of whatever file system, without hidden ones; none if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return [n for n in (str(s.getPath().getName()) for s in fs.listStatus(p)) if not n.startswith(("_", "."))]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a prepared table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: replaced versions of a prepared table that stay, for readers that are still at work
+KEEP_REPLACED = 1
+
+
+def _version(name: str, key_parts: list[str]) -> tuple[str, str]:
+    """(prefix, full name) of a prepared table: the prefix names the table and where its inputs are, the full name their state as well."""
+    import hashlib
+    import re
+    place = [re.sub(r"(:\d+){3}$", "", k) for k in key_parts]
+    prefix = f"{name}-{hashlib.sha1('|'.join(place).encode()).hexdigest()[:8]}-"
+    return prefix, prefix + hashlib.sha1("|".join(key_parts).encode()).hexdigest()[:16]
+
+
+def drop_replaced(spark: SparkSession, prefix: str, current: str) -> list[str]:
+    """Remove versions that ``current`` replaced, all but the last ``KEEP_REPLACED``; the removed names."""
+    root = tables_dir(spark)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    aged = []
+    for n in children(spark, root):
+        if n.startswith(prefix) and n != current:
+            p = fs_path(f"{root}/{n}")
+            aged.append((p.getFileSystem(conf).getFileStatus(p).getModificationTime(), n))
+    out = [n for _, n in sorted(aged, reverse=True)[KEEP_REPLACED:]]
+    for n in out:
+        remove(spark, f"{root}/{n}")
+    return out
+
+
 _LOCKS: dict[str, object] = {}
 
 
@@ -101,13 +149,11 @@ def materialized(spark: SparkSession, name: str, key_parts: list[str], build, re
     """A prepared table written once as Parquet under the shared checkpoint folder and read back.
 
     ``key_parts`` (input paths, their sizes and times, a version) name the copy, so changed inputs
-    give a new table. The write commits atomically (``_SUCCESS``); later readers get a plain
+    give a new table; versions replaced earlier are removed. The write commits atomically (``_SUCCESS``); later readers get a plain
     Parquet scan with column pruning and filter pushdown instead of the whole preparation plan.
     """
-    import hashlib
-    root = tables_dir(spark)
-    digest = hashlib.sha1("|".join(key_parts).encode()).hexdigest()[:16]
-    path = f"{root}/{name}-{digest}"
+    prefix, version = _version(name, key_parts)
+    path = f"{tables_dir(spark)}/{version}"
     import threading
     lock = _LOCKS.setdefault(path, threading.Lock())
     with lock:  # queries run from several threads build a table once
@@ -120,22 +166,28 @@ def materialized(spark: SparkSession, name: str, key_parts: list[str], build, re
                 df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
             else:
                 df.write.mode("overwrite").parquet(path)
+            drop_replaced(spark, prefix, version)
     return spark.read.parquet(path)
 
 
+def _table_name(version: str) -> str:
+    return f"lapsekit_{version.replace('-', '_')}"
+
+
 def bucketed(spark: SparkSession, name: str, key_parts: list[str], build, key: str, buckets: int | None = None, rebuild: bool = False) -> DataFrame:
     """A prepared table like ``materialized``, stored in buckets by ``key`` (``spark.lapsekit.buckets``, else as many as there are shuffle partitions):
     tables with as many buckets join on ``key`` and group by it without an exchange. A later application finds the files and names them anew."""
-    import hashlib
     buckets = buckets or int(spark.conf.get("spark.lapsekit.buckets", None) or spark.conf.get("spark.sql.shuffle.partitions"))
-    digest = hashlib.sha1("|".join([*key_parts, key, str(buckets)]).encode()).hexdigest()[:16]
-    path, table = f"{tables_dir(spark)}/{name}-{digest}", f"lapsekit_{name}_{digest}"
+    prefix, version = _version(name, [*key_parts, key, str(buckets)])
+    path, table = f"{tables_dir(spark)}/{version}", _table_name(version)
     import threading
     with _LOCKS.setdefault(path, threading.Lock()):
         if rebuild or not _exists(spark, f"{path}/_SUCCESS"):
             spark.sql(f"DROP TABLE IF EXISTS {table}")
             (build().repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(key)
              .option("path", path).saveAsTable(table))
+            for replaced in drop_replaced(spark, prefix, version):
+                spark.sql(f"DROP TABLE IF EXISTS {_table_name(replaced)}")
         elif not spark.catalog.tableExists(table):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
             spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")

@@ -18,12 +18,15 @@ Orders and events cover disjoint periods, so each gets its own as-of date.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsekit.operators.fact import merge_fact
 from lapsekit.operators.lifecycle import trailing_window
-from lapsekit.session import bucketed, input_fingerprint, materialized, table_path  # noqa: F401 (re-exported)
+from lapsekit.session import bucketed, input_fingerprint, materialized, table_path, tables_dir  # noqa: F401 (re-exported)
+from lapsekit.sources.incremental import MONTH, refresh
 
 TABLE_VERSION = "fact-v3"
 # Year partitions let trailing windows skip whole directories (the layout for years of data on a
@@ -132,13 +135,20 @@ def fact(spark: SparkSession, sf_dir: str, years: int = YEARS) -> DataFrame:
                            year_partition="transaction_year")
 
 
+def _clicks(raw: DataFrame) -> DataFrame:
+    return raw.select("event_id", F.col("user_id").alias("customer_id"), F.col("event_type").alias("event_name"),
+                      F.col("ts").alias("event_ts"), F.col("ts").cast("date").alias("event_date"), "value", "props")
+
+
+def events_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Click stream in the data model's names, kept in month partitions in the shared folder: a new file costs its own months."""
+    source = table_path(sf_dir, "events")
+    place = hashlib.sha1(f"{TABLE_VERSION}|{source}".encode()).hexdigest()[:8]
+    return refresh(spark, f"{tables_dir(spark)}/events_all-{place}", source, _clicks, "event_ts")
+
+
 def events_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Click stream in the data model's names, written once to the shared folder and read back."""
-    def build():
-        return read(spark, sf_dir, "events").select(
-            "event_id", F.col("user_id").alias("customer_id"), F.col("event_type").alias("event_name"),
-            F.col("ts").alias("event_ts"), F.col("ts").cast("date").alias("event_date"), "value", "props")
-    return materialized(spark, "events_all", [TABLE_VERSION, *input_fingerprint(spark, [table_path(sf_dir, "events")])], build)
+    return events_by_month(spark, sf_dir).drop(MONTH)
 
 
 def events_as_of(spark: SparkSession, sf_dir: str):
@@ -149,8 +159,8 @@ def events_as_of(spark: SparkSession, sf_dir: str):
 
 
 def events(spark: SparkSession, sf_dir: str, years: int = YEARS) -> DataFrame:
-    """Click stream with its own as-of date and the same trailing window."""
-    return trailing_window(events_all(spark, sf_dir), "event_date", years, as_of=events_as_of(spark, sf_dir))
+    """Click stream with its own as-of date and the same trailing window; months before it are not read."""
+    return trailing_window(events_by_month(spark, sf_dir), "event_date", years, as_of=events_as_of(spark, sf_dir), month_partition=MONTH).drop(MONTH)
 
 
 def _purchase_key(spark: SparkSession, sf_dir: str) -> list[str]:
