@@ -19,6 +19,7 @@ from lapsekit.plans import sqlparts as S
 from lapsekit.session import cut_lineage
 from lapsekit.sources import testdata as td
 from lapsekit.streaming import sessions as ss
+from lapsekit.streaming.live import metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -997,9 +998,7 @@ aov AS (SELECT customer_id, """ + S.money_avg("amount") + """ AS aov, """ + S.mo
 SELECT customer_id, aov, historical_value, orders, last_purchase, is_churned FROM aov JOIN lab USING (customer_id)""")
 def customer_value(spark, sf_dir):
     """Dashboard metrics per customer: AOV, historical value, orders, last purchase, lapse label."""
-    state = td.purchases(spark, sf_dir)                  # a booking is a session here
-    v = state.select("customer_id", cu.average_order(state).alias("aov"), F.col("amount_sum").cast("double").alias("historical_value"), F.col("n_sessions").alias("orders"))
-    return v.join(td.verdicts(spark, sf_dir).select("customer_id", "last_purchase", "is_churned"), "customer_id")
+    return metrics(td.purchases(spark, sf_dir), td.verdicts(spark, sf_dir))    # a booking is a session here
 
 
 # --- streaming forms, run as batch ------------------------------------------------------------
