@@ -122,6 +122,35 @@ def frequent_itemsets(b: DataFrame, min_support: float = 0.01, items: str = "ite
         (F.col("freq") / n).alias("support"), F.size("items").alias("length")))
 
 
+def vertical_itemsets(b: DataFrame, key: str, min_support: float = 0.01, max_len: int | None = None, items: str = "items") -> DataFrame:
+    """Frequent item sets of at most ``max_len`` items (K3), the columns and the cut of ``frequent_itemsets``.
+
+    Baskets (one row per ``key``) are numbered; an item is a column of bits over them, kept as a row per 64 baskets that hold it. Level by level, two
+    sets that differ in their last item only meet on the words that both have; the bits of both are the baskets of the larger set.
+    Counts combine map-side and only frequent sets go on, so a low support with a small ``max_len`` never builds longer sets.
+    """
+    from lapsekit.operators.rank import running_total
+    from lapsekit.session import cut_lineage
+    n = b.select(F.count(F.lit(1))).scalar()
+    enough = F.col("freq") >= F.ceil(F.lit(float(min_support)) * n)
+    at = running_total(b.select(key, items), [key], None, out="_r").select(F.col("_r").cast("long").alias("_r"), F.explode(F.array_distinct(items)).alias("last"))
+    words = at.groupBy("last", F.floor(F.col("_r") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_r % 64 AS INT))")).alias("bits"))
+    none = F.array().cast(f"array<{b.schema[items].dataType.elementType.simpleString()}>")
+    level = cut_lineage(words.where(F.col("last").isNotNull()).select(none.alias("first"), "last", "word", "bits"))
+    found = cut_lineage(level.groupBy("first", "last").agg(F.sum(F.bit_count("bits")).alias("freq")).where(enough))
+    out, k = found, 1
+    while (max_len is None or k < max_len) and not found.isEmpty():
+        kept = level.join(found.select("first", "last"), ["first", "last"], "left_semi")
+        other = kept.select("first", "word", F.col("last").alias("next"), F.col("bits").alias("more"))
+        both = kept.join(other, ["first", "word"]).where(F.col("last") < F.col("next"))
+        grown = both.select(F.concat("first", F.array("last")).alias("first"), F.col("next").alias("last"), "word", F.col("bits").bitwiseAND(F.col("more")).alias("bits"))
+        level = cut_lineage(grown.where("bits <> 0"))
+        found = cut_lineage(level.groupBy("first", "last").agg(F.sum(F.bit_count("bits")).alias("freq")).where(enough))
+        out, k = out.unionByName(found), k + 1
+    itemset = F.concat("first", F.array("last"))
+    return out.select(itemset.alias("itemset"), "freq", (F.col("freq") / n).alias("support"), F.size(itemset).alias("length"))
+
+
 def _splits(sets: DataFrame, itemset: str, out: str) -> DataFrame:
     """A row for each non-empty proper subset of a (sorted) array, as a sorted array.
 

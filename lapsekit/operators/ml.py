@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapsekit.operators.gram import first_axis, moments
 from lapsekit.operators.rank import running_totals
-from lapsekit.operators.stats import corr_pairs
 
 KEY = "customer_id"
 
@@ -126,18 +126,6 @@ def smote(df: DataFrame, cols: Sequence[str], label: str, k: int = 5, seed: int
 
 # --- I8, I9: correlation screening and grouped PCA ---------------------------------------------
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """p x p Pearson matrix (NaN -> 0), from one aggregate pass."""
-    p = len(cols)
-    m = np.eye(p)
-    if p > 1:
-        for r in corr_pairs(df, cols).collect():
-            i, j = cols.index(r["col_a"]), cols.index(r["col_b"])
-            v = r["r"] if r["r"] is not None and r["r"] == r["r"] else 0.0
-            m[i, j] = m[j, i] = v
-    return m
-
-
 def ward_groups(points: np.ndarray, threshold: float = 1.0) -> list[list[int]]:
     """Agglomerative Ward clustering of a few points (the rows of a p x p matrix), merging while
     the Ward distance sqrt(2 |A||B| / (|A|+|B|)) * ||cA - cB|| is below ``threshold``."""
@@ -162,21 +150,10 @@ def ward_groups(points: np.ndarray, threshold: float = 1.0) -> list[list[int]]:
 
 
 def pca_loadings(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """First principal axis of the centred columns (covariance from one pass) and the means.
+    """First principal axis of the centred columns and the means, from one pass of products.
     Sign fixed so that the largest absolute loading is positive (Q20)."""
-    p = len(cols)
-    aggs = [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_samp(F.col(a), F.col(b)).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    row = df.agg(*aggs).first()
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    vals, vecs = np.linalg.eigh(cov)
-    v = vecs[:, int(np.argmax(vals))]
-    if v[int(np.argmax(np.abs(v)))] < 0:
-        v = -v
-    return v, np.array([row[f"m{i}"] or 0.0 for i in range(p)])
+    mean, cov, _ = moments(df, cols)
+    return first_axis(cov), mean
 
 
 def pca_by_group(df: DataFrame, cols: Sequence[str], threshold: float = 1.0, key: str = KEY,
@@ -185,7 +162,8 @@ def pca_by_group(df: DataFrame, cols: Sequence[str], threshold: float = 1.0, key
     each group of two or more by its first principal component of the unscaled centred columns,
     keep singletons (I9)."""
     cols = list(cols)
-    groups = ward_groups(corr_matrix(df, cols), threshold)
+    means, cov, corr = moments(df, cols)                 # one pass serves the grouping and every group's component
+    groups = ward_groups(corr, threshold)
     exprs, mapping = [], {}
     for g_id, members in enumerate(groups):
         names = [cols[i] for i in members]
@@ -193,8 +171,8 @@ def pca_by_group(df: DataFrame, cols: Sequence[str], threshold: float = 1.0, key
             exprs.append(F.col(names[0]))
             mapping[names[0]] = names
             continue
-        v, mean = pca_loadings(df, names)
-        proj = sum((F.col(n) - F.lit(float(m))) * F.lit(float(w)) for n, m, w in zip(names, mean, v))
+        v = first_axis(cov[np.ix_(members, members)])
+        proj = sum((F.col(n) - F.lit(float(m))) * F.lit(float(w)) for n, m, w in zip(names, means[members], v))
         name = f"PCA_Cluster_{g_id}"
         exprs.append(proj.alias(name))
         mapping[name] = names
@@ -271,31 +249,28 @@ def score(model, df: DataFrame, cols: Sequence[str], label: str | None = None) -
 
 def permutation_importance(model, df: DataFrame, cols: Sequence[str], label: str, key: str = KEY,
                            seed: int = 42) -> DataFrame:
-    """Accuracy drop when one feature's values are moved to other rows (J11, re-aims SHAP).
+    """Drop in accuracy and in precision of class 1 when one feature's values are moved to other rows (J11, re-aims SHAP).
 
-    The permutation is a rotation of a seeded hash order: every row takes the value of the row
-    ``shift`` places later; it is a key join, not a driver-side shuffle.
+    The permutation is a rotation of a seeded hash order: every row takes the value of the row ``shift`` places before it. A row meets
+    its donor once, in one key join; all variants (none moved, each feature moved) are scored from that pair. A precision without
+    predicted rows counts as 0.
     """
-    base = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    ranked = running_totals(base, ["_h", key], {"_r": (None, True)})
+    from lapsekit.session import cut_lineage
+    cols = list(cols)
+    base = df.select(key, label, *cols).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    ranked = cut_lineage(running_totals(base, ["_h", key], {"_r": (None, True)}))
     n = ranked.select(F.count(F.lit(1))).scalar()
-    shift = F.floor(n / 3) + 1
-
-    def accuracy(d):
-        s = score(model, d, cols, label)
-        return s.agg(F.avg((F.col("prediction") == F.col(label).cast("double")).cast("double")).alias("acc"))
-
-    base_acc = accuracy(ranked).select("acc").scalar()
-    rows = []
-    for c in cols:
-        donor = ranked.select(F.pmod(F.col("_r") - 1 + shift, n).alias("_r0"), F.col(c).alias("_v"))
-        perm = (ranked.withColumn("_r0", F.col("_r") - 1).drop(c)
-                .join(donor, "_r0").withColumnRenamed("_v", c))
-        rows.append(accuracy(perm).select(F.lit(c).alias("feature"), (base_acc - F.col("acc")).alias("importance")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    donors = ranked.select(F.pmod(F.col("_r") - 1 + F.floor(n / 3) + 1, n).alias("_at"), F.struct(*cols).alias("_donor"))
+    pairs = ranked.withColumn("_at", F.col("_r") - 1).join(donors, "_at")
+    variants = pairs.withColumn("_moved", F.explode(F.sequence(F.lit(-1), F.lit(len(cols) - 1))))
+    variants = variants.select(label, "_moved", *[F.when(F.col("_moved") == j, F.col("_donor")[c]).otherwise(F.col(c)).alias(c) for j, c in enumerate(cols)])
+    hit, y = F.col("prediction") == F.col("_label"), F.col("prediction") == 1
+    rates = cut_lineage(score(model, variants, cols, label).groupBy("_moved").agg(
+        F.avg(hit.cast("double")).alias("accuracy"), F.coalesce(F.try_divide(F.count_if(hit & y), F.count_if(y)), F.lit(0.0)).alias("precision")))
+    whole = rates.where("_moved = -1")
+    return rates.where("_moved >= 0").select(
+        F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_moved") + 1).alias("feature"),
+        (whole.select("accuracy").scalar() - F.col("accuracy")).alias("importance"), (whole.select("precision").scalar() - F.col("precision")).alias("precision_drop"))
 
 
 def recursive_elimination(df: DataFrame, cols: Sequence[str], label: str, step: int = 5, min_features: int = 5,

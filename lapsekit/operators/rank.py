@@ -60,21 +60,24 @@ def average_ranks(values: DataFrame, value: str, count: str = "count", out: str
 def group_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float], out: str = "q") -> DataFrame:
     """(group, q): exact linear quantiles of ``value`` in each group, as one array per group.
 
-    The two rows around each position are looked up by global rank, so no task holds a column. ``group`` must have a
-    bounded number of values; nulls in ``value`` are left out. Equal rows need no tie-break: they carry equal values.
+    Values are counted first, so a value that many rows share is one row, and the values around each position are looked up by
+    running count: no task holds a column. ``group`` must have a bounded number of values; nulls in ``value`` are left out.
     """
     src = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    ranked = running_total(src, ["_g", "_v"], None, out="_r")
-    sizes = src.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    counted = cut_lineage(src.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    ranked = running_total(counted, ["_g", "_v"], "_c", out="_r")
+    sizes = counted.groupBy("_g").agg(F.sum("_c").alias("_n"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
         Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))     # one row per group
-    at = ranked.join(F.broadcast(sizes), "_g").withColumn("_i", F.col("_r") - F.col("_before") - 1)
+    at = ranked.join(F.broadcast(sizes), "_g").withColumn("_end", F.col("_r") - F.col("_before")).withColumn("_start", F.col("_end") - F.col("_c"))
+
+    def holds(pos: Column) -> Column:
+        return F.max(F.when((pos >= F.col("_start")) & (pos < F.col("_end")), F.col("_v")))
 
     def edge(p: float) -> Column:
         pos = F.lit(p) * (F.col("_n") - 1)
         low, high = F.floor(pos), F.ceil(pos)
-        a = F.max(F.when(F.col("_i") == low, F.col("_v")))
-        b = F.max(F.when(F.col("_i") == high, F.col("_v")))
+        a, b = holds(low), holds(high)
         return F.when(F.max(low) == F.max(high), a).otherwise(F.max(high - pos) * a + F.max(pos - low) * b)
 
     return at.groupBy(F.col("_g").alias(group)).agg(F.array(*[edge(p) for p in probs]).alias(out))

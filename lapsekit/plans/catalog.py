@@ -493,6 +493,20 @@ def frequent_itemsets(spark, sf_dir):
     return f.select(itemset_str("itemset").alias("itemset"), "freq", F.round("support", 9).alias("support"), "length")
 
 
+def _register_short_sets(k: int):
+    @register(f"itemsets_up_to_{k}", S.with_(S.FACT, S.ITEMSETS) + f"""
+SELECT s AS itemset, freq, round(support, 9) AS support, length FROM fi WHERE length <= {k}""")
+    def short_sets(spark, sf_dir):
+        from lapsekit.functions.scalar import itemset_str
+        f = bk.vertical_itemsets(_baskets(spark, sf_dir), "customer_id", S.MIN_SUPPORT, max_len=k)
+        return f.select(itemset_str("itemset").alias("itemset"), "freq", F.round("support", 9).alias("support"), "length")
+    short_sets.__doc__ = f"Frequent item sets of at most {k} items, by the vertical miner (K3)."
+
+
+for _k in (2, 3):
+    _register_short_sets(_k)
+
+
 RULE_METRICS = ["antecedent_support", "consequent_support", "support", "confidence", "lift", "leverage",
                 "conviction", "zhangs_metric", "jaccard", "certainty", "kulczynski"]
 
@@ -632,6 +646,80 @@ def amount_normality(spark, sf_dir):
     return r.select("is_churned", "n", *[F.round(c, 6).alias(c) for c in ["skewness", "kurtosis", "jb", "p_value"]])
 
 
+KS_SQL = """,
+f AS (SELECT g, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM src GROUP BY g),
+c AS (SELECT g, v, count(*) AS c FROM src GROUP BY g, v),
+r AS (SELECT g, v, c, sum(c) OVER (PARTITION BY g ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM c),
+z AS (SELECT r.g, n, mean, sd, c, r, (v - mean) / sd AS z, 1 / (1 + 0.2316419 * abs((v - mean) / sd)) AS t FROM r JOIN f USING (g)),
+u AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi())
+             * ((((1.330274429 * t - 1.821255978) * t + 1.781477937) * t - 0.356563782) * t + 0.319381530) * t AS upper FROM z),
+p AS (SELECT *, CASE WHEN z >= 0 THEN 1 - upper ELSE upper END AS phi FROM u),
+d AS (SELECT g, any_value(n) AS n, any_value(mean) AS mean, any_value(sd) AS sd,
+             max(greatest(CAST(r AS DOUBLE) / n - phi, phi - CAST(r - c AS DOUBLE) / n)) AS ks_d FROM p GROUP BY g)
+SELECT g AS {g}, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(ks_d, 6) AS ks_d, round(sqrt(n) * ks_d, 6) AS ks_scaled FROM d"""
+
+
+def _rounded_ks(df, col, group):
+    return st.ks_normal(df, col, group).withColumns({c: F.round(c, 6) for c in ["mean", "sd", "ks_d", "ks_scaled"]})
+
+
+@register("amount_ks", LABEL_AMOUNTS + """,
+src AS (SELECT is_churned AS g, log_amount AS v FROM la)""" + KS_SQL.format(g="is_churned"))
+def amount_ks(spark, sf_dir):
+    """Kolmogorov-Smirnov distance of log amounts from a normal distribution per lapse group."""
+    return _rounded_ks(_label_amounts(spark, sf_dir), "log_amount", "is_churned")
+
+
+@register("price_ks", """WITH src AS (SELECT l_returnflag AS g, l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL)"""
+          + KS_SQL.format(g="l_returnflag"))
+def price_ks(spark, sf_dir):
+    """Kolmogorov-Smirnov distance of line prices from a normal distribution per return flag."""
+    return _rounded_ks(td.read(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag")
+
+
+@register("price_density", """WITH x AS (SELECT l_returnflag AS g, l_extendedprice / 1000.0 AS v FROM lineitem WHERE l_extendedprice IS NOT NULL),
+s AS (SELECT g, count(*) AS n, pow(CAST(count(*) AS DOUBLE), -0.2) * stddev_samp(v) AS h, min(v) AS lo0, max(v) AS hi0 FROM x GROUP BY g),
+t AS (SELECT x.g, (v - lo0) / (0.05 * h) AS t FROM x JOIN s USING (g)),
+k AS (SELECT g, floor(t) AS k, t - floor(t) AS near FROM t),
+e AS (SELECT g, e, sum(w) AS w FROM (SELECT g, k AS e, 1 - near AS w FROM k UNION ALL SELECT g, k + 1, near FROM k) GROUP BY g, e),
+gr AS (SELECT g, n, h, lo0, lo0 - 3.0 * h AS lo, ((hi0 + 3.0 * h) - (lo0 - 3.0 * h)) / 199 AS step FROM s)
+SELECT g AS l_returnflag, CAST(i.range AS INTEGER) AS grid_index, round(lo + i.range * step, 6) AS x,
+       round(sum(w * exp(-0.5 * pow(((lo + i.range * step) - (lo0 + e * 0.05 * h)) / h, 2))) / (sqrt(2 * pi()) * n * h), 9) AS density,
+       round(0.05 * 0.05 / 8.0 / sqrt(2 * pi()) / h, 9) AS error_bound
+FROM range(200) i CROSS JOIN gr JOIN e USING (g) GROUP BY g, i.range, lo, step, n, h""")
+def price_density(spark, sf_dir):
+    """Density of line prices (thousands) per return flag, from linear bins a twentieth of the bandwidth wide."""
+    d = td.read(spark, sf_dir, "lineitem").withColumn("v", F.col("l_extendedprice") / 1000.0)
+    k = st.kde(d, "v", 200, group="l_returnflag", step=0.05)
+    return k.withColumns({"x": F.round("x", 6), "density": F.round("density", 9), "error_bound": F.round("error_bound", 9)})
+
+
+LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@register("line_correlations", " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(LINE_COLS) for b in LINE_COLS[i + 1:]))
+def line_correlations(spark, sf_dir):
+    """Correlation of every pair of numeric line columns, from one pass of products."""
+    return st.corr_pairs(td.read(spark, sf_dir, "lineitem"), LINE_COLS).withColumn("r", F.round("r", 6))
+
+
+@register("line_component", """WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice / 1000.0) AS my, var_samp(l_quantity) AS cxx,
+       var_samp(l_extendedprice / 1000.0) AS cyy, covar_samp(l_quantity, l_extendedprice / 1000.0) AS cxy FROM lineitem),
+a AS (SELECT *, 0.5 * atan2(2 * cxy, cxx - cyy) AS th FROM m),
+v AS (SELECT *, cos(th) * CASE WHEN greatest(cos(th), sin(th)) >= -least(cos(th), sin(th)) THEN 1 ELSE -1 END AS vx,
+             sin(th) * CASE WHEN greatest(cos(th), sin(th)) >= -least(cos(th), sin(th)) THEN 1 ELSE -1 END AS vy FROM a)
+SELECT 'l_quantity' AS feature, round(mx, 6) AS mean, round(vx, 6) AS loading FROM v
+UNION ALL SELECT 'price_thousands', round(my, 6), round(vy, 6) FROM v""")
+def line_component(spark, sf_dir):
+    """First principal component of two line columns: mean and loading of each."""
+    from lapsekit.operators.ml import pca_loadings
+    cols = ["l_quantity", "price_thousands"]
+    v, mean = pca_loadings(td.read(spark, sf_dir, "lineitem").withColumn("price_thousands", F.col("l_extendedprice") / 1000.0), cols)
+    rows = [(c, round(float(m), 6), round(float(w), 6)) for c, m, w in zip(cols, mean, v)]
+    return spark.createDataFrame(rows, "feature string, mean double, loading double")
+
+
 @register("amount_mann_whitney", LABEL_AMOUNTS + """,
 vc AS (SELECT log_amount AS v, count(*) AS c, count(*) FILTER (WHERE is_churned) AS c1 FROM la GROUP BY 1),
 rk AS (SELECT *, sum(c) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (c - 1) / 2.0 AS ar FROM vc),
@@ -972,9 +1060,9 @@ def residual_histogram(spark, sf_dir):
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
-    """Accuracy drop per permuted feature for the chosen lapse model."""
+    """Accuracy and precision drop per permuted feature for the chosen lapse model, on its test split."""
     z, cols, stats, train, test, balanced, model, cv, name = _fitted(spark, sf_dir)
-    return ml.permutation_importance(model, z, cols, "is_churned")
+    return ml.permutation_importance(model, test, cols, "is_churned")
 
 
 @register("feature_elimination")
