@@ -317,11 +317,23 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 6, seed: int = 42, metho
     return model, out.drop("features"), sil
 
 
+def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> float | None:
+    """Mean silhouette of given clusters by squared distances (J14); null with fewer than two of them."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    if df.select(cluster).distinct().limit(2).count() < 2:
+        return None
+    return ClusteringEvaluator(featuresCol="features", predictionCol=cluster).evaluate(assemble(df, cols))
+
+
+def fit_line(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
+    """Rows with ``prediction`` and ``residual`` of a linear regression on ``cols``."""
+    from pyspark.ml.regression import LinearRegression
+    data = assemble(df, cols)
+    out = LinearRegression(featuresCol="features", labelCol=target).fit(data).transform(data)
+    return out.drop("features").withColumn("residual", F.col(target) - F.col("prediction"))
+
+
 def cluster_profile(clustered: DataFrame, cols: Sequence[str], stats: dict[str, tuple[float, float]]) -> DataFrame:
     """Per-cluster size and means in the original units."""
     orig = inverse_standardize(clustered, {c: stats[c] for c in cols})
     return orig.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_customers"), *[F.avg(c).alias(c) for c in cols])
-
-
-def linear(cols: Sequence[str], weights: Sequence[float]) -> Column:
-    return sum(F.col(c) * F.lit(float(w)) for c, w in zip(cols, weights))

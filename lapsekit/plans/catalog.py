@@ -749,7 +749,16 @@ def amount_welch(spark, sf_dir):
                     *[F.round(c, 6).alias(c) for c in ["mean2", "var2", "t", "df"]])
 
 
-@register("lapse_tests")
+def _exact(name: str) -> str:
+    """A query's SQL with figures that are not cut to six places."""
+    return ORACLE[name].replace(", 6)", ", 15)")
+
+
+@register("lapse_tests", "WITH jb AS (" + _exact("amount_normality") + "), mw AS (" + _exact("amount_mann_whitney") + "), wt AS (" + _exact("amount_welch") + """)
+SELECT 'jarque_bera_lapsed_' || CAST(is_churned AS VARCHAR) AS test, round(jb, 6) AS statistic, round(exp(-jb / 2), 9) AS p_value FROM jb
+UNION ALL SELECT 'mann_whitney_u', round(u1, 6), round(0.5 - """ + S.integral("exp(-x * x / 2) / sqrt(2 * pi())", "mw.z") + """, 9) FROM mw
+UNION ALL SELECT 'welch_t', round(t, 6), round(0.5 + """ + S.integral(
+    "exp(lgamma((wt.df + 1) / 2) - lgamma(wt.df / 2)) / sqrt(wt.df * pi()) * pow(1 + x * x / wt.df, -(wt.df + 1) / 2)", "wt.t") + ", 9) FROM wt")
 def lapse_tests(spark, sf_dir):
     """Statistics with their p-values: Jarque-Bera per group, Mann-Whitney U and Welch t ('less')."""
     la = _label_amounts(spark, sf_dir)
@@ -760,14 +769,21 @@ def lapse_tests(spark, sf_dir):
                                                                  F.col("u1").alias("statistic"), "p_value")
     wt = st.welch_t(la, "log_amount", "is_churned").select(F.lit("welch_t").alias("test"),
                                                             F.col("t").alias("statistic"), "p_value")
-    return jb.unionByName(mw).unionByName(wt)
+    tests = jb.unionByName(mw).unionByName(wt)
+    return tests.withColumns({"statistic": F.round("statistic", 6), "p_value": F.round("p_value", 9)})
 
 
-@register("amount_probplot")
+@register("amount_probplot", LABEL_AMOUNTS + """,
+o AS (SELECT is_churned, log_amount AS osr, row_number() OVER (PARTITION BY is_churned ORDER BY log_amount, customer_id) AS i,
+             CAST(count(*) OVER (PARTITION BY is_churned) AS DOUBLE) AS n FROM la),
+m AS (SELECT is_churned, osr, CASE WHEN i = n THEN pow(0.5, 1 / n) WHEN i = 1 THEN 1 - pow(0.5, 1 / n) ELSE (i - 0.3175) / (n + 0.365) END AS p FROM o),
+z AS (SELECT is_churned, osr, """ + S.normal_quantile("p") + """ AS osm FROM m)
+SELECT is_churned, round(regr_slope(osr, osm), 6) AS slope, round(regr_intercept(osr, osm), 6) AS intercept, round(corr(osr, osm), 6) AS r
+FROM z GROUP BY is_churned""")
 def amount_probplot(spark, sf_dir):
-    """Normal probability-plot fit per lapse group (slope, intercept, r)."""
+    """Normal probability-plot fit per lapse group (slope, intercept, r)."""
     pts = st.probplot(_label_amounts(spark, sf_dir), "log_amount", "customer_id", group="is_churned")
-    return st.probplot_fit(pts, "is_churned")
+    return st.probplot_fit(pts, "is_churned").withColumns({c: F.round(c, 6) for c in ["slope", "intercept", "r"]})
 
 
 @register("amount_inliers", LABEL_AMOUNTS + """,
@@ -934,6 +950,136 @@ def feature_correlations(spark, sf_dir):
     return st.high_corr_pairs(m, MODEL_FEATURES, CORR_THRESHOLD).withColumn("r", F.round("r", 6))
 
 
+@register("dropped_features", "WITH hc AS (" + ORACLE["feature_correlations"] + """)
+SELECT f.feature, f.feature IN (SELECT col_b FROM hc) AS dropped FROM (SELECT unnest([""" + ", ".join(f"'{c}'" for c in MODEL_FEATURES) + """]) AS feature) f""")
+def dropped_features(spark, sf_dir):
+    """Model inputs that the correlation screening drops: the later of each pair above the threshold (I8)."""
+    _, dropped = st.drop_correlated(customer_model_table(spark, sf_dir), MODEL_FEATURES, CORR_THRESHOLD)
+    return spark.createDataFrame([(c, c in dropped) for c in MODEL_FEATURES], "feature string, dropped boolean")
+
+
+# --- model steps on raw columns, with closed forms to hold them against --------------------------
+
+COMPONENT_SQL = """WITH raw AS (SELECT l_quantity AS a, l_discount * 100 AS b, l_extendedprice / 1000.0 AS y FROM lineitem),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM raw),
+z AS (SELECT (a - ma) / sa AS a, (b - mb) / sb * 0.5 AS b, y FROM raw, m),
+c AS (SELECT avg(a) AS ma, avg(b) AS mb, 0.5 * atan2(2 * covar_samp(a, b), var_samp(a) - var_samp(b)) AS th FROM z),
+x AS (SELECT (a - ma) * cos(th) + (b - mb) * sin(th) AS pc1, y FROM z, c),
+f AS (SELECT regr_slope(y, pc1) AS k, regr_intercept(y, pc1) AS i FROM x),
+r AS (SELECT y, y - (k * pc1 + i) AS residual FROM x, f)"""
+
+
+def _component_fit(spark, sf_dir):
+    """Prices (thousands) on the first component of two standardised line columns, the second at half its weight."""
+    raw = td.read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("a"), (F.col("l_discount") * 100).cast("double").alias("b"),
+                                                    (F.col("l_extendedprice") / 1000.0).alias("y"))
+    z = ml.standardize(raw, ml.fit_scaler(raw, ["a", "b"])).withColumn("b", F.col("b") * 0.5)
+    v, mean = ml.pca_loadings(z, ["a", "b"])
+    pc = sum((F.col(c) - F.lit(float(m))) * F.lit(float(w)) for c, m, w in zip(["a", "b"], mean, v))
+    return ml.fit_line(z.withColumn("pc1", pc), ["pc1"], "y")
+
+
+@register("component_regression", COMPONENT_SQL + """
+SELECT round(avg(residual * residual), 6) AS mse, round(avg(abs(residual)), 6) AS mae,
+       round(1 - sum(residual * residual) / (count(*) * var_pop(y)), 6) AS r2, count(*) AS n FROM r""")
+def component_regression(spark, sf_dir):
+    """Standardise, first principal component, linear regression: its error figures."""
+    report = ml.regression_report(_component_fit(spark, sf_dir), "y")
+    return report.select(*[F.round(c, 6).alias(c) for c in ["mse", "mae", "r2"]], "n")
+
+
+@register("component_residuals", COMPONENT_SQL + """,
+e AS (SELECT min(residual) AS lo, max(residual) AS hi, count(*) AS n FROM r),
+hb AS (SELECT CAST(least(floor((residual - lo) * 30 / (hi - lo)), 29) AS INTEGER) AS bin, count(*) AS count FROM r, e GROUP BY 1)
+SELECT g.bin, round(lo + g.bin * ((hi - lo) / 30), 6) AS bin_start, round(lo + (g.bin + 1) * ((hi - lo) / 30), 6) AS bin_end,
+       coalesce(hb.count, 0) AS count, round(coalesce(hb.count, 0) / (n * ((hi - lo) / 30)), 6) AS density
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) g CROSS JOIN e LEFT JOIN hb ON hb.bin = g.bin""")
+def component_residuals(spark, sf_dir):
+    """Histogram of the regression's residuals."""
+    h = st.histogram(_component_fit(spark, sf_dir), "residual", 30)
+    return h.withColumns({c: F.round(c, 6) for c in ["bin_start", "bin_end", "density"]})
+
+
+SEGMENT_COLS = ["recency", "frequency", "join_period"]
+
+
+def _segment_clusters(spark, sf_dir):
+    """Customers with standardised RFM inputs, their segment as the cluster."""
+    x = td.verdicts(spark, sf_dir).select("customer_id", F.col("segment").alias("cluster"), *[F.col(c).cast("double").alias(c) for c in SEGMENT_COLS])
+    stats = ml.fit_scaler(x, SEGMENT_COLS)
+    return ml.standardize(x, stats), stats
+
+
+@register("segment_profile", S.with_(S.FACT, S.FENCE, S.RFM) + """
+SELECT segment AS cluster, count(*) AS n_customers, """ + ", ".join(f"round(avg({c}), 6) AS {c}" for c in SEGMENT_COLS) + " FROM rfm_seg JOIN lab USING (customer_id) GROUP BY segment")
+def segment_profile(spark, sf_dir):
+    """Size and means of given clusters, back in the original units."""
+    z, stats = _segment_clusters(spark, sf_dir)
+    return ml.cluster_profile(z, SEGMENT_COLS, stats).withColumns({c: F.round(c, 6) for c in SEGMENT_COLS})
+
+
+@register("segment_silhouette", S.with_(S.FACT, S.FENCE, S.RFM) + """,
+raw AS (SELECT r.customer_id, segment AS c, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in SEGMENT_COLS) + """ FROM rfm_seg r JOIN lab USING (customer_id)),
+sc AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SEGMENT_COLS) + """ FROM raw),
+z AS (SELECT customer_id, c, """ + ", ".join(f"({c} - m_{c}) / s_{c} AS x{i}" for i, c in enumerate(SEGMENT_COLS)) + """ FROM raw, sc),
+cl AS (SELECT c, count(*) AS n, avg(x0) AS u0, avg(x1) AS u1, avg(x2) AS u2, avg(x0 * x0 + x1 * x1 + x2 * x2) AS q FROM z GROUP BY c),
+d AS (SELECT z.customer_id, z.c, cl.c AS other, n, x0 * x0 + x1 * x1 + x2 * x2 - 2 * (x0 * u0 + x1 * u1 + x2 * u2) + q AS dist FROM z CROSS JOIN cl),
+ab AS (SELECT customer_id, max(CASE WHEN c = other THEN n END) AS n, max(CASE WHEN c = other AND n > 1 THEN dist * n / (n - 1) END) AS a,
+              min(CASE WHEN c <> other THEN dist END) AS b FROM d GROUP BY customer_id)
+SELECT round(avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette,
+       (SELECT count(*) FROM cl) AS n_clusters FROM ab""")
+def segment_silhouette(spark, sf_dir):
+    """Mean silhouette of given clusters by squared distances."""
+    z, _ = _segment_clusters(spark, sf_dir)
+    z = cut_lineage(z)
+    names = [r[0] for r in z.select("cluster").distinct().orderBy("cluster").collect()]      # the segments
+    coded = z.withColumn("cluster", (F.array_position(F.array(*[F.lit(n) for n in names]), F.col("cluster")) - 1).cast("int"))
+    return spark.createDataFrame([(round(ml.silhouette(coded, SEGMENT_COLS), 6), len(names))], "silhouette double, n_clusters long")
+
+
+# --- click sessions and recent item rows --------------------------------------------------------
+
+@register("session_traffic", """WITH s AS (""" + ORACLE["sessions"] + """)
+SELECT session_id, click AS mobile_events, "view" AS web_events, CAST(click > 0 AS INTEGER) AS has_mobile FROM s""")
+def session_traffic(spark, sf_dir):
+    """Events by source per session and a flag (D12); the event kind stands in for the source, which the test tables lack."""
+    return act.traffic_pivot(ss.sessionize(td.events(spark, sf_dir), "8 hours"), source="event_name", mobile="click", web="view")
+
+
+@register("recent_item_features", S.with_(S.FACT, S.EVENTS, S.CUST_COUNTS) + """,
+d3 AS (SELECT customer_id, transaction_date FROM (
+         SELECT customer_id, transaction_date, row_number() OVER (PARTITION BY customer_id ORDER BY transaction_date DESC) AS rk
+         FROM (SELECT DISTINCT customer_id, transaction_date FROM tx)) WHERE rk <= 3),
+rows AS (SELECT DISTINCT customer_id, booking_id, product_id, quantity, round(amount, 4) AS amount FROM tx JOIN d3 USING (customer_id, transaction_date))
+SELECT customer_id, booking_id, product_id, quantity, amount, CAST(purchase AS BIGINT) AS purchase, CAST(n_events AS BIGINT) AS n_events,
+       CAST(click AS BIGINT) AS mobile_events, CAST("view" AS BIGINT) AS web_events, CAST(click > 0 AS INTEGER) AS has_mobile
+FROM rows JOIN cust_counts USING (customer_id)""")
+def recent_item_features(spark, sf_dir):
+    """Recent item rows with the event and traffic counts of their click side (C5, C9), linked by customer as the tables share no session."""
+    rows = lc.last_n_dates(td.fact(spark, sf_dir), 3).select("customer_id", "booking_id", "product_id", "quantity", F.round("amount", 4).alias("amount"))
+    counts = td.clicks(spark, sf_dir).select("customer_id", "purchase", "n_events")
+    traffic = act.traffic_pivot(td.events(spark, sf_dir), session="customer_id", source="event_name", mobile="click", web="view")
+    return act.recent_features(rows, counts, traffic, session="customer_id")
+
+
+# --- text round trip -------------------------------------------------------------------------------
+
+@register("customer_items_from_text", S.with_(S.FACT) + """
+SELECT customer_id, string_agg(DISTINCT item, ', ' ORDER BY item) AS items, max(transaction_date) AS last_purchase FROM tx GROUP BY customer_id""")
+def customer_items_from_text(spark, sf_dir):
+    """Items and last purchase of each customer written as CSV (arrays as text), read by a fixed schema, dates typed again (A1-A5)."""
+    import hashlib
+
+    from lapsekit.session import tables_dir
+    from lapsekit.sources import io
+    t = td.fact(spark, sf_dir).groupBy("customer_id").agg(F.collect_set("item").alias("items"), F.max("transaction_date").alias("last_purchase"))
+    path = f"{tables_dir(spark)}/customer_items-{hashlib.sha1(sf_dir.encode()).hexdigest()[:8]}"
+    io.write_table(t, path, fmt="csv")
+    schema = "customer_id long, items string, last_purchase string"
+    from pyspark.sql.types import StructType
+    return io.recast_dates(io.read_table(spark, path, StructType.fromDDL(schema), fmt="csv"), ["last_purchase"])
+
+
 _FITTED: dict = {}
 
 

@@ -272,3 +272,35 @@ rules AS (
 
 ITEMSETS = _itemset_ctes()
 RULES = ITEMSETS + ",\n" + _rules_cte()
+
+
+# Wichura's AS 241 (1988), the inverse of the normal distribution: numerator and denominator, highest power first,
+# for the middle (in 0.180625 - q^2) and for the tails up to 1e-11 (in sqrt(-ln p) - 1.6).
+AS241_MIDDLE = ((2.5090809287301226727e+3, 3.3430575583588128105e+4, 6.7265770927008700853e+4, 4.5921953931549871457e+4,
+                 1.3731693765509461125e+4, 1.9715909503065514427e+3, 1.3314166789178437745e+2, 3.3871328727963666080e+0),
+                (5.2264952788528545610e+3, 2.8729085735721942674e+4, 3.9307895800092710610e+4, 2.1213794301586595867e+4,
+                 5.3941960214247511077e+3, 6.8718700749205790830e+2, 4.2313330701600911252e+1, 1.0))
+AS241_TAIL = ((7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e+0,
+               3.64784832476320460504e+0, 5.76949722146069140550e+0, 4.63033784615654529590e+0, 1.42343711074968357734e+0),
+              (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1,
+               6.89767334985100004550e-1, 1.67638483018380384940e+0, 2.05319162663775882187e+0, 1.0))
+
+
+def polynomial(coefficients, x: str) -> str:
+    out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+    return out
+
+
+def normal_quantile(p: str) -> str:
+    """Inverse of the normal distribution at ``p``, a column."""
+    ratio = lambda pair, x: f"{polynomial(pair[0], x)} / {polynomial(pair[1], x)}"
+    return (f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio(AS241_MIDDLE, f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} "
+            f"ELSE sign({p} - 0.5) * {ratio(AS241_TAIL, f'(sqrt(-ln(least({p}, 1 - {p}))) - 1.6)')} END")
+
+
+def integral(density: str, to: str) -> str:
+    """Integral of a density in ``x`` from 0 to the column ``to`` by Simpson's rule on 2,000 panels."""
+    return (f"(SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({density})) * {to} / 6000 "
+            f"FROM (SELECT range AS i, {to} * range / 2000.0 AS x FROM range(2001)))")
