@@ -1,6 +1,6 @@
 """Main text of pages by site style trees.
 
-1. *Merge.* Each page becomes a list of text blocks with the path of styled elements above them
+1. *Merge.* Each page becomes a list of all its text blocks with the path of styled elements above them
    (tag, class, id). Over all pages of a host, equal paths are one node of the site's style tree. Counted per
    node: pages that have it, how often each text occurs in it, and each sequence of children.
 2. *Importance.* Content: ``1 - mean(log c / log m)`` over the texts of a node, c = pages with that text,
@@ -8,7 +8,8 @@
    Presentation: entropy (base m) of the child sequences of the element above. Importance is ``CONTENT`` of
    the first and the rest of the second. A node below ``LOW`` on at least ``MIN_PAGES`` pages goes.
 3. *Extract.* A page keeps its blocks outside low nodes. What elements mean is known beforehand: navigation,
-   headers, footers, asides, forms, adverts, notices, comments and the like go, also on hosts with one page.
+   headers, footers, asides, forms, adverts, notices, comments and the like go, also on hosts with one page. A class or
+   id tells so only if all its words do (noise and layout words); any other name is left to the tree.
    If a page has an article or main element, only its text is kept, less its low nodes. A site may repeat an
    article: if the low nodes hold over half of the text there, they stay. Class names, ids and forms are only
    guesses: one around a main element does not count, nor does one around an article or most of the text of a page
@@ -56,6 +57,11 @@ NOISE_WORDS = set("nav navbar navigation menu menubar sidebar side footer header
                   "popup modal overlay comment comments commentlist reply replies respond disqus share sharing social breadcrumb "
                   "breadcrumbs related recommended newsletter subscribe subscription signup login widget pagination pager toolbar "
                   "skip".split())
+#: words that only say where or what kind of box; a name counts as noise if it is made of these and of noise words
+LAYOUT_WORDS = set("a area articles bar bars block body bottom box btn btns button buttons center col column container content desktop "
+                   "element fixed foot form global grid group head icon icons id inner item items js label left link links list lists main media "
+                   "middle mobile mod module outer page panel policy post posts primary right row secondary section site slot space sticky "
+                   "stories text title top unit wide wrap wrapper zone".split())
 MAIN_TAGS = {"article", "main"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -87,6 +93,12 @@ class _Element:
         self.tag, self.path, self.noise, self.main, self.children, self.guess = tag, path, noise, main, [], guess
 
 
+def noise_name(name: str) -> bool:
+    """Is a class or id made of noise words: 'site-footer' and 'cookieNotice' are, 'side-effects' and 'share-price' are not."""
+    words = set(NAME.findall(CAMEL.sub("-", name).lower()))
+    return bool(words & NOISE_WORDS) and words <= NOISE_WORDS | LAYOUT_WORDS
+
+
 def _open(parent: _Element, tag: str, attributes: str, guesses: list[_Guess]) -> _Element:
     label, noise, role_main, guess, full_main = tag, tag in NOISE_TAGS and tag not in FORMS, False, tag in FORMS, tag == "main"
     if attributes and not attributes.isspace():
@@ -96,8 +108,7 @@ def _open(parent: _Element, tag: str, attributes: str, guesses: list[_Guess]) ->
                 continue
             if name in ("class", "id"):
                 label += ("." if name == "class" else "#") + NUMBER.sub("0", value.strip())
-                names = set(NAME.findall(CAMEL.sub("-", value).lower()))
-                guess |= bool(names & NOISE_WORDS) and tag not in ("html", "body", "article", "main")
+                guess |= tag not in ("html", "body", "article", "main") and any(map(noise_name, value.split()))
             elif name == "role":
                 guess |= value.lower() in FORMS
                 noise |= value.lower() in NOISE_ROLES - FORMS
@@ -235,28 +246,34 @@ def style_counts(page: str) -> list[tuple[int, int, int]]:
     """What a page adds to its site's tree, each once: (node, kind, feature); kind 0 text, 1 child sequence, 2 the node."""
     blocks, elements = blocks_of(page)
     out = set()
-    for path, text, noise, _ in blocks:
-        if not noise:
-            node = _key(path)
-            out.add((node, 0, _key(text)))
-            out.add((node, 2, 0))
-            out.add((node, 1, _key(path.rpartition(">")[0])))
+    for path, text, _, _ in blocks:                 # all branches: the tree judges those with telling names as well
+        node = _key(path)
+        out.add((node, 0, _key(text)))
+        out.add((node, 2, 0))
+        out.add((node, 1, _key(path.rpartition(">")[0])))
     for e in elements:
-        if not e.noise:
-            out.add((_key(e.path), 3, _key("|".join(e.children))))
+        out.add((_key(e.path), 3, _key("|".join(e.children))))
     return list(out)
 
 
-def main_text(page: str, low: set[int] = frozenset()) -> str:
+def judged_blocks(page: str, low: set[int] = frozenset()) -> list[tuple[str, str]]:
+    """(text, why) of all blocks in page order: '' for kept ones, else 'tree' (a low node), 'name' (known by tag or name only) or 'outside'."""
     blocks, _ = blocks_of(page)
-    kept = [b for b in blocks if not b[2]]
-    main = [b for b in kept if b[3]]
-    own = [b for b in main or kept if _key(b[0]) not in low]
+    low_at = [_key(b[0]) in low for b in blocks]
+    known = [i for i, b in enumerate(blocks) if not b[2]]
+    main = [i for i in known if blocks[i][3]]
+    own = [i for i in main or known if not low_at[i]]
+    size = lambda places: sum(len(blocks[i][1]) for i in places)
     if main:
-        kept = own if 2 * sum(len(b[1]) for b in own) >= sum(len(b[1]) for b in main) else main
+        kept = own if 2 * size(own) >= size(main) else main
     else:
-        kept = own or kept
-    return " ".join(b[1] for b in kept)
+        kept = own or known
+    kept = set(kept)
+    return [(b[1], "" if i in kept else "tree" if low_at[i] else "name" if b[2] else "outside") for i, b in enumerate(blocks)]
+
+
+def main_text(page: str, low: set[int] = frozenset()) -> str:
+    return " ".join(text for text, why in judged_blocks(page, low) if not why)
 
 
 def with_host(pages: DataFrame, url: str, html: str, *more) -> DataFrame:

@@ -159,3 +159,82 @@ def test_words_in_quoted_attributes_are_not_attributes(spark):
             "<div class = \"sidebar\">Gone too.</div></article></body></html>")
     rows = spark.createDataFrame([(1, "https://a.example/x", html)], "page_id long, url string, html string")
     assert extract(rows).first()["text"] == "First. Second. Third. Fourth."
+
+
+def test_names_with_other_words_are_left_to_the_tree(spark, prose):
+    """A name that only holds a noise word keeps its text where pages differ, and loses it where the site repeats it."""
+    names = ['class="side-effects"', 'class="related-work"', 'id="share-price"', 'class="ad-hoc"', 'id="comments-on-method"']
+    rows = []
+    for i in range(8):
+        body = "".join(f"<div {n}>{prose(12, 100 * i + j)}</div>" for j, n in enumerate(names))
+        rows.append((i, f"https://host.example/{i}", f"<body><div class='ad-hoc-panel-x'>Always the same here</div>{body}<div class='site-footer'>f{i}</div></body>"))
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i].split() == " ".join(prose(12, 100 * i + j) for j in range(5)).split()
+    assert all(map(H.noise_name, ["ad", "adSlot", "site-footer", "comment-list", "related-posts", "cookieNotice", "sidebar2"]))
+    assert not any(map(H.noise_name, ["side-effects", "related-work", "share-price", "ad-hoc", "comments-on-method", "has-sidebar", "content", ""]))
+
+
+def _tree(pages):
+    """Low nodes by the definition alone: paths, texts and child sequences counted in plain dictionaries, entropies summed term by term."""
+    import math
+    from collections import Counter, defaultdict
+    texts, layouts, n_pages = defaultdict(Counter), defaultdict(Counter), Counter()
+    for page in pages:
+        blocks, elements = H.blocks_of(page)
+        for path, text in {(b[0], b[1]) for b in blocks}:
+            texts[path][text] += 1
+        n_pages.update({b[0] for b in blocks})
+        for path, children in {(e.path, tuple(e.children)) for e in elements}:
+            layouts[path][children] += 1
+    low = set()
+    for path, m in n_pages.items():
+        if m < H.MIN_PAGES:
+            continue
+        every = [c for c in texts[path].values() for _ in range(c)]
+        content = 1 - sum(math.log(c) for c in every) / len(every) / math.log(m)
+        shapes = layouts[path.rpartition(">")[0]]
+        k = sum(shapes.values())
+        shape = -sum(c / k * math.log(c / k) for c in shapes.values()) / math.log(k) if k > 1 else 0.0
+        if H.CONTENT * content + (1 - H.CONTENT) * shape < H.LOW:
+            low.add(H._key(path))
+    return low
+
+
+def test_tree_of_the_given_pages_by_its_definition(spark, site):
+    """Low nodes and texts of all pages of sf0.01 and of a site with repeated blocks against the plain form."""
+    import os
+    from collections import Counter, defaultdict
+
+    from paths import SF_CHECK
+    given = spark.read.parquet(os.path.join(SF_CHECK, "pages.parquet")).select("page_id", "url", "html")
+    more = [(10 ** 6 + i, u, h) for i, (_, u, h) in enumerate(site)]
+    pages = given.unionByName(spark.createDataFrame(more, given.schema))
+    hosts = defaultdict(list)
+    for r in H.with_host(pages, "url", "html", F.col("page_id")).collect():
+        hosts[r.host].append(r)
+    want = {h: _tree([r.html for r in rows]) for h, rows in hosts.items()}
+    got = defaultdict(set)
+    for r in H.low_nodes(pages).collect():
+        got[r.host].add(r.node)
+    assert {h: x for h, x in want.items() if x} == dict(got)
+    texts = {r.page_id: r.text for r in H.extract(pages).collect()}
+    why = Counter()
+    for h, rows in hosts.items():
+        for r in rows:
+            judged = H.judged_blocks(r.html, want[h])
+            why.update(w for _, w in judged)
+            assert texts[r.page_id] == " ".join(t for t, w in judged if not w)
+    assert why["tree"] > 0 and why[""] > 0
+
+
+@pytest.mark.parametrize("role", ["a\nb", "x]", "]\n", "[TURN:", "\\", "system"])
+def test_roles_are_read_back(role):
+    """A role with line breaks or marks comes back as it was."""
+    from lapsekit.llm.op6_chat import CONTROLS, TEMPLATE, Reader
+    said = [(role, "one\n]\n[/TURN]"), ("user", "]\n"), (role, ""), ("assistant", "\\]\n</s>")]
+    render = compile_template(TEMPLATE, Escaper(CONTROLS).escape)
+    out = "".join(s for s, _ in render(messages=iter([{"role": r, "text": t} for r, t in said])))
+    for cut in (1, 7, len(out)):
+        reader = Reader()
+        assert [x for i in range(0, len(out), cut) for x in reader.turns(out[i:i + cut])] == said and not reader.buffer
