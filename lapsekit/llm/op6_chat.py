@@ -7,7 +7,7 @@ output comes in parts of about ``PART_CHARS`` characters, in order, with the spa
 
 Defined cases: null text and null role are empty; a null conversation id is a conversation of its own; null
 turns come first; rows with the same turn are kept and ordered by role, then text; an empty table gives no
-rows; extra columns are ignored.
+rows; extra columns are ignored. A role may hold any characters, line breaks too: the mark behind it is a control string.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from lapsekit.llm.templates import Escaper, compile_template
 
 PART_CHARS = 1 << 16
-CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[TURN:", "[/TURN]"]
+CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[TURN:", "]\n", "[/TURN]"]
 TEMPLATE = """
 {%- for m in messages -%}
 {%- if loop.first %}{{ '<s>' }}{% endif -%}
 {%- if m.role == 'user' %}{{ '[INST] ' }}{{ m.text | escape }}{{ ' [/INST]' }}
 {%- elif m.role == 'assistant' %}{{ ' ' }}{% generation %}{{ m.text | escape }}{% endgeneration %}{{ '</s>' }}
-{%- else %}{{ '[TURN:' }}{{ m.role | escape }}{{ '\\n' }}{{ m.text | escape }}{{ '[/TURN]' }}
+{%- else %}{{ '[TURN:' }}{{ m.role | escape }}{{ ']\\n' }}{{ m.text | escape }}{{ '[/TURN]' }}
 {%- endif -%}
 {%- endfor -%}
 """
@@ -89,7 +89,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-TURN = re.compile(r"\[INST\] (.*?) \[/INST\]| (.*?)</s>|\[TURN:(.*?)\n(.*?)\[/TURN\]", re.S)
+TURN = re.compile(r"\[INST\] (.*?) \[/INST\]| (.*?)</s>|\[TURN:(.*?)\]\n(.*?)\[/TURN\]", re.S)
 
 
 class Reader:
