@@ -280,10 +280,10 @@ def _judged(docs: DataFrame, doc_id: str, text: str, block: int, threshold: int)
     """``near_duplicates`` with each row's ``mark``, the MD5 of its text."""
     signed = cut_lineage(signatures(docs, doc_id, text, threshold))
     linkable = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # exact copies: the class is read from its smallest id, which other texts may share
-    classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("class", F.xxhash64("digest"))
-    reps = cut_lineage(linkable.join(classes, "digest").filter(F.col("doc_id") == F.col("least")).dropDuplicates(["digest"])
-                       .select("digest", "class", "least", "small", "bands"))
+    # exact copies: they have one signature, so any of them stands for it; combined before the shuffle, however many they are
+    reps = cut_lineage(linkable.groupBy("digest").agg(F.min("doc_id").alias("least"), F.any_value("small").alias("small"), F.any_value("bands").alias("bands"))
+                       .withColumn("class", F.xxhash64("digest")))
+    classes = reps.select("digest", "least", "class")
     named = reps.select("class", "least", "digest")
     banded = reps.select("class", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -314,10 +314,12 @@ def _judged(docs: DataFrame, doc_id: str, text: str, block: int, threshold: int)
     links = wanted.groupBy("family", "low", "high").applyInArrow(verify, "a long, b long")
     linked = cut_lineage(components(links).select(F.col("node").alias("class"), "component").join(reps.select("class", "least"), "class"))
     first = linked.groupBy("component").agg(F.min("least").alias("first"))
-    rows = (signed.join(classes, "digest", "left")
-            .join(linked.join(first, "component").select("class", "first"), "class", "left"))
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "least")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "mark", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    own = classes.join(linked.join(first, "component").select("class", "first"), "class", "left")
+    rows = linkable.join(own, "digest").select("doc_id", "mark", "n_shingles", F.coalesce("first", "least").alias("component_id"))
+    # rows that are linked with nothing (blank texts may be many) meet no join
+    alone = signed.filter(~((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())).select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = rows.unionByName(alone)
+    return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
