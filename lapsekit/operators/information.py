@@ -27,6 +27,7 @@ from lapsekit.operators.rank import running_totals
 from lapsekit.session import cut_lineage
 
 BLOCK = 1 << 16
+PART_ROWS = 1 << 18                   #: rows of a task that sorts
 
 
 def digamma(n: Column) -> Column:
@@ -49,14 +50,20 @@ def value_counts(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     return counts.join(sizes.filter("n_label > 1"), ["feature", "label"])
 
 
+def parts_of(rows: int, spark) -> int:
+    """Parts that hold at most about ``PART_ROWS`` rows each, enough for all cores."""
+    return max(-(-rows // PART_ROWS), min(spark.sparkContext.defaultParallelism, -(-rows // 4096)), 1)
+
+
 def label_radius(counts: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """``counts`` with ``k`` and ``radius``: the distance of each value's k-th nearest neighbour of its label."""
     order = ["feature", "label", "value"]
-    placed = running_totals(counts, order, {"at": (None, True)}).withColumn("at", F.col("at") - 1)
+    parts = parts_of(counts.count(), counts.sparkSession)
+    placed = running_totals(counts, order, {"at": (None, True)}, ranges=parts).withColumn("at", F.col("at") - 1)
     placed = placed.withColumns({"block": F.floor(F.col("at") / block), "inside": F.pmod("at", F.lit(block))})
     # each block sees the k rows before and behind it
     beside = F.array_compact(F.array(F.col("block"), F.when(F.col("inside") < k, F.col("block") - 1), F.when(F.col("inside") >= block - k, F.col("block") + 1)))
-    seen = placed.withColumn("window", F.explode(beside))
+    seen = placed.withColumn("window", F.explode(beside)).repartition(parts, "window")
     w = Window.partitionBy("window").orderBy("at")
 
     def neighbour(step: int) -> Column:
@@ -76,6 +83,7 @@ def label_radius(counts: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
 def rows_within(values: DataFrame) -> DataFrame:
     """``values`` with ``within``: rows of any label in the open interval of the radius; at radius 0, rows of equal value."""
     rows = cut_lineage(values)
+    parts = parts_of(3 * rows.count(), rows.sparkSession)
     # order at one point: an end that excludes the value, the value, an end that includes it
     mark = rows.select("feature", F.col("value").alias("x"), F.lit(1).alias("turn"), F.col("n").alias("w"), F.lit(None).cast("struct<label:string,value:double,side:int>").alias("of"))
 
@@ -85,10 +93,11 @@ def rows_within(values: DataFrame) -> DataFrame:
     zero = F.col("radius") == 0
     ends = end(F.col("value") - F.col("radius"), F.when(zero, 0).otherwise(2), 0).unionByName(end(F.col("value") + F.col("radius"), F.when(zero, 2).otherwise(0), 1))
     merged = running_totals(mark.unionByName(ends).withColumns({"_l": F.col("of.label"), "_v": F.col("of.value")}),
-                            ["feature", "x", "turn", "_l", "_v"], {"seen": ("w", True)}).filter("of IS NOT NULL")
-    both = merged.groupBy("feature", F.col("of.label").alias("label"), F.col("of.value").alias("value")).agg(
-        (F.max(F.when(F.col("of.side") == 1, F.col("seen"))) - F.max(F.when(F.col("of.side") == 0, F.col("seen")))).alias("within"))
-    return rows.join(both, ["feature", "label", "value"])
+                            ["feature", "x", "turn", "_l", "_v"], {"seen": ("w", True)}, ranges=parts).filter("of IS NOT NULL")
+    merged = merged.select("feature", F.col("of.label").alias("label"), F.col("of.value").alias("value"), F.col("of.side").alias("side"), "seen")
+    both = merged.repartition(parts, "feature", "label", "value").groupBy("feature", "label", "value").agg(
+        (F.max(F.when(F.col("side") == 1, F.col("seen"))) - F.max(F.when(F.col("side") == 0, F.col("seen")))).alias("within"))
+    return rows.repartition(parts, "feature", "label", "value").join(both, ["feature", "label", "value"])
 
 
 def neighbour_information(df: DataFrame, cols: Sequence[str], label: str, k: int = 3, top: int | None = None) -> DataFrame:
