@@ -62,3 +62,12 @@ def test_set_parts_of_the_exchanges_change_no_rows(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(td, "ITEM_PART_BYTES", 8)
     assert td.item_parts(spark, sf) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert td.fact_all(spark, sf).agg(F.count(F.lit(1))).first()[0] == 20
+
+
+def test_model_rows_are_those_of_customers_with_clicks(spark):
+    from lapsekit.plans.catalog import _recent_rows
+    from paths import SF_SMALL
+    tx, recent = _recent_rows(spark, SF_SMALL)
+    clicked = td.clicks(spark, SF_SMALL).select("customer_id")
+    assert tx.join(clicked, "customer_id", "left_anti").count() == 0
+    assert recent.select("customer_id").distinct().count() == td.fact(spark, SF_SMALL).join(clicked, "customer_id").select("customer_id").distinct().count()
