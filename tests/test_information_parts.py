@@ -21,5 +21,5 @@ def test_small_parts_give_the_same_information(spark, monkeypatch):
 def test_ranges_are_as_many_as_asked_for(spark):
     total = running_totals(spark.range(1000).withColumn("w", F.lit(2)), ["id"], {"t": ("w", True)}, ranges=7)
     assert total.where(F.col("t") != 2 * (F.col("id") + 1)).count() == 0
-    assert total.select(F.spark_partition_id()).distinct().count() == 7
+    assert total.rdd.getNumPartitions() == 7            # the window's tasks too, whatever the session's number
     assert inf.parts_of(100 * inf.PART_ROWS, spark) == 100
