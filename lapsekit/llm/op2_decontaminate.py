@@ -16,6 +16,8 @@ an item that has leaked everywhere are all frequent).
    covers m = ``PARAPHRASE`` of an item's n words, so at least k of its n - m + k rarest words are around the passage
    (k = n / ``PROBE``), and of all its words, those around it and those that the item repeats make m. Passages with
    fewer hold no leak: nothing that step 3 would accept is lost.
+   The passages of steps 3 and 4 are compared with their items together, in arrays: those around which too few of the
+   item's words stand go first, then those where too few stand in order. What is left is scored one by one.
 
 Documents are never shuffled: each pass reads them once. Benchmarks of any size are taken in blocks of ``ITEMS``
 items, one set of passes for each.
@@ -41,15 +43,17 @@ BLOCK, MAX_DF, LEAST_DF, OWN, RANK, EXTRA = 16, 0.002, 50, 6, 96, 16
 COSINE, OVERLAP, PARAPHRASE, ANSWER, MIN_WORDS, LEAST_WORDS = 0.5, 0.7, 0.5, 0.6, 8, 3
 PROBE, GROUP = 5, 64      # a group of items is probed at a time: its hits in a slice bound the memory
 ITEMS = 4096
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 19
 _SLICE_TERMS = 512
+_ROWS = 1 << 9            # vectors added up at once: they stay in a core's cache
+_WINDOWS = 1 << 18        # words of the windows compared at once
 HITS = "array<struct<item_id: long, overlap: double, answer: double>>"
 HITS_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64()), ("answer", pa.float64())]))
 SENTENCE = re.compile(r"[.!?\n]+\s*")
 
 
 def _slices(col: pa.Array):
-    """Runs of texts of about a MB."""
+    """Runs of texts of about half a MB."""
     if not isinstance(col, pa.Array):
         col = pa.array(col, pa.large_string())
     size = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in col.cast(pa.large_binary()))]) if len(col) else np.zeros(1)
@@ -61,21 +65,28 @@ def _slices(col: pa.Array):
 
 
 class _Terms:
-    """Finds known words: a byte table first, then a binary search."""
+    """Finds known words: by their leading bits, then among the few known words that share them."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(keys >> np.uint64(44)).astype(np.int64)] = True
+        bits = max(16, len(keys).bit_length() + 4)
+        self.shift = np.uint64(64 - bits)
+        bucket = (keys >> self.shift).view(np.int64)
+        self.first = np.full(1 << bits, -1, np.int32)
+        self.first[bucket[::-1]] = np.arange(len(keys))[::-1]
+        self.most = int(np.unique(bucket, return_counts=True)[1].max(initial=1))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in ``keys`` of known words, their terms)."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.table[(keys >> np.uint64(44)).astype(np.int64)])
-        term = np.searchsorted(self.keys, keys[at])
-        term[term == len(self.keys)] = 0
-        ok = self.keys[term] == keys[at]
+        term = self.first[(keys >> self.shift).view(np.int64)]
+        at = np.flatnonzero(term >= 0)
+        term, own = term[at].astype(np.int64), keys[at]
+        left = np.flatnonzero(self.keys[term] != own)
+        for _ in range(self.most - 1):
+            term[left] = np.minimum(term[left] + 1, len(self.keys) - 1)
+            left = left[self.keys[term[left]] != own[left]]
+        ok = np.ones(len(at), bool)
+        ok[left] = False
         return at[ok], term[ok]
 
 
@@ -98,10 +109,9 @@ class _Blocks:
     def project(self, at, term, weighted) -> np.ndarray:
         """Sum of weighted term vectors in each block."""
         out = np.zeros((self.total, weighted.shape[1]), np.float32)
-        if len(at):
-            block = self.block[at]
-            new = np.flatnonzero(np.diff(block, prepend=-1))
-            out[block[new]] = np.add.reduceat(weighted[term], new, axis=0)
+        block = self.block[at]
+        for a in range(0, len(at), _ROWS):
+            _add(out, block[a:a + _ROWS], weighted[term[a:a + _ROWS]])
         return out
 
     def passages(self, y: np.ndarray) -> np.ndarray:
@@ -110,6 +120,17 @@ class _Blocks:
         return p
 
 
+def _add(out: np.ndarray, to: np.ndarray, rows: np.ndarray):
+    """Adds ``rows`` to the rows ``to`` (ascending) of ``out``."""
+    new = np.flatnonzero(np.diff(to, prepend=-1))
+    out[to[new]] += np.add.reduceat(rows, new, axis=0)
+
+
+def _order(values: np.ndarray, below: int) -> np.ndarray:
+    """A stable order of whole numbers from 0; small ones are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if below <= 1 << 16 else values, kind="stable")
+
+
 def _words(texts: list[str]) -> list[np.ndarray]:
     w = Words(pa.array(texts, pa.large_string()), lower=True, breaks=SPACE_OR_MARK)
     k = w.keys()
@@ -146,6 +167,25 @@ def common_words(masks: dict[int, int], size: int, words: list[int], least: floa
     return size - row.bit_count()
 
 
+def common_counts(masks: np.ndarray, every: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of many items and windows, bit-parallel in 64-bit limbs: ``masks`` (limbs, items, words)
+    as flat rows for each limb, ``every`` (limbs, pairs) with an item's bits set, ``words`` (width, pairs) places in a limb's row."""
+    row = every.copy()
+    for w in words:
+        carry = None
+        for limb in range(len(row)):
+            m, old = masks[limb].take(w), row[limb]
+            x = old & m
+            new = old + x
+            over = new < x
+            if carry is not None:
+                new = new + carry
+                over |= new < carry
+            carry = over.astype(np.uint64)
+            row[limb] = (new | (old ^ x)) & every[limb]
+    return np.bitwise_count(every ^ row).sum(0, dtype=np.int64)
+
+
 class Model:
     """Terms, weights and latent vectors of a block of items."""
 
@@ -156,36 +196,49 @@ class Model:
 
     def index(self, df: np.ndarray):
         """The probe's words: per group of items (first item, starts, items of each word, hits needed, words
-        around a passage, distinct words needed, words of each item)."""
+        around a passage, words of each item, words needed, where each word stands in an item, bits of an item)."""
         self.words, self.probes = self.keys, []
         for g in range(0, len(self.items), GROUP):
-            pairs, need, room, least = [], [], [], []
-            member = np.zeros((min(GROUP, len(self.items) - g), len(self.keys) + 1), bool)     # the last column: other words
-            for i, x in enumerate(self.items[g:g + GROUP]):
-                n = len(x.words)
-                most = math.ceil(PARAPHRASE * n)
-                need.append(min(most, -(-n // PROBE)))
-                room.append(_room(n))
-                own = np.searchsorted(self.keys, x.words)
-                member[i, own] = True
-                least.append(most - (n - int(member[i].sum())))
-                own = own[np.argsort(df[own], kind="stable")][:n - most + need[-1]]
-                pairs.append(np.unique(own) * GROUP + i)
+            group = self.items[g:g + GROUP]
+            pairs, need, room, size = [], [], [], np.array([len(x.words) for x in group])
+            own = [np.unique(np.searchsorted(self.keys, x.words), return_inverse=True, return_counts=True) for x in group]
+            most = max(len(distinct) for distinct, _, _ in own) + 1
+            # a word's place among an item's distinct words, from 1 (0: not in it; the last column: other words)
+            place = np.zeros((len(group), len(self.keys) + 1), np.uint8 if most <= 256 else np.uint16 if most <= 1 << 16 else np.uint32)
+            times = np.zeros((len(group), most), np.int32)
+            limbs = -(-int(size.max()) // 64)
+            masks, every = np.zeros((limbs, len(group), most), np.uint64), np.zeros((limbs, len(group)), np.uint64)
+            for i, (distinct, at, n) in enumerate(own):
+                enough = math.ceil(PARAPHRASE * size[i])
+                need.append(min(enough, -(-int(size[i]) // PROBE)))
+                room.append(_room(int(size[i])))
+                place[i, distinct] = np.arange(1, len(distinct) + 1)
+                times[i, 1:len(n) + 1] = n
+                where = np.arange(size[i])
+                bit = np.uint64(1) << (where % 64).astype(np.uint64)
+                np.bitwise_or.at(masks, (where // 64, i, at + 1), bit)
+                np.bitwise_or.at(every, (where // 64, i), bit)
+                rare = distinct[at]
+                rare = rare[np.argsort(df[rare], kind="stable")][:size[i] - enough + need[-1]]
+                pairs.append(np.unique(rare) * GROUP + i)
             pairs = np.sort(np.concatenate(pairs))
             starts = np.searchsorted(pairs, np.arange(len(self.keys) + 1) * GROUP)
-            self.probes.append((g, starts, (pairs % GROUP).astype(np.uint8), np.array(need), np.array(room), np.array(least), member))
+            self.probes.append((g, starts, (pairs % GROUP).astype(np.uint8), np.array(need), np.array(room), size, place, times, masks, every))
 
-    def probe(self, b: _Blocks, at: np.ndarray, term: np.ndarray) -> np.ndarray:
-        """passage * items + item of all passages with enough of an item's rare words around them."""
+    def probe(self, b: _Blocks, at: np.ndarray, term: np.ndarray, also: np.ndarray) -> np.ndarray:
+        """passage * items + item of all passages around which an item's words stand in their order, as many as a paraphrase needs:
+        of those with enough of its rare words and of the pairs ``also``."""
         text_of = np.repeat(np.arange(len(b.first) - 1), np.diff(b.first))
-        word = np.full(len(b.keys), len(self.keys), np.int32)
+        other = len(self.words)
+        word = np.full(len(b.keys), other, np.int32)
         word[at] = term
         before = np.full(len(b.keys), -1, np.int32)       # where the word stands the time before
-        order = np.argsort(word, kind="stable")
-        again = np.flatnonzero(word[order[1:]] == word[order[:-1]])
-        before[order[again + 1]] = order[again]
+        order = _order(term, other)
+        again = np.flatnonzero(term[order[1:]] == term[order[:-1]])
+        before[at[order[again + 1]]] = at[order[again]]
+        of = also % len(self.items) // GROUP
         found = [np.zeros(0, np.int64)]
-        for g, starts, lists, need, room, least, member in self.probes:
+        for g, starts, lists, need, room, size, place, times, masks, every in self.probes:
             count = starts[term + 1] - starts[term]
             hit = np.repeat(np.arange(len(term)), count)
             item = lists[np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + starts[term[hit]]]
@@ -209,24 +262,34 @@ class Model:
             n = high - low + 1
             near = np.repeat(b.base[text] + low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             key, n = np.unique(near * len(self.items) + np.repeat(item + g, n), return_counts=True)
-            key = key[n >= need[key % len(self.items) - g]]
-            # distinct words of the item around the passage
+            key = np.union1d(key[n >= need[key % len(self.items) - g]], also[of == g // GROUP])
+            # the item's words around the passage: first how many, then how many in their order
             p, i = key // len(self.items), key % len(self.items) - g
+            key, p, i = (v[np.argsort(room[i], kind="stable")] for v in (key, p, i))
             text = b.text[p]
             begin = b.first[text] + (p - b.base[text]) * BLOCK
             end = np.minimum(begin + 2 * BLOCK + room[i], b.first[text + 1])
             begin = np.maximum(begin - room[i], b.first[text])
-            width = 2 * BLOCK + 2 * int(room.max())
-            for a in range(0, len(key), step := max(1, (1 << 20) // width)):
-                c = slice(a, a + step)
+            a = 0
+            while a < len(key):
+                c = slice(a, a + max(1, _WINDOWS // (2 * BLOCK + 2 * int(room[i[min(len(i) - 1, a + _WINDOWS // (4 * BLOCK))]]))))
+                a = c.stop
+                width = 2 * BLOCK + 2 * int(room[i[c]].max())
                 first = begin[c].astype(np.int32)[:, None]
                 near = first + np.arange(width, dtype=np.int32)
                 inside = near < end[c].astype(np.int32)[:, None]
                 near = np.minimum(near, np.int32(len(word) - 1))
-                seen = member.ravel().take(word.take(near) + i[c].astype(np.int32)[:, None] * np.int32(member.shape[1]))
-                seen &= inside & (before.take(near) < first)
-                found.append(key[c][np.count_nonzero(seen, axis=1) >= least[i[c]]])
-        return np.concatenate(found)
+                stands = place.ravel().take(word.take(near) + i[c][:, None] * place.shape[1])
+                stands *= inside
+                seen = times.ravel().take(stands + i[c][:, None] * times.shape[1])
+                seen *= before.take(near) < first
+                own = np.flatnonzero(seen.sum(axis=1) >= PARAPHRASE * size[i[c]])
+                if not len(own):
+                    continue
+                j = i[c][own]
+                length = common_counts(masks.reshape(len(masks), -1), every[:, j], stands[own].T + j * masks.shape[2])
+                found.append(key[c][own[length / size[j] >= PARAPHRASE]])
+        return np.sort(np.concatenate(found))
 
     def whole(self, b: _Blocks, found: list[dict]):
         """Short items that a text has word for word."""
@@ -253,6 +316,7 @@ class Model:
             own = np.searchsorted(self.keys, np.unique(x.words))
             live[own[np.argsort(df[own], kind="stable")[:OWN]]] = True
         idf = np.log((1.0 + blocks) / (1.0 + df)) + 1.0
+        self.place = np.where(live, np.cumsum(live) - 1, -1)      # of each word among the terms
         self.keys, self.weight = self.keys[live], idf[live].astype(np.float32)
 
     def random(self) -> np.ndarray:
@@ -279,32 +343,33 @@ class Model:
 
     def hits(self, col: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = []
-        terms, words = _Terms(self.keys), _Terms(self.words)
+        words = _Terms(self.words)
         items = self.items + self.short
         for _, part in _slices(col):
             found: list[dict[int, tuple[float, float]]] = [{} for _ in range(len(part))]
             b = _Blocks(part)
             if self.items:
-                y = _unit(b.passages(b.project(*terms.find(b.keys), self.vectors)))
+                at, word = words.find(b.keys)
+                term = self.place[word]
+                y = _unit(b.passages(b.project(at[term >= 0], term[term >= 0], self.vectors)))
                 some = np.flatnonzero(y.any(1))
-                p, i = np.nonzero(y[some] @ self.item_vectors.T >= COSINE)
-                near = np.union1d(some[p] * len(self.items) + i, self.probe(b, *words.find(b.keys)))
-                keys = b.keys.tolist()
+                p, i = np.divmod(np.flatnonzero(y[some] @ self.item_vectors.T >= COSINE), len(self.items))
+                near = self.probe(b, at, word, some[p] * len(self.items) + i)
                 for p, i in zip((near // len(self.items)).tolist(), (near % len(self.items)).tolist()):
-                    self._check(b, keys, p, i, found[b.text[p]])
+                    self._check(b, p, i, found[b.text[p]])
             if self.short:
                 self.whole(b, found)
             out += [[{"item_id": items[i].id, "overlap": o, "answer": a} for i, (o, a) in sorted(f.items())] for f in found]
         return out
 
-    def _check(self, b: _Blocks, words: list[int], p: int, i: int, found: dict):
+    def _check(self, b: _Blocks, p: int, i: int, found: dict):
         item, text = self.items[i], b.text[p]
         if i in found and found[i][0] == 1.0:
             return
         n = len(item.words)
         begin = b.first[text] + (p - b.base[text]) * BLOCK
         room = _room(n)
-        words = words[max(b.first[text], begin - room): min(b.first[text + 1], begin + 2 * BLOCK + room)]
+        words = b.keys[max(b.first[text], begin - room): min(b.first[text + 1], begin + 2 * BLOCK + room)].tolist()
         overlap = common_words(item.masks, n, words, PARAPHRASE * n) / n
         if overlap < PARAPHRASE:
             return
@@ -332,8 +397,10 @@ def _count_terms(texts: DataFrame, model: Model) -> tuple[np.ndarray, int]:
             for _, part in _slices(batch.column(0)):
                 b = _Blocks(part)
                 at, term = terms.find(b.keys)
-                seen = np.unique(b.block[at] * max(len(keys), 1) + term)
-                df += np.bincount(seen % max(len(keys), 1), minlength=len(keys))[: len(keys)]
+                order = _order(term, len(keys))
+                block, term = b.block[at[order]], term[order]
+                new = (np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)
+                df += np.bincount(term[new], minlength=len(keys))
                 blocks += b.total
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(df[some], blocks), pa.int64())],
@@ -365,10 +432,11 @@ def _sketch(texts: DataFrame, model: Model) -> np.ndarray:
                 y = b.passages(b.project(at, term, weighted))
                 back = y.copy()                           # a block's words are in its passage and in the one before
                 back[1:][b.joined[:-1]] += y[:-1][b.joined[:-1]]
-                order = np.argsort(term, kind="stable")
-                t = term[order]
-                new = np.flatnonzero(np.diff(t, prepend=-1))
-                z[t[new]] += np.add.reduceat(back[b.block[at[order]]], new, axis=0) * weight[t[new], None]
+                order = _order(term, n)
+                term, block = term[order], b.block[at[order]]
+                for a in range(0, len(term), _ROWS):
+                    _add(z, term[a:a + _ROWS], back[block[a:a + _ROWS]])
+        z *= weight[:, None]
         for i in range(0, n, _SLICE_TERMS):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([z[i:i + _SLICE_TERMS].astype("<f4").tobytes()])], names=["slice", "z"])
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,39 @@ def test_common_subsequence():
         assert D.common_words(D._masks(np.array(a, np.uint64)), len(a), b) == table[-1][-1]
 
 
+def test_common_subsequences_of_many_pairs():
+    """Items of one to five limbs against the plain form, on windows with words of other items."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, most, n)) for n, most in ((8, 5), (40, 30), (64, 9), (65, 80), (150, 60), (300, 900), (130, 3))]
+    model = D.Model([D.Item(i, t) for i, t in enumerate(texts)])
+    model.index(np.ones(len(model.keys), np.int64))
+    (_, _, _, _, _, size, place, times, masks, every), = model.probes
+    words = rng.integers(0, len(model.keys) + 1, (50, 200))
+    words[::2] = rng.integers(0, 12, (25, 200))
+    words[7, 20:40] = np.searchsorted(model.keys, model.items[5].words[100:120])
+    name = np.append(model.keys, np.uint64(1)).tolist()
+    for i, item in enumerate(model.items):
+        got = D.common_counts(masks.reshape(len(masks), -1), every[:, [i] * len(words)], place[i].take(words).T.astype(int) + i * masks.shape[2])
+        assert got.tolist() == [D.common_words(item.masks, len(item.words), [name[w] for w in row]) for row in words]
+        assert size[i] == len(item.words) == times[i].sum()
+
+
+def test_only_passages_with_the_words_in_order_are_scored(spark, prose, monkeypatch):
+    """A text with an item's words in another order is near to it, but is not scored by itself."""
+    rng = np.random.default_rng(8)
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(50))) for i in range(30)]
+    told = [t for _, t in items]
+    mixed = [" ".join(rng.permutation(t.split())) for _, t in items]
+    docs = spark.createDataFrame(list(enumerate(told + mixed)), "doc_id long, text string")
+    model, = D.models(docs, spark.createDataFrame(items, "item_id long, text string"))
+    scored, plain = [], D.Model._check
+    monkeypatch.setattr(D.Model, "_check", lambda self, *a: scored.append(1) or plain(self, *a))
+    hits = model.hits(pa.array(told + mixed, pa.string()))
+    assert [[(x["item_id"], x["overlap"]) for x in h] for h in hits] == [[(i, 1.0)] for i in range(30)] + [[]] * 30
+    assert len(scored) <= 4 * len(items)
+    assert len(model.hits(pa.array([], pa.string()))) == 0
+
+
 def test_leaks_are_those_of_all_passages(spark):
     """Paraphrases and short items against the rule on every passage, without retrieval."""
     rng = np.random.default_rng(11)
