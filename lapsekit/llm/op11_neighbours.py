@@ -44,8 +44,8 @@ BEAM, ENTRIES, KEEP = 352, 2, 64      #: points in a query's beam; orders it sta
 WIDTHS = (16, 32, 64, 96)             #: points that a query expands in the first rounds, the last one in all others
 BANDS = 8                             #: bands of norms; all smaller vectors share the last
 _SHIFT = 0.37                         #: band limits are off the powers of two, where unit vectors lie
-POINT = "node long, band int, point binary"
-LISTS = "node long, ids binary, sims binary, fresh binary"      # a node's best first; fresh: new in this round, or not expanded
+POINT = "node long, band int, point binary, keys array<long>, mixed array<long>"
+LISTS = "node long, ids array<long>, sims array<float>, fresh array<tinyint>"      # a node's best first; fresh: new in this round, or not expanded
 _CHUNK = 1 << 21                      #: products held at once
 
 
@@ -111,14 +111,23 @@ class Index:
 
 
 def _coded(rows: DataFrame, dim: int, asked: bool = False) -> DataFrame:
-    """(node, band, point) of (node, band, v) rows; a query is brought to length one instead."""
+    """POINT rows of (node, band, v) rows, with the places in each projection order: the signs of random projections, and a number that mixes
+    equal ones; a query is brought to length one instead."""
     def run(batches):
+        planes = [np.random.default_rng(100 + tree).standard_normal((dim, SIGNS)).astype(np.float32) for tree in range(TREES)]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             blobs = []
             for v, band in zip(batch.column(2), batch.column(1).to_pylist()):
                 v = np.asarray(v.values.to_numpy(zero_copy_only=False))
                 blobs.append(encode(v, float(np.linalg.norm(v / np.abs(v).max()) * np.abs(v).max()) if asked else limit(band), dim))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["node", "band", "point"])
+            x, node = decode(blobs)[:, :-1], batch.column(0).to_numpy().astype(np.uint64)
+            keys = np.stack([((x @ p) > 0) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)) for p in planes], axis=1)
+            mixed = np.stack([mix(node + np.uint64(tree)).view(np.int64) for tree in range(TREES)], axis=1)
+            starts = np.arange(len(x) + 1) * TREES
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary()), _listed(keys.ravel(), starts), _listed(mixed.ravel(), starts)],
+                                             names=["node", "band", "point", "keys", "mixed"])
 
     return rows.select("node", "band", "v").mapInArrow(run, POINT)
 
@@ -152,10 +161,18 @@ def _binary(parts: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def _flat(col: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of binary values, and how many each row has."""
-    texts = col.to_pylist()
-    return np.frombuffer(b"".join(texts), kind), np.array([len(t) for t in texts], np.int64) // np.dtype(kind).itemsize
+def _listed(parts: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """One list for each run of ``parts`` between ``starts``."""
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(parts))
+
+
+def _flat(col) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and how many each row has."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+        if isinstance(col, pa.ChunkedArray):
+            col = pa.concat_arrays(col.chunks)
+    return col.flatten().to_numpy(zero_copy_only=False), col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def best_lists(node: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.ndarray, k: int) -> pa.RecordBatch:
@@ -173,35 +190,24 @@ def best_lists(node: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.nd
     node, ids, sims, fresh = node[ok], ids[ok], sims[ok], fresh[ok]
     begin = np.flatnonzero(np.diff(node, prepend=node[:1] - 1))
     starts = np.append(begin, len(node))
-    return pa.RecordBatch.from_arrays([pa.array(node[begin]), _binary(ids, starts), _binary(sims, starts), _binary(fresh, starts)], names=["node", "ids", "sims", "fresh"])
+    return pa.RecordBatch.from_arrays([pa.array(node[begin]), _listed(ids, starts), _listed(sims.astype(np.float32), starts), _listed(fresh.astype(np.int8), starts)],
+                                      names=["node", "ids", "sims", "fresh"])
 
 
 def merged(lists: DataFrame, k: int) -> DataFrame:
     """The lists of each node (rows of LISTS) as one list of its ``k`` best."""
     def run(batches):
         for t in _pieces(batches):
-            ids, n = _flat(t.column("ids"), np.int64)
-            yield best_lists(np.repeat(t.column("node").to_numpy(), n), ids, _flat(t.column("sims"), np.float32)[0], _flat(t.column("fresh"), np.uint8)[0], k)
+            ids, n = _flat(t.column("ids"))
+            yield best_lists(np.repeat(t.column("node").to_numpy(), n), ids, _flat(t.column("sims"))[0], _flat(t.column("fresh"))[0], k)
 
     return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, LISTS)
 
 
 def _keyed(rows: DataFrame, trees: int) -> DataFrame:
-    """(tree, band, key, mixed, node, query, point) for each projection order; the key holds the signs of random projections."""
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = decode(batch.column(3).to_pylist())[:, :-1]
-            for tree in range(trees):
-                planes = np.random.default_rng(100 + tree).standard_normal((x.shape[1], SIGNS)).astype(np.float32)
-                key = ((x @ planes) > 0) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
-                node = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), batch.column(1), pa.array(key), pa.array(mix(node.astype(np.uint64) + np.uint64(tree)).view(np.int64)),
-                                                  batch.column(0), batch.column(2), batch.column(3)], names=["tree", "band", "key", "mixed", "node", "query", "point"])
-
-    return rows.select("node", "band", "query", "point").mapInArrow(run, "tree int, band int, key long, mixed long, node long, query boolean, point binary")
-
+    """(tree, band, key, mixed, node, query, point) for each projection order."""
+    places = F.posexplode(F.slice(F.arrays_zip("keys", "mixed"), 1, trees)).alias("tree", "x")
+    return rows.select("band", "node", "query", "point", places).select("tree", "band", F.col("x.keys").alias("key"), "x.mixed", "node", "query", "point")
 
 
 def _spans(table: pa.Table, leaf: int) -> list[np.ndarray]:
@@ -252,13 +258,8 @@ def beside(rows: DataFrame, trees: int, k: int, n: int, asked: bool = False) ->
 
 def _edges(lists: DataFrame) -> DataFrame:
     """(src, dst, fresh) rows of lists."""
-    def run(batches):
-        for batch in batches:
-            ids, n = _flat(batch.column(1), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(ids), pa.array(_flat(batch.column(3), np.uint8)[0].astype(np.int32))],
-                                             names=["src", "dst", "fresh"])
-
-    return lists.select("node", "ids", "sims", "fresh").mapInArrow(run, "src long, dst long, fresh int")
+    each = lists.select(F.col("node").alias("src"), F.explode(F.arrays_zip("ids", "fresh")).alias("x"))
+    return each.select("src", F.col("x.ids").alias("dst"), F.col("x.fresh").cast("int").alias("fresh"))
 
 
 def thinned(edges: DataFrame, most: int, salt: int) -> DataFrame:
@@ -312,19 +313,12 @@ def _introduced(batches):
 
 def _worst(col: str, k: int) -> Column:
     """The last similarity of a full list of ``k``; below all others if it isn't full."""
-    def run(batches):
-        for sims in batches:
-            yield sims.map(lambda b: float(np.frombuffer(b, np.float32)[-1]) if b is not None and len(b) >= 4 * k else -9.0).astype("float32")
-    from collections.abc import Iterator
-
-    import pandas as pd
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "float")(col)
+    return F.when(F.size(col) >= k, F.element_at(col, -1)).otherwise(F.lit(-9.0)).cast("float")
 
 
 def descended(lists: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
     """One round: neighbours of neighbours are joined at the point between them."""
-    edges = cut_lineage(_edges(lists))
+    edges = _edges(lists)
     forth = edges.select(F.col("src").alias("to"), F.col("dst").alias("node"), "fresh")
     back = thinned(edges, REVERSE, salt).select(F.col("dst").alias("to"), F.col("src").alias("node"), "fresh")
     known = nodes.select("node", "point").join(lists.select("node", _worst("sims", K).alias("least")), "node")
@@ -335,12 +329,7 @@ def descended(lists: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
 
 def _stale(lists: DataFrame) -> DataFrame:
     """The lists with no entry new."""
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([bytes(len(b)) for b in batch.column(3).to_pylist()], pa.binary())],
-                                             names=["node", "ids", "sims", "fresh"])
-
-    return lists.mapInArrow(run, LISTS)
+    return lists.withColumn("fresh", F.transform("fresh", lambda x: F.lit(0).cast("tinyint")))
 
 
 def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -349,7 +338,7 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lists = cut_lineage(merged(beside(nodes.withColumn("query", F.lit(False)), TREES, K, n), K))
     for number in range(rounds):
         lists = cut_lineage(descended(lists, nodes, number))
-        new, all_ = _edges(lists).agg(F.sum("fresh"), F.count(F.lit(1))).first()
+        new, all_ = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x == 1))), F.sum(F.size("fresh"))).first()
         if not all_ or new < SETTLED * all_:
             break
     return lists
@@ -366,71 +355,51 @@ def packed(lists: DataFrame, nodes: DataFrame) -> DataFrame:
             at = t.column("at").to_numpy()
             begin = np.append(np.flatnonzero(np.diff(at, prepend=at[0] - 1)), len(at))
             data = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array(at[begin[:-1]]), _binary(t.column("node").to_numpy(), begin), _binary(data, begin * (len(data) // len(at)))], names=["node", "ids", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[begin[:-1]]), _listed(t.column("node").to_numpy(), begin), _binary(data, begin * (len(data) // len(at)))], names=["node", "ids", "near"])
 
     return (both.join(nodes.select("node", "point"), "node").select("at", "node", "point").repartition("at").sortWithinPartitions("at")
-            .mapInArrow(run, "node long, ids binary, near binary"))
+            .mapInArrow(run, "node long, ids array<long>, near binary"))
 
 
-BEAMS = "node long, point binary, ids binary, sims binary, fresh binary, open int"
+def _found(lists: DataFrame) -> DataFrame:
+    """(node, id, sim, fresh) rows of lists."""
+    each = lists.select("node", F.explode(F.arrays_zip("ids", "sims", "fresh")).alias("x"))
+    return each.select("node", F.col("x.ids").alias("id"), F.col("x.sims").alias("sim"), F.col("x.fresh").alias("fresh"))
 
 
-def _moved(lists: DataFrame, width: int, beam: int) -> DataFrame:
-    """Beams (one row of a node has its point) with what was found merged in; the next ``width`` points to expand are marked 2."""
-    def run(batches):
-        for t in _pieces(batches, rows=1 << 12):
-            ids, n = _flat(t.column("ids"), np.int64)
-            fresh = _flat(t.column("fresh"), np.uint8)[0]
-            out = best_lists(np.repeat(t.column("node").to_numpy(), n), ids, _flat(t.column("sims"), np.float32)[0], np.where(fresh == 2, 0, fresh).astype(np.uint8), beam)
-            point = dict(zip(t.column("node").to_pylist(), t.column("point").to_pylist())) if t.num_rows == out.num_rows else {
-                a: p for a, p in zip(t.column("node").to_pylist(), t.column("point").to_pylist()) if p is not None}
-            marks, open_ = [], []
-            for b in out.column(3).to_pylist():
-                f = np.frombuffer(b, np.uint8).copy()
-                at = np.flatnonzero(f == 1)[:width]
-                f[at] = 2
-                marks.append(f.tobytes())
-                open_.append(len(at))
-            yield pa.RecordBatch.from_arrays([out.column(0), pa.array([point[a] for a in out.column(0).to_pylist()], pa.binary()), out.column(1), out.column(2),
-                                              pa.array(marks, pa.binary()), pa.array(open_, pa.int32())], names=["node", "point", "ids", "sims", "fresh", "open"])
-
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, BEAMS)
-
-
-def _expanded(beams: DataFrame, graph: DataFrame, beam: int) -> DataFrame:
-    """What the marked points of each beam lead to, as far as it is better than the beam's last."""
-    def asked(batches):
-        for batch in batches:
-            rows, at, least = [], [], []
-            for i, (ids, sims, fresh) in enumerate(zip(*(batch.column(j).to_pylist() for j in (2, 3, 4)))):
-                go = np.frombuffer(ids, np.int64)[np.frombuffer(fresh, np.uint8) == 2]
-                at.append(go)
-                rows += [i] * len(go)
-                least += [float(np.frombuffer(sims, np.float32)[-1]) if len(sims) >= 4 * beam else -9.0] * len(go)
-            if rows:
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(at)), pa.array(least, pa.float32())],
-                                                 names=["node", "point", "at", "least"])
+def _moved(found: DataFrame, width: int, beam: int) -> DataFrame:
+    """The beams, a row for each point: (node, id, sim, place, least, fresh) of the ``beam`` best points found by each node; the next ``width``
+    to expand have a 2 in ``fresh``, ``least`` is the last similarity of a full beam. Of equal points an old one counts."""
+    best = Window.partitionBy("node").orderBy(F.desc("sim"), "id")
+    all_ = Window.partitionBy("node")
+    one = found.repartition("node").groupBy("node", "id").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    kept = one.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= beam)
+    ahead = F.sum("fresh").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    full = F.when(F.count(F.lit(1)).over(all_) >= beam, F.min("sim").over(all_)).otherwise(F.lit(-9.0)).cast("float")
+    marked = kept.withColumn("ahead", ahead).withColumn("least", full)
+    return marked.select("node", "id", "sim", "place", "least", F.when((F.col("fresh") == 1) & (F.col("ahead") <= width), 2).otherwise(F.col("fresh")).cast("tinyint").alias("fresh"))
 
+
+def _expanded(beams: DataFrame, asked: DataFrame, graph: DataFrame, beam: int) -> DataFrame:
+    """What the marked points of each beam lead to, as far as it is better than the beam's last."""
     def scored(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                q = decode(part.column(1).to_pylist())
-                ids, n = _flat(part.column(3), np.int64)
-                raw, _ = _flat(part.column(4), np.uint8)
+                ids, n = _flat(part.column(3))
                 if not len(ids):
                     continue
+                q = decode(part.column(1).to_pylist())
                 row = np.repeat(np.arange(len(q)), n)
-                x = decoded(raw.reshape(len(ids), -1))
+                x = decoded(np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(len(ids), -1))
                 sims = np.einsum("ij,ij->i", x, q[row])
                 ok = sims > part.column(2).to_numpy()[row]
                 if ok.any():
-                    yield best_lists(part.column(0).to_numpy()[row[ok]], ids[ok], sims[ok], np.ones(int(ok.sum()), np.uint8), beam)
+                    yield best_lists(part.column(0).to_numpy()[row[ok]], ids[ok], sims[ok], np.ones(int(ok.sum()), np.int8), beam)
 
-    calls = beams.filter("open > 0").mapInArrow(asked, "node long, point binary, at long, least float")
+    calls = beams.filter("fresh = 2").select("node", "least", F.col("id").alias("at")).join(asked.select("node", "point"), "node")
     met = calls.join(graph.select(F.col("node").alias("at"), F.col("ids").alias("to"), "near"), "at").select("node", "point", "least", "to", "near")
-    return met.mapInArrow(scored, LISTS)
+    return _found(met.mapInArrow(scored, LISTS))
 
 
 def search(index: Index, queries: DataFrame, beam: int = BEAM) -> DataFrame:
@@ -441,26 +410,15 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     asked = cut_lineage(_coded(slots, index.dim, asked=True))
     n = sum(index.sizes.values())
     rows = index.nodes.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True)))
-    begin = beside(rows, ENTRIES, K, n, asked=True).withColumn("point", F.lit(None).cast("binary"))
-    none = F.lit(b"").cast("binary")
-    state = asked.select("node", none.alias("ids"), none.alias("sims"), none.alias("fresh"), "point")
-    beams = cut_lineage(_moved(state.unionByName(begin), WIDTHS[0], beam))
+    beams = cut_lineage(_moved(_found(beside(rows, ENTRIES, K, n, asked=True)), WIDTHS[0], beam))
     graph = index.graph.repartition("node").persist(StorageLevel.DISK_ONLY)     # every round joins it; a lost part is made anew
     number = 0
-    while not beams.filter("open > 0").isEmpty():
+    while not beams.filter("fresh = 2").isEmpty():
         number += 1
-        found = _expanded(beams, graph, beam).withColumn("point", F.lit(None).cast("binary"))
-        beams = cut_lineage(_moved(beams.drop("open").unionByName(found), WIDTHS[min(number, len(WIDTHS) - 1)], beam))
+        old = beams.select("node", "id", "sim", F.when(F.col("fresh") == 2, 0).otherwise(F.col("fresh")).cast("tinyint").alias("fresh"))
+        beams = cut_lineage(_moved(old.unionByName(_expanded(beams, asked, graph, beam)), WIDTHS[min(number, len(WIDTHS) - 1)], beam))
     graph.unpersist()
-
-    def best(batches):
-        for batch in batches:
-            ids = [np.frombuffer(b, np.int64)[:keep] for b in batch.column(2).to_pylist()]
-            rows = pa.array(np.repeat(np.arange(len(ids)), [len(i) for i in ids]))
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.concatenate(ids))], names=["slot", "node"])
-
-    pairs = beams.select("node", "point", "ids").mapInArrow(best, "slot long, node long")
+    pairs = beams.filter(F.col("place") <= keep).select(F.col("node").alias("slot"), F.col("id").alias("node"))
     own = index.copies.filter("place = 1").select("node", F.col("v").alias("w"))
     score = F.aggregate(F.zip_with("v", "w", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     return (pairs.join(slots.select(F.col("node").alias("slot"), "query", "v"), "slot").join(own, "node")

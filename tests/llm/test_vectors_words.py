@@ -85,6 +85,24 @@ def test_recall_on_hard_vectors(spark):
     assert hits / 1200 >= 0.9
 
 
+def test_lists_and_beams_are_handled_by_spark(spark):
+    """Between the Python steps of a round, lists are read and beams are kept without Python tasks."""
+    from lapsekit.llm import op11_neighbours as N
+    lists = spark.createDataFrame([(1, [5, 3], [0.75, 0.5], [1, 0]), (2, [1], [0.25], [1])], N.LISTS)
+    edges, worst, stale = N._edges(lists), lists.select("node", N._worst("sims", 2).alias("w")), N._stale(lists)
+    assert {tuple(r) for r in edges.collect()} == {(1, 5, 1), (1, 3, 0), (2, 1, 1)}
+    assert {tuple(r) for r in worst.collect()} == {(1, 0.5), (2, -9.0)}
+    assert {(r["node"], tuple(r["fresh"])) for r in stale.collect()} == {(1, (0, 0)), (2, (0,))}
+    found = [(1, 7, 0.5, 1), (1, 7, 0.5, 0), (1, 4, 0.5, 1), (1, 9, 0.75, 1), (1, 8, 0.25, 1), (2, 7, 0.5, 1), (2, 6, 0.25, 1), (2, 5, 0.125, 1)]
+    beams = N._moved(spark.createDataFrame(found, "node long, id long, sim float, fresh tinyint").repartition(3), 2, 3)
+    assert sorted((r["node"], r["place"], r["id"], r["sim"], r["least"], r["fresh"]) for r in beams.collect()) == [
+        (1, 1, 9, 0.75, 0.5, 2), (1, 2, 4, 0.5, 0.5, 2), (1, 3, 7, 0.5, 0.5, 0),
+        (2, 1, 7, 0.5, 0.125, 2), (2, 2, 6, 0.25, 0.125, 2), (2, 3, 5, 0.125, 0.125, 1)]
+    for df in (edges, worst, stale, beams):
+        plan = df._jdf.queryExecution().toString()
+        assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
+
+
 def test_few_or_no_vectors(spark):
     from lapsekit.llm.op11_neighbours import nearest
     few = rows_of([0, 1, 2], [[1, 0], [0.5, 0.5], [1, 0]], [0, 0, 0])
