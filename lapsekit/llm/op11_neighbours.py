@@ -15,6 +15,9 @@ it is a neighbour of, and their vectors.
 joins between expanded points and graph rows, until every point of the beam is expanded. All queries move in the same rounds, so their number
 does not grow with the table. Each band is searched by itself and the results are merged.
 
+*Tasks*: a round is many short stages, so what a keyed shuffle has dealt out is taken by as many tasks as its points or queries need (``tasks``), at
+most one for each of the session's shuffle partitions; keys stay whole, and a large table has all partitions at work.
+
 The index holds every row. The recall depends on ``K``, ``ROUNDS`` and ``BEAM``, and is measured in the tests and the README.
 
 Defined cases: rows with a null id, or whose vector is null, zero, empty or holds a null or non-finite component take no part; vectors of
@@ -43,6 +46,7 @@ ROUNDS, SETTLED, PROPOSALS = 5, 0.08, 4
 BEAM, ENTRIES, KEEP = 352, 2, 64      #: points in a query's beam; orders it starts from; points scored exactly
 WIDTHS = (16, 32, 64, 96)             #: points that a query expands in the first rounds, the last one in all others
 BANDS = 8                             #: bands of norms; all smaller vectors share the last
+POINTS, ASKED = 2048, 128             #: points of the graph, or queries of the search, that make a task
 _SHIFT = 0.37                         #: band limits are off the powers of two, where unit vectors lie
 POINT = "node long, band int, point binary, keys array<long>, mixed array<long>"
 LISTS = "node long, ids array<long>, sims array<float>, fresh array<tinyint>"      # a node's best first; fresh: new in this round, or not expanded
@@ -93,21 +97,27 @@ def limit(band: int) -> float:
     return 2.0 ** (band + 1 + _SHIFT)
 
 
+def tasks(rows: DataFrame, n: int, each: int) -> int:
+    """Tasks for ``n`` points or queries: two a core at least, then one for ``each`` of them."""
+    return max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-n // each))
+
+
 class Index:
-    """``copies`` (node, vec_id, v) of the first k + 1 equal vectors of each node, ``nodes`` (node, band, point), ``graph`` (node, ids, near)."""
+    """``copies`` (node, vec_id, v) of the first k + 1 equal vectors of each node, ``nodes`` (node, band, point), ``graph`` (node, ids, near);
+    ``parts``: the tasks for them."""
 
-    def __init__(self, rows: DataFrame, k: int = TOP, rounds: int = ROUNDS):
+    def __init__(self, rows: DataFrame, parts: int, k: int = TOP, rounds: int = ROUNDS):
         same = Window.partitionBy("h", "v").orderBy("vec_id")
-        self.k = k
-        self.copies = cut_lineage(rows.withColumn("h", F.xxhash64("v")).withColumn("place", F.row_number().over(same)).filter(F.col("place") <= k + 1)
-                                  .withColumn("node", F.min("vec_id").over(Window.partitionBy("h", "v"))))
+        self.k, self.parts = k, parts
+        numbered = rows.withColumn("h", F.xxhash64("v")).withColumn("place", F.row_number().over(same))
+        self.copies = cut_lineage(numbered.filter(F.col("place") <= k + 1).withColumn("node", F.min("vec_id").over(Window.partitionBy("h", "v"))).coalesce(parts))
         first = self.copies.filter("place = 1")
         top, dim = first.agg(F.max(octave("v")), F.max(F.size("v"))).first()
         self.dim, self.top = dim or 0, top or 0
         self.nodes = cut_lineage(_coded(first.select("node", F.greatest(octave("v"), F.lit(self.top - BANDS + 1)).alias("band"), "v"), self.dim))
-        self.sizes = {r["band"]: r["n"] for r in self.nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}     # at most BANDS rows
-        self.lists = neighbour_graph(self.nodes, rounds)
-        self.graph = cut_lineage(packed(self.lists, self.nodes))
+        self.sizes = {r["band"]: r["n"] for r in self.nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).coalesce(parts).collect()}     # at most BANDS rows
+        self.lists = neighbour_graph(self.nodes, parts, rounds)
+        self.graph = cut_lineage(packed(self.lists, self.nodes, parts))
 
 
 def _coded(rows: DataFrame, dim: int, asked: bool = False) -> DataFrame:
@@ -194,14 +204,14 @@ def best_lists(node: np.ndarray, ids: np.ndarray, sims: np.ndarray, fresh: np.nd
                                       names=["node", "ids", "sims", "fresh"])
 
 
-def merged(lists: DataFrame, k: int) -> DataFrame:
+def merged(lists: DataFrame, k: int, parts: int) -> DataFrame:
     """The lists of each node (rows of LISTS) as one list of its ``k`` best."""
     def run(batches):
         for t in _pieces(batches):
             ids, n = _flat(t.column("ids"))
             yield best_lists(np.repeat(t.column("node").to_numpy(), n), ids, _flat(t.column("sims"))[0], _flat(t.column("fresh"))[0], k)
 
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, LISTS)
+    return lists.repartition("node").coalesce(parts).sortWithinPartitions("node").mapInArrow(run, LISTS)
 
 
 def _keyed(rows: DataFrame, trees: int) -> DataFrame:
@@ -224,7 +234,7 @@ def _spans(table: pa.Table, leaf: int) -> list[np.ndarray]:
     return out
 
 
-def beside(rows: DataFrame, trees: int, k: int, n: int, asked: bool = False) -> DataFrame:
+def beside(rows: DataFrame, trees: int, k: int, n: int, parts: int, asked: bool = False) -> DataFrame:
     """LISTS of the ``k`` best points that each point (or, if ``asked``, each query) among the (node, band, query, point) rows meets
     in a run of each projection order; ``n``: about how many rows there are."""
     def run(batches):
@@ -251,9 +261,9 @@ def beside(rows: DataFrame, trees: int, k: int, n: int, asked: bool = False) ->
                     if ok.any():
                         yield best_lists(np.repeat(node[own], m)[ok], node[real][best].ravel()[ok], got.ravel()[ok], np.ones(int(ok.sum()), np.uint8), m)
 
-    parts = max(1, n * trees // (64 * LEAF))
-    ordered = _keyed(rows, trees).repartitionByRange(parts, "tree", "band", "key", "mixed").sortWithinPartitions("tree", "band", "key", "mixed")
-    return ordered.mapInArrow(run, LISTS)
+    ranges = max(1, n * trees // (64 * LEAF))
+    dealt = _keyed(rows, trees).repartitionByRange(ranges, "tree", "band", "key", "mixed").coalesce(parts)
+    return dealt.sortWithinPartitions("tree", "band", "key", "mixed").mapInArrow(run, LISTS)
 
 
 def _edges(lists: DataFrame) -> DataFrame:
@@ -262,11 +272,12 @@ def _edges(lists: DataFrame) -> DataFrame:
     return each.select("src", F.col("x.ids").alias("dst"), F.col("x.fresh").cast("int").alias("fresh"))
 
 
-def thinned(edges: DataFrame, most: int, salt: int) -> DataFrame:
+def thinned(edges: DataFrame, most: int, salt: int, parts: int) -> DataFrame:
     """Edges of which a ``dst`` has about ``most`` at the most: a random share of a popular one's."""
-    popular = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    popular = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).coalesce(parts)
     share = F.pmod(F.xxhash64("src", "dst", F.lit(salt)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return edges.join(popular, "dst", "left").filter(F.col("n").isNull() | (share < F.lit(float(most)) / F.col("n"))).select("src", "dst", "fresh")
+    kept = edges.join(popular, "dst", "left").filter(F.col("n").isNull() | (share < F.lit(float(most)) / F.col("n")))
+    return kept.select("src", "dst", "fresh").coalesce(parts)
 
 
 def _introduced(batches):
@@ -316,15 +327,15 @@ def _worst(col: str, k: int) -> Column:
     return F.when(F.size(col) >= k, F.element_at(col, -1)).otherwise(F.lit(-9.0)).cast("float")
 
 
-def descended(lists: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+def descended(lists: DataFrame, nodes: DataFrame, salt: int, parts: int) -> DataFrame:
     """One round: neighbours of neighbours are joined at the point between them."""
     edges = _edges(lists)
     forth = edges.select(F.col("src").alias("to"), F.col("dst").alias("node"), "fresh")
-    back = thinned(edges, REVERSE, salt).select(F.col("dst").alias("to"), F.col("src").alias("node"), "fresh")
-    known = nodes.select("node", "point").join(lists.select("node", _worst("sims", K).alias("least")), "node")
-    sent = forth.unionByName(back).join(known, "node").select("to", "node", "fresh", "point", "least")
-    proposals = sent.repartition("to").sortWithinPartitions("to").mapInArrow(_introduced, LISTS)
-    return merged(_stale(lists).unionByName(proposals), K)
+    back = thinned(edges, REVERSE, salt, parts).select(F.col("dst").alias("to"), F.col("src").alias("node"), "fresh")
+    known = nodes.select("node", "point").join(lists.select("node", _worst("sims", K).alias("least")).hint("merge"), "node").coalesce(parts)
+    sent = forth.unionByName(back).join(known, "node").select("to", "node", "fresh", "point", "least").coalesce(parts)
+    proposals = sent.repartition("to").coalesce(parts).sortWithinPartitions("to").mapInArrow(_introduced, LISTS)
+    return merged(_stale(lists).unionByName(proposals), K, parts)
 
 
 def _stale(lists: DataFrame) -> DataFrame:
@@ -332,23 +343,23 @@ def _stale(lists: DataFrame) -> DataFrame:
     return lists.withColumn("fresh", F.transform("fresh", lambda x: F.lit(0).cast("tinyint")))
 
 
-def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, parts: int, rounds: int = ROUNDS) -> DataFrame:
     """LISTS of each point's ``K`` nearest, approximately."""
     n = nodes.count()
-    lists = cut_lineage(merged(beside(nodes.withColumn("query", F.lit(False)), TREES, K, n), K))
+    lists = cut_lineage(merged(beside(nodes.withColumn("query", F.lit(False)), TREES, K, n, parts), K, parts))
     for number in range(rounds):
-        lists = cut_lineage(descended(lists, nodes, number))
+        lists = cut_lineage(descended(lists, nodes, number, parts))
         new, all_ = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x == 1))), F.sum(F.size("fresh"))).first()
         if not all_ or new < SETTLED * all_:
             break
     return lists
 
 
-def packed(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def packed(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """(node, ids, near) of every point: its neighbours and some of those it is a neighbour of, with their vectors one after another."""
     edges = _edges(lists)
     both = edges.select(F.col("src").alias("at"), F.col("dst").alias("node")).union(
-        thinned(edges, BACK, 97).select(F.col("dst").alias("at"), F.col("src").alias("node"))).distinct()
+        thinned(edges, BACK, 97, parts).select(F.col("dst").alias("at"), F.col("src").alias("node"))).distinct().coalesce(parts)
 
     def run(batches):
         for t in _pieces(batches):
@@ -357,8 +368,8 @@ def packed(lists: DataFrame, nodes: DataFrame) -> DataFrame:
             data = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array(at[begin[:-1]]), _listed(t.column("node").to_numpy(), begin), _binary(data, begin * (len(data) // len(at)))], names=["node", "ids", "near"])
 
-    return (both.join(nodes.select("node", "point"), "node").select("at", "node", "point").repartition("at").sortWithinPartitions("at")
-            .mapInArrow(run, "node long, ids array<long>, near binary"))
+    sent = both.join(nodes.select("node", "point"), "node").select("at", "node", "point").coalesce(parts)
+    return sent.repartition("at").coalesce(parts).sortWithinPartitions("at").mapInArrow(run, "node long, ids array<long>, near binary")
 
 
 def _found(lists: DataFrame) -> DataFrame:
@@ -380,7 +391,7 @@ def _moved(found: DataFrame, width: int, beam: int) -> DataFrame:
     return marked.select("node", "id", "sim", "place", "least", F.when((F.col("fresh") == 1) & (F.col("ahead") <= width), 2).otherwise(F.col("fresh")).cast("tinyint").alias("fresh"))
 
 
-def _expanded(beams: DataFrame, asked: DataFrame, graph: DataFrame, beam: int) -> DataFrame:
+def _expanded(beams: DataFrame, asked: DataFrame, graph: DataFrame, beam: int, parts: int) -> DataFrame:
     """What the marked points of each beam lead to, as far as it is better than the beam's last."""
     def scored(batches):
         for batch in batches:
@@ -397,9 +408,9 @@ def _expanded(beams: DataFrame, asked: DataFrame, graph: DataFrame, beam: int) -
                 if ok.any():
                     yield best_lists(part.column(0).to_numpy()[row[ok]], ids[ok], sims[ok], np.ones(int(ok.sum()), np.int8), beam)
 
-    calls = beams.filter("fresh = 2").select("node", "least", F.col("id").alias("at")).join(asked.select("node", "point"), "node")
+    calls = beams.filter("fresh = 2").select("node", "least", F.col("id").alias("at")).join(asked.select("node", "point"), "node").coalesce(parts)
     met = calls.join(graph.select(F.col("node").alias("at"), F.col("ids").alias("to"), "near"), "at").select("node", "point", "least", "to", "near")
-    return _found(met.mapInArrow(scored, LISTS))
+    return _found(met.coalesce(parts).mapInArrow(scored, LISTS))
 
 
 def search(index: Index, queries: DataFrame, beam: int = BEAM) -> DataFrame:
@@ -408,34 +419,37 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     spread = queries.withColumn("band", F.explode(F.array(*(F.lit(b) for b in sorted(index.sizes)) or [F.lit(0)])))
     slots = cut_lineage(spread.withColumn("node", F.monotonically_increasing_id()))
     asked = cut_lineage(_coded(slots, index.dim, asked=True))
+    parts = tasks(asked, asked.count(), ASKED)
     n = sum(index.sizes.values())
     rows = index.nodes.withColumn("query", F.lit(False)).unionByName(asked.withColumn("query", F.lit(True)))
-    beams = cut_lineage(_moved(_found(beside(rows, ENTRIES, K, n, asked=True)), WIDTHS[0], beam))
+    beams = cut_lineage(_moved(_found(beside(rows, ENTRIES, K, n, index.parts, asked=True)), WIDTHS[0], beam).coalesce(parts))
     graph = index.graph.repartition("node").persist(StorageLevel.DISK_ONLY)     # every round joins it; a lost part is made anew
     number = 0
     while not beams.filter("fresh = 2").isEmpty():
         number += 1
         old = beams.select("node", "id", "sim", F.when(F.col("fresh") == 2, 0).otherwise(F.col("fresh")).cast("tinyint").alias("fresh"))
-        beams = cut_lineage(_moved(old.unionByName(_expanded(beams, asked, graph, beam)), WIDTHS[min(number, len(WIDTHS) - 1)], beam))
+        met = old.unionByName(_expanded(beams, asked, graph, beam, parts))
+        beams = cut_lineage(_moved(met, WIDTHS[min(number, len(WIDTHS) - 1)], beam).coalesce(parts))
     graph.unpersist()
     pairs = beams.filter(F.col("place") <= keep).select(F.col("node").alias("slot"), F.col("id").alias("node"))
     own = index.copies.filter("place = 1").select("node", F.col("v").alias("w"))
     score = F.aggregate(F.zip_with("v", "w", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    return (pairs.join(slots.select(F.col("node").alias("slot"), "query", "v"), "slot").join(own, "node")
-            .select("query", "node", score.alias("score")))
+    asking = pairs.join(slots.select(F.col("node").alias("slot"), "query", "v"), "slot").coalesce(parts)
+    return asking.join(own, "node").select("query", "node", score.alias("score")).coalesce(parts)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = TOP, vec_id: str = "vec_id", vector: str = "embedding", beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of the rows that the condition ``queries`` on ``vec_id`` names, among all other rows."""
-    rows = cut_lineage(usable(vectors, vec_id, vector))
-    index = Index(rows, k, rounds)
+    parts = tasks(vectors, vectors.count(), POINTS)
+    rows = cut_lineage(usable(vectors, vec_id, vector).coalesce(parts))
+    index = Index(rows, parts, k, rounds)
     wanted = rows.filter(queries).withColumn("h", F.xxhash64("v"))
-    asked = cut_lineage(wanted.join(index.copies.filter("place = 1").select("h", "v", "node"), ["h", "v"]).select("vec_id", "node"))
+    asked = cut_lineage(wanted.join(index.copies.filter("place = 1").select("h", "v", "node"), ["h", "v"]).select("vec_id", "node").coalesce(parts))
     once = asked.select(F.col("node").alias("query")).distinct().join(index.copies.filter("place = 1").select(F.col("node").alias("query"), "v"), "query")
-    found = search(index, once, beam).join(index.copies.select("node", "vec_id"), "node")
+    found = search(index, once.coalesce(parts), beam).join(index.copies.select("node", "vec_id"), "node").coalesce(parts)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = (found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
              .groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near")))
     each = (asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).join(lists, "query")
             .select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("rank", "x")))
-    return each.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
+    return each.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score").coalesce(parts)

@@ -103,6 +103,35 @@ def test_lists_and_beams_are_handled_by_spark(spark):
         assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_tasks_follow_the_points_and_queries(spark):
+    """With many shuffle partitions that nothing merges, the stages of a small table stay few tasks; nothing is lost."""
+    from lapsekit.llm import op11_neighbours as N
+    x = np.random.default_rng(6).standard_normal((300, 8)).astype(np.float32)
+    df = spark.createDataFrame(rows_of(range(300), x, [0] * 300), VECTORS)
+    parts = N.tasks(df, 300, N.POINTS)
+    assert parts == 2 * spark.sparkContext.defaultParallelism < 211
+    assert N.tasks(df, 10 ** 9, N.POINTS) == -(-10 ** 9 // N.POINTS)                  # a large table takes all partitions
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        out = N.nearest(df, F.col("vec_id") % 20 == 0)
+        assert out.rdd.getNumPartitions() <= parts
+        got = collections.defaultdict(list)
+        for r in out.collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"]))
+        lists = spark.createDataFrame([(i, [(i + 1) % 50], [0.5], [1]) for i in range(50)], N.LISTS)
+        for df in (N.merged(lists, N.K, 4), N.thinned(N._edges(lists), 1, 0, 4)):
+            assert df.rdd.getNumPartitions() <= 4
+            assert df.count() == 50
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    want = brute_nearest([(i, v.tolist()) for i, v in enumerate(np.pad(x, ((0, 0), (0, 8))))], 20, 20)
+    assert {q: sorted(near) for q, near in got.items()} == {q: [(n + 1, i) for n, (i, _) in enumerate(near)] for q, near in want.items()}
+
+
 def test_few_or_no_vectors(spark):
     from lapsekit.llm.op11_neighbours import nearest
     few = rows_of([0, 1, 2], [[1, 0], [0.5, 0.5], [1, 0]], [0, 0, 0])
