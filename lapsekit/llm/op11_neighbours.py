@@ -274,9 +274,9 @@ def _edges(lists: DataFrame) -> DataFrame:
 
 def thinned(edges: DataFrame, most: int, salt: int, parts: int) -> DataFrame:
     """Edges of which a ``dst`` has about ``most`` at the most: a random share of a popular one's."""
-    popular = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).coalesce(parts)
+    popular = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
     share = F.pmod(F.xxhash64("src", "dst", F.lit(salt)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    kept = edges.join(popular, "dst", "left").filter(F.col("n").isNull() | (share < F.lit(float(most)) / F.col("n")))
+    kept = edges.join(popular.hint("merge"), "dst", "left").filter(F.col("n").isNull() | (share < F.lit(float(most)) / F.col("n")))
     return kept.select("src", "dst", "fresh").coalesce(parts)
 
 
@@ -333,7 +333,7 @@ def descended(lists: DataFrame, nodes: DataFrame, salt: int, parts: int) -> Data
     forth = edges.select(F.col("src").alias("to"), F.col("dst").alias("node"), "fresh")
     back = thinned(edges, REVERSE, salt, parts).select(F.col("dst").alias("to"), F.col("src").alias("node"), "fresh")
     known = nodes.select("node", "point").join(lists.select("node", _worst("sims", K).alias("least")).hint("merge"), "node").coalesce(parts)
-    sent = forth.unionByName(back).join(known, "node").select("to", "node", "fresh", "point", "least").coalesce(parts)
+    sent = forth.unionByName(back).join(known, "node").coalesce(parts).select("to", "node", "fresh", "point", "least")     # a coalesce right under repartition() would go
     proposals = sent.repartition("to").coalesce(parts).sortWithinPartitions("to").mapInArrow(_introduced, LISTS)
     return merged(_stale(lists).unionByName(proposals), K, parts)
 
@@ -368,7 +368,7 @@ def packed(lists: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
             data = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array(at[begin[:-1]]), _listed(t.column("node").to_numpy(), begin), _binary(data, begin * (len(data) // len(at)))], names=["node", "ids", "near"])
 
-    sent = both.join(nodes.select("node", "point"), "node").select("at", "node", "point").coalesce(parts)
+    sent = both.join(nodes.select("node", "point"), "node").coalesce(parts).select("at", "node", "point")
     return sent.repartition("at").coalesce(parts).sortWithinPartitions("at").mapInArrow(run, "node long, ids array<long>, near binary")
 
 
